@@ -40,5 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def filter_here(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter by a condition over columns that are costly to compute, once they are computed.
+
+    A plain filter would be moved below the projections that compute its columns, and every mention of a
+    column would become a copy of its expression. It is not moved below a projection with a random value.
+    """
+    return df.withColumn("__held", F.rand(0)).filter((F.col("__held") >= 0) & condition)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

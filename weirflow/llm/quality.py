@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, words_of
+from .common import filter_here, text_of, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -162,7 +162,7 @@ def filter_documents(docs: DataFrame, policy: Policy = STANDARD, text: str = "te
     """The rows of ``docs`` that the policy keeps, all columns as they came."""
     a = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{text}`").alias("__text"))
     a = measurements(a, "__text").withColumn("__bits", failure_bits())
-    return a.filter(verdict(policy, "__bits")).select("__doc.*")
+    return filter_here(a, verdict(policy, "__bits")).select("__doc.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

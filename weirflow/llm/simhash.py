@@ -1,6 +1,6 @@
 """SimHash near-duplicates: tiled exact comparison of fingerprints.
 
-1. Fingerprint of each text: 3-word shingles, XXH64 with seed 42, majority of bits.
+1. Fingerprint of each text: shingles of words, XXH64 with seed 42, majority of bits.
 2. Copies fold first: only distinct fingerprints are compared, each with its smallest document id.
 3. Two fingerprints within ``radius`` bits agree wholly on at least two of ``radius + 2`` bit blocks, so
    those that share two blocks meet under one key and no link is lost. A key's fingerprints are cut into
@@ -12,6 +12,11 @@
 5. Components of the forest by alternating large-star and small-star steps on DataFrames; every step is
    cut through the shared checkpoint folder.
 
+``EXACT`` links at 2 bits of 3-word shingles. ``NEAR`` is for removing near copies: on texts whose 5-word
+shingles are similar by 0.8 or more, 2 bits would find one pair in eight, so it links at 9 bits, where a
+second, independent 64-bit fingerprint of the same shingles must agree too (20 of all 128 bits), which keeps
+unrelated texts apart at any size of the corpus.
+
 Defined results: null and empty texts have fingerprint 0 and link like any other; repeated rows and ties
 fall into one component; component_id is null only where all ids of a component are;
 an empty table gives an empty result; other columns are carried by :func:`keep_one` whatever their names.
@@ -20,6 +25,7 @@ an empty table gives an empty result; other columns are carried by :func:`keep_o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, repeat
 
 import numpy as np
@@ -30,23 +36,37 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions, text_of
 
-SHINGLE, SEED, RADIUS = 3, 42, 2
+SEED = 42
 TILE, BLOCK = 4096, 512
+#: Rows up to which the table of keys with more than a tile is broadcast.
+HOT_ROWS = 200_000
+
+
+@dataclass(frozen=True)
+class Linking:
+    """Shingle length, bits within which fingerprints link, and bits within which both fingerprints together do (None: one is made)."""
+
+    shingle: int
+    radius: int
+    both: int | None = None
 
 
-def fingerprint(text: str | None) -> int:
+EXACT, NEAR = Linking(3, 2), Linking(3, 9, 20)
+
+
+def fingerprint(text: str | None, shingle: int = EXACT.shingle) -> int:
     """Unsigned 64-bit fingerprint of one text."""
-    return int(_majority(_shingle_hashes(text)))
+    return int(_majority(_shingle_hashes(text, shingle)))
 
 
-def _shingle_hashes(text: str | None) -> np.ndarray:
+def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only ASCII is lowered and only ASCII space splits
     if not words:
         return np.empty(0, np.uint64)
-    if len(words) < SHINGLE:
+    if len(words) < shingle:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
-    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(words) - SHINGLE + 1)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(words) - shingle + 1)
 
 
 def _majority(h: np.ndarray) -> np.uint64:
@@ -58,15 +78,27 @@ def _majority(h: np.ndarray) -> np.uint64:
     return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and ``fp``, the fingerprint as a signed long."""
+def _remixed(h: np.ndarray) -> np.ndarray:
+    """Hashes as good as independent of ``h``, one to one."""
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), how: Linking = EXACT) -> DataFrame:
+    """The ``keep`` columns, ``fp`` and ``fp2``: fingerprints as signed longs, the second 0 where one is made."""
     kept = docs.select(*keep, F.col(f"`{text}`").alias("__text"))
-    schema = kept.drop("__text").withColumn("fp", F.lit(0).cast("long")).schema
+    schema = kept.drop("__text").withColumns({c: F.lit(0).cast("long") for c in ("fp", "fp2")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((_majority(_shingle_hashes(t.as_py())) for t in b.column(b.num_columns - 1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=schema.names)
+            fps = np.zeros((2, b.num_rows), np.uint64)
+            for i, t in enumerate(b.column(b.num_columns - 1)):
+                h = _shingle_hashes(t.as_py(), how.shingle)
+                fps[0, i] = _majority(h)
+                if how.both is not None:
+                    fps[1, i] = _majority(_remixed(h))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(x.view(np.int64)) for x in fps)], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
@@ -80,28 +112,31 @@ def _keys(fp: Column, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(signed(masks[x] | masks[y])).cast("long"))) for i, (x, y) in enumerate(combinations(range(n), 2))])
 
 
-def _forest(fps: np.ndarray, side: np.ndarray, radius: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, root) of a forest spanning the links of one unit.
+def _forest(fps: np.ndarray, more: np.ndarray, side: np.ndarray, how: Linking, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(position, root's position) of a forest spanning the links of one unit.
 
-    ``side``: 0 for both, or 1 and 2 for the two tiles, of which only links across are looked for.
+    ``more``: the second fingerprints. ``side``: 0 for both, or 1 and 2 for the two tiles, of which only
+    links across are looked for.
     """
     pop = np.bitwise_count(fps).astype(np.int16)
     order = np.lexsort((fps, pop))
-    fps, pop, side = fps[order], pop[order], side[order]
+    fps, more, pop, side = fps[order], more[order], pop[order], side[order]
     label = np.arange(len(fps))
     starts = range(0, len(fps), block)
     for i in starts:
         a = fps[i : i + block]
         for j in starts:
-            if j < i or pop[j] - pop[min(i + block, len(fps)) - 1] > radius:
+            if j < i or pop[j] - pop[min(i + block, len(fps)) - 1] > how.radius:
                 continue
-            b = fps[j : j + block]
-            near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
+            near = np.bitwise_count(a[:, None] ^ fps[None, j : j + block]) <= how.radius
             if side.any():
                 near &= side[i : i + block, None] != side[None, j : j + block]
             x, y = np.nonzero(near)
             x, y = x + i, y + j
             x, y = x[x < y], y[x < y]
+            if how.both is not None and len(x):
+                ok = np.bitwise_count(fps[x] ^ fps[y]).astype(int) + np.bitwise_count(more[x] ^ more[y]) <= how.both
+                x, y = x[ok], y[ok]
             while len(x):  # hook larger labels onto smaller ones, then follow them to the root
                 lx, ly = label[x], label[y]
                 open_ = lx != ly
@@ -114,46 +149,53 @@ def _forest(fps: np.ndarray, side: np.ndarray, radius: int, block: int = BLOCK)
                     if (up == label).all():
                         break
                     label = up
-    tied = label != np.arange(len(fps))
-    return fps[tied], fps[label[tied]]
+    tied = np.flatnonzero(label != np.arange(len(fps)))
+    return order[tied], order[label[tied]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Forest rows (a, b) over distinct fingerprints ``fp`` whose components are those of all links within the radius."""
+def links(distinct: DataFrame, how: Linking = EXACT, tile: int = TILE) -> DataFrame:
+    """Forest rows (a, b) over the nodes of ``distinct`` (node, fp, fp2) whose components are those of all links."""
     spark = distinct.sparkSession
-    keyed = distinct.select("fp", F.explode(_keys(F.col("fp"), radius)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    met = keyed.join(sizes, "key").withColumns({"t": tiles, "me": F.pmod(F.xxhash64("fp", F.lit(1)), tiles).cast("int")})
-    # one row for each unit that the fingerprint's tile is in: with itself, and with each other tile of the key
-    other = F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other")
-    units = met.select("fp", "key", "me", other).select(
+    keyed = distinct.select("node", "fp", "fp2", F.explode(_keys(F.col("fp"), how.radius)).alias("key"))
+    # of all keys only those with more than a tile: at most one for each ``tile`` rows
+    hot = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select(F.col("key").alias("__key"), F.ceil(F.col("n") / tile).cast("int").alias("t")))
+    hot = F.broadcast(hot) if hot.count() <= HOT_ROWS else hot
+    t = F.coalesce("t", F.lit(1))
+    met = keyed.join(hot, F.col("key") == F.col("__key"), "left").withColumn("me", F.pmod(F.xxhash64("node", F.lit(1)), t).cast("int"))
+    # one row for each unit that the node's tile is in: with itself, and with each other tile of the key
+    other = F.explode(F.sequence(F.lit(0), t - 1)).alias("other")
+    units = met.select("node", "fp", "fp2", "key", "me", other).select(
+        "node",
         "fp",
+        "fp2",
         F.xxhash64("key", F.least("me", "other"), F.greatest("me", "other")).alias("unit"),
         F.when(F.col("me") == F.col("other"), 0).when(F.col("me") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
     )
     units = units.repartition(partitions(spark), "unit").sortWithinPartitions("unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            a, b = (np.concatenate(x) if found else np.empty(0, np.uint64) for x in (zip(*found) if found else ((), ())))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        rest: tuple[np.ndarray, ...] | None = None  # of the unit that may go on in the next batch
+        def linked(cols: list[np.ndarray], edges: list[int]) -> Iterator[pa.RecordBatch]:
+            nodes, fps, more, side = cols[1], cols[2].view(np.uint64), cols[3].view(np.uint64), cols[4]
+            found = []
+            for s, e in zip(edges, edges[1:]):
+                if e - s > 1:
+                    x, y = _forest(fps[s:e], more[s:e], side[s:e], how)
+                    if len(x):
+                        found.append((nodes[s + x], nodes[s + y]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+
+        rest: list[np.ndarray] = []  # the unit that may go on in the next batch
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("unit", "fp", "side")]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols)]
-            ends = np.flatnonzero(np.diff(cols[0])) + 1
-            last = ends[-1] if len(ends) else 0
-            rest = tuple(c[last:] for c in cols)
-            found = [_forest(cols[1][s:e].view(np.uint64), cols[2][s:e], radius) for s, e in zip([0, *ends], ends) if e - s > 1]
-            if found := [f for f in found if len(f[0])]:
-                yield out(found)
-        if rest is not None and len(rest[0]) > 1:
-            f = _forest(rest[1].view(np.uint64), rest[2], radius)
-            if len(f[0]):
-                yield out([f])
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy() for c in ("unit", "node", "fp", "fp2", "side")]
+            cols = [np.concatenate(x) for x in zip(rest, cols)] if rest else cols
+            edges = [0, *(np.flatnonzero(np.diff(cols[0])) + 1)]
+            yield from linked(cols, edges)
+            rest = [c[edges[-1] :] for c in cols]
+        if rest:
+            yield from linked(rest, [0, len(rest[0])])
 
     return units.mapInArrow(run, "a long, b long").distinct()
 
@@ -183,36 +225,37 @@ def components(edges: DataFrame) -> DataFrame:
     return new.select(F.col("a").alias("node"), F.col("b").alias("root")).union(new.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _by_text(docs: DataFrame, id_col: str, text: str, radius: int) -> tuple[DataFrame, DataFrame]:
-    """(__id, __th, fp) of every row, and (__fp, least) of every distinct fingerprint.
+def _by_text(docs: DataFrame, id_col: str, text: str, how: Linking) -> tuple[DataFrame, DataFrame]:
+    """(__id, __th, fp, node) of every row, and (__node, least) of every distinct fingerprint.
 
     ``least`` is the component's least (id is null, id, hash of the text).
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text_of(F.col(f"`{text}`"))).alias("__th"), F.col(f"`{text}`").alias("text"))
-    fps = cut(fingerprints(rows, keep=("__id", "__th")))
+    node = F.col("fp") if how.both is None else F.xxhash64("fp", "fp2")
+    fps = cut(fingerprints(rows, keep=("__id", "__th"), how=how).withColumn("node", node))
     own = F.struct(F.isnull("__id").alias("none"), F.col("__id").alias("id"), F.col("__th").alias("th"))
-    distinct = cut(fps.groupBy("fp").agg(F.min(own).alias("least")))
-    linked = components(links(distinct, radius))
-    of = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    distinct = cut(fps.groupBy("node", "fp", "fp2").agg(F.min(own).alias("least")))
+    linked = components(links(distinct, how)).withColumnRenamed("node", "__of")
+    of = distinct.join(linked, distinct.node == F.col("__of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("least"))
-    return fps, cut(of.select("fp", "root").join(least, "root").select(F.col("fp").alias("__fp"), "least"))
+    return fps, cut(of.select("node", "root").join(least, "root").select(F.col("node").alias("__node"), "least"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", how: Linking = EXACT) -> DataFrame:
     """(id, fp, component_id): component_id is the least id of the documents reachable over links."""
-    fps, by_fp = _by_text(docs, id_col, text, radius)
-    return fps.join(by_fp, F.col("fp") == F.col("__fp")).select(F.col("__id").alias(id_col), "fp", F.col("least.id").alias("component_id"))
+    fps, by_node = _by_text(docs, id_col, text, how)
+    return fps.join(by_node, F.col("node") == F.col("__node")).select(F.col("__id").alias(id_col), "fp", F.col("least.id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", how: Linking = NEAR) -> DataFrame:
     """The rows of ``docs`` with one of each component left, all columns as they came.
 
     That is the row with the least id (null last), then the least hash of the text. Of rows that repeat both,
     the first by all other columns stays.
     """
-    fps, by_fp = _by_text(docs, id_col, text, radius)
+    fps, by_node = _by_text(docs, id_col, text, how)
     first = F.col("__id").eqNullSafe(F.col("least.id")) & (F.col("__th") == F.col("least.th"))
-    heads = fps.join(by_fp, F.col("fp") == F.col("__fp")).filter(first).groupBy(F.col("__id").alias("__hid"), F.col("__th").alias("__hth")).agg(F.count("*").alias("__n"))
+    heads = fps.join(by_node, F.col("node") == F.col("__node")).filter(first).groupBy(F.col("__id").alias("__hid"), F.col("__th").alias("__hth")).agg(F.count("*").alias("__n"))
     a = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text_of(F.col(f"`{text}`"))).alias("__th"))
     kept = a.join(heads, F.col("__id").eqNullSafe(F.col("__hid")) & (F.col("__th") == F.col("__hth")))
     # nearly all heads are single rows; only the rest is aggregated with its texts
@@ -224,26 +267,6 @@ def hexed(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` with one of each component left, all columns as they came.
-
-    That is the row whose id is the component's; of several rows with this id in the component, the one
-    with the least (hash of the text, text). Rows with a null id stay only where their component has no
-    other id, again one of them.
-    """
-    member = classes(docs, id_col, text, radius)
-    # the components' ids are as many as components; a row stays if its id is one
-    heads = member.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__head"), F.col("fp").alias("__hfp")).agg(F.count("*").alias("__n"))
-    a = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{id_col}`").alias("__id"))
-    heads = cut(heads.groupBy("__head").agg(F.sum("__n").alias("__n")))
-    kept = a.join(heads, F.col("__id").eqNullSafe(F.col("__head")))
-    single = kept.filter("__n = 1").select("__doc")
-    # only ids that several rows share need the text looked at again
-    several = kept.filter("__n > 1").select("__doc", "__id", F.xxhash64(F.col("__doc").getField(text)).alias("__x"), F.col("__doc").getField(text).alias("__t"))
-    one = several.groupBy("__id").agg(F.min_by("__doc", F.struct("__x", "__t")).alias("__doc")).select("__doc")
-    return single.union(one).select("__doc.*")
-
-
 def query(docs: DataFrame) -> DataFrame:
     """op6: fingerprint and component of every document."""
     return classes(docs).select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
