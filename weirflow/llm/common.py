@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,11 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where the session names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "weirflow-checkpoint")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder that spark.checkpoint.dir names, which all executors share.
 
@@ -35,11 +41,30 @@ def cut(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "weirflow-checkpoint"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+class Shelf:
+    """A table in the shared folder in as many buckets as there are shuffle partitions.
+
+    Joins on its key read it where it is, without shuffling it again. ``drop`` removes it and its files.
+    """
+
+    def __init__(self, df: DataFrame, key: list[str]) -> None:
+        self.spark = df.sparkSession
+        self.name = f"weirflow_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(self.spark).rstrip('/')}/{self.name}"
+        df.write.format("parquet").bucketBy(partitions(self.spark), *key).option("path", self.path).saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def filter_here(df: DataFrame, condition: Column) -> DataFrame:
     """Filter by a condition over columns that are costly to compute, once they are computed.
 
