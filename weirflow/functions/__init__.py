@@ -1 +1 @@
-
+"""Column functions: keyed randomness, arrays, images, audio."""

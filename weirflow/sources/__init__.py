@@ -1 +1 @@
-
+"""Sources: indexed tables, streams, arrays on disk, mixtures."""

@@ -1 +1 @@
-
+"""Structured Streaming twins of the batch operators."""
