@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -229,9 +231,6 @@ def partner(df: DataFrame, names: list[str], seed: int = 0, tag: str = "mix") ->
 
 def beta(alpha: float, key: Column) -> Column:
     """Beta(alpha, alpha) keyed by a 64-bit column; uniform at alpha 1 comes from the key itself."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(k: pd.Series) -> pd.Series:
         return pd.Series([np.random.Generator(np.random.PCG64(int(v) % (1 << 64))).beta(alpha, alpha) for v in k], index=k.index)

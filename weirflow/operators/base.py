@@ -8,8 +8,9 @@ becomes one ``select``, which Catalyst fuses with its neighbours. Randomness rea
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -193,8 +194,6 @@ class PandasFn(Operator):
     keyed: bool = False
 
     def apply(self, r: Record) -> Record:
-        import pandas as pd
-
         fn, with_key = self.fn, self.keyed
 
         def run(x: pd.Series, k: pd.Series) -> pd.Series:

@@ -262,7 +262,8 @@ class Branching(Operator):
 
     def apply(self, r: Record) -> Record:
         n = len(self.children)
-        at = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(n - 1), self.router(r.fields))), F.lit(self.default))
+        number = self.router(r.fields)
+        at = F.when(number.isNull(), F.lit(self.default)).otherwise(F.greatest(F.lit(0), F.least(F.lit(n - 1), number)))
         own = [c.apply(r.child(i)) for i, c in enumerate(self.children)]
         if any(set(o.fields) != set(own[0].fields) for o in own):
             raise ValueError("branches must give the same fields")

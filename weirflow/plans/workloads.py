@@ -226,13 +226,13 @@ def tokens_hashed(spark: SparkSession, d: str) -> DataFrame:
     return _out(t, tokens=arrays.fixed_length(arrays.hash_tokens(F.col("text"), 32000), 64))
 
 
-@query("SELECT n_nationkey AS i, r AS row, c AS col, CASE WHEN c <= r THEN 1.0 ELSE 0.0 END AS on_ FROM nation, range(8) t(r), range(8) u(c)")
+@query("SELECT n_nationkey AS i, r AS row, c AS col, CAST(c <= r AS DOUBLE) AS on_ FROM nation, range(8) t(r), range(8) u(c)")
 def causal_mask(spark: SparkSession, d: str) -> DataFrame:
     m = _read(spark, d, "nation").select("n_nationkey", F.posexplode(arrays.causal_mask(F.lit(8))).alias("row", "r"))
     return m.select(F.col("n_nationkey").alias("i"), F.col("row").cast("long").alias("row"), F.posexplode("r").alias("col", "on_")).select("i", "row", F.col("col").cast("long").alias("col"), F.col("on_").cast("double").alias("on_"))
 
 
-@query("SELECT o_orderkey AS i, CAST(unnest(range(4)) AS BIGINT) AS place, CASE WHEN (o_custkey // CAST(pow(2, unnest(range(4))) AS BIGINT)) % 2 <> 0 THEN 1.0 ELSE 0.0 END AS mask FROM orders")
+@query("SELECT o_orderkey AS i, CAST(unnest(range(4)) AS BIGINT) AS place, CAST((o_custkey // CAST(pow(2, unnest(range(4))) AS BIGINT)) % 2 <> 0 AS DOUBLE) AS mask FROM orders")
 def attention_mask(spark: SparkSession, d: str) -> DataFrame:
     t = F.array(*[F.pmod(F.floor(F.col("o_custkey") / (1 << k)), F.lit(2)) for k in range(4)])
     x = _orders(spark, d, "o_custkey").select(F.col(IDX).alias("i"), F.posexplode(arrays.attention_mask(t)).alias("place", "mask"))
@@ -613,10 +613,10 @@ def vector_norm(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * v))) AS n FROM embeddings)
-SELECT vec_id AS i, CAST(unnest(range(len(embedding))) AS INTEGER) AS place, round(CAST(unnest(embedding) AS DOUBLE) / n, 5) AS v FROM n"""
+SELECT vec_id AS i, CAST(unnest(range(len(embedding))) AS INTEGER) AS place, round(CAST(unnest(embedding) AS DOUBLE) / n, 5) + 0.0 AS v FROM n"""
 )
 def vector_unit_length(spark: SparkSession, d: str) -> DataFrame:
-    return _vectors(spark, d).select(F.col(IDX).alias("i"), F.posexplode(arrays.unit_length(F.col("x"))).alias("place", "v")).withColumn("v", F.round("v", 5))
+    return _vectors(spark, d).select(F.col(IDX).alias("i"), F.posexplode(arrays.unit_length(F.col("x"))).alias("place", "v")).withColumn("v", F.round("v", 5) + 0.0)
 
 
 _PIX = "(SELECT vec_id, list_transform(embedding[1:48], lambda v: greatest(0.0, least(1.0, CAST(v AS DOUBLE) + 0.5))) AS x FROM embeddings)"
