@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import rows_of, rows_of_sql
+from helpers import rows_of, rows_of_sql
 from weirflow.plans import catalog, workloads  # noqa: F401
 
 
