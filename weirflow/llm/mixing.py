@@ -198,15 +198,16 @@ def place(rows: DataFrame, measured: DataFrame) -> DataFrame:
     """``rows`` plus ``start``: the first word's place in the source's stream. ``measured`` has all rows without texts."""
     n = partitions(rows.sparkSession)
     buckets = max(n, -(-measured.count() // BUCKET_ROWS))
-    bucket = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(buckets)).cast("int")
-    whole = measured.withColumn("bucket", bucket).groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
+    bucket = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(buckets)).cast("int").alias("bucket")
+    whole = measured.select("source", bucket, "size").groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     # a source has at most as many rows here as there are buckets
-    before = whole.withColumn("base", F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(F.col("source").alias("__s"), F.col("bucket").alias("__b"), F.coalesce("base", F.lit(0)).alias("base"))
-    inside = Window.partitionBy("bucket", "source").orderBy("doc_id", "hash", "size").rowsBetween(Window.unboundedPreceding, -1)
-    b = rows.withColumn("bucket", bucket).repartition(n, "bucket").withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    b = b.join(before, (F.col("bucket") == F.col("__b")) & F.col("source").eqNullSafe(F.col("__s")))
-    return b.withColumn("start", F.col("base") + F.col("within")).drop("__s", "__b", "base", "within", "bucket", "hash")
+    before = F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    # what stands before a bucket goes into it as the first row of its source, so rows move once and nothing is joined
+    heads = whole.select("source", "bucket", F.coalesce(before, F.lit(0)).alias("size"), F.lit(True).alias("head"))
+    all_ = rows.select("*", bucket, F.lit(False).alias("head")).unionByName(heads, allowMissingColumns=True)
+    inside = Window.partitionBy("bucket", "source").orderBy(F.desc("head"), "doc_id", "hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = all_.repartition(n, "bucket").withColumn("start", F.sum("size").over(inside))
+    return placed.filter(~F.col("head")).drop("bucket", "hash", "head")
 
 
 def _literal_table(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
