@@ -237,7 +237,7 @@ def _by_text(docs: DataFrame, id_col: str, text: str, how: Linking) -> tuple[Dat
     distinct = cut(fps.groupBy("node", "fp", "fp2").agg(F.min(own).alias("least")))
     linked = components(links(distinct, how)).withColumnRenamed("node", "__of")
     of = distinct.join(linked, distinct.node == F.col("__of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = of.groupBy("root").agg(F.min("least").alias("least"))
+    least = cut(of.groupBy("root").agg(F.min("least").alias("least")))  # apart from the join, whose skew can then be split
     return fps, cut(of.select("node", "root").join(least, "root").select(F.col("node").alias("__node"), "least"))
 
 
