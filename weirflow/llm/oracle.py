@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .pii import BASE, CONTEXT_CHARS, KINDS, MIN_SCORE
 from .quality import POLICIES, RULES, SYMBOLS
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,5 +35,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
        (fail_bits & {mask}) = 0 AS kept, fail_bits FROM b"""
 
 
+def _op7() -> str:
+    # on hexadecimal text, two characters a byte: substrings by position, every window's hash, islands of windows
+    return """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, p, md5(substr(h, 2 * p + 1, 800)) AS k FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 399)) AS p FROM d)),
+s AS (SELECT rid, p FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+f AS (SELECT rid, p, CASE WHEN p > lag(p) OVER (PARTITION BY rid ORDER BY p) + 400 THEN 1 ELSE 0 END AS new FROM s),
+g AS (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS i FROM f),
+r AS (SELECT rid, i, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY rid, i),
+q AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM r),
+t AS (SELECT q.rid, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+      string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM q JOIN d ON q.rid = d.rid GROUP BY q.rid)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t ON d.rid = t.rid"""
+
+
+def _op9() -> str:
+    """Each kind's matches and the gaps between them, places by running sums, checks as list expressions."""
+    digits = "regexp_replace({x}, '[^0-9]', '', 'g')"
+    luhn = (
+        "list_sum(list_transform(string_split(reverse({d}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) "
+        "WHEN CAST(c AS INTEGER) > 4 THEN 2 * CAST(c AS INTEGER) - 9 ELSE 2 * CAST(c AS INTEGER) END)) % 10 = 0"
+    )
+    flat = "regexp_replace({x}, '[^A-Z0-9]', '', 'g')"
+    number = "list_transform(string_split(substr({f}, 5) || substr({f}, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END)"
+    mod = f"list_reduce(list_transform(string_split(array_to_string({number}, ''), ''), lambda c: CAST(c AS INTEGER)), lambda a, c: (a * 10 + c) % 97) = 1"
+    checks = {
+        "ip": "len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0",
+        "card": f"CASE WHEN length({digits.format(x='x')}) BETWEEN 14 AND 19 THEN {luhn.format(d=digits.format(x='x'))} ELSE false END",
+        "phone": f"length({digits.format(x='x')}) BETWEEN 10 AND 15",
+        "iban": f"CASE WHEN length({flat.format(x='x')}) BETWEEN 15 AND 34 THEN {mod.format(f=flat.format(x='x'))} ELSE false END",
+    }
+    parts = []
+    for rank, k in enumerate(KINDS):
+        p = k.sql.replace("'", "''")
+        parts.append(
+            f"SELECT rid, {rank} AS rank, '{k.name}' AS kind, x, n, g, sum(length(g) + length(x)) OVER (PARTITION BY rid ORDER BY n) AS stop, {k.score} AS base, '(?i)\b(?:{k.context})' AS near "
+            f"FROM (SELECT rid, unnest(m) AS x, unnest(range(len(m))) AS n, unnest(g[1:len(m)]) AS g FROM (SELECT rid, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d))"
+        )
+    good = "CASE kind " + " ".join(f"WHEN '{k}' THEN {c}" for k, c in checks.items()) + " ELSE true END"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in KINDS)
+    zero = ", ".join(f"CAST(coalesce(n_{k.name}, 0) AS BIGINT) AS n_{k.name}" for k in KINDS)
+    one = "kind || ':' || CAST(stop - length(x) AS VARCHAR) || ':' || CAST(stop AS VARCHAR)"
+    order = "ORDER BY stop - length(x), rank"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+a AS ({" UNION ALL ".join(parts)}),
+s AS (SELECT *, CASE WHEN regexp_matches(right(g, {CONTEXT_CHARS}), near) THEN least(1.0, base + 0.2) ELSE base END AS score FROM a WHERE {good}),
+f AS (SELECT * FROM s WHERE rank < {len(BASE)} OR score >= {MIN_SCORE}),
+r AS (SELECT rid, {counts}, string_agg({one}, ',' {order}) FILTER (rank < {len(BASE)}) AS b, string_agg({one}, ',' {order}) AS spans,
+      string_agg(format('{{:.1f}}', CAST(score AS DOUBLE)), ',' {order}) AS scores FROM f GROUP BY rid)
+SELECT doc_id, {zero}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN r ON d.rid = r.rid"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": _op8()}
+    return {"op7_suffix_dedup": _op7(), "op8_quality_rules": _op8(), "op9_pii": _op9()}

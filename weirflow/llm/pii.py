@@ -38,27 +38,28 @@ class Kind:
     hint: str  # a cheap test that every text with a match passes, as a regular expression
     score: float
     context: str  # words that raise the score
+    sql: str  # the same pattern for engines without possessive runs and look-behind
 
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]{4}){2,7}+(?:\x20?+[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
+IBAN = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"
 SECRET = (
-    r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key))\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_=-]{12,}+[\x22']?"
-    r"|(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
+    r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key))\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_=-]{12,}[\x22']?"
+    r"|\bA[KS]IA[A-Z0-9]{16}\b"
 )
 
 BASE = (
-    Kind("email", EMAIL, "@", 0.9, "mail|contact|write"),
-    Kind("ip", IP, r"[0-9]\.[0-9]", 0.6, "ip|address|host|server"),
-    Kind("card", CARD, r"[0-9](?:[\x20-]?[0-9]){13}", 0.7, "card|visa|credit|payment|karte|carte|tarjeta"),
-    Kind("phone", PHONE, r"\+[0-9]", 0.6, "phone|tel|call|mobile|fax"),
+    Kind("email", EMAIL, "@", 0.9, "mail|contact|write", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    Kind("ip", IP, r"[0-9]\.[0-9]", 0.6, "ip|address|host|server", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+    Kind("card", CARD, r"[0-9](?:[\x20-]?[0-9]){13}", 0.7, "card|visa|credit|payment|karte|carte|tarjeta", r"[0-9](?:[\x20-]?[0-9])+"),
+    Kind("phone", PHONE, r"\+[0-9]", 0.6, "phone|tel|call|mobile|fax", PHONE),
 )
 ADDED = (
-    Kind("iban", IBAN, r"[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank|konto|compte|cuenta"),
-    Kind("secret", SECRET, r"[=:]|A[KS]IA", 0.7, "key|login|auth|secret"),
+    Kind("iban", IBAN, r"[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank|konto|compte|cuenta", IBAN),
+    Kind("secret", SECRET, r"[=:]|A[KS]IA", 0.7, "key|login|auth|secret", SECRET),
 )
 KINDS = BASE + ADDED
 
