@@ -30,7 +30,7 @@ columns do not enter. Nothing is skipped for being frequent.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import Shelf, cut, text_of
 
-LENGTH, Q, RUN = 400, 32, 32
+LENGTH, Q, RUN = 400, 128, 32
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _TABLES = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -217,33 +217,40 @@ def _with_text(texts: DataFrame, rows: DataFrame, *columns: str, how: str = "inn
 def _partnered(rows: DataFrame, *by: str) -> DataFrame:
     """The rows whose values of ``by`` some other row has as well; ``me`` tells rows apart."""
     twice = rows.groupBy(*by).agg(F.min("me").alias("x"), F.max("me").alias("y")).filter("x <> y")
-    twice = twice.select(*[F.col(c).alias(f"__{c}") for c in by])
+    twice = cut(twice.select(*[F.col(c).alias(f"__{c}") for c in by]))  # apart from the join, whose skew can then be split
     on = F.lit(True)
     for c in by:
         on = on & (F.col(c) == F.col(f"__{c}"))
     return rows.join(twice, on, "left_semi")
 
 
-def find(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """k1, k2, a, b: runs [a, b] of window starts that have a partner. ``texts``: k1, k2 and text, distinct."""
+def find(texts: DataFrame, length: int = LENGTH, write: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """k1, k2, a, b: runs [a, b] of window starts that have a partner. ``texts``: k1, k2 and text, distinct.
+
+    ``write`` makes a frame a table that is read again.
+    """
     names = "k1 long, k2 long, bucket long, place long, first long, last long, me long"
     found = texts.select(*KEY, "text").mapInArrow(_each(_to_anchors(length), names), names)
     live = _partnered(found, "bucket").select(*KEY, "place", "first", "last")
 
     names = "k1 long, k2 long, core long, whole long, a long, b long, me long"
-    cut_runs = cut(_with_text(texts, live, "place", "first", "last").select(*KEY, "text", "of").mapInArrow(_each(_to_runs(length), names), names))
-    classes = cut_runs.groupBy("core", "whole").agg(F.min("me").alias("x"), F.max("me").alias("y"))
-    number = classes.groupBy("core").agg(F.count("*").alias("n")).select(F.col("core").alias("__core"), "n")
-    # only buckets with a partner go on: those of several classes, and classes of several runs
-    classes = classes.join(number, F.col("core") == F.col("__core")).filter("n > 1 or x <> y")
-    classes = classes.select(F.col("core").alias("__c"), F.col("whole").alias("__w"), (F.col("x") != F.col("y")).alias("repeat"), F.when(F.col("n") > 1, F.col("x")).alias("speaker"))
-    judged = cut_runs.join(classes, (F.col("core") == F.col("__c")) & (F.col("whole") == F.col("__w")))
-    judged = cut(judged.select(*KEY, "a", "b", "repeat", F.coalesce(F.col("me") == F.col("speaker"), F.lit(False)).alias("open")).filter("repeat or open"))
+    cut_runs = write(_with_text(texts, live, "place", "first", "last").select(*KEY, "text", "of").mapInArrow(_each(_to_runs(length), names), names))
+    # a bucket's runs are lone, all equal as a whole, or mixed: told from the least and largest of both numbers
+    core = cut_runs.groupBy("core").agg(F.min("me").alias("x"), F.max("me").alias("y"), F.min("whole").alias("u"), F.max("whole").alias("v")).filter("x <> y")
+    core = cut(core.select(F.col("core").alias("__core"), (F.col("u") != F.col("v")).alias("mixed")))
+    judged = write(cut_runs.join(core, F.col("core") == F.col("__core")).select(*KEY, "core", "whole", "a", "b", "me", "mixed"))
+    pure = judged.filter("not mixed").select(*KEY, "a", "b")
+    # of a mixed bucket, each class of equal runs has a speaker, whose windows go on for all
+    mixed = judged.filter("mixed")
+    classes = mixed.groupBy("core", "whole").agg(F.min("me").alias("x"), F.max("me").alias("y"))
+    classes = cut(classes.select(F.col("core").alias("__c"), F.col("whole").alias("__w"), (F.col("x") != F.col("y")).alias("repeat"), F.col("x").alias("speaker")))
+    mixed = mixed.join(classes, (F.col("core") == F.col("__c")) & (F.col("whole") == F.col("__w")))
+    mixed = write(mixed.select(*KEY, "a", "b", "repeat", (F.col("me") == F.col("speaker")).alias("open")).filter("repeat or open"))
 
     names = "k1 long, k2 long, w1 long, w2 long, a long, me long"
-    windows = _with_text(texts, judged.filter("open"), "a", "b").select(*KEY, "text", "of").mapInArrow(_each(_to_windows(length), names), names)
+    windows = _with_text(texts, mixed.filter("open"), "a", "b").select(*KEY, "text", "of").mapInArrow(_each(_to_windows(length), names), names)
     single = _partnered(windows, "w1", "w2").select(*KEY, "a", F.col("a").alias("b"))
-    return judged.filter("repeat").select(*KEY, "a", "b").union(single)
+    return pure.union(mixed.filter("repeat").select(*KEY, "a", "b")).union(single)
 
 
 def covered(n: int, starts: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -291,13 +298,19 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     short = size < length
     # copies fold before the texts move; each text stands once, with the number of its rows
     distinct = rows.filter(~short).groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    texts = Shelf(distinct, KEY)
+    shelves = [Shelf(distinct, KEY)]
+
+    def write(df: DataFrame) -> DataFrame:
+        shelves.append(Shelf(df))
+        return shelves[-1].df
+
     try:
-        repeats = find(texts.df, length)
-        judged = _with_text(texts.df, repeats, "a", "b", how="left").select(*KEY, "text", "copies", "of")
+        repeats = find(shelves[0].df, length, write)
+        judged = _with_text(shelves[0].df, repeats, "a", "b", how="left").select(*KEY, "text", "copies", "of")
         result = cut(judged.mapInArrow(_judge(length), RESULT))
     finally:
-        texts.drop()
+        for s in shelves:
+            s.drop()
     result = result.withColumnsRenamed({"k1": "__1", "k2": "__2"})
     zero = F.lit(0).cast("long")
     return (
