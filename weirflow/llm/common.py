@@ -46,16 +46,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Shelf:
-    """A table in the shared folder in as many buckets as there are shuffle partitions.
+    """A compressed table in the shared folder; with a key, in as many buckets as there are shuffle partitions.
 
-    Joins on its key read it where it is, without shuffling it again. ``drop`` removes it and its files.
+    Joins on the key read it where it is, without shuffling it again. ``drop`` removes it and its files.
     """
 
-    def __init__(self, df: DataFrame, key: list[str]) -> None:
+    def __init__(self, df: DataFrame, key: list[str] | None = None) -> None:
         self.spark = df.sparkSession
         self.name = f"weirflow_{uuid.uuid4().hex}"
         self.path = f"{shared_folder(self.spark).rstrip('/')}/{self.name}"
-        df.write.format("parquet").bucketBy(partitions(self.spark), *key).option("path", self.path).saveAsTable(self.name)
+        w = df.write.format("parquet").option("compression", "zstd").option("path", self.path)
+        (w.bucketBy(partitions(self.spark), *key) if key else w).saveAsTable(self.name)
         self.df = self.spark.table(self.name)
 
     def drop(self) -> None:
@@ -65,13 +66,14 @@ class Shelf:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def filter_here(df: DataFrame, condition: Column) -> DataFrame:
-    """Filter by a condition over columns that are costly to compute, once they are computed.
+def settled(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` plus a column that is computed once a row, whatever is asked of it later.
 
-    A plain filter would be moved below the projections that compute its columns, and every mention of a
-    column would become a copy of its expression. It is not moved below a projection with a random value.
+    A filter on an ordinary column moves below the projections that compute it, and each mention of a column
+    becomes a copy of its expression; long chains of costly expressions then never end. A filter does not
+    move below the generator of its column.
     """
-    return df.withColumn("__held", F.rand(0)).filter((F.col("__held") >= 0) & condition)
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import settled, text_of
 
 CONTEXT_CHARS = 40
 MIN_SCORE = 0.5
@@ -134,7 +134,7 @@ def find(docs: DataFrame, text: str = "text", min_score: float = MIN_SCORE) -> D
     base = [F.coalesce(F.col(f"__k{i}"), empty) for i in range(len(BASE))]
     added = [F.filter(F.coalesce(F.col(f"__k{i}"), empty), lambda x: x["score"] >= min_score) for i in range(len(BASE), len(KINDS))]
     some = F.coalesce(*[F.col(f"__k{i}") for i in range(len(KINDS))]).isNotNull()
-    a = a.withColumn("__spans", F.when(some, F.sort_array(F.concat(*base, *added))).otherwise(empty))
+    a = settled(a, F.when(some, F.sort_array(F.concat(*base, *added))).otherwise(empty), "__spans")
     return a.drop("__t", *[f"__k{i}" for i in range(len(KINDS))])
 
 

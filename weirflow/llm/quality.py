@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_here, text_of, words_of
+from .common import settled, text_of, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -107,7 +107,7 @@ def measurements(docs: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         long(F.coalesce(F.col("__r"), F.lit(0))).alias("n_stutter"),
     )
-    return a.withColumn("__m", m).drop("__t", "__w", "__n", "__l", "__r", "__h", "__s", "__p")
+    return settled(a, m, "__m").drop("__t", "__w", "__n", "__l", "__r", "__h", "__s", "__p")
 
 
 def failure_bits(of: str = "__m") -> Column:
@@ -162,7 +162,7 @@ def filter_documents(docs: DataFrame, policy: Policy = STANDARD, text: str = "te
     """The rows of ``docs`` that the policy keeps, all columns as they came."""
     a = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{text}`").alias("__text"))
     a = measurements(a, "__text").withColumn("__bits", failure_bits())
-    return filter_here(a, verdict(policy, "__bits")).select("__doc.*")
+    return a.filter(verdict(policy, "__bits")).select("__doc.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
