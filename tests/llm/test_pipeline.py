@@ -1,0 +1,55 @@
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from weirflow.llm import decontaminate, quality, simhash
+from weirflow.llm.common import WORD
+
+
+def test_stages_in_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "benchmark_decontamination", "pii", "mixing"]
+
+
+def test_stages_on_documents(spark, small, documents, tmp_path):
+    docs = documents
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, small).write.parquet(str(tmp_path / name))
+        new = spark.read.parquet(str(tmp_path / name))
+        if name != "mixing":
+            assert new.columns == documents.columns
+            ids = {r[0] for r in new.select("doc_id").collect()}
+            assert ids <= {r[0] for r in docs.select("doc_id").collect()}
+            seen.append(ids)
+        docs = new
+    first, second, third, fourth = seen
+    assert first == {r["doc_id"] for r in quality.query(documents).filter("kept").collect()}
+    kept = documents.filter(F.col("doc_id").isin(list(first)))
+    groups = simhash.classes(kept, how=simhash.NEAR).collect()
+    assert second == {r["component_id"] for r in groups}
+    left = documents.filter(F.col("doc_id").isin(list(second)))
+    assert third == {r["doc_id"] for r in decontaminate.query(left, spark.read.parquet(f"{small}/benchmark.parquet")).filter("not contaminated").collect()}
+    assert fourth == third
+    masked = spark.read.parquet(str(tmp_path / "pii"))
+    assert masked.filter(F.col("text").rlike(r"[A-Za-z0-9]@[a-z0-9]+\.[a-z]")).count() == 0
+    words = masked.select(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0]
+    mix = spark.read.parquet(str(tmp_path / "mixing"))
+    assert abs(mix.select(F.sum("n_words")).first()[0] - 1.5 * words) <= 20
+    assert {i for r in mix.select("doc_ids").collect() for i in r[0]} <= fourth
+
+
+def test_run_and_repeat(spark, small):
+    rows = lambda: sorted(map(repr, corpus_pipeline.run(spark, small).collect()))
+    first = rows()
+    assert first and first == rows()
+
+
+def test_messy(spark, small, messy, none, tmp_path):
+    for k, start in enumerate((messy, none)):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, small)
+            if name != "mixing":
+                assert out.columns == start.columns
+            out.write.parquet(str(tmp_path / f"{k}{name}"))
+            docs = spark.read.parquet(str(tmp_path / f"{k}{name}"))
+        assert (docs.count() == 0) == (k == 1)
