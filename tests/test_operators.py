@@ -8,12 +8,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weirflow.functions import arrays, audio, image, keyed
+from weirflow.functions import arrays, audio, image, keyed, specs
 from weirflow.operators import augment, batching, sampling
 from weirflow.operators.base import IDX, ElementFn, KeyFilter, Map, PandasFn, Remap
 from weirflow.operators.compose import Branching, ConditionalParallel, Parallel, Probabilistic, Selector, Sequential, WeightedParallel
 from weirflow.sources import arrays as npy
-from weirflow.sources import mixture
+from weirflow.plans import caching
+from weirflow.sources import metadata, mixture
 from weirflow.sources.indexed import Source, as_dataframe, from_memory, from_path, require_local, with_index
 
 
@@ -245,3 +246,32 @@ def test_audio(spark):
     assert math.isclose(hz[0], 10 * 2 ** ((audio.CENTS_FIRST + 100 * audio.CENTS_STEP) / 1200)) and hz[1] == 1.0
     f = audio.normalized_frames(np.random.default_rng(0).random(4000))
     assert f.shape[1] == 1024 and np.allclose(f.mean(1), 0) and np.allclose(f.std(1), 1)
+
+
+def test_metadata(spark, numbers):
+    m = metadata.with_metadata(numbers, 500, batch_size=10, key=F.col("x").cast("string"))
+    both = m.withColumn("other", metadata.of(F.lit(0), 500, 2, shards=3)).select(metadata.merged(F.col("meta"), F.col("other")).alias("r")).filter("r.index = 7").first()["r"]
+    assert (both["index"], both["epoch"], both["global_step"], both["batch_idx"], both["shard_id"], both["record_key"]) == (7, 2, 1000, 0, 0, "10.5")
+    with pytest.raises(Exception, match="at most 128 bytes"):
+        metadata.with_metadata(numbers, 500, key=F.repeat(F.lit("k"), 129)).collect()
+
+
+def test_specs(spark):
+    df = spark.createDataFrame([((1, [1.0, 2.0]), [3, 4])], "a struct<b: int, c: array<float>>, d array<int>")
+    d = specs.with_shape(df, "d", (2, 1))
+    assert specs.element_spec(d) == {"a.b": ((), "int"), "a.c": ((None,), "float"), "d": ((2, 1), "int")}
+    assert specs.batch_spec(d, 8, valid=True)["d"] == ((8, 2, 1), "int") and specs.batch_spec(d, 8, valid=True)["valid"] == ((8,), "boolean")
+    with pytest.raises(ValueError):
+        specs.same_structure(df, df.drop("d"))
+    ts = specs.TimeSeries(8, 2)
+    assert ts.solution == 4 and spark.range(1).select(ts.holds(F.array_repeat(F.lit(0), 8), F.array_repeat(F.lit(0), 4))).first()[0]
+    with pytest.raises(ValueError):
+        specs.TimeSeries(7, 2)
+
+
+def test_caches(spark, numbers, tmp_path):
+    first = caching.kept_at(numbers, str(tmp_path / "t")).count()
+    assert first == 500 and caching.kept_at(numbers.limit(1), str(tmp_path / "t")).count() == 500
+    with caching.cached(numbers) as c:
+        assert c.is_cached and sum(1 for _ in caching.rows_ahead(c)) == 500
+    assert caching.resolve(None, str(tmp_path), "x").is_dir()

@@ -17,7 +17,7 @@ from weirflow.operators.base import IDX, CrossModal, ElementFn, KeyedMap, KeyFil
 from weirflow.operators.compose import Branching, ConditionalParallel, ConditionalSequential, DynamicSequential, Ensemble, Parallel, Probabilistic, Selector, Sequential, WeightedParallel
 from weirflow.plans.catalog import query
 from weirflow.plans.pipeline import Cursor, Pipeline, merge_mean
-from weirflow.sources import mixture
+from weirflow.sources import metadata, mixture
 from weirflow.sources.indexed import Source, limited, with_index
 
 U = keyed.uniform_sql
@@ -768,3 +768,26 @@ def line_augment(spark: SparkSession, d: str) -> DataFrame:
     lines = with_index(_read(spark, d, "lineitem").select(*LINE_KEY), LINE_KEY).select(IDX, "l_extendedprice")
     chain = KeyedMap(lambda c, u: c / 1000.0 * keyed.between(u, 0.9, 1.1), ("l_extendedprice",), 8, "lines")
     return _out(chain(lines), price=_r("l_extendedprice"))
+
+
+@query("SELECT o_orderkey AS i, CAST(1 AS INTEGER) AS epoch, n + o_orderkey AS global_step, CAST(o_orderkey // 64 AS INTEGER) AS batch_idx, CAST(o_orderkey % 4 AS INTEGER) AS shard_id, 'order-' || o_orderkey AS record_key FROM orders, (SELECT count(*) AS n FROM orders)")
+def record_metadata(spark: SparkSession, d: str) -> DataFrame:
+    df = _orders(spark, d)
+    m = metadata.with_metadata(df, df.count(), epoch=1, batch_size=64, shards=4, key=F.concat(F.lit("order-"), F.col(IDX)), info={"table": "orders"})
+    return m.select(F.col("meta.index").alias("i"), "meta.epoch", "meta.global_step", "meta.batch_idx", "meta.shard_id", "meta.record_key")
+
+
+@query("SELECT o_orderkey // 64 AS batch_id, min(o_orderkey) AS i, max(o_orderkey) AS global_step, 'k' || min(o_orderkey) AS record_key FROM orders GROUP BY 1")
+def batch_metadata(spark: SparkSession, d: str) -> DataFrame:
+    df = _orders(spark, d)
+    n = df.count()
+    m = metadata.with_metadata(batching.Batcher(64).assign(df, n), n, key=F.concat(F.lit("k"), F.col(IDX)))
+    return metadata.of_batch(m).select("batch_id", F.col("index").alias("i"), "global_step", "record_key")
+
+
+@query()
+def image_multiscale(spark: SparkSession, d: str) -> DataFrame:
+    """Half the size and back."""
+    half = image.over(image.resize, (4, 4, 3), h=2, w=2)
+    back = image.over(image.resize, (2, 2, 3), h=4, w=4)
+    return _places(_pixels(spark, d).withColumn("image", back(half(F.col("image")))))
