@@ -121,6 +121,35 @@ class FifoBuffer:
         return df.join(held, F.col(IDX) == F.col("__t")).drop("__t")
 
 
+    def held_at(self, t: Column, slot: Column) -> Column:
+        """Index of the row that a slot holds after write t."""
+        return F.when(t < self.capacity, slot).otherwise(t - F.pmod(t - slot, F.lit(self.capacity)))
+
+    def reads(self, df: DataFrame, size: int, seed: int | None = None) -> DataFrame:
+        """__t, __k, __idx: the rows read after each write, once the buffer was ready before it.
+
+        With a seed, slots are drawn at random (keyed by write and read); else they are read in turn.
+        A row written before the buffer is ready is passed through as its own only read.
+        """
+        t, k = F.col(IDX), F.col("__k")
+        held = F.least(t + 1, F.lit(self.capacity))
+        turn = F.pmod((t - self.prefill) * size + k, held)
+        slot = turn if seed is None else keyed.integer(keyed.uniform(t, F.concat(F.lit("buffer/read/"), k.cast("string")), seed), held)
+        ks = F.when(t >= self.prefill, F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+        d = df.select(IDX, F.explode(ks).alias("__k"))
+        return d.select(t.alias("__t"), "__k", F.when(t >= self.prefill, self.held_at(t, slot)).otherwise(t).alias(IDX))
+
+
+def buffer_shuffled(df: DataFrame, buffer: int, seed: int = 0) -> DataFrame:
+    """``df`` plus ``__pos``: rows mixed within consecutive blocks of ``buffer`` indices, as a stream can be.
+
+    A block's rows meet in one task, at most ``buffer``.
+    """
+    d = df.withColumns({"__block": F.floor(F.col(IDX) / buffer), "__u": keyed.uniform(F.col(IDX), "buffer", seed)})
+    rank = F.row_number().over(Window.partitionBy("__block").orderBy("__u", IDX)) - 1
+    return d.withColumn("__pos", F.col("__block") * buffer + rank).drop("__block", "__u")
+
+
 def reservoir(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """A uniform sample of k rows without replacement: those with the k least keyed draws."""
     return df.withColumn("__u", keyed.uniform(F.col(IDX), "reservoir", seed)).orderBy("__u", IDX).limit(k).drop("__u")

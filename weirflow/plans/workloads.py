@@ -442,6 +442,30 @@ def reservoir_buffer(spark: SparkSession, d: str) -> DataFrame:
     return sampling.reservoir_state(_x(spark, d), 64, 2).select(F.col("__slot").alias("slot"), F.col(IDX).alias("i"))
 
 
+@query(f"SELECT event_id // 1000 * 1000 + row_number() OVER (PARTITION BY event_id // 1000 ORDER BY {U('event_id', 'buffer', 42)}, event_id) - 1 AS pos, event_id AS i FROM events")
+def buffer_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.buffer_shuffled(_x(spark, d), 1000, 42).select(F.col("__pos").alias("pos"), F.col(IDX).alias("i"))
+
+
+_READ = """SELECT t, k, CASE WHEN t < 16 THEN t WHEN t < 32 THEN {slot} ELSE t - (t - {slot}) % 32 END AS i
+FROM (SELECT event_id AS t, k, least(event_id + 1, 32) AS held FROM events, range(3) r(k) WHERE event_id >= 16 OR k = 0)"""
+
+
+@query(_READ.format(slot="(((t - 16) * 3 + k) % held)"))
+def buffer_read_in_turn(spark: SparkSession, d: str) -> DataFrame:
+    r = sampling.FifoBuffer(32, prefill=16).reads(_x(spark, d), 3)
+    return r.select(F.col("__t").alias("t"), F.col("__k").alias("k"), F.col(IDX).alias("i"))
+
+
+_DRAWN = "(CAST('0x' || substr(md5(concat_ws('|', '4', 'buffer/read/' || k, CAST(t AS VARCHAR))), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+@query(_READ.format(slot=f"CAST(least(floor({_DRAWN} * held), held - 1) AS BIGINT)"))
+def buffer_read_at_random(spark: SparkSession, d: str) -> DataFrame:
+    r = sampling.FifoBuffer(32, prefill=16).reads(_x(spark, d), 3, seed=4)
+    return r.select(F.col("__t").alias("t"), F.col("__k").alias("k"), F.col(IDX).alias("i"))
+
+
 # ------------------------------------------------------------------ batching
 
 _B = "SELECT o_orderkey // 64 AS batch_id, o_orderkey % 64 AS slot, true AS valid, o_orderkey AS i FROM orders"
