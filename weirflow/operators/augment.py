@@ -217,16 +217,16 @@ class ChannelAffine(ArrayOp):
 def partner(df: DataFrame, names: list[str], seed: int = 0, tag: str = "mix") -> DataFrame:
     """``df`` (with batch_id) plus ``__other``: fields of the row that a keyed permutation of the batch puts here.
 
-    Rows of a batch meet by a window over it; row k is given the row of rank k by draw.
+    Row k of a batch is given the row whose draw has rank k. Rows move once, to their batch: both sides of the
+    join are the same exchange by batch, and the ranks are compared inside it.
     """
     by_place = Window.partitionBy("batch_id").orderBy(IDX)
     by_draw = Window.partitionBy("batch_id").orderBy("__u", IDX)
-    d = df.withColumn("__u", keyed.uniform(F.col(IDX), f"{tag}/perm", seed)).withColumns({"__k": F.row_number().over(by_place), "__r": F.row_number().over(by_draw)})
-    d = d.withColumn("__n", F.count("*").over(Window.partitionBy("batch_id")))
-    # row k's partner is the row whose draw has rank k: look it up in the batch's rows sorted by draw
-    all_ = Window.partitionBy("batch_id").orderBy("__r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = d.withColumn("__all", F.collect_list(F.struct(*names)).over(all_))
-    return d.withColumn("__other", F.get("__all", F.col("__k") - 1)).drop("__u", "__r", "__all", "__k")
+    d = df.withColumn("__u", keyed.uniform(F.col(IDX), f"{tag}/perm", seed))
+    d = d.withColumns({"__k": F.row_number().over(by_place), "__r": F.row_number().over(by_draw), "__n": F.count("*").over(Window.partitionBy("batch_id"))})
+    other = d.select(F.col("batch_id").alias("__b"), F.col("__r").alias("__rank"), F.struct(*names).alias("__other"))
+    met = (F.col("batch_id") == F.col("__b")) & (F.col("__k") - F.col("__rank") == 0)
+    return d.join(other, met).drop("__u", "__r", "__k", "__b", "__rank")
 
 
 def beta(alpha: float, key: Column) -> Column:
