@@ -122,3 +122,48 @@ def test_ties_keep_one_row(spark):
     assert simhash.keep_one(df).count() == 1 and simhash.keep_one(df).first()["doc_id"] == 1
     assert simhash.keep_one(df.filter("doc_id is null").union(df.filter("doc_id is null"))).count() == 1
     assert df.select(F.count("*")).first()[0] == 4
+
+
+def slow_shingles(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+def families():
+    """Copies of some texts with few to many words changed, about the threshold, and one line that is in many texts."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    line, out = [rng.choice(words) for _ in range(15)], []
+    for k in range(40):
+        base = [rng.choice(words) for _ in range(rng.randrange(12, 200))] + line * (k % 2)
+        for _ in range(6):
+            c = list(base)
+            for _ in range(rng.randrange(0, 1 + len(c) // 22)):
+                c[rng.randrange(len(c))] = rng.choice(words)
+            out.append(" ".join(c[: rng.randrange(len(c) - 3, len(c) + 1)]))
+    return out
+
+
+@pytest.mark.parametrize("tile", [simhash.TEXT_TILE, 3])
+def test_near_groups_are_those_of_all_pairs(spark, tile, monkeypatch):
+    """Whole groups by brute force: no link below 0.8, and none at 0.8 or more left out."""
+    texts = families()
+    sets = list(map(slow_shingles, texts))
+    want = slow_components(sets, lambda a, b: 10 * len(a & b) >= 8 * len(a | b))
+    assert 60 < len(set(want)) < 200
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (simhash.NEAR, tile, simhash.WORD_TILE))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.classes(df, how=simhash.NEAR).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(want)
+
+
+def test_near_groups_of_documents(documents):
+    d = documents.select("doc_id", "text").orderBy("doc_id").collect()
+    sets = [slow_shingles(r["text"]) for r in d]
+    roots = slow_components(sets, lambda a, b: 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 10 * len(a & b) >= 8 * len(a | b))
+    assert {r["doc_id"] for r in simhash.keep_one(documents).collect()} == {d[k]["doc_id"] for k in roots}
+
+
+def test_bands_miss_one_pair_in_a_thousand_million():
+    assert (1 - 0.8**simhash.NEAR.rows) ** simhash.NEAR.bands < 1.1e-9

@@ -12,10 +12,12 @@
 5. Components of the forest by alternating large-star and small-star steps on DataFrames; every step is
    cut through the shared checkpoint folder.
 
-``EXACT`` links at 2 bits of 3-word shingles. ``NEAR`` is for removing near copies: on texts whose 5-word
-shingles are similar by 0.8 or more, 2 bits would find one pair in eight, so it links at 9 bits, where a
-second, independent 64-bit fingerprint of the same shingles must agree too (20 of all 128 bits), which keeps
-unrelated texts apart at any size of the corpus.
+``EXACT`` links at 2 bits of 3-word shingles. ``NEAR`` is for removing near copies: texts link where the Jaccard
+similarity of their sets of 5-word shingles, counted exactly, is 0.8 or more. No radius of fingerprints that
+blocks of bits can search finds all such pairs, so least hashes (minhash) propose: ``bands`` keys of ``rows`` least
+hashes each, of which a pair at 0.8 shares none with a chance of 1e-9, and less above. Texts that keys
+connect are compared in tiles as above, every pair that is not yet connected by its whole sets; only confirmed
+links make components.
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; repeated rows and ties
 fall into one component; component_id is null only where all ids of a component are;
@@ -51,7 +53,19 @@ class Linking:
     both: int | None = None
 
 
-EXACT, NEAR = Linking(3, 2), Linking(3, 9, 20)
+@dataclass(frozen=True)
+class Similar:
+    """Shingle length, least similarity as a fraction, and the keys that propose pairs: ``bands`` of ``rows`` least hashes."""
+
+    shingle: int = 5
+    share: tuple[int, int] = (4, 5)
+    rows: int = 7
+    bands: int = 88
+
+
+EXACT, NEAR = Linking(3, 2), Similar()
+#: Texts, and words of texts, of one tile of an exact comparison.
+TEXT_TILE, WORD_TILE = 2048, 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = EXACT.shingle) -> int:
@@ -103,6 +117,62 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     return kept.mapInArrow(run, schema)
 
 
+def _node(grams: np.ndarray) -> int:
+    """Identifier of a set of shingles, as a signed long."""
+    return int(np.array([xxhash.xxh3_64_intdigest(grams.tobytes())], np.uint64).view(np.int64)[0])
+
+
+def _bands(grams: np.ndarray, how: Similar) -> np.ndarray:
+    """The keys of a set of shingles: one for each band, none for the empty set."""
+    if not len(grams):
+        return np.empty(0, np.int64)
+    n = how.rows * how.bands
+    odd = _remixed(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(n, ~np.uint64(0))
+    for at in range(0, len(grams), 1024):  # bounded memory for very long texts
+        np.minimum(least, (odd[:, None] * grams[None, at : at + 1024]).min(axis=1), out=least)
+    least = least.reshape(how.bands, how.rows)
+    key = np.arange(how.bands, dtype=np.uint64)
+    for r in range(how.rows):
+        key = _remixed(key * np.uint64(0x9E3779B97F4A7C15) + least[:, r])
+    return key.view(np.int64)
+
+
+def _similar_forest(sets: list[np.ndarray], side: np.ndarray, how: Similar) -> tuple[np.ndarray, np.ndarray]:
+    """(position, root's position) of a forest spanning the pairs of one unit that are similar enough; ``side`` as in :func:`_forest`."""
+    num, den = how.share
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size, side = size[order], side[order]
+    token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    parts = np.split(token, np.cumsum([len(x) for x in sets])[:-1])
+    parts = [parts[k][count[parts[k]] > 1] for k in order]  # what one text alone has is in no intersection
+    flat, start = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    last = np.searchsorted(size * num, size * den, side="right")  # longer ones cannot be similar
+    label, mark = np.arange(len(sets)), np.zeros(len(count), bool)
+    for i in range(len(sets)):
+        js = np.arange(i + 1, last[i])
+        js = js[label[js] != label[i]]
+        if side.any():
+            js = js[side[js] != side[i]]
+        if not len(js) or not len(parts[i]):
+            continue
+        mark[parts[i]] = True
+        if len(js) * 8 < last[i] - i:
+            both = np.array([np.count_nonzero(mark[parts[j]]) for j in js])
+        else:
+            lo = start[i + 1]
+            sums = np.concatenate([[0], np.cumsum(mark[flat[lo : start[last[i]]]], dtype=np.int64)])
+            both = sums[start[js + 1] - lo] - sums[start[js] - lo]
+        mark[parts[i]] = False
+        js = js[both * (num + den) >= num * (size[i] + size[js])]
+        if len(js):
+            labels = np.unique(np.append(label[js], label[i]))
+            label[np.isin(label, labels)] = labels[0]
+    tied = np.flatnonzero(label != np.arange(len(sets)))
+    return order[tied], order[label[tied]]
+
+
 def _keys(fp: Column, radius: int) -> Column:
     """One key for each two of radius + 2 bit blocks: the blocks' bits, hashed with which blocks they are."""
     n = radius + 2
@@ -200,6 +270,71 @@ def links(distinct: DataFrame, how: Linking = EXACT, tile: int = TILE) -> DataFr
     return units.mapInArrow(run, "a long, b long").distinct()
 
 
+def _similar_rows(rows: DataFrame, how: Similar) -> DataFrame:
+    """__id, __th, fp and node (of the set of shingles), n_grams and bands of every row."""
+    schema = rows.drop("text").withColumns({"fp": F.lit(0).cast("long"), "node": F.lit(0).cast("long"), "n_grams": F.lit(0).cast("long"), "bands": F.array().cast("array<long>")}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, sizes, bands = [], [], []
+            for t in b.column(b.num_columns - 1):
+                grams = np.unique(_shingle_hashes(t.as_py(), how.shingle))
+                nodes.append(_node(grams))
+                sizes.append(len(grams))
+                bands.append(_bands(grams, how))
+            own = [pa.array(nodes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *own], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def similar_links(rows: DataFrame, distinct: DataFrame, how: Similar = NEAR, tile: int = TEXT_TILE, words: int = WORD_TILE) -> DataFrame:
+    """Forest rows (a, b) over nodes whose components are those of all pairs similar enough.
+
+    ``rows``: __id, __th and text; ``distinct``: node, n_grams, bands and ``least`` (a row that has the node).
+    """
+    spark = rows.sparkSession
+    keyed = distinct.select("node", F.explode("bands").alias("key"))
+    met = cut(keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("__key"), "head"))
+    loose = components(keyed.join(met, F.col("key") == F.col("__key")).select(F.col("node").alias("a"), F.col("head").alias("b")))
+    group = loose.select(F.col("node").alias("__of"), F.col("root").alias("group"))
+    held = cut(distinct.select("node", "n_grams", "least").join(group, F.col("node") == F.col("__of")).drop("__of"))
+    tiles = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n_grams") / words)).cast("int")
+    t = cut(held.groupBy("group").agg(tiles.alias("t")).withColumnRenamed("group", "__group"))
+    held = held.join(t, F.col("group") == F.col("__group")).select("node", "group", "t", F.col("least.id").alias("__hid"), F.col("least.th").alias("__hth"))
+    texts = rows.join(held, F.col("__id").eqNullSafe(F.col("__hid")) & (F.col("__th") == F.col("__hth")))
+    one = texts.groupBy("node", "group", "t").agg(F.first("text").alias("text"))  # rows may repeat both
+    me = F.pmod(F.xxhash64("node", F.lit(1)), F.col("t")).cast("int").alias("me")
+    units = one.select("node", "text", "group", me, F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other")).select(
+        F.xxhash64("group", F.least("me", "other"), F.greatest("me", "other")).alias("unit"),
+        "node",
+        F.when(F.col("me") == F.col("other"), 0).when(F.col("me") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
+        "text",
+    )
+    units = units.repartition(partitions(spark), "unit").sortWithinPartitions("unit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(nodes: list[int], sides: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1:
+                x, y = _similar_forest(sets, np.array(sides), how)
+                if len(x):
+                    n = np.array(nodes, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(n[x]), pa.array(n[y])], names=["a", "b"])
+
+        unit, nodes, sides, sets = None, [], [], []
+        for b in batches:
+            for u, n, s, text in zip(*(c.to_pylist() for c in b.columns)):
+                if u != unit:
+                    yield from linked(nodes, sides, sets)
+                    unit, nodes, sides, sets = u, [], [], []
+                nodes.append(n)
+                sides.append(s)
+                sets.append(np.unique(_shingle_hashes(text, how.shingle)))
+        yield from linked(nodes, sides, sets)
+
+    return units.mapInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the least of its component, in the order of longs.
 
@@ -225,29 +360,35 @@ def components(edges: DataFrame) -> DataFrame:
     return new.select(F.col("a").alias("node"), F.col("b").alias("root")).union(new.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _by_text(docs: DataFrame, id_col: str, text: str, how: Linking) -> tuple[DataFrame, DataFrame]:
-    """(__id, __th, fp, node) of every row, and (__node, least) of every distinct fingerprint.
+def _by_text(docs: DataFrame, id_col: str, text: str, how: Linking | Similar) -> tuple[DataFrame, DataFrame]:
+    """(__id, __th, fp, node) of every row, and (__node, least) of every distinct fingerprint or set of shingles.
 
     ``least`` is the component's least (id is null, id, hash of the text).
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text_of(F.col(f"`{text}`"))).alias("__th"), F.col(f"`{text}`").alias("text"))
-    node = F.col("fp") if how.both is None else F.xxhash64("fp", "fp2")
-    fps = cut(fingerprints(rows, keep=("__id", "__th"), how=how).withColumn("node", node))
     own = F.struct(F.isnull("__id").alias("none"), F.col("__id").alias("id"), F.col("__th").alias("th"))
-    distinct = cut(fps.groupBy("node", "fp", "fp2").agg(F.min(own).alias("least")))
-    linked = components(links(distinct, how)).withColumnRenamed("node", "__of")
+    if isinstance(how, Similar):
+        fps = cut(_similar_rows(rows, how))
+        distinct = cut(fps.groupBy("node").agg(F.min(own).alias("least"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
+        found = similar_links(rows, distinct, how)
+    else:
+        node = F.col("fp") if how.both is None else F.xxhash64("fp", "fp2")
+        fps = cut(fingerprints(rows, keep=("__id", "__th"), how=how).withColumn("node", node))
+        distinct = cut(fps.groupBy("node", "fp", "fp2").agg(F.min(own).alias("least")))
+        found = links(distinct, how)
+    linked = components(found).withColumnRenamed("node", "__of")
     of = distinct.join(linked, distinct.node == F.col("__of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = cut(of.groupBy("root").agg(F.min("least").alias("least")))  # apart from the join, whose skew can then be split
     return fps, cut(of.select("node", "root").join(least, "root").select(F.col("node").alias("__node"), "least"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", how: Linking = EXACT) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", how: Linking | Similar = EXACT) -> DataFrame:
     """(id, fp, component_id): component_id is the least id of the documents reachable over links."""
     fps, by_node = _by_text(docs, id_col, text, how)
     return fps.join(by_node, F.col("node") == F.col("__node")).select(F.col("__id").alias(id_col), "fp", F.col("least.id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", how: Linking = NEAR) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", how: Linking | Similar = NEAR) -> DataFrame:
     """The rows of ``docs`` with one of each component left, all columns as they came.
 
     That is the row with the least id (null last), then the least hash of the text. Of rows that repeat both,
