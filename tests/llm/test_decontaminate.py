@@ -1,5 +1,7 @@
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,30 @@ def test_messy(spark, messy, none, planted):
     assert decontaminate.query(messy, odd).count() == messy.count()
     assert decontaminate.query(messy, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.query(none, bench).count() == 0 and decontaminate.clean_documents(none, bench).count() == 0
+
+
+@pytest.mark.parametrize("n", [8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 20, 25])
+def test_masks_hit_every_window(n):
+    """All places of as many substituted words as are allowed; from 16 words on a run of four is certain."""
+    for bad in combinations(range(n), n - -(-n * 4 // 5)):
+        assert any(all(a + o not in bad for o in m) for m in decontaminate.MASKS for a in range(n - m[-1]))
+
+
+@pytest.mark.parametrize("n,k", [(8, 1), (10, 2), (13, 2), (15, 3), (16, 3), (18, 3)])
+def test_whole_items_with_any_words_substituted(n, k):
+    item = [f"i{j}" for j in range(n)]
+    index = decontaminate.build([(7, " ".join(item))])
+    for bad in combinations(range(n), k):
+        text = " ".join(["x"] * 5 + ["other" if j in bad else w for j, w in enumerate(item)] + ["y"] * 5)
+        assert [(i, n_equal >= 0.8 * (e - s)) for i, s, e, n_equal in decontaminate.overlaps(text, index)] == [(7, True)]
+    bad = set(range(0, n, 3))  # more than are allowed
+    assert not decontaminate.overlaps(" ".join("other" if j in bad else w for j, w in enumerate(item)), index)
+
+
+def test_windows_are_the_longest_on_the_diagonal():
+    for _ in range(300):
+        eq = np.array([RNG.random() < 0.75 for _ in range(40)])
+        fits = [(e - s, s, e) for s in range(40) for e in range(s + 13, 41) if eq[s] and eq[e - 1] and 5 * eq[s:e].sum() >= 4 * (e - s)]
+        got = decontaminate._windows(eq, 13, 0.8)
+        assert bool(got) == bool(fits) and (not fits or max(e - s for s, e in got) == max(fits)[0])
+        assert all((e - s, s, e) in fits for s, e in got) and len({x for s, e in got for x in range(s, e)}) == sum(e - s for s, e in got)

@@ -3,9 +3,12 @@
 A mask of fixed offsets reads some of the words in a window and ignores the others, so that a hash of the
 read words still agrees where ignored words were substituted. Hashes of the benchmark items under every
 mask are joined with those of the documents; each hit names a diagonal (document position less item
-position) on which the overlap is verified word by word: starting at the hit it is extended both ways as
-long as it keeps ``MIN_AGREE`` of its words equal. A document is contaminated where a verified overlap is at
-least ``MIN_WORDS`` words, or the whole item where the item is shorter but as long as a mask.
+position), the whole of which is compared word by word. A document is contaminated where a window of a
+diagonal that begins and ends in an equal word has at least ``MIN_WORDS`` words and ``MIN_AGREE`` of them equal, or
+where the whole item, of at least ``MIN_ITEM`` words, stands there with ``MIN_AGREE`` of its words equal.
+
+The masks hit every such window. One of n words with at most n / 5 others has a run of four equal ones from 16 words
+on; below, what has no such run has three equal words, another and an equal one.
 
 The benchmark is the bounded side: it is read in blocks of items of at most ``BLOCK_CHARS`` characters, and
 only one block's index is broadcast at a time, whatever the benchmark's size. In a document, a word
@@ -15,7 +18,7 @@ dropped before any hash is made; the hash join is a search in the block's sorted
 Words are runs of non-space, lower-cased (A-Z), with ASCII punctuation at their ends removed.
 
 Defined results: null and empty texts are clean; repeated rows are judged each on their own; items that
-are null, or shorter than the shortest mask, match nothing; repeated items are reported each; empty tables
+are null, or shorter than a mask (four words), match nothing, those of fewer than ``MIN_ITEM`` words only as exact copies; repeated items are reported each; empty tables
 give empty results (documents) or none contaminated (benchmark); :func:`clean_documents` carries all
 columns whatever their names are.
 """
@@ -24,20 +27,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Offsets that a mask reads, in windows of 8 to 12 words. Each two of them ignore different places.
-MASKS = (
-    (0, 1, 2, 3, 4, 5, 6, 7),
-    (0, 1, 2, 4, 5, 7, 8, 9),
-    (0, 2, 3, 5, 6, 7, 9, 10),
-    (0, 1, 3, 4, 7, 8, 10, 11),
-)
+#: Offsets that a mask reads.
+MASKS = ((0, 1, 2, 3), (0, 1, 2, 4))
 MIN_WORDS, MIN_AGREE = 13, 0.8
+#: Words from which an item may differ in some.
+MIN_ITEM = 8
+#: Words that are compared at once.
+AT_ONCE = 1 << 18
 BLOCK_CHARS = 16_000_000
 _STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -107,43 +110,69 @@ def build(items: list[tuple[object, str | None]], masks: tuple[tuple[int, ...],
     return Index(vocabulary, words, item, np.array(bounds), [i for i, _ in items], hashes, places, factors)
 
 
-def _grow(equal: np.ndarray, agree: float) -> int:
-    """How many of the leading words belong to the overlap: the longest prefix that ends in an equal word and keeps its share."""
-    if not len(equal):
-        return 0
-    share = np.cumsum(equal) >= agree * np.arange(1, len(equal) + 1)
-    good = np.flatnonzero(share & equal)
-    return int(good[-1]) + 1 if len(good) else 0
+def _windows(equal: np.ndarray, least: int, agree: float) -> list[tuple[int, int]]:
+    """Windows of ``least`` words or more with their share of equal ones, an equal one at either end: the longest, then those beside it."""
+    share = Fraction(agree).limit_denominator(1000)
+    out, rest = [], [(0, len(equal))]
+    while rest:
+        lo, hi = rest.pop()
+        at = np.flatnonzero(equal[lo:hi])
+        if hi - lo < least or not len(at):
+            continue
+        gain = np.arange(len(at)) * share.denominator
+        # a window from the i-th equal word to the j-th qualifies where after[j] >= before[i]
+        before, after = gain - share.numerator * at, gain + share.denominator - share.numerator * (at + 1)
+        most = np.maximum.accumulate(after[::-1])[::-1]
+        j = np.searchsorted(-most, -before, side="right") - 1
+        length = np.where(j >= np.arange(len(at)), at[j] + 1 - at, 0)
+        i = int(length.argmax())
+        if length[i] >= least:
+            s = lo + int(at[i])
+            e = s + int(length[i])
+            out.append((s, e))
+            rest += [(lo, s), (e, hi)]
+    return out
+
+
+def _diagonals(words: np.ndarray, index: Index, masks: tuple[tuple[int, ...], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(item number, document position less item position) of every diagonal that a mask hits, once each."""
+    found = []
+    for m, f, hashes, places in zip(masks, index.factors, index.hashes, index.places):
+        at, h = masked(words, m, f)
+        lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+        n = hi - lo
+        if n.any():
+            p = places[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            found.append(index.item[p] << 40 | np.repeat(at, n) - p + (1 << 39))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    key = np.unique(np.concatenate(found))
+    return key >> 40, (key & (1 << 40) - 1) - (1 << 39)
 
 
 def overlaps(text: str | None, index: Index, masks: tuple[tuple[int, ...], ...] = MASKS, min_words: int = MIN_WORDS, agree: float = MIN_AGREE) -> list[tuple[object, int, int, int]]:
     """(item id, first word, end word, words equal) of every verified overlap of one text with the block's items."""
     own = tokens(text)
     words = np.fromiter((index.vocabulary.get(w, 0) for w in own), np.int32, len(own))
-    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for m, f, hashes, places in zip(masks, index.factors, index.hashes, index.places):
-        at, h = masked(words, m, f)
-        lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
-        hit = np.flatnonzero(hi > lo)
-        for k in hit:
-            a = int(at[k])
-            for p in places[lo[k] : hi[k]]:
-                p = int(p)
-                i = int(index.item[p])
-                runs = found.setdefault((i, a - p), [])
-                if any(s <= a < e for s, e, _ in runs):
-                    continue
-                first, last = int(index.bounds[i]), int(index.bounds[i + 1]) - masks[-1][-1] - 1
-                back, ahead = min(a, p - first), min(len(words) - a, last - p)
-                eq = words[a - back : a + ahead] == index.words[p - back : p + ahead]
-                right = _grow(eq[back:], agree)
-                left = _grow(eq[:back][::-1], agree)
-                s, e = a - left, a + right
-                runs.append((s, e, int(eq[back - left : back + right].sum())))
+    items, shift = _diagonals(words, index, masks)
+    first, last = index.bounds[items], index.bounds[items + 1] - masks[-1][-1] - 1
+    size = last - first
+    need = np.where(size < MIN_ITEM, size, np.ceil(agree * np.minimum(size, min_words) - 1e-9)).astype(np.int64)
+    lo, hi = np.maximum(first, -shift), np.minimum(last, len(words) - shift)
     out = []
-    for (i, _), runs in found.items():
-        size = int(index.bounds[i + 1] - index.bounds[i]) - masks[-1][-1] - 1
-        out += [(index.ids[i], s, e, n) for s, e, n in runs if e - s >= min(min_words, size) and e > s and n >= agree * (e - s)]
+    edges = [0, *np.flatnonzero(np.diff(np.cumsum(hi - lo) // AT_ONCE)) + 1, len(items)] if len(items) else []
+    for a, b in zip(edges, edges[1:]):
+        n = (hi - lo)[a:b]
+        start = np.cumsum(n) - n
+        p = np.repeat(lo[a:b] - start, n) + np.arange(n.sum())
+        equal = words[p + np.repeat(shift[a:b], n)] == index.words[p]
+        for k in np.flatnonzero(np.add.reduceat(equal, start, dtype=np.int64) >= need[a:b]):
+            eq, w = equal[start[k] : start[k] + n[k]], size[a + k]
+            runs = _windows(eq, min_words, agree) if w >= min_words else []
+            if not runs and n[k] == w and eq.sum() >= (agree * w - 1e-9 if w >= MIN_ITEM else w):
+                runs = [(0, int(w))]
+            at = int(lo[a + k] + shift[a + k])
+            out += [(index.ids[items[a + k]], at + s, at + e, int(eq[s:e].sum())) for s, e in runs]
     return sorted(out, key=lambda x: (x[1], x[2], str(x[0])))
 
 
