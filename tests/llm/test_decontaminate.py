@@ -110,3 +110,14 @@ def test_windows_are_the_longest_on_the_diagonal():
         got = decontaminate._windows(eq, 13, 0.8)
         assert bool(got) == bool(fits) and (not fits or max(e - s for s, e in got) == max(fits)[0])
         assert all((e - s, s, e) in fits for s, e in got) and len({x for s, e in got for x in range(s, e)}) == sum(e - s for s, e in got)
+
+
+@pytest.mark.parametrize("item", ["who wrote the odyssey", "what is dark matter made of?", "日本の首都はどこですか。", "เมืองหลวงของไทยคืออะไร", "法国首都"])
+def test_short_items_and_scripts_without_spaces(item):
+    index = decontaminate.build([(1, item), (2, "")])
+    size = len(decontaminate.tokens(item))
+    found = decontaminate.overlaps(f"some words before {item} and some after", index)
+    assert found == [(1, 3, 3 + size, size)]
+    glued = f"これは{item}それ" if not item.isascii() else item.upper()
+    assert [x[0] for x in decontaminate.overlaps(glued, index)] == [1]
+    assert not decontaminate.overlaps("some words before " + " ".join(item.split()[:3]) if item.isascii() else item[: len(item) // 2], index)

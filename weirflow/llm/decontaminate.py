@@ -15,7 +15,8 @@ only one block's index is broadcast at a time, whatever the benchmark's size. In
 that occurs in no item of the block is 0 and cannot be read by a matching mask, so most positions are
 dropped before any hash is made; the hash join is a search in the block's sorted hashes, next to the text.
 
-Words are runs of non-space, lower-cased (A-Z), with ASCII punctuation at their ends removed.
+Words are runs of non-space, lower-cased (A-Z), with ASCII punctuation at their ends removed; in scripts without
+spaces each character is a word.
 
 Defined results: null and empty texts are clean; repeated rows are judged each on their own; items that
 are null, or shorter than a mask (four words), match nothing, those of fewer than ``MIN_ITEM`` words only as exact copies; repeated items are reported each; empty tables
@@ -25,6 +26,7 @@ columns whatever their names are.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -45,8 +47,16 @@ BLOCK_CHARS = 16_000_000
 _STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: Characters of scripts without spaces (Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han): each is a word; and the punctuation between them.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+_WIDE = re.compile("[\u3000-\u3004\u3008-\u303f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
 def tokens(text: str | None) -> list[bytes]:
-    words = (w.strip(_STRIP) for w in (text or "").encode("utf-8", "surrogatepass").lower().split())
+    text = text or ""
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \1 ", _WIDE.sub(" ", text))
+    words = (w.strip(_STRIP) for w in text.encode("utf-8", "surrogatepass").lower().split())
     return [w for w in words if w]
 
 
