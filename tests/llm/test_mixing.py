@@ -82,3 +82,10 @@ def test_shards_are_drawn_near_the_shares():
     assert total == {0: 600_000, 1: 200_000, 2: 200_000}
     counts = [n for shard, i, first, n, at in runs if i == 0 and shard < 80]
     assert all(abs(n - 6000) < 400 for n in counts) and len(set(counts)) > 20
+
+
+def test_repeated_rows_without_words_stay(spark):
+    rows = [(1, "", "a"), (1, "", "a"), (1, None, "a"), (1, " ", "a"), (1, " ", "a"), (None, None, None), (None, None, None), (2, "x y z", "a"), (2, "x y z", "a")]
+    got = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=2).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == {(1, "a", 0): 5, (None, None, 0): 2, (2, "a", 3): 2}
+    assert all(r["taken"] == 0 for r in got if not r["size"])

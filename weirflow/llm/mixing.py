@@ -258,9 +258,10 @@ def taken(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, s
     sources = plan(measured, block=block, seed=seed, **options)
     # a block is read at most once an epoch
     uses = slots(docs, sources, block, shard_slots, seed).select(F.col("number").alias("__n"), F.col("block").alias("__b"), "length")
-    p = pieces(place(measured, measured), sources, block).join(uses, (F.col("number") == F.col("__n")) & (F.col("block") == F.col("__b")), "left")
+    rows = measured.withColumn("__row", F.monotonically_increasing_id())  # repeated rows without words have one start
+    p = pieces(place(rows, measured), sources, block).join(uses, (F.col("number") == F.col("__n")) & (F.col("block") == F.col("__b")), "left")
     read = F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce("length", F.lit(0)) - F.col("at")))
-    return p.groupBy("doc_id", "source", "start", "size", "source_size", "target").agg(F.sum(read).cast("long").alias("taken")).drop("start")
+    return p.groupBy("__row", "doc_id", "source", "size", "source_size", "target").agg(F.sum(read).cast("long").alias("taken")).drop("__row")
 
 
 def blocks(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, **options) -> DataFrame:
