@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from weirflow.llm import repeats
@@ -60,7 +61,10 @@ def test_small_alphabets(spark):
     s = ["".join(rng.choices("ab", k=rng.randint(300, 900))) for _ in range(10)]
     texts = s + [s[0][50:] + s[1][:600], s[1][100:550] + "c" + s[2][:420], s[3] + s[3][-450:]]
     check(spark, texts)
-    check(spark, texts, length=200)
+    for length in (160, 200, 300, 500):
+        check(spark, texts, length=length)
+    with pytest.raises(ValueError):
+        repeats.remove(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=100)
 
 
 def test_least_of_windows():
@@ -72,9 +76,23 @@ def test_least_of_windows():
 
 
 def test_identifiers_do_not_depend_on_the_place():
-    a, b = (np.frombuffer(x, np.uint8) for x in (b"xxhello world", b"hello wo"))
+    a, b = (np.frombuffer(x, np.uint8) for x in (b"xxhello wonderful world", b"hello wonderful wo"))
     for k in (0, 1):
-        assert repeats.Sums(a).of(np.array([2]), np.array([10]), k) == repeats.Sums(b).of(np.array([0]), np.array([8]), k)
+        assert repeats.Pointers(a).of(16, k)[2] == repeats.Pointers(b).of(16, k)[0] != repeats.Pointers(b).of(16, k)[1]
+
+
+def test_parts_of_long_texts(spark, monkeypatch):
+    """What is read in parts has the result of what is read at once; parts are set before workers start on them."""
+    rng = np.random.default_rng(2)
+    data = np.frombuffer(bytes(rng.integers(97, 99, 3000, dtype=np.uint8)) * 2 + b"c" * 900, np.uint8)
+    place, first, last = repeats.anchors(data)[3:]
+    whole = repeats.runs(data, place, first, last)
+    monkeypatch.setattr(repeats, "PART", 512)
+    b, _, _, p, f, l = repeats.anchors(data)
+    assert set(zip(b, p)) >= set(zip(repeats.anchors(data)[0], p)) and sum(l - f + 1) == len(data) - 399
+    windows = lambda place, first, last: {(w, p) for p, x, y in zip(place, first, last) for w in range(x, y + 1)}
+    assert windows(p, f, l) == windows(place, first, last)
+    assert all((x == y).all() for x, y in zip(whole, repeats.runs(data, place, first, last)))
 
 
 def test_messy(spark, messy, none):

@@ -1,30 +1,33 @@
 """Removal of long repeated byte strings by bucket-pointer refinement.
 
 A byte goes where a string of ``length`` bytes that covers it also starts elsewhere, in another text or in
-the same one. Suffixes are put into buckets that are refined by bucket identifiers at later offsets, where
-only those that can still have a partner go on:
+the same one. Suffixes are put into buckets by their first bytes; a bucket is then refined by the bucket
+identifiers of its suffixes at later offsets, a refined bucket is what the next round refines, and what is alone in
+its bucket goes out. Identifiers of h bytes give those of 2 h bytes the same way, as pairs (bucket, bucket at
+offset + h), from q-grams of 8 bytes up (:class:`Pointers`).
 
 1. Copies of whole texts fold (each such text of at least ``length`` bytes is covered wholly); only distinct
    texts go on.
-2. Initial buckets: of every window of ``length`` bytes the least q-gram by hash (``Q`` bytes) is its anchor, so
-   equal windows have equal anchors at equal offsets, and a text has one anchor for about each
-   (length - Q) / 2 bytes. The bucket of an anchor is its q-gram. Buckets of one anchor are done.
-3. First refinement: an anchor's windows are cut into runs of ``RUN`` offsets. A run's bucket is that of its
-   anchor refined by what all windows of the run share (``core``); where no other run has it, no window of the
-   run has a partner. Runs that agree on all bytes of all their windows (``whole``) are repeats at once, and one
-   of each such class goes on for the others.
-4. Second refinement: in buckets that hold runs not equal as a whole, each window is refined by all its bytes.
-
-Identifiers of byte ranges of any length come from running polynomial sums of the text (two of 64 bits
-each), made once a text and reused by every refinement: the identifier of a range follows from those of
-its two ends, as that of a doubled prefix follows from those of its halves. Every refinement is a count
-over buckets that combines before it shuffles; no bucket is ever gathered, and no text but one's own is
-compared with. Texts move once: made distinct, they are written to a table in buckets of their key, and what is
-joined to them later goes to where they are.
+2. Initial buckets, of q = 128 bytes: of every window of ``length`` bytes the suffix whose bucket identifier is least is
+   its anchor, so equal windows have equal anchors at equal offsets, and a text has one anchor for about each
+   (length - q) / 2 bytes. Anchors alone in their buckets are done.
+3. First refinement, to 2 q bytes: by the bucket at offset + q for windows that reach so far behind the anchor,
+   else by that at offset - q.
+4. Second refinement, to nearly ``length`` bytes: an anchor's windows are cut into runs of ``RUN`` offsets; a run's
+   bucket is that of the first refinement, refined by the buckets of 256 bytes at the start and the end of what all
+   windows of the run share (``core``). Where no other run has it, no window of the run has a partner. Runs that agree on
+   all bytes of all their windows (``whole``) are repeats at once, and one of each such class goes on for the others.
+5. Third refinement, to ``length`` bytes: in buckets that hold runs not equal as a whole, each window is refined by the
+   buckets of 256 bytes at its start and its end.
+
+Every refinement is a count over (bucket, bucket at the later offset) that combines before it shuffles; no bucket is
+ever gathered, and no text but one's own is compared with. Texts move once: made distinct, they are written to a table
+in buckets of their key, and what is joined to them later goes to where they are. A text is read in parts of ``PART``
+windows, so that memory has a bound whatever its length.
 
 Defined results: null is empty; texts shorter than ``length`` bytes lose nothing; repeated rows (also of one
-id) are copies of each other; overlaps within a text count; an empty table gives an empty result; other
-columns do not enter. Nothing is skipped for being frequent.
+id) are copies of each other; overlaps within a text count; an empty table gives an empty result; very long texts are
+read whole, in parts; other columns do not enter. Nothing is skipped for being frequent.
 """
 
 from __future__ import annotations
@@ -39,62 +42,70 @@ from pyspark.sql import functions as F
 
 from .common import Shelf, cut, text_of
 
-LENGTH, Q, RUN = 400, 128, 32
+LENGTH, RUN = 400, 32
+#: Window starts of a text that are worked on at once.
+PART = 1 << 20
 
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_TABLES = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
-_U = np.uint64
 
+def q_of(length: int) -> int:
+    """Bytes of the initial buckets, the largest power of two that goes three times into ``length``: 128 for 400."""
+    if length < 5 * RUN:
+        raise ValueError(f"a length of {5 * RUN} bytes or more is asked for")
+    return 1 << (length // 3).bit_length() - 1
 
-class Sums:
-    """Running polynomial sums of a text, modulo 2^64, and from them the identifiers of byte ranges."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        self.data = data
-        self._sums: list[np.ndarray | None] = [None, None]
+def wide_of(length: int) -> int:
+    """Bytes of the buckets that name nearly whole windows: 256 for 400."""
+    return 1 << (length - RUN + 1).bit_length() - 1
 
-    def sums(self, k: int) -> np.ndarray:
-        if self._sums[k] is None:
-            n = len(self.data)
-            s = np.zeros(n + 1, np.uint64)
-            np.cumsum(_TABLES[k][self.data] * _powers(k, n), out=s[1:])
-            self._sums[k] = s
-        return self._sums[k]
 
-    def of(self, start: np.ndarray, end: np.ndarray, k: int = 0) -> np.ndarray:
-        """Identifiers of [start, end): equal bytes have equal ones, wherever they stand."""
-        s = self.sums(k)
-        return _mix((s[end] - s[start]) * _powers(k + 2, len(s))[start])
 
-    def grams(self, q: int) -> np.ndarray:
-        """Identifiers of all q-grams."""
-        s = self.sums(0)
-        n = len(s) - q
-        return _mix((s[q:] - s[:n]) * _powers(2, n))
+_U = np.uint64
+#: Odd numbers of the two families of identifiers: for the first and the second half of a pair.
+_PAIR = ((_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)), (_U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> _U(31)) * _U(0x7FB5D329728EA185)
-    x = (x ^ x >> _U(27)) * _U(0x81DADEF4BC2DD44D)
-    return x ^ x >> _U(33)
+def _pair(first: np.ndarray, later: np.ndarray, k: int = 0) -> np.ndarray:
+    """Identifier of the bucket of a bucket and the one at a later offset."""
+    x = first * _PAIR[k][0] + later * _PAIR[k][1]
+    x ^= x >> _U(32)
+    x *= _U(0x7FB5D329728EA185)
+    return x ^ x >> _U(29)
+
 
+class Pointers:
+    """Bucket identifiers of a text's suffixes by their first 8, 16, 32 ... bytes, each level made from the one before."""
 
-_CACHE: dict[int, np.ndarray] = {}
+    def __init__(self, data: np.ndarray) -> None:
+        self.data = data
+        self._levels: dict[tuple[int, int], np.ndarray] = {}
+
+    def of(self, h: int, k: int = 0) -> np.ndarray:
+        """Identifiers by ``h`` bytes (8 times a power of two) of all suffixes that have so many."""
+        if (h, k) not in self._levels:
+            if h == 8:
+                n = max(len(self.data) - 7, 0)
+                grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.data, 8)).view("<u8").ravel() if n else np.empty(0, np.uint64)
+                self._levels[h, k] = _pair(grams, grams >> _U(32), k)
+            else:
+                b = self.of(h // 2, k)
+                self._levels[h, k] = _pair(b[: max(len(b) - h // 2, 0)], b[h // 2 :], k)
+                if h > 16:
+                    del self._levels[h // 2, k]
+        return self._levels[h, k]
+
+    def spanned(self, start: np.ndarray, end: np.ndarray, h: int, k: int = 0) -> np.ndarray:
+        """Identifiers of [start, end), of h to 3 h bytes: the buckets of h bytes at either end, and of what is between."""
+        b = self.of(h, k)
+        ends = _pair(b[start], b[end - h], k)
+        between = np.minimum(start + h, end - h)
+        return ends if (end - start <= 2 * h).all() else np.where(end - start <= 2 * h, ends, _pair(ends, b[between], k))
 
 
-def _powers(k: int, n: int) -> np.ndarray:
-    """Powers 0 to n - 1 of the k-th odd number; of 2 and 3 on, of the inverses of the first two."""
-    have = _CACHE.get(k)
-    if have is None or len(have) < n:
-        base = _ODD[k] if k < 2 else pow(_ODD[k - 2], -1, 1 << 64)
-        have = np.empty(max(1 << 17, 1 << max(n - 1, 1).bit_length()), np.uint64)
-        have[0], step = 1, 1
-        while step < len(have):  # double what is there
-            have[step : 2 * step] = have[:step] * _U(base)
-            base, step = base * base % (1 << 64), 2 * step
-        if len(have) <= 1 << 22:  # of a very long text they are not kept
-            _CACHE[k] = have
-    return have[:n]
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> _U(31)) * _U(0x7FB5D329728EA185)
+    x = (x ^ x >> _U(27)) * _U(0x81DADEF4BC2DD44D)
+    return x ^ x >> _U(33)
 
 
 #: Bits of a position where hash and position fit one number.
@@ -116,22 +127,32 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([_least(h[i : i + part + width - 1], width) + i for i in range(0, len(h) - width + 1, part)])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, place, first window, last window) of every anchor of one text; windows are given by their starts."""
-    if len(data) < length:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
-    h = Sums(data).grams(q)
-    own = _least(h, length - q + 1)
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    last = np.concatenate([first[1:] - 1, [len(own) - 1]])
-    place = own[first]
-    return h[place].view(np.int64), place, first, last
-
-
-def runs(sums: Sums, place: np.ndarray, first: np.ndarray, last: np.ndarray, length: int = LENGTH, run: int = RUN) -> tuple[np.ndarray, ...]:
-    """(core, whole, first window, last window) of the runs of given anchors.
+def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(bucket, bucket q bytes on, bucket q bytes before, place, first window, last window) of every anchor of one text.
 
-    A run holds the windows whose anchor is at offsets [i run, (i + 1) run) in them.
+    Windows are given by their starts. What lies outside the text has bucket 0.
+    """
+    q, found = q_of(length), []
+    for at in range(0, len(data) - length + 1, PART):
+        part = data[max(at - q, 0) : at + PART + length - 1]
+        skip = min(at, q)  # bytes before, for the buckets of anchors at the start of the part
+        b = Pointers(part).of(q)
+        own = _least(b[skip:], length - q + 1) + skip
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        last = np.concatenate([first[1:] - 1, [len(own) - 1]])
+        place = own[first]
+        later, before = place + q, place - q
+        ends = [np.where((x >= 0) & (x < len(b)), b[np.clip(x, 0, len(b) - 1)], _U(0)) for x in (later, before)]
+        found.append((b[place], *ends, place - skip + at, first + at, last + at))
+    if not found:
+        return tuple(np.empty(0, np.int64) for _ in range(6))
+    return tuple(np.concatenate(x).view(np.int64) for x in zip(*found))
+
+
+def runs(data: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, length: int = LENGTH, run: int = RUN) -> tuple[np.ndarray, ...]:
+    """(core, whole, first window, last window, anchor) of the runs of given anchors.
+
+    A run holds the windows whose anchor is at offsets [i run, (i + 1) run) in them; ``anchor`` is its number.
     """
     lo, hi = (place - last) // run, (place - first) // run
     n = hi - lo + 1
@@ -141,10 +162,20 @@ def runs(sums: Sums, place: np.ndarray, first: np.ndarray, last: np.ndarray, len
     near, far = i * run, (i + 1) * run - 1
     a, b = np.maximum(first[each], p - far), np.minimum(last[each], p - near)
     # shared by every window of the run, whether or not the text has them all
-    core = sums.of(p - near, p - np.minimum(far, length - Q) + length) ^ _mix(i.astype(np.uint64) + _U(1))
+    core = _spans(data, p - near, p - np.minimum(far, length - q_of(length)) + length, length, 0) ^ _mix(i.astype(np.uint64) + _U(1))
     offsets = (p - a).astype(np.uint64) << _U(20) | (p - b).astype(np.uint64)
-    whole = sums.of(a, b + length, 1) ^ _mix(offsets)
-    return core, whole, a, b
+    whole = _spans(data, a, b + length, length, 1) ^ _mix(offsets)
+    return core, whole, a, b, each
+
+
+def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, k: int) -> np.ndarray:
+    """:meth:`Pointers.spanned` of a text that is read in parts."""
+    h, out = wide_of(length), np.empty(len(start), np.uint64)
+    of = start // PART
+    for part in np.unique(of):
+        i, at = np.flatnonzero(of == part), int(part) * PART
+        out[i] = Pointers(data[at : at + PART + 3 * h]).spanned(start[i] - at, end[i] - at, h, k)
+    return out
 
 
 def _identity(k1: int, k2: int, at: np.ndarray) -> np.ndarray:
@@ -178,28 +209,28 @@ def _each(make, names: str):
 
 def _to_anchors(length: int):
     def make(k1: int, k2: int, text: pa.Scalar) -> tuple[np.ndarray, ...]:
-        bucket, place, first, last = anchors(_bytes(text.as_py()), length)
-        return bucket, place, first, last, _identity(k1, k2, place)
+        *buckets, place, first, last = anchors(_bytes(text.as_py()), length)
+        return *buckets, place, first, last, _identity(k1, k2, place)
 
     return make
 
 
 def _to_runs(length: int):
     def make(k1: int, k2: int, text: pa.Scalar, of: pa.Scalar) -> tuple[np.ndarray, ...]:
-        place, first, last = (np.asarray(of.values.field(i)) for i in range(3))
-        core, whole, a, b = runs(Sums(_bytes(text.as_py())), place, first, last, length)
-        return core.view(np.int64), whole.view(np.int64), a, b, _identity(k1, k2, a)
+        place, first, last, bucket = (np.asarray(of.values.field(i)) for i in range(4))
+        core, whole, a, b, anchor = runs(_bytes(text.as_py()), place, first, last, length)
+        return bucket[anchor], core.view(np.int64), whole.view(np.int64), a, b, _identity(k1, k2, a)
 
     return make
 
 
 def _to_windows(length: int):
     def make(k1: int, k2: int, text: pa.Scalar, of: pa.Scalar) -> tuple[np.ndarray, ...]:
-        a, b = (np.asarray(of.values.field(i)) for i in range(2))
+        a, b, bucket = (np.asarray(of.values.field(i)) for i in range(3))
         n = b - a + 1
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-        sums = Sums(_bytes(text.as_py()))
-        return sums.of(at, at + length).view(np.int64), sums.of(at, at + length, 1).view(np.int64), at, _identity(k1, k2, at)
+        data = _bytes(text.as_py())
+        return np.repeat(bucket, n), _spans(data, at, at + length, length, 0).view(np.int64), _spans(data, at, at + length, length, 1).view(np.int64), at, _identity(k1, k2, at)
 
     return make
 
@@ -229,12 +260,22 @@ def find(texts: DataFrame, length: int = LENGTH, write: Callable[[DataFrame], Da
 
     ``write`` makes a frame a table that is read again.
     """
-    names = "k1 long, k2 long, bucket long, place long, first long, last long, me long"
+    q = q_of(length)
+    names = "k1 long, k2 long, bucket long, later long, before long, place long, first long, last long, me long"
     found = texts.select(*KEY, "text").mapInArrow(_each(_to_anchors(length), names), names)
-    live = _partnered(found, "bucket").select(*KEY, "place", "first", "last")
-
-    names = "k1 long, k2 long, core long, whole long, a long, b long, me long"
-    cut_runs = write(_with_text(texts, live, "place", "first", "last").select(*KEY, "text", "of").mapInArrow(_each(_to_runs(length), names), names))
+    live = _partnered(found, "bucket")
+    # windows that hold the 2 q bytes from the anchor on, and those that hold the q before it; anchors with both go on twice
+    half = (length - q) // 2
+    o1, o2 = F.col("place") - F.col("last"), F.col("place") - F.col("first")
+    behind = F.struct(F.lit(1).alias("side"), F.col("later").alias("next"), F.greatest("first", F.col("place") - half + 1).alias("first"), F.col("last").alias("last"))
+    ahead = F.struct(F.lit(2).alias("side"), F.col("before").alias("next"), F.col("first").alias("first"), F.least("last", F.col("place") - half).alias("last"))
+    sides = F.filter(F.array(F.when(o1 < half, behind), F.when(o2 >= half, ahead)), lambda x: x.isNotNull())
+    halves = live.select(*KEY, "bucket", "place", "me", F.explode(sides).alias("s")).select(*KEY, "bucket", "place", "me", "s.*")
+    halves = _partnered(halves, "bucket", "side", "next").withColumn("bucket", F.xxhash64("bucket", "side", "next"))
+
+    names = "k1 long, k2 long, bucket long, core long, whole long, a long, b long, me long"
+    cut_runs = write(_with_text(texts, halves, "place", "first", "last", "bucket").select(*KEY, "text", "of").mapInArrow(_each(_to_runs(length), names), names))
+    cut_runs = cut_runs.withColumn("core", F.xxhash64("bucket", "core")).drop("bucket")
     # a bucket's runs are lone, all equal as a whole, or mixed: told from the least and largest of both numbers
     core = cut_runs.groupBy("core").agg(F.min("me").alias("x"), F.max("me").alias("y"), F.min("whole").alias("u"), F.max("whole").alias("v")).filter("x <> y")
     core = cut(core.select(F.col("core").alias("__core"), (F.col("u") != F.col("v")).alias("mixed")))
@@ -245,11 +286,11 @@ def find(texts: DataFrame, length: int = LENGTH, write: Callable[[DataFrame], Da
     classes = mixed.groupBy("core", "whole").agg(F.min("me").alias("x"), F.max("me").alias("y"))
     classes = cut(classes.select(F.col("core").alias("__c"), F.col("whole").alias("__w"), (F.col("x") != F.col("y")).alias("repeat"), F.col("x").alias("speaker")))
     mixed = mixed.join(classes, (F.col("core") == F.col("__c")) & (F.col("whole") == F.col("__w")))
-    mixed = write(mixed.select(*KEY, "a", "b", "repeat", (F.col("me") == F.col("speaker")).alias("open")).filter("repeat or open"))
+    mixed = write(mixed.select(*KEY, "core", "a", "b", "repeat", (F.col("me") == F.col("speaker")).alias("open")).filter("repeat or open"))
 
-    names = "k1 long, k2 long, w1 long, w2 long, a long, me long"
-    windows = _with_text(texts, mixed.filter("open"), "a", "b").select(*KEY, "text", "of").mapInArrow(_each(_to_windows(length), names), names)
-    single = _partnered(windows, "w1", "w2").select(*KEY, "a", F.col("a").alias("b"))
+    names = "k1 long, k2 long, core long, w1 long, w2 long, a long, me long"
+    windows = _with_text(texts, mixed.filter("open"), "a", "b", "core").select(*KEY, "text", "of").mapInArrow(_each(_to_windows(length), names), names)
+    single = _partnered(windows, "core", "w1", "w2").select(*KEY, "a", F.col("a").alias("b"))
     return pure.union(mixed.filter("repeat").select(*KEY, "a", "b")).union(single)
 
 
