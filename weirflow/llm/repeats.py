@@ -263,7 +263,8 @@ def find(texts: DataFrame, length: int = LENGTH, write: Callable[[DataFrame], Da
     q = q_of(length)
     names = "k1 long, k2 long, bucket long, later long, before long, place long, first long, last long, me long"
     found = texts.select(*KEY, "text").mapInArrow(_each(_to_anchors(length), names), names)
-    live = _partnered(found, "bucket")
+    # written: buckets by (bucket, next) would else be counted where those by bucket are, a frequent one in one task
+    live = write(_partnered(found, "bucket"))
     # windows that hold the 2 q bytes from the anchor on, and those that hold the q before it; anchors with both go on twice
     half = (length - q) // 2
     o1, o2 = F.col("place") - F.col("last"), F.col("place") - F.col("first")
