@@ -1,24 +1,29 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Fitting, on a bounded sample of labelled rows (at most ``PER_CLASS`` of either label, those whose hash of
-the id comes first; copies among them fold): terms are chosen by chi-square against the label; their
-document frequencies are then counted over *all* documents. Examples become unit TF-IDF vectors in an
-inverted index of blocks: for each block of ``WIDTH`` examples and each term one run of impacts, and for
-each term and block the largest impact. A query adds the largest impacts to upper bounds of the blocks,
-scores blocks from the highest bound on, and stops where no bound reaches the ``K``-th best cosine found, so
-the K nearest are exact.
+Terms are the words of a text and the first ``BEGINNING`` letters of its longer words, all of them: the vocabulary is
+that of the examples, without a choice or a bound. A term weighs (1 + log of its count) times its inverse document
+frequency over *all* documents, times its relevance: the absolute correlation of its presence with the label over the
+examples (a supervised TF-IDF; without it, words of one topic outweigh those that labels follow).
+
+Fitting, on a bounded sample of labelled rows (of either label at most ``PER_CLASS`` rows and ``SAMPLE_CHARS``
+characters, those whose hash of the id comes first; copies among them fold): examples become unit vectors in an
+inverted index, postings and, for each term, the largest impact in every block of ``WIDTH`` examples that has it. A query
+adds up the postings of its weightiest terms until what the others can add is small against the ``K``-th best sum; blocks
+whose best sum plus the largest impacts of the other terms does not reach that are skipped, and the cosines of what
+is left are computed in full, so the K nearest are exact.
 
 A score is the distance-weighted share of label 1 among the K nearest, each example weighed by what its
 class's sample stands for, shrunk to the prior, and calibrated by isotonic regression of the labels on
-the examples' own leave-one-out scores. The nearest examples are returned as evidence.
+the examples' own leave-one-out scores; 2 % of the score before calibration is mixed in, so that scores on one step of
+the regression keep their order. The nearest examples are returned as evidence.
 
 Inputs of a score are the words of the whole text only. Ids, languages, sources and labels of the row
 that is scored do not enter.
 
-Defined results: null and empty texts, and texts without any chosen term, get the calibrated score of a
-text without neighbours; repeated rows get equal scores; labels that are null are not used, and of an id
-that is labelled twice the larger label counts; where the labels lack a class, every score is the share of
-label 1 (0 without labels); an empty table gives an empty result; other columns do not enter.
+Defined results: null and empty texts, and texts without any term of an example, get the calibrated score of a
+text without neighbours; very long texts are read whole; repeated rows get equal scores; labels that are null are not
+used, and of an id that is labelled twice the larger label counts; where the labels lack a class, every score is the share
+of label 1 (0 without labels); an empty table gives an empty result; other columns do not enter.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +41,30 @@ from pyspark.sql import functions as F
 from .common import cut
 
 PER_CLASS = 4000
-MAX_TERMS, MIN_CHI2, MIN_DF = 1024, 25.0, 5
+SAMPLE_CHARS = 64_000_000
+BEGINNING = 4
 K, WIDTH, SHRINK = 25, 64, 0.5
 THRESHOLD = 0.7
+#: Words whose terms a worker remembers; beyond that it starts anew.
+MEMORY = 200_000
 _TERM = re.compile(r"\w+")
 
 
-def terms(text: str | None) -> list[str]:
-    return _TERM.findall((text or "").lower())
+def words(text: str | None) -> Counter[str]:
+    return Counter(_TERM.findall((text or "").lower()))
+
+
+def terms_of(word: str) -> tuple[str, ...]:
+    return (word, word[:BEGINNING] + "*") if len(word) > BEGINNING else (word,)
+
+
+def terms(text: str | None) -> Counter[str]:
+    """Every term of a text and how often it occurs."""
+    out: Counter[str] = Counter()
+    for word, n in words(text).items():
+        for t in terms_of(word):
+            out[t] += n
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,73 +72,79 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def choose_terms(examples: list[tuple[set[str], int]], most: int = MAX_TERMS, least_chi2: float = MIN_CHI2, least_df: int = MIN_DF) -> list[str]:
-    """Terms whose presence depends on the label, by chi-square of the 2x2 table."""
-    seen = (Counter(), Counter())
-    for own, y in examples:
-        seen[y].update(own)
-    n1 = sum(y for _, y in examples)
-    n0 = len(examples) - n1
-    vocabulary = [t for t in seen[0].keys() | seen[1].keys() if seen[0][t] + seen[1][t] >= least_df]
-    a = np.array([seen[1][t] for t in vocabulary], float)
-    b = np.array([seen[0][t] for t in vocabulary], float)
-    n, c, d = n0 + n1, n1 - a, n0 - b
-    chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-    kept = sorted((-x, t) for x, t in zip(chi2, vocabulary) if x >= least_chi2)
-    return [t for _, t in kept[:most]]
+def relevance(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Absolute correlation of a term's presence with the label, from the numbers of examples of either label that have it."""
+    n, c, d = n1 + n0, n1 - with_1, n0 - with_0
+    return np.abs(with_1 * d - with_0 * c) / np.sqrt(np.maximum((with_1 + with_0) * (c + d) * float(n1) * n0, 1e-9)) if n else np.zeros(len(with_1))
+
+
+def _spread(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, which of ``rows`` each is of) of the given rows of a sparse table."""
+    n = start[rows + 1] - start[rows]
+    of = np.repeat(np.arange(len(rows)), n)
+    return np.arange(len(of)) + np.repeat(start[rows] - np.cumsum(n) + n, n), of
 
 
 @dataclass
 class Index:
-    """Examples in blocks. impacts[block, term, slot] and their largest by [term, block]."""
+    """Examples in slots, WIDTH to a block. Sparse tables: terms of a slot, postings of a term, largest impacts of a term by block."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
-    impacts: np.ndarray
-    most: np.ndarray
-    labels: np.ndarray  # of each slot, -1 where none
+    weight: np.ndarray  # of each term
+    labels: np.ndarray  # of each slot
     weights: np.ndarray  # what an example stands for
     ids: np.ndarray
     prior: float
     steps: tuple[np.ndarray, np.ndarray]  # calibration: raw score, probability
+    slot_start: np.ndarray
+    slot_term: np.ndarray
+    slot_value: np.ndarray
+    term_start: np.ndarray
+    term_slot: np.ndarray
+    term_value: np.ndarray
+    most_start: np.ndarray
+    most_block: np.ndarray
+    most_value: np.ndarray
+    most: np.ndarray  # of each term, over all blocks
+    width: int = WIDTH
+    memory: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, unit weights) of one text: (1 + log count) times idf."""
-        get = self.vocabulary.get
-        own = np.array([v for w in terms(text) if (v := get(w)) is not None], np.int64)
-        if not len(own):
-            return own, np.empty(0, np.float32)
-        at, n = np.unique(own, return_counts=True)
-        w = (1 + np.log(n)) * self.idf[at]
-        norm = np.sqrt((w * w).sum())
-        return at, (w / norm if norm else w).astype(np.float32)
+        """(terms, unit weights) of one text."""
+        return _unit(*_numbered(text, self.vocabulary, self.memory), self.weight)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(slots, cosines) of the k nearest examples that share a term, best first, ties by slot."""
-        if not len(at):
-            return np.empty(0, np.int64), np.empty(0, np.float32)
-        bound = w @ self.most[at]
-        order = np.argsort(-bound, kind="stable")
-        slots, cosines, floor = np.empty(0, np.int64), np.empty(0, np.float32), 0.0
-        for i in range(0, len(order), 4):
-            some = order[i : i + 4]
-            some = some[bound[some] > max(floor - 1e-6, 0)]
-            if not len(some):
-                break
-            new = np.einsum("t,bts->bs", w, self.impacts[some[:, None], at[None, :]]).ravel()
-            own = (some[:, None] * self.impacts.shape[2] + np.arange(self.impacts.shape[2])).ravel()
-            ok = (new > 0) & (own != skip)
-            slots, cosines = np.concatenate([slots, own[ok]]), np.concatenate([cosines, new[ok]])
-            if len(slots) > k:
-                best = np.lexsort((slots, -cosines))[:k]
-                slots, cosines = slots[best], cosines[best]
-                floor = float(cosines[-1])
+        """(slots, cosines) of the k nearest examples with a positive cosine, best first, ties by slot."""
+        n = len(self.labels)
+        up = w * self.most[at]
+        order = np.argsort(-up, kind="stable")
+        order = order[up[order] > 0]
+        if not len(order):
+            return np.empty(0, np.int64), np.empty(0)
+        by, wide, up = at[order], w[order], up[order]
+        rest = np.append(np.cumsum(up[::-1])[::-1], 0.0)  # what the terms from here on can add
+        sums, i, floor = np.zeros(n), 0, 0.0
+        while i < len(by) and (i == 0 or rest[i] > floor / 4):
+            j = max(int(np.searchsorted(-rest, -rest[i] / 2)), i + 1)
+            places, of = _spread(self.term_start, by[i:j])
+            sums += np.bincount(self.term_slot[places], self.term_value[places] * wide[i:j][of], n)
+            if skip >= 0:
+                sums[skip] = 0.0
+            i, floor = j, float(np.partition(sums, n - k)[n - k]) if n > k else 0.0
+        places, of = _spread(self.most_start, by[i:])
+        left = np.bincount(self.most_block[places], self.most_value[places] * wide[i:][of], -(-n // self.width))
+        slots = np.flatnonzero((sums + np.repeat(left, self.width)[:n] > max(floor - 1e-6, 0.0)) & (np.arange(n) != skip))
+        dense = np.zeros(len(self.vocabulary))
+        dense[at] = w
+        places, of = _spread(self.slot_start, slots)
+        cosines = np.bincount(of, dense[self.slot_term[places]] * self.slot_value[places], len(slots))
+        slots, cosines = slots[cosines > 0], cosines[cosines > 0]
         best = np.lexsort((slots, -cosines))[:k]
         return slots[best], cosines[best]
 
     def vote(self, slots: np.ndarray, cosines: np.ndarray) -> float:
         """Share of label 1, an example at distance d weighing (1 - d)^2 times what it stands for."""
-        w = cosines.astype(float) ** 2 * self.weights[slots]
+        w = cosines**2 * self.weights[slots]
         return float(((w * self.labels[slots]).sum() + SHRINK * self.prior) / (w.sum() + SHRINK))
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
@@ -140,55 +167,102 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return xs, np.repeat([p[0] / p[1] for p in pools], 2)
 
 
-def build(examples: list[tuple[object, str | None, int]], vocabulary: list[str], df: np.ndarray, n_docs: int, stands: tuple[float, float] = (1.0, 1.0), width: int = WIDTH) -> Index:
-    """Index of (id, text, label) with document frequencies over the corpus."""
+def _numbered(text: str | None, vocabulary: dict[str, int], memory: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(known terms, their counts) of one text. ``memory``: what a worker knows of words under this vocabulary."""
+    if len(memory) > MEMORY:
+        memory.clear()
+    own, counts = [], []
+    for word, n in words(text).items():
+        known = memory.get(word)
+        if known is None:
+            known = memory[word] = tuple(v for t in terms_of(word) if (v := vocabulary.get(t)) is not None)
+        for v in known:
+            own.append(v)
+            counts.append(n)
+    at, where = np.unique(np.array(own, np.int64), return_inverse=True)
+    return at, np.bincount(where, counts, len(at)) if own else np.empty(0)
+
+
+def _unit(at: np.ndarray, n: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = (1 + np.log(n)) * weight[at]
+    norm = np.sqrt((w * w).sum())
+    return (at, w / norm) if norm else (at[:0], w[:0])
+
+
+def _sparse(rows: np.ndarray, n: int) -> np.ndarray:
+    """Starts of ``n`` sorted rows."""
+    return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
+
+
+def build(examples: list[tuple[object, str | None, int]], df: dict[str, int], n_docs: int, stands: tuple[float, float] = (1.0, 1.0), width: int = WIDTH) -> Index:
+    """Index of (id, text, label) with the document frequencies of all their terms over the corpus."""
     labels = np.array([y for _, _, y in examples])
-    idf = np.log((1 + n_docs) / (1 + df)) + 0.05
-    prior = float((labels * stands[1]).sum() / max((labels * stands[1] + (1 - labels) * stands[0]).sum(), 1e-9))
-    empty = np.empty(0)
-    index = Index({t: i for i, t in enumerate(vocabulary)}, idf, np.zeros((0, len(vocabulary), width), np.float32), np.zeros((len(vocabulary), 0), np.float32), labels, empty, empty, prior, (empty, empty))
-    vectors = [index.vector(t) for _, t, _ in examples]
+    vocabulary = {t: i for i, t in enumerate(df)}
+    idf = np.log((1 + n_docs) / (1 + np.array(list(df.values()), float))) + 0.05
+    memory: dict[str, tuple[int, ...]] = {}
+    numbered = [_numbered(t, vocabulary, memory) for _, t, _ in examples]
+    seen = np.zeros((2, len(vocabulary)))
+    for (at, _), y in zip(numbered, labels):
+        seen[y, at] += 1
+    weight = idf * relevance(seen[1], seen[0], int(labels.sum()), int((1 - labels).sum()))
+    vectors = [_unit(at, n, weight) for at, n in numbered]
     # examples whose weightiest term is the same stand together, which makes the bounds of blocks tight
     lead = [(int(at[np.argmax(w)]), -float(w.max())) if len(at) else (len(vocabulary), 0.0) for at, w in vectors]
     order = sorted(range(len(examples)), key=lambda i: (lead[i], i))
+    slot = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+    term = np.concatenate([vectors[i][0] for i in order])
+    value = np.concatenate([vectors[i][1] for i in order])
+    by_term = np.argsort(term, kind="stable")
     blocks = -(-len(order) // width)
-    index.impacts = np.zeros((blocks, len(vocabulary), width), np.float32)
-    slots = blocks * width
-    index.labels, index.weights, index.ids = np.full(slots, -1), np.zeros(slots), np.full(slots, -1, object)
-    for slot, i in enumerate(order):
-        at, w = vectors[i]
-        index.impacts[slot // width, at, slot % width] = w
-        index.labels[slot], index.weights[slot], index.ids[slot] = labels[i], stands[labels[i]], examples[i][0]
-    index.most = np.ascontiguousarray(index.impacts.max(axis=2).T) if blocks else np.zeros((len(vocabulary), 0), np.float32)
-    index.weights /= max(index.weights.max(initial=0), 1e-9)
-    raw = np.array([index.vote(*index.nearest(*vectors[i], skip=slot)) for slot, i in enumerate(order)])
-    index.steps = isotonic(raw, index.labels[: len(order)].astype(float), index.weights[: len(order)])
+    pair, where = np.unique(term * blocks + slot // width, return_inverse=True)
+    most = np.zeros(len(pair))
+    np.maximum.at(most, where, value)
+    largest = np.zeros(len(vocabulary))
+    np.maximum.at(largest, term, value)
+    prior = float((labels * stands[1]).sum() / max((labels * stands[1] + (1 - labels) * stands[0]).sum(), 1e-9))
+    weights = np.array([stands[labels[i]] for i in order], float)
+    index = Index(
+        vocabulary, weight, labels[order], weights / max(weights.max(initial=0), 1e-9), np.array([examples[i][0] for i in order], object), prior, (np.empty(0), np.empty(0)),
+        _sparse(slot, len(order)), term.astype(np.int32), value,
+        _sparse(term, len(vocabulary)), slot[by_term].astype(np.int32), value[by_term],
+        _sparse(pair // blocks, len(vocabulary)), (pair % blocks).astype(np.int32), most, largest, width,
+    )
+    raw = np.array([index.vote(*index.nearest(*vectors[i], skip=s)) for s, i in enumerate(order)])
+    index.steps = isotonic(raw, index.labels.astype(float), index.weights)
     return index
 
 
-def _count(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
-    """Document frequencies of the chosen terms, and the number of documents, over all rows."""
+def _count(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
+    """Document frequencies of the examples' terms, and the number of documents, over all rows."""
     known = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
-        n = np.zeros(len(known.value) + 1, np.int64)
+        n, memory = np.zeros(len(known.value) + 1, np.int64), {}
         for b in batches:
             n[-1] += b.num_rows
             for t in b.column(0):
-                own = {v for w in terms(t.as_py()) if (v := get(w)) is not None}
-                n[list(own)] += 1
+                n[_numbered(t.as_py(), known.value, memory)[0]] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row a chosen term
+    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row a term of the examples
     out = np.zeros(len(vocabulary) + 1, np.int64)
     for r in rows:
         out[r["term"]] = r["n"]
-    return out[:-1], int(out[-1])
+    return dict(zip(vocabulary, out[:-1].tolist())), int(out[-1])
+
+
+def _within(rows: list[tuple[int, int, int]], most: int) -> list[int]:
+    """Ids of (id, label, characters), in order, that a label's share of characters has room for."""
+    out, held = [], Counter()
+    for i, y, n in rows:
+        if held[y] + n <= most:
+            held[y] += n
+            out.append(i)
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Index | float:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = SAMPLE_CHARS) -> Index | float:
     """The index, or the share of label 1 where the labels lack a class. ``labels``: doc_id and toxic, the rows to learn from."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = cut(known)
@@ -198,24 +272,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Index
     first = lambda y: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     sample = first(0).union(first(1)).select(F.col("doc_id").alias("__id"), "toxic")  # at most 2 * per_class rows
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # rows that repeat an id
+    texts = cut(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))  # rows that repeat an id
+    lengths = texts.select("doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("h")).collect()
+    chosen = _within([(r["doc_id"], r["toxic"], r["n"]) for r in sorted(lengths, key=lambda r: (r["h"], r["doc_id"]))], chars)
+    if len(chosen) < len(lengths):
+        texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "__id long")), F.col("doc_id") == F.col("__id"), "left_semi")
     examples, seen = [], set()
-    for r in sorted(texts.collect()):
+    for r in sorted(texts.collect(), key=lambda r: r["doc_id"]):  # at most 2 * chars characters
         if (key := (r["text"], r["toxic"])) not in seen:
             seen.add(key)
             examples.append((r["doc_id"], r["text"], int(r["toxic"])))
     if len({y for _, _, y in examples}) < 2:
         return sizes.get(1, 0) / sum(sizes.values())
-    vocabulary = choose_terms([(set(terms(t)), y) for _, t, y in examples])
-    df, n = _count(docs, vocabulary)
+    df, n = _count(docs, sorted({t for _, text, _ in examples for t in terms(text)}))
     got = Counter(y for _, _, y in examples)
-    return build(examples, vocabulary, df, n, (sizes[0] / got[0], sizes[1] / got[1]))
+    return build(examples, df, n, (sizes[0] / got[0], sizes[1] / got[1]))
 
 
 def score(docs: DataFrame, index: Index | float) -> DataFrame:
     """doc_id, score, n_neighbours and evidence (the three nearest examples: id, label, cosine)."""
     schema = docs.select("doc_id").withColumns({"score": F.lit(0.0), "n_neighbours": F.lit(0).cast("long"), "evidence": F.lit("")}).schema
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by per_class and MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by what the examples hold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
