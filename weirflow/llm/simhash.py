@@ -3,9 +3,10 @@
 1. Fingerprint of each text: shingles of words, XXH64 with seed 42, majority of bits.
 2. Copies fold first: only distinct fingerprints are compared, each with its smallest document id.
 3. Two fingerprints within ``radius`` bits agree wholly on at least two of ``radius + 2`` bit blocks, so
-   those that share two blocks meet under one key and no link is lost. A key's fingerprints are cut into
-   tiles of about ``TILE``, every two tiles of a key make one unit of work, and units are spread over all
-   tasks, so a key that holds a third of all rows is many small units.
+   those that share two blocks meet under one key and no link is lost. A key with more than ``TILE`` fingerprints has
+   them ordered by population count and cut into tiles there, from a histogram; two tiles make one unit of work, and a
+   fingerprint goes only to units with tiles that hold population counts within ``radius`` of its own, so that pairs of
+   tiles beyond it are skipped before anything moves. Units are spread over all tasks.
 4. A unit sorts its fingerprints by population count and compares blocks of ``BLOCK`` with exclusive-or
    and bit counts, skipping pairs of blocks whose population counts differ beyond the radius. It gives a
    forest that spans its links (at most one row a fingerprint), not the links themselves.
@@ -227,14 +228,21 @@ def links(distinct: DataFrame, how: Linking = EXACT, tile: int = TILE) -> DataFr
     """Forest rows (a, b) over the nodes of ``distinct`` (node, fp, fp2) whose components are those of all links."""
     spark = distinct.sparkSession
     keyed = distinct.select("node", "fp", "fp2", F.explode(_keys(F.col("fp"), how.radius)).alias("key"))
+    pop = F.bit_count("fp")
     # of all keys only those with more than a tile: at most one for each ``tile`` rows
-    hot = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select(F.col("key").alias("__key"), F.ceil(F.col("n") / tile).cast("int").alias("t")))
-    hot = F.broadcast(hot) if hot.count() <= HOT_ROWS else hot
-    t = F.coalesce("t", F.lit(1))
-    met = keyed.join(hot, F.col("key") == F.col("__key"), "left").withColumn("me", F.pmod(F.xxhash64("node", F.lit(1)), t).cast("int"))
-    # one row for each unit that the node's tile is in: with itself, and with each other tile of the key
-    other = F.explode(F.sequence(F.lit(0), t - 1)).alias("other")
-    units = met.select("node", "fp", "fp2", "key", "me", other).select(
+    many = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select(F.col("key").alias("__key")))
+    few = many.count() <= HOT_ROWS
+    classes = keyed.join(F.broadcast(many) if few else many, F.col("key") == F.col("__key")).groupBy("__key", pop.alias("pop")).agg(F.count("*").alias("n"))  # at most 65 rows a key
+    # before[p]: fingerprints of the key with fewer than p bits
+    before = F.transform(F.sequence(F.lit(0), F.lit(65)), lambda p: F.aggregate(F.filter("of", lambda x: x["pop"] < p), F.lit(0).cast("long"), lambda n, x: n + x["n"]))
+    hot = cut(classes.groupBy("__key").agg(F.collect_list(F.struct("pop", "n")).alias("of")).select("__key", before.alias("before")))
+    met = keyed.join(F.broadcast(hot) if few else hot, F.col("key") == F.col("__key"), "left")
+    own, next_ = F.get("before", pop), F.get("before", pop + 1)
+    place = own + F.floor(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) * (next_ - own) / F.lit(1 << 20))
+    tile_of = lambda x: F.coalesce(F.floor(x / tile), F.lit(0)).cast("int")
+    # one row for each unit that the node's tile is in: with itself, and with each tile that may hold something near
+    others = F.sequence(tile_of(F.get("before", F.greatest(pop - how.radius, F.lit(0)))), tile_of(F.get("before", F.least(pop + how.radius + 1, F.lit(65))) - 1))
+    units = met.select("node", "fp", "fp2", "key", tile_of(place).alias("me"), F.explode(others).alias("other")).select(
         "node",
         "fp",
         "fp2",
