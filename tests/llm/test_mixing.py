@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -74,7 +75,10 @@ def test_reruns_and_partitions_agree(documents):
 
 def test_shards_are_drawn_near_the_shares():
     sources = [mixing.Source(i, str(i), 0, 0.0, 10**6, n, 1) for i, n in enumerate((600_000, 200_000, 200_000))]
-    runs = mixing.draw(sources, 10_000, 3)
+    groups = mixing.draw_groups(sources, 10_000, 3, drawn=60)
+    assert len(groups) == 20 and [g[0] for g in groups] == list(range(0, 100, 5))
+    runs = [r for g in groups for r in mixing.draw_shards(*g, 10_000, 3)]
+    assert all(sum(n for shard, *_, n, _ in runs if shard == k) == 10_000 for k in range(100))
     total = Counter()
     for shard, i, first, n, at in runs:
         assert first == total[i]
@@ -84,6 +88,48 @@ def test_shards_are_drawn_near_the_shares():
     assert all(abs(n - 6000) < 400 for n in counts) and len(set(counts)) > 20
 
 
+def test_many_sources_are_joined(spark, documents, monkeypatch):
+    df = documents.withColumn("source", F.concat("source", F.lit("/"), (F.col("doc_id") % 7).cast("string")))
+    rows = lambda: sorted(map(repr, map(tuple, mixing.query(df).collect())))
+    first = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert rows() == first
+
+
+def slow_taken(rows, block, seed):
+    """What a mix takes by laying out all words one by one; ``rows``: (doc_id, text, source) in the order of the streams."""
+    by = defaultdict(list)
+    for i, (_, text, source) in enumerate(rows):
+        by[source] += [i] * len((text or "").split())
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [len(by[s]) for s in names]
+    goals = mixing.targets(sizes, [(3.0, 1.0, 2.0)[k % 3] for k in range(len(names))], 1.5 * sum(sizes))
+    out = Counter()
+    for k, (s, goal) in enumerate(zip(names, goals)):
+        n, left, epoch = -(-len(by[s]) // block), min(round(goal), 2 * len(by[s])), 0
+        while left:
+            for b in [mixing.permuted(j, n, (seed * 1_000_003 + k * 8_191 + epoch * 131) % 1_000_000_007) for j in range(n)]:
+                for i in by[s][b * block : (b + 1) * block][:left]:
+                    out[i] += 1
+                left -= min(left, len(by[s][b * block : (b + 1) * block]))
+            epoch += 1
+    return sorted((r[0], r[2], out[i]) for i, r in enumerate(rows))
+
+
+def test_taken_by_brute_force(spark):
+    """With ids that come in the order of the streams (one bucket), every word that is taken is known."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{k}" for k in range(rng.randrange(40))), rng.choice("abcde")) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        got = sorted((r["doc_id"], r["source"], r["taken"]) for r in mixing.taken(df, block=8).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == slow_taken(rows, 8, mixing.SEED)
+
+
 def test_repeated_rows_without_words_stay(spark):
     rows = [(1, "", "a"), (1, "", "a"), (1, None, "a"), (1, " ", "a"), (1, " ", "a"), (None, None, None), (None, None, None), (2, "x y z", "a"), (2, "x y z", "a")]
     got = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=2).collect()

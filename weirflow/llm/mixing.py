@@ -7,7 +7,8 @@
    over buckets of documents by hash, then inside each bucket, so no task ever holds a whole source.
 3. Drawing: output shards of ``shard_slots`` slots each draw how many slots each source gets from a
    multinomial over what the sources have left; what a draw takes beyond a source's rest is drawn again,
-   so all shards together use each source's slots exactly.
+   so all shards together use each source's slots exactly. The driver draws for groups of shards, at most ``DRAWN``
+   counts, and the executors for the shards of each group, whatever their number.
 4. Choosing: slot k of a source reads block ``perm(k)``, a keyed pseudorandom permutation of the block
    numbers (a Feistel network walked until inside the range), anew in every epoch; blocks never repeat
    within an epoch. The last slot of a source is cut so that its words come to the rounded target.
@@ -16,15 +17,19 @@
 Tokens are runs of non-space; a shard's or source's share depends only on the table and the seed.
 
 Defined results: null and empty texts have size 0, are part of no block and are taken 0 times; repeated rows
-(also of one id) are packed each; a null source is a source, ordered last; the order of a stream is by
+(also of one id) are packed each, and each has its row in :func:`taken`; very long texts are read whole and take as
+many blocks as they fill; a null source is a source, ordered last; the order of a stream is by
 bucket, id (null first), hash of the text; an empty table gives empty results; other columns do not enter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,10 +38,10 @@ from .common import WORD, cut, partitions, text_of, words_of
 
 WEIGHTS, SHARE, EPOCHS = (3.0, 1.0, 2.0), 1.5, 2.0
 BLOCK, SHARD_SLOTS, SEED = 512, 4096, 11
-#: Documents a bucket holds at about, and sources that the plan may hold on the driver.
-BUCKET_ROWS, MAX_SOURCES = 5_000, 100_000
-#: Shards the driver draws for; beyond that, shards get larger.
-MAX_SHARDS = 100_000
+#: Documents a bucket holds at about, and sources whose table is broadcast; beyond it is joined.
+BUCKET_ROWS, BROADCAST_SOURCES = 5_000, 100_000
+#: Counts that the driver draws, for groups of shards.
+DRAWN = 1_000_000
 
 
 def size_of(text: Column) -> Column:
@@ -123,10 +128,11 @@ def permuted_col(df: DataFrame, k: str, n: str, key: str, out: str) -> DataFrame
 
 
 def plan(measured: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, block: int = BLOCK, seed: int = SEED) -> list[Source]:
-    """The sources by code point, null last, with targets and slots. ``measured``: source and size."""
-    rows = measured.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; weights by source need a bounded number")
+    """The sources by code point, null last, with targets and slots. ``measured``: source and size.
+
+    Targets depend on one another, so the driver holds one small row a source.
+    """
+    rows = measured.groupBy("source").agg(F.sum("size").alias("size")).collect()
     # UTF-8 order is code point order
     rows = sorted(rows, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     sizes = [int(r["size"]) for r in rows]
@@ -167,25 +173,43 @@ def _inverse(n: int, key: int) -> int:
             return k
 
 
-def draw(sources: list[Source], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> list[tuple[int, int, int, int, int]]:
-    """(shard, source, first slot of the source, slots, first position in the shard): multinomial counts per shard."""
-    left = np.array([s.slots for s in sources], np.int64)
-    shard_slots = max(shard_slots, -(-int(left.sum()) // MAX_SHARDS))
-    done = np.zeros(len(sources), np.int64)
-    rng = np.random.Generator(np.random.PCG64(seed))
-    out, shard = [], 0
-    while (total := int(left.sum())) > 0:
-        size = min(shard_slots, total)
-        counts = np.zeros(len(sources), np.int64)
-        while (open_ := size - int(counts.sum())) > 0:
+def _multinomials(left: np.ndarray, sizes: list[int], rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Counts of each source for shards of the given sizes, drawn one after the other from what is left."""
+    left = left.copy()
+    for size in sizes:
+        counts = np.zeros(len(left), np.int64)
+        while (open_ := min(size, int(left.sum())) - int(counts.sum())) > 0:
             rest = left - counts
             counts = np.minimum(counts + rng.multinomial(open_, rest / rest.sum()), left)
+        left -= counts
+        yield counts
+
+
+def draw_groups(sources: list[Source], shard_slots: int = SHARD_SLOTS, seed: int = SEED, drawn: int = DRAWN) -> list[tuple[int, list[int], list[int]]]:
+    """(first shard, first slots of the sources, slots of the sources) of groups of whole shards, the last of which may be shorter."""
+    slots = np.array([s.slots for s in sources], np.int64)
+    total = int(slots.sum())
+    shards = -(-total // shard_slots)
+    each = max(1, -(-shards * len(sources) // drawn))  # shards of a group
+    sizes = [min(each * shard_slots, total - i * shard_slots) for i in range(0, shards, each)]
+    done, out = np.zeros(len(sources), np.int64), []
+    for i, counts in enumerate(_multinomials(slots, sizes, np.random.Generator(np.random.PCG64([seed, 0])))):
+        out.append((i * each, done.tolist(), counts.tolist()))
+        done += counts
+    return out
+
+
+def draw_shards(shard: int, first: list[int], slots: list[int], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> Iterator[tuple[int, int, int, int, int]]:
+    """(shard, source, first slot of the source, slots, first position in the shard): multinomial counts per shard of one group."""
+    done, left = np.array(first, np.int64), np.array(slots, np.int64)
+    total = int(left.sum())
+    sizes = [min(shard_slots, total - at) for at in range(0, total, shard_slots)]
+    for k, counts in enumerate(_multinomials(left, sizes, np.random.Generator(np.random.PCG64([seed, 1, shard])))):
         at = 0
         for i in np.flatnonzero(counts):
-            out.append((shard, int(i), int(done[i]), int(counts[i]), at))
+            yield shard + k, int(i), int(done[i]), int(counts[i]), at
             at += int(counts[i])
-        left, done, shard = left - counts, done + counts, shard + 1
-    return out
+        done += counts
 
 
 def measure(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -214,13 +238,19 @@ def _literal_table(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def with_source(rows: DataFrame, sources: list[Source]) -> DataFrame:
+    """``rows`` plus number, source_size and target of their sources."""
+    about = _literal_table(rows, [(s.name, s.number, s.size, s.target) for s in sources], "name string, number long, source_size long, target double")
+    about = F.broadcast(about) if len(sources) <= BROADCAST_SOURCES else about
+    return rows.join(about, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+
+
 def pieces(placed: DataFrame, sources: list[Source], block: int = BLOCK) -> DataFrame:
     """A row for each block that a document has words in: its number, how many words and where in it (``at``), and these where there are texts.
 
     A document without words has one row without a block.
     """
-    about = F.broadcast(_literal_table(placed, [(s.name, s.number, s.size, s.target) for s in sources], "name string, number long, source_size long, target double"))  # at most MAX_SOURCES rows
-    d = placed.join(about, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    d = with_source(placed, sources)
     texts = "text" in placed.columns
     if texts:
         d = d.withColumn("__w", words_of(text_of("text"))).drop("text")
@@ -238,10 +268,20 @@ def pieces(placed: DataFrame, sources: list[Source], block: int = BLOCK) -> Data
 
 def slots(spark_df: DataFrame, sources: list[Source], block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """Every slot of the mix: shard, position, number (of the source), epoch, block, and words read (``length``)."""
-    runs = draw(sources, shard_slots, seed)
-    drawn = _literal_table(spark_df, runs, "shard long, number long, first long, n long, position long").repartition(partitions(spark_df.sparkSession), "shard", "number")
+    n, schema = partitions(spark_df.sparkSession), "shard long, number long, first long, n long, position long"
+    groups = _literal_table(spark_df, draw_groups(sources, shard_slots, seed), "shard long, first array<long>, slots array<long>").repartition(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group in zip(*(c.to_pylist() for c in b.columns)):
+                shards = draw_shards(*group, shard_slots, seed)
+                while rows := list(islice(shards, 50_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["shard", "number", "first", "n", "position"])
+
+    drawn = groups.mapInArrow(run, schema).repartition(n, "shard", "number")
     keys = [(s.number, s.blocks, s.slots, s.last, s.size) for s in sources]
-    about = F.broadcast(_literal_table(spark_df, keys, "number long, blocks long, slots long, last long, size long"))
+    about = _literal_table(spark_df, keys, "number long, blocks long, slots long, last long, size long")
+    about = F.broadcast(about) if len(sources) <= BROADCAST_SOURCES else about
     s = drawn.join(about, "number").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     slot = F.col("first") + F.col("i")
     s = s.withColumns({"slot": slot, "epoch": F.floor(slot / F.col("blocks"))}).withColumn("k", F.col("slot") - F.col("epoch") * F.col("blocks"))
@@ -258,10 +298,12 @@ def taken(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, s
     sources = plan(measured, block=block, seed=seed, **options)
     # a block is read at most once an epoch
     uses = slots(docs, sources, block, shard_slots, seed).select(F.col("number").alias("__n"), F.col("block").alias("__b"), "length")
-    rows = measured.withColumn("__row", F.monotonically_increasing_id())  # repeated rows without words have one start
-    p = pieces(place(rows, measured), sources, block).join(uses, (F.col("number") == F.col("__n")) & (F.col("block") == F.col("__b")), "left")
+    # rows without words are in no block; repeated rows with words differ by their starts
+    p = pieces(place(measured.filter("size > 0"), measured), sources, block).join(uses, (F.col("number") == F.col("__n")) & (F.col("block") == F.col("__b")), "left")
     read = F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce("length", F.lit(0)) - F.col("at")))
-    return p.groupBy("__row", "doc_id", "source", "size", "source_size", "target").agg(F.sum(read).cast("long").alias("taken")).drop("__row")
+    keys = ["doc_id", "source", "size", "source_size", "target"]
+    full = p.groupBy("start", *keys).agg(F.sum(read).cast("long").alias("taken")).drop("start")
+    return full.union(with_source(measured.filter("size = 0"), sources).select(*keys, F.lit(0).cast("long").alias("taken")))
 
 
 def blocks(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, **options) -> DataFrame:
