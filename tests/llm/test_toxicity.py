@@ -85,7 +85,7 @@ def test_nearest_are_exact(corpus):
     for q, full in zip(queries, brute_force(texts, labelled, queries)):
         slots, cosines = index.nearest(*index.vector(texts[q]))
         want = np.sort([c for c in full.values() if c > 1e-12])[::-1][: toxicity.K]
-        assert np.allclose(cosines, want, atol=1e-9) and np.allclose([full[index.ids[s]] for s in slots], cosines, atol=1e-9)
+        assert np.allclose(cosines, want, atol=1e-6) and np.allclose([full[index.ids[s]] for s in slots], cosines, atol=1e-6)
 
 
 def test_scores_are_the_calibrated_votes(corpus):
@@ -120,7 +120,7 @@ def test_scores_are_the_calibrated_votes(corpus):
     queries = list(range(300, 360))
     for q, full in zip(queries, brute_force(texts, labelled, queries)):
         r = vote(full)
-        assert abs(got[q] - (0.98 * np.interp(r, xs, ys) + 0.02 * r)) < 1e-6
+        assert abs(got[q] - (0.98 * np.interp(r, xs, ys) + 0.02 * r)) < 1e-4
 
 
 def test_sample_bounds():
@@ -131,7 +131,7 @@ def test_document_frequencies_cover_all_rows(corpus):
     docs, _ = corpus
     df, n = toxicity._count(docs.union(docs), ["vile", "v1", "absent"])
     texts = [set(toxicity.terms(r["text"])) for r in docs.collect()]
-    assert n == 1800 and df == {t: 2 * sum(t in x for x in texts) for t in ("vile", "v1", "absent")}
+    assert n == 1800 and df.tolist() == [2 * sum(t in x for x in texts) for t in ("vile", "v1", "absent")]
 
 
 def test_isotonic():

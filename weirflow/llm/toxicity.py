@@ -7,10 +7,10 @@ examples (a supervised TF-IDF; without it, words of one topic outweigh those tha
 
 Fitting, on a bounded sample of labelled rows (of either label at most ``PER_CLASS`` rows and ``SAMPLE_CHARS``
 characters, those whose hash of the id comes first; copies among them fold): examples become unit vectors in an
-inverted index, postings and, for each term, the largest impact in every block of ``WIDTH`` examples that has it. A query
-adds up the postings of its weightiest terms until what the others can add is small against the ``K``-th best sum; blocks
-whose best sum plus the largest impacts of the other terms does not reach that are skipped, and the cosines of what
-is left are computed in full, so the K nearest are exact.
+inverted index in blocks of ``WIDTH`` examples. Terms of few examples have sparse postings; those of more than one in
+``FREQUENT`` have theirs as impacts by block, and the largest impact of every block. A query adds up the postings of its
+rare terms, bounds each block by its best sum plus the largest impacts of the frequent terms, and adds their impacts from
+the block with the highest bound on, until no bound reaches the ``K``-th best cosine found; so the K nearest are exact.
 
 A score is the distance-weighted share of label 1 among the K nearest, each example weighed by what its
 class's sample stands for, shrunk to the prior, and calibrated by isotonic regression of the labels on
@@ -31,7 +31,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,9 @@ from .common import cut
 PER_CLASS = 4000
 SAMPLE_CHARS = 64_000_000
 BEGINNING = 4
-K, WIDTH, SHRINK = 25, 64, 0.5
+K, WIDTH, FREQUENT, SHRINK = 25, 64, 16, 0.5
+#: Blocks that are scored at once, to begin with.
+STEP = 8
 THRESHOLD = 0.7
 #: Words whose terms a worker remembers; beyond that it starts anew.
 MEMORY = 200_000
@@ -85,9 +87,40 @@ def _spread(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(of)) + np.repeat(start[rows] - np.cumsum(n) + n, n), of
 
 
+class Numbers(dict):
+    """Word to a number, with the numbers of its two terms in ``own``; -1 where a term is not in the vocabulary."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        super().__init__()
+        self.vocabulary = vocabulary
+        self.own = np.empty((1024, 2), np.int32)
+
+    def __missing__(self, word: str) -> int:
+        n = len(self)
+        if n == len(self.own):
+            self.own = np.concatenate([self.own, np.empty_like(self.own)])
+        get = self.vocabulary.get
+        self.own[n] = get(word, -1), get(word[:BEGINNING] + "*", -1) if len(word) > BEGINNING else -1
+        self[word] = n
+        return n
+
+    def terms(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(known terms, their counts) of one text."""
+        if len(self) > MEMORY:
+            self.clear()
+        found = words(text)
+        places = np.fromiter(map(self.__getitem__, found), np.int64, len(found))  # may make ``own`` longer
+        own = self.own[places]
+        n = np.fromiter(found.values(), np.int64, len(found))
+        at, begin = own[:, 0], own[:, 1]
+        whole, some = at >= 0, begin >= 0
+        start, where = np.unique(begin[some], return_inverse=True)
+        return np.concatenate([at[whole], start]), np.concatenate([n[whole], np.bincount(where, n[some], len(start)).astype(np.int64)])
+
+
 @dataclass
 class Index:
-    """Examples in slots, WIDTH to a block. Sparse tables: terms of a slot, postings of a term, largest impacts of a term by block."""
+    """Examples in slots, ``width`` to a block: terms of each slot, postings of rare terms, impacts and their largest of frequent ones."""
 
     vocabulary: dict[str, int]
     weight: np.ndarray  # of each term
@@ -99,41 +132,46 @@ class Index:
     slot_start: np.ndarray
     slot_term: np.ndarray
     slot_value: np.ndarray
-    term_start: np.ndarray
+    term_start: np.ndarray  # of rare terms; frequent ones have no postings
     term_slot: np.ndarray
     term_value: np.ndarray
-    most_start: np.ndarray
-    most_block: np.ndarray
-    most_value: np.ndarray
-    most: np.ndarray  # of each term, over all blocks
-    width: int = WIDTH
-    memory: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    frequent: np.ndarray  # of each term, its row in the next two, or -1
+    impacts: np.ndarray  # row, block, slot in the block
+    most: np.ndarray  # row, block
+    numbers: Numbers | None = None
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms, unit weights) of one text."""
-        return _unit(*_numbered(text, self.vocabulary, self.memory), self.weight)
+        if self.numbers is None:
+            self.numbers = Numbers(self.vocabulary)
+        return _unit(*self.numbers.terms(text), self.weight)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(slots, cosines) of the k nearest examples with a positive cosine, best first, ties by slot."""
         n = len(self.labels)
-        up = w * self.most[at]
-        order = np.argsort(-up, kind="stable")
-        order = order[up[order] > 0]
-        if not len(order):
-            return np.empty(0, np.int64), np.empty(0)
-        by, wide, up = at[order], w[order], up[order]
-        rest = np.append(np.cumsum(up[::-1])[::-1], 0.0)  # what the terms from here on can add
-        sums, i, floor = np.zeros(n), 0, 0.0
-        while i < len(by) and (i == 0 or rest[i] > floor / 4):
-            j = max(int(np.searchsorted(-rest, -rest[i] / 2)), i + 1)
-            places, of = _spread(self.term_start, by[i:j])
-            sums += np.bincount(self.term_slot[places], self.term_value[places] * wide[i:j][of], n)
-            if skip >= 0:
-                sums[skip] = 0.0
-            i, floor = j, float(np.partition(sums, n - k)[n - k]) if n > k else 0.0
-        places, of = _spread(self.most_start, by[i:])
-        left = np.bincount(self.most_block[places], self.most_value[places] * wide[i:][of], -(-n // self.width))
-        slots = np.flatnonzero((sums + np.repeat(left, self.width)[:n] > max(floor - 1e-6, 0.0)) & (np.arange(n) != skip))
+        row = self.frequent[at]
+        often = row >= 0
+        places, of = _spread(self.term_start, at[~often])
+        blocks, width = self.impacts.shape[1:]
+        sums = np.bincount(self.term_slot[places], self.term_value[places] * w[~often][of], blocks * width).astype(float)
+        if skip >= 0:
+            sums[skip] = -np.inf
+        sums = sums.reshape(blocks, width)
+        row, wide = row[often], w[often].astype(np.float32)
+        bound = sums.max(axis=1) + wide @ self.most[row]
+        order = np.argsort(-bound, kind="stable")
+        floor, i, step = 0.0, 0, STEP
+        while i < blocks and bound[order[i]] > max(floor - 1e-5, 0.0):
+            some = order[i : i + step]
+            some = some[bound[some] > max(floor - 1e-5, 0.0)]
+            sums[some] += np.tensordot(wide, self.impacts[row[:, None], some[None, :]], 1)
+            i, step = i + len(some), step * 4
+            best = sums[order[:i]].ravel()
+            floor = float(np.partition(best, len(best) - k)[len(best) - k]) if len(best) > k else 0.0
+        done = order[:i]
+        slots = (done[:, None] * width + np.arange(width)).ravel()[sums[done].ravel() > max(floor - 1e-5, 0.0)]
+        slots = np.sort(slots[slots < n])
+        # those that may be among the nearest, in double precision
         dense = np.zeros(len(self.vocabulary))
         dense[at] = w
         places, of = _spread(self.slot_start, slots)
@@ -167,22 +205,6 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return xs, np.repeat([p[0] / p[1] for p in pools], 2)
 
 
-def _numbered(text: str | None, vocabulary: dict[str, int], memory: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-    """(known terms, their counts) of one text. ``memory``: what a worker knows of words under this vocabulary."""
-    if len(memory) > MEMORY:
-        memory.clear()
-    own, counts = [], []
-    for word, n in words(text).items():
-        known = memory.get(word)
-        if known is None:
-            known = memory[word] = tuple(v for t in terms_of(word) if (v := vocabulary.get(t)) is not None)
-        for v in known:
-            own.append(v)
-            counts.append(n)
-    at, where = np.unique(np.array(own, np.int64), return_inverse=True)
-    return at, np.bincount(where, counts, len(at)) if own else np.empty(0)
-
-
 def _unit(at: np.ndarray, n: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w = (1 + np.log(n)) * weight[at]
     norm = np.sqrt((w * w).sum())
@@ -194,62 +216,66 @@ def _sparse(rows: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
 
 
-def build(examples: list[tuple[object, str | None, int]], df: dict[str, int], n_docs: int, stands: tuple[float, float] = (1.0, 1.0), width: int = WIDTH) -> Index:
+def build(examples: list[tuple[object, str | None, int]], vocabulary: list[str], df: np.ndarray, n_docs: int, stands: tuple[float, float] = (1.0, 1.0), width: int = WIDTH) -> Index:
     """Index of (id, text, label) with the document frequencies of all their terms over the corpus."""
     labels = np.array([y for _, _, y in examples])
-    vocabulary = {t: i for i, t in enumerate(df)}
-    idf = np.log((1 + n_docs) / (1 + np.array(list(df.values()), float))) + 0.05
-    memory: dict[str, tuple[int, ...]] = {}
-    numbered = [_numbered(t, vocabulary, memory) for _, t, _ in examples]
-    seen = np.zeros((2, len(vocabulary)))
-    for (at, _), y in zip(numbered, labels):
+    number = {t: i for i, t in enumerate(vocabulary)}
+    numbers = Numbers(number)
+    vectors = [numbers.terms(t) for _, t, _ in examples]
+    seen = np.zeros((2, len(number)))
+    for (at, _), y in zip(vectors, labels):
         seen[y, at] += 1
+    idf = np.log((1 + n_docs) / (1 + df)) + 0.05
     weight = idf * relevance(seen[1], seen[0], int(labels.sum()), int((1 - labels).sum()))
-    vectors = [_unit(at, n, weight) for at, n in numbered]
+    vectors = [_unit(at, n, weight) for at, n in vectors]
     # examples whose weightiest term is the same stand together, which makes the bounds of blocks tight
-    lead = [(int(at[np.argmax(w)]), -float(w.max())) if len(at) else (len(vocabulary), 0.0) for at, w in vectors]
+    lead = [(int(at[np.argmax(w)]), -float(w.max())) if len(at) else (len(number), 0.0) for at, w in vectors]
     order = sorted(range(len(examples)), key=lambda i: (lead[i], i))
-    slot = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-    term = np.concatenate([vectors[i][0] for i in order])
-    value = np.concatenate([vectors[i][1] for i in order])
-    by_term = np.argsort(term, kind="stable")
     blocks = -(-len(order) // width)
-    pair, where = np.unique(term * blocks + slot // width, return_inverse=True)
-    most = np.zeros(len(pair))
-    np.maximum.at(most, where, value)
-    largest = np.zeros(len(vocabulary))
-    np.maximum.at(largest, term, value)
+    slot_start = np.concatenate([[0], np.cumsum([len(vectors[i][0]) for i in order])])
+    term = np.concatenate([vectors[i][0] for i in order]).astype(np.int32)
+    value = np.concatenate([vectors[i][1] for i in order]).astype(np.float32)
+    slot = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(slot_start))
+    count = np.bincount(term, minlength=len(number))
+    frequent = np.full(len(number), -1, np.int32)
+    often = np.flatnonzero(count * FREQUENT > len(order))
+    frequent[often] = np.arange(len(often))
+    impacts = np.zeros((len(often), blocks * width), np.float32)
+    own = frequent[term] >= 0
+    impacts[frequent[term[own]], slot[own]] = value[own]
+    impacts = impacts.reshape(len(often), blocks, width)
+    term_, slot_, value_ = term[~own], slot[~own], value[~own]
+    by_term = np.argsort(term_, kind="stable")
     prior = float((labels * stands[1]).sum() / max((labels * stands[1] + (1 - labels) * stands[0]).sum(), 1e-9))
     weights = np.array([stands[labels[i]] for i in order], float)
     index = Index(
-        vocabulary, weight, labels[order], weights / max(weights.max(initial=0), 1e-9), np.array([examples[i][0] for i in order], object), prior, (np.empty(0), np.empty(0)),
-        _sparse(slot, len(order)), term.astype(np.int32), value,
-        _sparse(term, len(vocabulary)), slot[by_term].astype(np.int32), value[by_term],
-        _sparse(pair // blocks, len(vocabulary)), (pair % blocks).astype(np.int32), most, largest, width,
+        number, weight, labels[order], weights / max(weights.max(initial=0), 1e-9), np.array([examples[i][0] for i in order], object), prior, (np.empty(0), np.empty(0)),
+        slot_start, term, value, _sparse(term_, len(number)), slot_[by_term], value_[by_term], frequent, impacts, impacts.max(axis=2, initial=0),
     )
     raw = np.array([index.vote(*index.nearest(*vectors[i], skip=s)) for s, i in enumerate(order)])
     index.steps = isotonic(raw, index.labels.astype(float), index.weights)
     return index
 
 
-def _count(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
+def _count(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
     """Document frequencies of the examples' terms, and the number of documents, over all rows."""
-    known = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, memory = np.zeros(len(known.value) + 1, np.int64), {}
+        numbers = Numbers({t: i for i, t in enumerate(known.value)})
+        n = np.zeros(len(numbers.vocabulary) + 1, np.int64)
         for b in batches:
             n[-1] += b.num_rows
             for t in b.column(0):
-                n[_numbered(t.as_py(), known.value, memory)[0]] += 1
+                n[numbers.terms(t.as_py())[0]] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row a term of the examples
+    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row a term of the examples
+    known.unpersist()
     out = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in rows:
-        out[r["term"]] = r["n"]
-    return dict(zip(vocabulary, out[:-1].tolist())), int(out[-1])
+    out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
+    return out[:-1], int(out[-1])
 
 
 def _within(rows: list[tuple[int, int, int]], most: int) -> list[int]:
@@ -284,9 +310,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: i
             examples.append((r["doc_id"], r["text"], int(r["toxic"])))
     if len({y for _, _, y in examples}) < 2:
         return sizes.get(1, 0) / sum(sizes.values())
-    df, n = _count(docs, sorted({t for _, text, _ in examples for t in terms(text)}))
+    vocabulary = sorted({t for _, text, _ in examples for t in terms(text)})
+    df, n = _count(docs, vocabulary)
     got = Counter(y for _, _, y in examples)
-    return build(examples, df, n, (sizes[0] / got[0], sizes[1] / got[1]))
+    return build(examples, vocabulary, df, n, (sizes[0] / got[0], sizes[1] / got[1]))
 
 
 def score(docs: DataFrame, index: Index | float) -> DataFrame:
