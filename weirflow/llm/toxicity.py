@@ -31,7 +31,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,8 @@ PER_CLASS = 4000
 SAMPLE_CHARS = 64_000_000
 BEGINNING = 4
 K, WIDTH, FREQUENT, SHRINK = 25, 64, 16, 0.5
-#: Blocks that are scored at once, to begin with.
-STEP = 8
+#: Blocks of a text that are scored first, and texts that are scored together.
+STEP, TOGETHER = 8, 64
 THRESHOLD = 0.7
 #: Words whose terms a worker remembers; beyond that it starts anew.
 MEMORY = 200_000
@@ -136,9 +136,10 @@ class Index:
     term_slot: np.ndarray
     term_value: np.ndarray
     frequent: np.ndarray  # of each term, its row in the next two, or -1
-    impacts: np.ndarray  # row, block, slot in the block
+    impacts: np.ndarray  # block, row, slot in the block
     most: np.ndarray  # row, block
     numbers: Numbers | None = None
+    dense: np.ndarray = field(default_factory=lambda: np.empty(0))
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms, unit weights) of one text."""
@@ -146,39 +147,48 @@ class Index:
             self.numbers = Numbers(self.vocabulary)
         return _unit(*self.numbers.terms(text), self.weight)
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(slots, cosines) of the k nearest examples with a positive cosine, best first, ties by slot."""
-        n = len(self.labels)
-        row = self.frequent[at]
-        often = row >= 0
-        places, of = _spread(self.term_start, at[~often])
-        blocks, width = self.impacts.shape[1:]
-        sums = np.bincount(self.term_slot[places], self.term_value[places] * w[~often][of], blocks * width).astype(float)
-        if skip >= 0:
-            sums[skip] = -np.inf
-        sums = sums.reshape(blocks, width)
-        row, wide = row[often], w[often].astype(np.float32)
-        bound = sums.max(axis=1) + wide @ self.most[row]
-        order = np.argsort(-bound, kind="stable")
-        floor, i, step = 0.0, 0, STEP
-        while i < blocks and bound[order[i]] > max(floor - 1e-5, 0.0):
-            some = order[i : i + step]
-            some = some[bound[some] > max(floor - 1e-5, 0.0)]
-            sums[some] += np.tensordot(wide, self.impacts[row[:, None], some[None, :]], 1)
-            i, step = i + len(some), step * 4
-            best = sums[order[:i]].ravel()
-            floor = float(np.partition(best, len(best) - k)[len(best) - k]) if len(best) > k else 0.0
-        done = order[:i]
-        slots = (done[:, None] * width + np.arange(width)).ravel()[sums[done].ravel() > max(floor - 1e-5, 0.0)]
-        slots = np.sort(slots[slots < n])
-        # those that may be among the nearest, in double precision
-        dense = np.zeros(len(self.vocabulary))
-        dense[at] = w
-        places, of = _spread(self.slot_start, slots)
-        cosines = np.bincount(of, dense[self.slot_term[places]] * self.slot_value[places], len(slots))
-        slots, cosines = slots[cosines > 0], cosines[cosines > 0]
-        best = np.lexsort((slots, -cosines))[:k]
-        return slots[best], cosines[best]
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(slots, cosines) of the k nearest examples with a positive cosine, best first, ties by slot, of each of a few texts."""
+        blocks, frequent, width = self.impacts.shape
+        few, n = len(vectors), blocks * width
+        wide, sums = np.zeros((few, frequent), np.float32), np.empty((few, n), np.float32)
+        for q, (at, w) in enumerate(vectors):
+            row = self.frequent[at]
+            rare = row < 0
+            wide[q, row[~rare]] = w[~rare]
+            places, of = _spread(self.term_start, at[rare])
+            sums[q] = np.bincount(self.term_slot[places], self.term_value[places] * w[rare][of], n)
+            if skip:
+                sums[q, skip[q]] = -np.inf
+        sums = sums.reshape(few, blocks, width)
+        bound = sums.max(axis=2) + wide @ self.most
+        floor, done = np.zeros(few, np.float32), np.zeros((few, blocks), bool)
+        for step in (min(STEP, blocks), blocks):  # the blocks of the highest bounds tell how far down to go
+            need = (bound > np.maximum(floor - 1e-5, 0)[:, None]) & ~done
+            if step < blocks:
+                need &= bound >= -np.partition(-bound, step - 1, axis=1)[:, step - 1, None]
+            for b in np.flatnonzero(need.any(axis=0)):
+                some = np.flatnonzero(need[:, b])
+                sums[some, b] += wide[some] @ self.impacts[b]
+            done |= need
+            if n > k:
+                reached = np.where(done[:, :, None], sums, -np.inf).reshape(few, n)
+                floor = np.partition(reached, n - k, axis=1)[:, n - k]
+        out = []
+        if len(self.dense) < len(self.vocabulary):
+            self.dense = np.zeros(len(self.vocabulary))
+        for q, (at, w) in enumerate(vectors):
+            slots = np.flatnonzero((sums[q] > max(floor[q] - 1e-5, 0.0)) & done[q][:, None])
+            slots = slots[slots < len(self.labels)]
+            # those that may be among the nearest, in double precision
+            self.dense[at] = w
+            places, of = _spread(self.slot_start, slots)
+            cosines = np.bincount(of, self.dense[self.slot_term[places]] * self.slot_value[places], len(slots))
+            self.dense[at] = 0
+            slots, cosines = slots[cosines > 0], cosines[cosines > 0]
+            best = np.lexsort((slots, -cosines))[:k]
+            out.append((slots[best], cosines[best]))
+        return out
 
     def vote(self, slots: np.ndarray, cosines: np.ndarray) -> float:
         """Share of label 1, an example at distance d weighing (1 - d)^2 times what it stands for."""
@@ -243,16 +253,20 @@ def build(examples: list[tuple[object, str | None, int]], vocabulary: list[str],
     impacts = np.zeros((len(often), blocks * width), np.float32)
     own = frequent[term] >= 0
     impacts[frequent[term[own]], slot[own]] = value[own]
-    impacts = impacts.reshape(len(often), blocks, width)
+    impacts = np.ascontiguousarray(impacts.reshape(len(often), blocks, width).transpose(1, 0, 2))
     term_, slot_, value_ = term[~own], slot[~own], value[~own]
     by_term = np.argsort(term_, kind="stable")
     prior = float((labels * stands[1]).sum() / max((labels * stands[1] + (1 - labels) * stands[0]).sum(), 1e-9))
     weights = np.array([stands[labels[i]] for i in order], float)
     index = Index(
         number, weight, labels[order], weights / max(weights.max(initial=0), 1e-9), np.array([examples[i][0] for i in order], object), prior, (np.empty(0), np.empty(0)),
-        slot_start, term, value, _sparse(term_, len(number)), slot_[by_term], value_[by_term], frequent, impacts, impacts.max(axis=2, initial=0),
+        slot_start, term, value, _sparse(term_, len(number)), slot_[by_term], value_[by_term], frequent, impacts, np.ascontiguousarray(impacts.max(axis=2, initial=0).T),
     )
-    raw = np.array([index.vote(*index.nearest(*vectors[i], skip=s)) for s, i in enumerate(order)])
+    raw = []
+    for at in range(0, len(order), TOGETHER):
+        some = order[at : at + TOGETHER]
+        raw += [index.vote(*x) for x in index.nearest([vectors[i] for i in some], skip=list(range(at, at + len(some))))]
+    raw = np.array(raw)
     index.steps = isotonic(raw, index.labels.astype(float), index.weights)
     return index
 
@@ -326,10 +340,11 @@ def score(docs: DataFrame, index: Index | float) -> DataFrame:
         for b in batches:
             raw, count, proof = np.full(b.num_rows, ix if isinstance(ix, float) else ix.prior), np.zeros(b.num_rows, np.int64), [""] * b.num_rows
             if not isinstance(ix, float):
-                for i, t in enumerate(b.column(1)):
-                    slots, cosines = ix.nearest(*ix.vector(t.as_py()))
-                    raw[i], count[i] = ix.vote(slots, cosines), len(slots)
-                    proof[i] = ",".join(f"{ix.ids[s]}:{ix.labels[s]}:{c:.3f}" for s, c in zip(slots[:3], cosines[:3]))
+                for first in range(0, b.num_rows, TOGETHER):
+                    some = b.column(1).slice(first, TOGETHER)
+                    for i, (slots, cosines) in enumerate(ix.nearest([ix.vector(t.as_py()) for t in some]), first):
+                        raw[i], count[i] = ix.vote(slots, cosines), len(slots)
+                        proof[i] = ",".join(f"{ix.ids[s]}:{ix.labels[s]}:{c:.3f}" for s, c in zip(slots[:3], cosines[:3]))
                 raw = ix.calibrated(raw)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw), pa.array(count), pa.array(proof)], names=schema.names)
 
