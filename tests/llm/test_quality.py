@@ -19,6 +19,12 @@ def slow(text):
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(hit))
 
 
+def test_every_measurement_is_stored(documents, messy):
+    for df in (documents, messy):
+        want = sorted(sum(a == b for a, b in zip(w, w[1:])) for w in (WORD.findall(r["text"] or "") for r in df.collect()))
+        assert sorted(r["n_stutter"] for r in quality.ledger(df).collect()) == want
+
+
 def test_measurements(documents, messy):
     for df in (documents, messy):
         texts = [r["text"] for r in df.collect()]

@@ -30,14 +30,20 @@ def words_of(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "weirflow-checkpoint")
+    """The folder that spark.checkpoint.dir names. A session in one process may go without; there a temporary one will do."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "weirflow-checkpoint")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder that spark.checkpoint.dir names, which all executors share.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Spark removes what is no longer referred to where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:

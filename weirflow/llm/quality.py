@@ -5,7 +5,7 @@ Every rule is evaluated once per document. The ledger keeps the measurements and
 or asking how many documents a rule alone rejects, never looks at a text again.
 
 Defined results: a null or empty text has no words, so all counts are 0 and ``short`` fails; repeated
-rows are judged each on their own; an empty table gives an empty ledger; other columns of the input are
+rows are judged each on their own; very long texts are measured whole; an empty table gives an empty ledger; other columns of the input are
 carried by :func:`filter_documents` whatever their names are, and do not enter :func:`ledger`.
 Everything is a built-in Spark expression.
 """
@@ -63,14 +63,15 @@ def _minus(text: Column, drop: str) -> Column:
 
 
 def _window_hashes(words: Column, n: Column) -> Column:
-    starts = F.sequence(F.lit(1), n - (WINDOW - 1))
-    return F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+    """Hashes of all windows, each from the hashes of its words."""
+    h = F.transform(words, lambda w: F.xxhash64(w))
+    shifted = F.transform(F.array(h), lambda h: F.arrays_zip(*[F.slice(h, i + 1, n - (WINDOW - 1)) for i in range(WINDOW)]))[0]
+    return F.when(n >= WINDOW, F.transform(shifted, lambda x: F.xxhash64(x)))
 
 
 def measurements(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus a struct ``__m`` of n_words, word_chars, n_symbols, n_upper, n_lines, n_dup_lines, n_repeat_words,
-    n_stutter (words equal to the one before; counted only where at least half of the words occur earlier in the text,
-    else 0, for then at most half can stutter).
+    n_stutter (words equal to the one before).
 
     Repeats: hash all 8-word windows. Where all differ (nearly all documents) the answer is 0; else sort
     (hash, position), keep positions whose neighbour has the same hash and add up what their windows cover.
@@ -80,8 +81,8 @@ def measurements(docs: DataFrame, text: str = "text") -> DataFrame:
     w, t = F.col("__w"), F.col("__t")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     a = a.withColumns({"__n": F.size(w), "__l": lines})
-    w1 = F.transform(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False)))
-    a = a.withColumn("__r", F.when(2 * F.size(F.array_distinct(w)) <= F.col("__n"), F.size(F.filter(w1, lambda x: x))))
+    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: x == y)
+    a = a.withColumn("__r", F.size(F.filter(pairs, lambda x: x)))
     a = a.withColumn("__h", _window_hashes(w, F.col("__n")))
     h = F.col("__h")
     pairs = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
