@@ -77,3 +77,24 @@ def test_redaction(spark, messy, none):
     assert sorted(str(r["text"]) for r in out.collect()) == sorted(str(r["text"]) for r in messy.collect())
     assert pii.redact_documents(none).count() == 0 and pii.query(none).count() == 0
     assert pii.query(messy).filter("spans <> ''").count() == 0
+
+
+def test_very_many_matches(spark):
+    """Spans and gaps of texts with many runs of matches, some of which overlap."""
+    many = " ".join(f"m{i}@x.org" if i % 3 else f"10.0.{i % 256}.{i % 200} é" for i in range(3000))
+    mixed = "+4915112345678 a.b@c.de 10.1.1.1@x.y " * 200
+    df = spark.createDataFrame([(1, many), (2, mixed), (3, "x" * 99 + many)], "doc_id long, text string")
+    check(df)
+    for r in pii.find(df).collect():
+        at, want = 0, ""
+        for s in r["__spans"]:
+            if s["start"] >= at:
+                want += r["text"][at : s["start"]] + f"<{s['kind'].upper()}>"
+            at = max(at, s["end"])
+        got = pii.redact_documents(df.filter(F.col("doc_id") == r["doc_id"])).first()["text"]
+        assert got == want + r["text"][at:]
+
+
+def test_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.cd")], "doc_id long, text string")
+    assert pii.query(df).columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]

@@ -23,13 +23,13 @@ win AS (SELECT rid, i, x, lag(x) OVER o AS before, CASE WHEN lead(x, 7) OVER o I
         FROM p WINDOW o AS (PARTITION BY rid ORDER BY i)),
 rep AS (SELECT rid, i, x, before, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY rid, g) > 1 THEN 1 ELSE 0 END AS r FROM win),
 cov AS (SELECT rid, i, x, before, max(r) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c FROM rep),
-n AS (SELECT rid, sum(c) AS n_repeat_words, count(*) FILTER (before = x) AS st, count(DISTINCT x) AS nd, count(*) AS nw FROM cov GROUP BY rid),
+n AS (SELECT rid, sum(c) AS n_repeat_words, count(*) FILTER (before = x) AS st FROM cov GROUP BY rid),
 m AS (SELECT a.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(length(t) - length(regexp_replace(t, '{symbols}', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS BIGINT) AS n_upper,
         CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
         CAST(coalesce(n.n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-        CAST(CASE WHEN 2 * nd <= nw THEN st ELSE 0 END AS BIGINT) AS n_stutter FROM a LEFT JOIN n ON a.rid = n.rid),
+        CAST(coalesce(st, 0) AS BIGINT) AS n_stutter FROM a LEFT JOIN n ON a.rid = n.rid),
 b AS (SELECT *, CAST({bits} AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
        (fail_bits & {mask}) = 0 AS kept, fail_bits FROM b"""
@@ -76,7 +76,7 @@ def _op9() -> str:
         )
     good = "CASE kind " + " ".join(f"WHEN '{k}' THEN {c}" for k, c in checks.items()) + " ELSE true END"
     counts = ", ".join(f"count(*) FILTER (kind = '{k.name}') AS n_{k.name}" for k in KINDS)
-    zero = ", ".join(f"CAST(coalesce(n_{k.name}, 0) AS BIGINT) AS n_{k.name}" for k in KINDS)
+    zero, more = (", ".join(f"CAST(coalesce(n_{k.name}, 0) AS BIGINT) AS n_{k.name}" for k in kinds) for kinds in (BASE, KINDS[len(BASE) :]))
     one = "kind || ':' || CAST(stop - length(x) AS VARCHAR) || ':' || CAST(stop AS VARCHAR)"
     order = "ORDER BY stop - length(x), rank"
     return f"""
@@ -86,7 +86,7 @@ s AS (SELECT *, CASE WHEN regexp_matches(right(g, {CONTEXT_CHARS}), near) THEN l
 f AS (SELECT * FROM s WHERE rank < {len(BASE)} OR score >= {MIN_SCORE}),
 r AS (SELECT rid, {counts}, string_agg({one}, ',' {order}) FILTER (rank < {len(BASE)}) AS b, string_agg({one}, ',' {order}) AS spans,
       string_agg(format('{{:.1f}}', CAST(score AS DOUBLE)), ',' {order}) AS scores FROM f GROUP BY rid)
-SELECT doc_id, {zero}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN r ON d.rid = r.rid"""
+SELECT doc_id, {zero}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, {more}, coalesce(scores, '') AS scores FROM d LEFT JOIN r ON d.rid = r.rid"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,13 +13,15 @@ Base spans are always reported; an added span is reported where its score reache
 Scores, for all kinds: what the checksum or format alone is worth, raised where one of the kind's
 context words stands within the 40 characters before the match.
 
-Defined results: a null or empty text has no spans; repeated rows are judged each on their own; an empty
+Defined results: a null or empty text has no spans; repeated rows are judged each on their own; very long
+texts and very many matches are found whole; an empty
 table gives an empty result; columns of the input other than doc_id and text do not enter, and
 :func:`redact_documents` carries them whatever their names are. Everything is a built-in Spark expression.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -101,12 +103,28 @@ def confirmed(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+#: Items that a running value goes over before its results are put aside.
+RUN = 64
+
+
+def running(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Array of what ``step`` puts into ``out`` of its state, a struct (at, out), as it goes over ``items``; ``kind``: the type of ``out``.
+
+    Appending copies an array, so results are gathered in runs, and the runs in an array of arrays.
+    """
+    def one(acc: Column, run: Column) -> Column:
+        state = F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out"))
+        done = F.aggregate(F.slice(items, run * RUN + 1, RUN), state, step)
+        return F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))[0]
+
+    runs = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN).cast("int")))
+    return F.aggregate(runs, F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("out")), one, lambda acc: F.flatten(acc["out"]))
+
+
 def _proposals(k: Kind, text: Column) -> Column:
     """Array of (kind, start, end, score, text) of the confirmed matches of one kind; null where there are none."""
     found = F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
     gaps = F.split(text, k.pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string,before:string>>").alias("out"))
-
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["match"])
@@ -114,7 +132,7 @@ def _proposals(k: Kind, text: Column) -> Column:
         return F.struct(end.alias("at"), F.when(confirmed(k.name, x["match"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
     pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    placed = F.aggregate(pairs, first, step, lambda acc: acc["out"])
+    placed = running(pairs, F.lit(0), step, "array<struct<start:int,end:int,match:string,before:string>>")
     near = lambda x: x["before"].rlike(rf"(?i)\b(?:{k.context})")
     scored = F.transform(
         placed,
@@ -148,17 +166,27 @@ def count_of(spans: Column, kind: str) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by ``<KIND>``; of overlapping spans the leftmost, then first-listed, stands, widened over those it overlaps."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with each span replaced by ``<KIND>``; of overlapping spans the leftmost, then first-listed, stands, widened over those it overlaps.
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        new = F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))).alias("out"))
-        wider = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(x["start"] >= acc["at"], new).otherwise(wider)
+    Spans are taken in runs; a run's part of the text is cut out once, and its gaps from that.
+    """
+    def one(acc: Column, run: Column) -> Column:
+        own = F.slice(spans, run * RUN + 1, RUN)
+        part = F.substring(text, acc["at"] + 1, F.array_max(F.transform(own, lambda x: x["end"])) - acc["at"])
 
+        def step(state: Column, x: Column) -> Column:
+            gap = F.substring(state["part"], state["at"] - acc["at"] + 1, x["start"] - state["at"])
+            new = F.concat(state["out"], F.array(gap, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))))
+            ahead = x["start"] >= state["at"]
+            return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(ahead, new).otherwise(state["out"]).alias("out"), state["part"].alias("part"))
+
+        done = F.aggregate(own, F.struct(acc["at"].alias("at"), F.array().cast("array<string>").alias("out"), part.alias("part")), step)
+        return F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(d["out"], ""))).alias("out")))[0]
+
+    runs = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / RUN).cast("int"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, end))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(runs, start, one, end))
 
 
 def redact_documents(docs: DataFrame, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
@@ -183,6 +211,7 @@ def query(docs: DataFrame) -> DataFrame:
     a = find(docs.select("doc_id", "text"))
     s = F.col("__spans")
     base = F.filter(s, lambda x: x["rank"] < len(BASE))
-    counts = [count_of(s, k.name).alias(f"n_{k.name}") for k in KINDS]
+    counts = {k.name: count_of(s, k.name).alias(f"n_{k.name}") for k in KINDS}
     scores = F.array_join(F.transform(s, lambda x: F.format_number(x["score"], 1)), ",")
-    return a.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(s).alias("spans"), scores.alias("scores"))
+    own, more = ([counts[k.name] for k in kinds] for kinds in (BASE, ADDED))
+    return a.select("doc_id", *own, F.sha2(digest(base), 256).alias("base_sha256"), digest(s).alias("spans"), *more, scores.alias("scores"))
