@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from weirflow.llm import urls
 
 
@@ -52,8 +54,20 @@ def test_one_class_none_and_repeats(spark):
 
 
 def test_clashing_columns(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(1, "http://a.com/en/x"), (2, "http://b.net/de/x"), (3, "http://c.io/")], "page_id long, url string")
     more = df.withColumns({c: F.lit("own") for c in ("host", "path", "label", "segment", "rule", "features", "entropy")})
     assert sorted(map(tuple, urls.query(more).collect())) == sorted(map(tuple, urls.query(df).collect()))
+
+
+def test_rates_leave_the_own_label_out(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"http://a{i}.{h}/en/x") for i, h in enumerate(["com"] * 3 + ["org"] * 2 + ["net"])], "page_id long, url string")
+    labelled = urls.lexical(df).withColumn("blocked", (F.col("label") == "com").cast("int"))
+    stats = urls.suffix_statistics(labelled)
+    for most in (urls.STATISTICS, 0):  # broadcast and joined
+        for r in urls.with_statistics(labelled, stats, "blocked", most).collect():
+            n = {"com": 3, "org": 2, "net": 1}[r["label"]]
+            b = n if r["label"] == "com" else 0
+            assert abs(r["suffix_rate"] - (b - r["blocked"] + 10) / (n - 1 + 20)) < 1e-12
+            assert abs(r["segment_rate"] - (3 - r["blocked"] + 10) / (5 + 20)) < 1e-12
+        new = urls.with_statistics(urls.lexical(spark.createDataFrame([(1, "http://z.com/q")], df.schema)), stats, None, most).first()
+        assert abs(new["suffix_rate"] - 13 / 23) < 1e-12 and new["segment_rate"] == 0.5

@@ -5,17 +5,20 @@ rule's. Of several that fit, the longest (host and path together) wins, ties goi
 a rule decides are the labelled examples; boosted trees learn from them what a blocked URL looks like and
 judge the URLs that no rule fits.
 
+The labels are the rules' own verdicts, for no others are given; the model generalises the rules.
+
 Features are lexical and come from built-in string functions: lengths of host and path, depth, share of
 digits, entropy of the characters, numbers of parameters and hyphens, host levels, scheme, and for the
 last host label and the first path segment the smoothed share of blocked URLs among the labelled ones
-(suffix statistics, gathered over all labelled URLs).
+(suffix statistics, gathered over all labelled URLs). A labelled URL has the shares of all others, without its own
+label. The statistics are broadcast up to ``STATISTICS`` rows, else joined.
 
 Training takes at most ``TRAIN_ROWS`` labelled URLs, those whose hash comes first; the statistics and the
 verdicts cover all. Where the labelled URLs are of one class or there are none, that class (else
 ``allow``) is the verdict of the method.
 
 Defined results: a url that is null or has no ``://`` has empty host and path, fits no rule and is judged
-by the model like any other; repeated rows are judged each on their own; an empty table gives an empty
+by the model like any other; very long ones are read whole; repeated rows are judged each on their own; an empty table gives an empty
 result; other columns do not enter. The main path is DataFrame operations and the DataFrame-based trees.
 """
 
@@ -35,6 +38,7 @@ TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 10, 3, 7
 #: Suffix statistics: labelled URLs that a value without any counts as having, half of them blocked.
 PRIOR = 20.0
+STATISTICS = 100_000
 
 
 @dataclass(frozen=True)
@@ -119,16 +123,20 @@ def lexical(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """(what, value, rate): the smoothed share of blocked ones by last host label and by first path segment."""
+    """(what, value, blocked, n): labelled URLs and blocked ones by last host label and by first path segment."""
     pairs = F.explode(F.array(F.struct(F.lit("suffix").alias("what"), F.col("label").alias("value")), F.struct(F.lit("segment").alias("what"), F.col("segment").alias("value"))))
-    rate = (F.sum("blocked") + PRIOR / 2) / (F.count("*") + PRIOR)
-    return labelled.select(pairs.alias("p"), "blocked").groupBy("p.what", "p.value").agg(rate.alias("rate"))
+    return labelled.select(pairs.alias("p"), "blocked").groupBy("p.what", "p.value").agg(F.sum("blocked").alias("blocked"), F.count("*").alias("n"))
 
 
-def with_statistics(urls: DataFrame, stats: DataFrame) -> DataFrame:
+def with_statistics(urls: DataFrame, stats: DataFrame, own: str | None = None, most: int = STATISTICS) -> DataFrame:
+    """``urls`` plus suffix_rate and segment_rate, the smoothed shares of blocked ones. ``own``: a column with the row's label, which is left out."""
+    small = stats.count() <= most
+    less, one = (F.col(own), F.lit(1)) if own else (F.lit(0), F.lit(0))
     for what, key in (("suffix", "label"), ("segment", "segment")):
-        own = stats.filter(F.col("what") == what).select(F.col("value").alias(f"__{key}"), F.col("rate").alias(f"{what}_rate"))
-        urls = urls.join(own, F.col(key) == F.col(f"__{key}"), "left").drop(f"__{key}").fillna(0.5, [f"{what}_rate"])
+        of = stats.filter(F.col("what") == what).select(F.col("value").alias(f"__{key}"), F.col("blocked").alias("__blocked"), F.col("n").alias("__n"))
+        rate = (F.col("__blocked") - less + PRIOR / 2) / (F.col("__n") - one + PRIOR)
+        met = urls.join(F.broadcast(of) if small else of, F.col(key) == F.col(f"__{key}"), "left")
+        urls = met.withColumn(f"{what}_rate", F.coalesce(rate, F.lit(0.5))).drop(f"__{key}", "__blocked", "__n")
     return urls
 
 
@@ -148,7 +156,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ..
     a = a.withColumn("__rule", fitting_rule(F.col("host"), F.col("path"), rules))
     labelled = a.filter(F.col("__rule").isNotNull()).withColumn("blocked", (F.col("__rule.verdict") == "block").cast("int")).drop("__keep")
     stats = cut(suffix_statistics(labelled))
-    model = train(with_statistics(labelled, stats), rows)
+    model = train(with_statistics(labelled, stats, "blocked"), rows)
     if model is None:
         only = labelled.select("blocked").limit(1).collect()
         scored = a.withColumn("__p", F.lit(float(only[0][0]) if only else 0.0))
