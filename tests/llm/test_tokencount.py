@@ -31,7 +31,7 @@ def test_counts_are_greedy(first, later, texts):
 def test_public_vocabulary(spark, messy, none, documents):
     if not Path(tokencount.VOCABULARY).exists():
         pytest.skip("no vocabulary here")
-    first, later = tokencount.read_vocabulary(tokencount.VOCABULARY)
+    first, later = tokencount.read_vocabulary(Path(tokencount.VOCABULARY).read_bytes())
     known = {}
     for df in (documents, messy):
         for r, t in zip(sorted(tokencount.query(df).collect(), key=repr), sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)):
@@ -52,3 +52,8 @@ def test_another_file(tmp_path, spark):
     p.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate([b" ab", b"abc", b" a", b"ab"])))
     df = spark.createDataFrame([(1, "ababc abcab"), (2, "ab")], "doc_id long, text string")
     assert {r["doc_id"]: r["n_tokens"] for r in tokencount.query(df, str(p)).collect()} == {1: 2 + 3, 2: 1}
+
+
+def test_missing_file(spark, documents):
+    with pytest.raises(FileNotFoundError):
+        tokencount.query(documents, "/nowhere/vocabulary")

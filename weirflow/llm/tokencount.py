@@ -8,10 +8,11 @@ are popped, and each link has the number of pieces popped on the way. No piece i
 
 The vocabulary is a file of a public byte-level tokenizer: one base64 token and its rank a line. Tokens
 that start with a space begin words, the others continue them; every single byte does both, so each word has
-a count. Which file is read is a parameter; the default directory is that of the installed tokenizers.
+a count. Which file is read is a parameter; the default directory is that of the installed tokenizers. The driver
+reads it once and sends it to the executors; where there is no such file, FileNotFoundError is raised before any job.
 
 Defined results: null and empty texts, and texts of nothing but space, have 0 words and 0 tokens; a piece
-that repeats in the file counts once; repeated rows are counted each; an empty table gives an empty result;
+that repeats in the file counts once; very long texts and words are counted whole; repeated rows are counted each; an empty table gives an empty result;
 other columns do not enter.
 """
 
@@ -32,11 +33,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MEMORY = 200_000
 
 
-def read_vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
+def read_vocabulary(data: bytes) -> tuple[set[bytes], set[bytes]]:
     """(pieces that begin a word, pieces that continue one), without the leading space; all bytes are in both."""
     single = {bytes([b]) for b in range(256)}
     first, later = set(single), set(single)
-    for line in Path(path).read_bytes().split(b"\n"):
+    for line in data.split(b"\n"):
         if line:
             token = base64.b64decode(line.split()[0])
             (first.add(token[1:]) if token[:1] == b" " and len(token) > 1 else later.add(token))
@@ -95,17 +96,18 @@ class Automaton:
 
 
 @lru_cache(maxsize=2)
-def automaton(path: str) -> Automaton:
-    return Automaton(*read_vocabulary(path))
+def automaton(data: bytes) -> Automaton:
+    return Automaton(*read_vocabulary(data))
 
 
 def count_tokens(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_words, n_tokens and n_bytes (of the words) of every row."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())  # a few MB, whatever the documents
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").alias("__text"))
     schema = rows.drop("__text").withColumns({c: F.lit(0).cast("long") for c in ("n_words", "n_tokens", "n_bytes")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, memory = automaton(path).count, {}
+        count, memory = automaton(vocabulary.value).count, {}
         for b in batches:
             out = np.zeros((3, b.num_rows), np.int64)
             for i, t in enumerate(b.column(1)):
