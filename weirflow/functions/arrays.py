@@ -123,30 +123,30 @@ def patch_dropout(x: Column, h: int, w: int, c: int, corners: list[tuple[Column,
     return F.transform(x, entry)
 
 
-def entry_draw(idx: Column, i: Column, tag: str, seed: int) -> Column:
-    return keyed.fast_uniform(idx * 1_048_576 + i, tag, seed)
+def entry_draw(idx: Column, i: Column, tag: str, seed: int, draw: Callable[..., Column] = keyed.fast_uniform) -> Column:
+    return draw(idx * 1_048_576 + i, tag, seed)
 
 
-def gaussian_noise(x: Column, idx: Column, sigma: float = 0.05, mu: float = 0.0, tag: str = "noise", seed: int = 0) -> Column:
+def gaussian_noise(x: Column, idx: Column, sigma: float = 0.05, mu: float = 0.0, tag: str = "noise", seed: int = 0, draw: Callable[..., Column] = keyed.fast_uniform) -> Column:
     """One normal an entry, keyed by (index, place)."""
-    return F.transform(x, lambda v, i: v + mu + sigma * keyed.normal(idx * 1_048_576 + i, tag, seed, keyed.fast_uniform))
+    return F.transform(x, lambda v, i: v + mu + sigma * keyed.normal(idx * 1_048_576 + i, tag, seed, draw))
 
 
-def salt_pepper(x: Column, idx: Column, salt: float = 0.01, pepper: float = 0.01, high: float | None = None, tag: str = "saltpepper", seed: int = 0) -> Column:
+def salt_pepper(x: Column, idx: Column, salt: float = 0.01, pepper: float = 0.01, high: float | None = None, tag: str = "saltpepper", seed: int = 0, draw: Callable[..., Column] = keyed.fast_uniform) -> Column:
     """An entry becomes ``high`` with chance ``salt``, 0 with chance ``pepper``; high is 255 or 1 by the array's range where not given."""
     top = F.lit(high) if high is not None else F.when(F.array_max(x) > 1.5, 255.0).otherwise(1.0)
 
     def entry(v: Column, i: Column) -> Column:
-        u = entry_draw(idx, i, tag, seed)
+        u = entry_draw(idx, i, tag, seed, draw)
         return F.when(u < salt, top).when(u < salt + pepper, F.lit(0.0)).otherwise(v)
 
     return F.transform(x, entry)
 
 
-def dropout(x: Column, idx: Column, rate: float = 0.1, channels: int | None = None, tag: str = "dropout", seed: int = 0) -> Column:
+def dropout(x: Column, idx: Column, rate: float = 0.1, channels: int | None = None, tag: str = "dropout", seed: int = 0, draw: Callable[..., Column] = keyed.fast_uniform) -> Column:
     """Entries, or whole channels (last axis), set to 0 with chance ``rate``; the rest is not scaled."""
     place = (lambda i: F.pmod(i, F.lit(channels))) if channels else (lambda i: i)
-    return F.transform(x, lambda v, i: F.when(entry_draw(idx, place(i), tag, seed) >= rate, v).otherwise(F.lit(0.0)))
+    return F.transform(x, lambda v, i: F.when(entry_draw(idx, place(i), tag, seed, draw) >= rate, v).otherwise(F.lit(0.0)))
 
 
 def solarize(x: Column, threshold: float | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,21 +30,30 @@ def _weights(n_fft: int, rate: float) -> np.ndarray:
 
 
 def loudness_of(x: np.ndarray, rate: float = 16000, n_fft: int = 512, hop: int = 64, reference: float = 20.7, floor: float = 80.0) -> np.ndarray:
-    """A-weighted mean power in dB of each of len // hop frames; frames are centred, the ends padded with zeros."""
-    n = len(x) // hop
-    p = np.pad(x, n_fft // 2)
+    """A-weighted mean power in dB of each of len // hop frames of waves [..., len]; frames are centred, the ends padded with zeros."""
+    n = x.shape[-1] // hop
+    p = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(n_fft // 2, n_fft // 2)])
     at = np.arange(n)[:, None] * hop + np.arange(n_fft)[None, :]
     window = np.hanning(n_fft + 1)[:-1]
-    power = np.abs(np.fft.rfft(p[np.minimum(at, len(p) - 1)] * window, axis=1)) ** 2
+    power = np.abs(np.fft.rfft(p[..., np.minimum(at, p.shape[-1] - 1)] * window)) ** 2
     db = 10 * np.log10(np.maximum(power, 1e-20)) + _weights(n_fft, rate)
-    level = 10 * np.log10(np.mean(10 ** (db / 10), axis=1)) - reference
+    level = 10 * np.log10(np.mean(10 ** (db / 10), axis=-1)) - reference
     return np.maximum(level, -floor)
 
 
 def loudness(x: Column, **options) -> Column:
-    @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([loudness_of(np.asarray(v, float), **options).astype(np.float32).tolist() for v in s], index=s.index)
+    """:func:`loudness_of` waves of any lengths: those of one length at once. Null stays null."""
+
+    @F.arrow_udf("array<double>")
+    def run(s: pa.Array) -> pa.Array:
+        lengths = s.value_lengths().to_numpy(zero_copy_only=False)
+        out: list[np.ndarray | None] = [None] * len(s)
+        for n in np.unique(lengths[~np.isnan(lengths.astype(float))]):
+            own = np.flatnonzero(lengths == n)
+            waves = s.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), int(n))
+            for i, row in zip(own, loudness_of(waves, **options)):
+                out[i] = row
+        return pa.array(out, pa.list_(pa.float64()))
 
     return run(x)
 

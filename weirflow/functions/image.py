@@ -1,7 +1,7 @@
-"""Image functions that need neighbours or many channels: numpy, applied by Arrow batches.
+"""Image functions that need neighbours or many channels: numpy, over whole Arrow batches.
 
-Images are float arrays of shape [H, W, C] (or [H, W]) in [0, 1]; in tables they are flattened, with their
-shape given to :func:`over`.
+Images are arrays of shape [..., H, W, C] in [0, 1], of any number of leading axes; parameters have those axes, or none.
+In tables images are flattened, with their shape given to :func:`over`, which stacks a batch into one array.
 """
 
 from __future__ import annotations
@@ -9,21 +9,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def over(fn: Callable[..., np.ndarray], shape: tuple[int, ...], **fixed) -> Callable[..., Column]:
-    """``fn(image, *scalars)`` as a function of an array column and columns of scalars."""
-
-    @F.pandas_udf("array<float>")
-    def run(x: pd.Series, *scalars: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else np.asarray(fn(np.asarray(v, np.float32).reshape(shape), *s, **fixed), np.float32).ravel().tolist() for v, *s in zip(x, *scalars)], index=x.index)
+    """``fn(images, *scalars)`` as a function of an array column and columns of scalars; null stays null."""
+
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array, *scalars: pa.Array) -> pa.Array:
+        there = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))
+        rows = x.take(pa.array(there))
+        images = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, *shape)
+        out = np.asarray(fn(images, *(c.take(pa.array(there)).to_numpy(zero_copy_only=False) for c in scalars), **fixed), float).reshape(len(there), -1)
+        lists = pa.ListArray.from_arrays(np.arange(len(there) + 1, dtype=np.int32) * out.shape[1], out.ravel())
+        places = np.full(len(x), -1)
+        places[there] = np.arange(len(there))
+        return lists.take(pa.array(places, mask=places < 0))
 
     return run
 
 
+def _per(p: float | np.ndarray, axes: int) -> np.ndarray:
+    """A parameter with ``axes`` more axes, to go with those of an image."""
+    p = np.asarray(p)
+    return p.reshape(p.shape + (1,) * axes)
+
+
 def _taps(n: int, out: int, kernel: Callable[[np.ndarray], np.ndarray], support: float, antialias: bool) -> np.ndarray:
     """Weights [out, n] of a separable resampling with half-pixel centres; edges renormalised."""
     scale = n / out
@@ -45,19 +58,22 @@ def _cubic(x: np.ndarray, a: float = -0.5) -> np.ndarray:
 def resize(x: np.ndarray, h: int, w: int, method: str = "bilinear", antialias: bool = True) -> np.ndarray:
     h, w = int(h), int(w)
     if method == "nearest":
-        i = np.floor((np.arange(h) + 0.5) * x.shape[0] / h).astype(int)
-        j = np.floor((np.arange(w) + 0.5) * x.shape[1] / w).astype(int)
-        return x[i][:, j]
+        i = np.floor((np.arange(h) + 0.5) * x.shape[-3] / h).astype(int)
+        j = np.floor((np.arange(w) + 0.5) * x.shape[-2] / w).astype(int)
+        return x[..., i, :, :][..., j, :]
     kernel, support = {"bilinear": (_linear, 1.0), "bicubic": (_cubic, 2.0)}[method]
-    out = np.tensordot(_taps(x.shape[0], h, kernel, support, antialias), x, (1, 0))
-    return np.moveaxis(np.tensordot(_taps(x.shape[1], w, kernel, support, antialias), out, (1, 1)), 0, 1)
+    down = np.einsum("oh,...hwc->...owc", _taps(x.shape[-3], h, kernel, support, antialias), x)
+    return np.einsum("ow,...hwc->...hoc", _taps(x.shape[-2], w, kernel, support, antialias), down)
 
 
-def resized_crop(x: np.ndarray, u: float, v: float, share: float = 0.75) -> np.ndarray:
+def resized_crop(x: np.ndarray, u: float | np.ndarray, v: float | np.ndarray, share: float = 0.75) -> np.ndarray:
     """A crop of ``share`` of either side at (u, v) of the free room, resized back."""
-    h, w = max(1, int(x.shape[0] * share)), max(1, int(x.shape[1] * share))
-    top, left = int(u * (x.shape[0] - h + 1)), int(v * (x.shape[1] - w + 1))
-    return resize(x[top : top + h, left : left + w], x.shape[0], x.shape[1])
+    rows, cols = x.shape[-3:-1]
+    h, w = max(1, int(rows * share)), max(1, int(cols * share))
+    top, left = (np.asarray(r * n).astype(int) for r, n in ((u, rows - h + 1), (v, cols - w + 1)))
+    i, j = top[..., None] + np.arange(h), left[..., None] + np.arange(w)
+    part = np.take_along_axis(np.take_along_axis(x, i[..., :, None, None], -3), j[..., None, :, None], -2)
+    return resize(part, rows, cols)
 
 
 def rgb_to_hsv(x: np.ndarray) -> np.ndarray:
@@ -76,53 +92,60 @@ def hsv_to_rgb(x: np.ndarray) -> np.ndarray:
     return v[..., None] * (1 - s[..., None] * np.clip(np.minimum(k, 4 - k), 0, 1))
 
 
-def saturation(x: np.ndarray, factor: float) -> np.ndarray:
+def saturation(x: np.ndarray, factor: float | np.ndarray) -> np.ndarray:
     h = rgb_to_hsv(x)
-    h[..., 1] = np.clip(h[..., 1] * factor, 0, 1)
+    h[..., 1] = np.clip(h[..., 1] * _per(factor, 2), 0, 1)
     return np.clip(hsv_to_rgb(h), 0, 1)
 
 
-def hue(x: np.ndarray, delta: float) -> np.ndarray:
+def hue(x: np.ndarray, delta: float | np.ndarray) -> np.ndarray:
     """Hue turned by ``delta`` radians, at most half a turn either way."""
     h = rgb_to_hsv(x)
-    h[..., 0] = (h[..., 0] + np.clip(delta, -np.pi, np.pi)) % (2 * np.pi)
+    h[..., 0] = (h[..., 0] + np.clip(_per(delta, 2), -np.pi, np.pi)) % (2 * np.pi)
     return np.clip(hsv_to_rgb(h), 0, 1)
 
 
-def jitter(x: np.ndarray, brightness: float = 1.0, contrast: float = 1.0, saturate: float = 1.0, turn: float = 0.0) -> np.ndarray:
+def jitter(x: np.ndarray, brightness: float | np.ndarray = 1.0, contrast: float | np.ndarray = 1.0, saturate: float | np.ndarray = 1.0, turn: float | np.ndarray = 0.0) -> np.ndarray:
     """Brightness, then contrast, then saturation, then hue."""
-    x = np.clip(x * brightness, 0, 1)
-    x = np.clip(x.mean() + contrast * (x - x.mean()), 0, 1)
-    return hue(saturation(x, saturate), turn) if x.ndim == 3 and x.shape[-1] == 3 else x
+    x = np.clip(x * _per(brightness, 3), 0, 1)
+    mean = x.mean(axis=(-3, -2, -1), keepdims=True)
+    x = np.clip(mean + _per(contrast, 3) * (x - mean), 0, 1)
+    return hue(saturation(x, saturate), turn) if x.shape[-1] == 3 else x
 
 
-def rotate(x: np.ndarray, angle: float, fill: float = 0.0) -> np.ndarray:
+def rotate(x: np.ndarray, angle: float | np.ndarray, fill: float = 0.0) -> np.ndarray:
     """Turned by ``angle`` radians about (H/2, W/2), bilinear, ``fill`` where the source is outside."""
-    h, w = x.shape[:2]
+    h, w = x.shape[-3:-1]
     i, j = np.meshgrid(np.arange(h) - h / 2, np.arange(w) - w / 2, indexing="ij")
-    si, sj = i * np.cos(angle) - j * np.sin(angle) + h / 2, i * np.sin(angle) + j * np.cos(angle) + w / 2
+    c, s = np.cos(_per(angle, 2)), np.sin(_per(angle, 2))
+    si, sj = i * c - j * s + h / 2, i * s + j * c + w / 2
     inside = (si >= 0) & (si <= h - 1) & (sj >= 0) & (sj <= w - 1)
     a, b = np.clip(si, 0, h - 1), np.clip(sj, 0, w - 1)
     i0, j0 = np.minimum(np.floor(a).astype(int), max(h - 2, 0)), np.minimum(np.floor(b).astype(int), max(w - 2, 0))
     i1, j1 = np.minimum(i0 + 1, h - 1), np.minimum(j0 + 1, w - 1)
-    more = (...,) + (None,) * (x.ndim - 2)
-    fa, fb = (a - i0)[more], (b - j0)[more]
-    out = (1 - fa) * ((1 - fb) * x[i0, j0] + fb * x[i0, j1]) + fa * ((1 - fb) * x[i1, j0] + fb * x[i1, j1])
-    return np.where(inside[more], out, fill)
+    flat = x.reshape(*x.shape[:-3], h * w, x.shape[-1])
+
+    def at(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        place = (i * w + j).reshape(*i.shape[:-2], h * w, 1)
+        return np.take_along_axis(flat, np.broadcast_to(place, (*flat.shape[:-1], 1)), -2).reshape(x.shape)
+
+    fa, fb = (a - i0)[..., None], (b - j0)[..., None]
+    out = (1 - fa) * ((1 - fb) * at(i0, j0) + fb * at(i0, j1)) + fa * ((1 - fb) * at(i1, j0) + fb * at(i1, j1))
+    return np.where(inside[..., None], out, fill)
 
 
-def blur(x: np.ndarray, sigma: float, size: int = 5) -> np.ndarray:
+def blur(x: np.ndarray, sigma: float | np.ndarray, size: int = 5) -> np.ndarray:
     """Gaussian of ``size`` taps along both axes, edges repeated."""
     t = np.arange(size) - size // 2
-    k = np.exp(-(t**2) / (2 * sigma**2))
-    k /= k.sum()
-    for axis in (0, 1):
-        pad = [(size // 2, size // 2) if a == axis else (0, 0) for a in range(x.ndim)]
-        p = np.pad(x, pad, mode="edge")
-        x = sum(k[i] * np.take(p, np.arange(i, i + x.shape[axis]), axis) for i in range(size))
+    k = np.exp(-(t**2) / (2 * _per(sigma, 1) ** 2))
+    k /= k.sum(axis=-1, keepdims=True)
+    for axis in (-3, -2):
+        n = x.shape[axis]
+        x = sum(_per(k[..., i], 3) * np.take(x, np.clip(np.arange(n) + t[i], 0, n - 1), axis) for i in range(size))
     return x
 
 
-def poisson_noise(x: np.ndarray, seed: int, scale: float = 255.0) -> np.ndarray:
-    """Poisson counts of mean x scale, scaled back; keyed by the seed."""
-    return np.random.Generator(np.random.PCG64(int(seed) % (1 << 64))).poisson(np.maximum(x, 0) * scale) / scale
+def poisson_noise(x: np.ndarray, seed: int | np.ndarray, scale: float = 255.0) -> np.ndarray:
+    """Poisson counts of mean x scale, scaled back; each image keyed by its own seed."""
+    draw = lambda one, s: np.random.Generator(np.random.PCG64(int(s) % (1 << 64))).poisson(np.maximum(one, 0) * scale) / scale
+    return np.stack([draw(one, s) for one, s in zip(x, seed)]) if np.ndim(seed) and len(seed) else draw(x, seed) if not np.ndim(seed) else x

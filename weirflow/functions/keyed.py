@@ -58,12 +58,14 @@ def pick(u: Column, weights: list[float]) -> Column:
     return out
 
 
-def permuted(idx: Column, n: int, seed: int = 0, rounds: int = 4) -> Column:
+def permuted(idx: Column, n: int, seed: int | Column = 0, rounds: int = 4, exact: bool = False) -> Column:
     """Image of ``idx`` under a keyed permutation of [0, n), computed from the index alone.
 
     A balanced Feistel network on the next even number of bits, walked until the value is inside the
-    range: no sort, no shuffle, and any slice of the order can be computed by itself.
+    range: no sort, no shuffle, and any slice of the order can be computed by itself. ``exact`` rounds are
+    :func:`uniform` draws, which SQL engines can repeat.
     """
+    seed = F.lit(seed) if isinstance(seed, int) else seed
     if n <= 1:
         return F.lit(0).cast("long")
     half = (max(1, (n - 1).bit_length()) + 1) // 2
@@ -71,7 +73,8 @@ def permuted(idx: Column, n: int, seed: int = 0, rounds: int = 4) -> Column:
 
     def network(x: Column) -> Column:
         start = F.struct(F.shiftright(x, half).alias("a"), x.bitwiseAND(F.lit(width - 1).cast("long")).alias("b"))
-        step = lambda s, r: F.struct(s["b"].alias("a"), s["a"].bitwiseXOR(F.pmod(F.xxhash64(s["b"], F.lit(seed), r), F.lit(width)).cast("long")).alias("b"))
+        drawn = lambda b, r: F.floor(uniform(b, F.concat_ws("|", F.lit("feistel"), seed.cast("string"), r.cast("string"))) * width) if exact else F.pmod(F.xxhash64(b, seed, r), F.lit(width))
+        step = lambda s, r: F.struct(s["b"].alias("a"), s["a"].bitwiseXOR(drawn(s["b"], r).cast("long")).alias("b"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: s["a"] * width + s["b"])
 
     first = F.struct(idx.cast("long").alias("x"), F.lit(True).alias("out"))

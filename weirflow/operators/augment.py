@@ -6,8 +6,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions import arrays, image, keyed
@@ -70,12 +70,14 @@ class Noise(ArrayOp):
     sigma: float = 0.05
     salt: float = 0.01
     pepper: float = 0.01
+    exact: bool = False  # draws that SQL engines can repeat
 
     def change(self, x: Column, r: Record) -> Column:
+        draw = keyed.uniform if self.exact else keyed.fast_uniform
         if self.kind == "gaussian":
-            return arrays.gaussian_noise(x, r.idx, self.sigma, tag=r.tag, seed=r.seed)
+            return arrays.gaussian_noise(x, r.idx, self.sigma, tag=r.tag, seed=r.seed, draw=draw)
         if self.kind == "salt_pepper":
-            return arrays.salt_pepper(x, r.idx, self.salt, self.pepper, tag=r.tag, seed=r.seed)
+            return arrays.salt_pepper(x, r.idx, self.salt, self.pepper, tag=r.tag, seed=r.seed, draw=draw)
         if self.kind == "poisson":
             return image.over(image.poisson_noise, self.shape)(x, F.xxhash64(F.lit(r.seed), F.lit(r.tag), r.idx))
         raise ValueError(f"no noise {self.kind!r}")
@@ -85,9 +87,10 @@ class Noise(ArrayOp):
 class Dropout(ArrayOp):
     rate: float = 0.1
     by_channel: bool = False
+    exact: bool = False
 
     def change(self, x: Column, r: Record) -> Column:
-        return arrays.dropout(x, r.idx, self.rate, self.shape[2] if self.by_channel else None, r.tag, r.seed)
+        return arrays.dropout(x, r.idx, self.rate, self.shape[2] if self.by_channel else None, r.tag, r.seed, keyed.uniform if self.exact else keyed.fast_uniform)
 
 
 @dataclass(frozen=True)
@@ -207,33 +210,36 @@ class ChannelAffine(ArrayOp):
     scales: tuple[float, ...] = (1.0, 1.0, 1.0)
     shifts: tuple[float, ...] = (0.0, 0.0, 0.0)
     rate: float = 0.0
+    exact: bool = False
 
     def change(self, x: Column, r: Record) -> Column:
         s, b, n = F.array(*map(F.lit, self.scales)), F.array(*map(F.lit, self.shifts)), len(self.scales)
         y = F.transform(x, lambda v, i: v * F.get(s, F.pmod(i, F.lit(n))) + F.get(b, F.pmod(i, F.lit(n))))
-        return arrays.dropout(y, r.idx, self.rate, None, r.tag, r.seed) if self.rate else y
+        return arrays.dropout(y, r.idx, self.rate, None, r.tag, r.seed, keyed.uniform if self.exact else keyed.fast_uniform) if self.rate else y
 
 
 def partner(df: DataFrame, names: list[str], seed: int = 0, tag: str = "mix") -> DataFrame:
-    """``df`` (with batch_id) plus ``__other``: fields of the row that a keyed permutation of the batch puts here.
+    """``df`` (with batch_id) plus ``__other``, fields of the row that a keyed permutation of the batch puts here, and ``__n``, the batch's size.
 
-    Row k of a batch is given the row whose draw has rank k. Rows move once, to their batch: both sides of the
-    join are the same exchange by batch, and the ranks are compared inside it.
+    Row k of a batch is given the row whose draw has rank k. A batch's rows meet once, in order, and are paired by place:
+    one shuffle, as many rows out as in.
     """
-    by_place = Window.partitionBy("batch_id").orderBy(IDX)
-    by_draw = Window.partitionBy("batch_id").orderBy("__u", IDX)
-    d = df.withColumn("__u", keyed.uniform(F.col(IDX), f"{tag}/perm", seed))
-    d = d.withColumns({"__k": F.row_number().over(by_place), "__r": F.row_number().over(by_draw), "__n": F.count("*").over(Window.partitionBy("batch_id"))})
-    other = d.select(F.col("batch_id").alias("__b"), F.col("__r").alias("__rank"), F.struct(*names).alias("__other"))
-    met = (F.col("batch_id") == F.col("__b")) & (F.col("__k") - F.col("__rank") == 0)
-    return d.join(other, met).drop("__u", "__r", "__k", "__b", "__rank")
+    columns = [c for c in df.columns if c != "batch_id"]
+    rows = df.select("batch_id", F.struct(F.col(IDX).alias("i"), F.struct(*columns).alias("row")).alias("r"), F.struct(keyed.uniform(F.col(IDX), f"{tag}/perm", seed).alias("u"), F.col(IDX).alias("i"), F.struct(*names).alias("other")).alias("o"))
+    batch = rows.groupBy("batch_id").agg(F.sort_array(F.collect_list("r")).alias("r"), F.sort_array(F.collect_list("o")).alias("o"))
+    pairs = F.zip_with("r", "o", lambda r, o: F.struct(r["row"].alias("row"), o["other"].alias("other")))
+    d = batch.select("batch_id", F.size("r").alias("__n"), F.explode(pairs).alias("p"))
+    return d.select("batch_id", "p.row.*", F.col("p.other").alias("__other"), "__n").select(*df.columns, "__other", "__n")
 
 
 def beta(alpha: float, key: Column) -> Column:
-    """Beta(alpha, alpha) keyed by a 64-bit column; uniform at alpha 1 comes from the key itself."""
-    @F.pandas_udf("double")
-    def run(k: pd.Series) -> pd.Series:
-        return pd.Series([np.random.Generator(np.random.PCG64(int(v) % (1 << 64))).beta(alpha, alpha) for v in k], index=k.index)
+    """Beta(alpha, alpha) keyed by a 64-bit column; one draw for each key."""
+
+    @F.arrow_udf("double")
+    def run(k: pa.Array) -> pa.Array:
+        keys, where = np.unique(k.to_numpy(zero_copy_only=False), return_inverse=True)  # rows of a batch have one key
+        draws = np.array([np.random.Generator(np.random.PCG64(int(v) % (1 << 64))).beta(alpha, alpha) for v in keys])
+        return pa.array(draws[where])
 
     return run(key)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,11 +35,11 @@ def arithmetic(spark: SparkSession, start: int, stop: int, step: int = 1, trunca
 def shuffled(spark: SparkSession, n: int, seed: int = 0, epoch: int = 0, method: str = "feistel") -> DataFrame:
     """__pos and __idx of a seeded permutation.
 
-    ``feistel`` computes each position from its index alone; ``rank`` orders by keyed draws, which SQL engines
-    can repeat but which sorts.
+    ``feistel`` computes each position from its index alone, ``feistel_exact`` by rounds that SQL engines can repeat;
+    ``rank`` orders by keyed draws, which sorts.
     """
-    if method == "feistel":
-        return spark.range(n).select(F.col("id").alias(IDX), keyed.permuted(F.col("id"), n, seed + epoch).alias("__pos"))
+    if method.startswith("feistel"):
+        return spark.range(n).select(F.col("id").alias(IDX), keyed.permuted(F.col("id"), n, seed + epoch, exact=method == "feistel_exact").alias("__pos"))
     d = spark.range(n).select(F.col("id").alias(IDX), keyed.uniform(F.col("id"), f"perm|{epoch}", seed).alias("__u"))
     return rank_by(d, ["__u", IDX], "__pos").drop("__u")
 
@@ -53,14 +54,46 @@ def rank_by(df: DataFrame, by: list[str], out: str) -> DataFrame:
     return d.withColumnRenamed("__own", IDX) if keep else d
 
 
-def epoch_shuffled(spark: SparkSession, n: int, epochs: int, seed: int = 0) -> DataFrame:
-    """A new permutation in every epoch."""
-    idx = F.pmod("id", F.lit(n))
-    d = spark.range(n * epochs).select(F.floor(F.col("id") / n).alias("__epoch"), idx.alias(IDX))
-    pos = keyed.permuted(F.col(IDX), n, seed)
-    for e in range(1, epochs):
-        pos = F.when(F.col("__epoch") == e, keyed.permuted(F.col(IDX), n, seed + e)).otherwise(pos)
-    return d.withColumn("__pos", F.col("__epoch") * n + pos)
+def epoch_shuffled(spark: SparkSession, n: int, epochs: int, seed: int = 0, first: int = 0, exact: bool = False) -> DataFrame:
+    """A new permutation in each of ``epochs`` epochs from ``first`` on; the plan is the same for any number of them."""
+    epoch = F.floor(F.col("id") / n)
+    d = spark.range(n * first, n * (first + epochs)).select(epoch.alias("__epoch"), F.pmod("id", F.lit(n)).alias(IDX))
+    return d.withColumn("__pos", F.col("__epoch") * n + keyed.permuted(F.col(IDX), n, (F.col("__epoch") + seed), exact=exact))
+
+
+@dataclass(frozen=True)
+class EpochCursor:
+    """An endless sampler with state: positions go on over epochs, each a permutation of its own.
+
+    ``take`` gives the next rows and the cursor behind them; ``on_epoch`` is called with each epoch that is completed.
+    """
+
+    n: int
+    seed: int | None = 0
+    position: int = 0
+    on_epoch: Callable[[int], None] | None = None
+
+    def state(self) -> dict[str, int]:
+        return {"n": self.n, "position": self.position, "epoch": self.position // self.n, "offset": self.position % self.n}
+
+    def restored(self, state: dict[str, int]) -> EpochCursor:
+        if state["n"] != self.n:
+            raise ValueError(f"a state of {state['n']} rows for a sampler of {self.n}")
+        return replace(self, position=state["position"])
+
+    def progress(self) -> float:
+        """Share of the running epoch that is behind."""
+        return self.position % self.n / self.n
+
+    def take(self, spark: SparkSession, count: int) -> tuple[DataFrame, EpochCursor]:
+        """(__epoch, __pos, __idx of the next ``count`` positions, the cursor behind them)."""
+        end = self.position + count
+        first, last = self.position // self.n, -(-end // self.n)
+        d = epoch_shuffled(spark, self.n, last - first, self.seed, first) if self.seed is not None else sequential(spark, self.n, last).filter(F.col("__epoch") >= first)
+        for e in range(first, end // self.n):
+            if self.on_epoch is not None:
+                self.on_epoch(e)
+        return d.filter((F.col("__pos") >= self.position) & (F.col("__pos") < end)), replace(self, position=end)
 
 
 @dataclass(frozen=True)
@@ -112,14 +145,15 @@ class FifoBuffer:
     def contents(self, df: DataFrame, value: str) -> DataFrame:
         """``df`` plus ``__buffer``: what the ring holds after each write, oldest first.
 
-        Rows are copied to the ring states they are part of and gathered by state, at most ``capacity`` each.
+        Rows go to blocks of positions of a few capacities, the last of each block also to the next as its halo; inside a
+        block the buffer is a frame of rows. So a row moves once or twice, whatever the capacity.
         """
-        n = df.count()
-        ahead = F.explode(F.sequence(F.col(IDX), F.least(F.col(IDX) + self.capacity - 1, F.lit(n - 1))))
-        held = df.select(ahead.alias("__t"), F.struct(F.col(IDX).alias("i"), F.col(value).alias("v")).alias("e"))
-        held = held.groupBy("__t").agg(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["v"]).alias("__buffer"))
-        return df.join(held, F.col(IDX) == F.col("__t")).drop("__t")
-
+        size = 4 * self.capacity
+        block = F.floor(F.col(IDX) / size)
+        to = F.when(F.pmod(F.col(IDX), F.lit(size)) > size - self.capacity, F.array(block, block + 1)).otherwise(F.array(block))
+        frame = Window.partitionBy("__block").orderBy(IDX).rowsBetween(-(self.capacity - 1), Window.currentRow)
+        held = df.withColumn("__block", F.explode(to)).withColumn("__buffer", F.collect_list(value).over(frame))
+        return held.filter(F.col("__block") == block).drop("__block")
 
     def held_at(self, t: Column, slot: Column) -> Column:
         """Index of the row that a slot holds after write t."""
@@ -166,7 +200,3 @@ def reservoir_state(df: DataFrame, capacity: int, seed: int = 0) -> DataFrame:
     w = df.withColumn("__slot", reservoir_slot(F.col(IDX), capacity, seed)).filter("__slot is not null")
     last = w.groupBy("__slot").agg(F.max(IDX).alias("__last"))
     return w.join(last.withColumnRenamed("__slot", "__s"), (F.col("__slot") == F.col("__s")) & (F.col(IDX) == F.col("__last"))).drop("__s", "__last")
-
-
-def window_by(*by: str):
-    return Window.partitionBy(*by)
