@@ -13,6 +13,12 @@ from . import keyed
 LUMA = (0.299, 0.587, 0.114)
 
 
+def bind(fn: Callable[..., Column], **columns: Column) -> Column:
+    """``fn(**columns)`` with each column computed once a row: inside a lambda over entries it would be once an entry."""
+    once = F.struct(*[c.alias(k) for k, c in columns.items()])
+    return F.transform(F.array(once), lambda s: fn(**{k: s.getField(k) for k in columns}))[0]
+
+
 def clip(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.transform(x, lambda v: F.greatest(F.lit(lo), F.least(F.lit(hi), v)))
 
@@ -24,7 +30,7 @@ def to_unit(x: Column) -> Column:
 
 def affine(x: Column, scale: float | Column = 1.0, shift: float | Column = 0.0) -> Column:
     scale, shift = (F.lit(v) if isinstance(v, (int, float)) else v for v in (scale, shift))
-    return F.transform(x, lambda v: v * scale + shift)
+    return bind(lambda a, b: F.transform(x, lambda v: v * a + b), a=scale, b=shift)
 
 
 def mean(x: Column) -> Column:
@@ -54,13 +60,13 @@ def brightness(x: Column, factor: float | Column = 1.0, delta: float | Column =
 def contrast(x: Column, factor: float | Column, bounds: tuple[float, float] = (0.0, 1.0)) -> Column:
     """mean + factor (x - mean), the mean over the whole array."""
     f = F.lit(factor) if isinstance(factor, (int, float)) else factor
-    return clip(F.transform(F.array(mean(x)), lambda m: F.transform(x, lambda v: m + f * (v - m)))[0], *bounds)
+    return clip(bind(lambda m, f: F.transform(x, lambda v: m + f * (v - m)), m=mean(x), f=f), *bounds)
 
 
 def grayscale(x: Column, keep_channels: bool = False) -> Column:
     """Luma of each pixel of an RGB array; repeated three times with ``keep_channels``."""
     pixels = F.sequence(F.lit(0), (F.size(x) / 3 - 1).cast("int"))
-    luma = F.transform(pixels, lambda p: sum((F.get(x, p * 3 + c) * w for c, w in enumerate(LUMA)), F.lit(0.0)))
+    luma = bind(lambda x: F.transform(pixels, lambda p: sum((F.get(x, p * 3 + c) * w for c, w in enumerate(LUMA)), F.lit(0.0))), x=x)
     return F.flatten(F.transform(luma, lambda v: F.array_repeat(v, 3))) if keep_channels else luma
 
 
@@ -68,13 +74,13 @@ def gather(x: Column, h: int, w: int, c: int, source: Callable[[Column, Column],
     """Entry (i, j, k) of the result is entry (source(i, j), k) of ``x``; ``fill`` where that is outside."""
     oh, ow = out_h or h, out_w or w
 
-    def entry(at: Column) -> Column:
+    def entry(x: Column, at: Column) -> Column:
         i, j, k = F.floor(at / (ow * c)), F.pmod(F.floor(at / c), F.lit(ow)), F.pmod(at, F.lit(c))
         si, sj = source(i, j)
         value = F.get(x, (si * (w * c) + sj * c + k).cast("int"))
         return value if fill is None else F.when((si >= 0) & (si < h) & (sj >= 0) & (sj < w), value).otherwise(F.lit(fill))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(oh * ow * c - 1)), entry)
+    return bind(lambda x: F.transform(F.sequence(F.lit(0), F.lit(oh * ow * c - 1)), lambda at: entry(x, at)), x=x)
 
 
 def flip_left_right(x: Column, h: int, w: int, c: int) -> Column:
@@ -100,7 +106,7 @@ def rot90(x: Column, h: int, w: int, c: int, k: int = 1) -> Column:
 def crop(x: Column, h: int, w: int, c: int, top: int | Column, left: int | Column, out_h: int, out_w: int) -> Column:
     out_h, out_w = min(out_h, h), min(out_w, w)
     top, left = (F.lit(v) if isinstance(v, int) else v for v in (top, left))
-    return gather(x, h, w, c, lambda i, j: (i + top, j + left), out_h, out_w)
+    return bind(lambda t, l: gather(x, h, w, c, lambda i, j: (i + t, j + l), out_h, out_w), t=top, l=left)
 
 
 def center_crop(x: Column, h: int, w: int, c: int, out_h: int, out_w: int) -> Column:
@@ -113,14 +119,18 @@ def patch_dropout(x: Column, h: int, w: int, c: int, corners: list[tuple[Column,
     if ph > h or pw > w:
         return x
 
-    def entry(v: Column, at: Column) -> Column:
-        i, j = F.floor(at / (w * c)), F.pmod(F.floor(at / c), F.lit(w))
-        hit = F.lit(False)
-        for top, left in corners:
-            hit = hit | ((i >= top) & (i < top + ph) & (j >= left) & (j < left + pw))
-        return F.when(hit, F.lit(fill)).otherwise(v)
+    def cut(**at: Column) -> Column:
+        def entry(v: Column, place: Column) -> Column:
+            i, j = F.floor(place / (w * c)), F.pmod(F.floor(place / c), F.lit(w))
+            hit = F.lit(False)
+            for k in range(len(corners)):
+                top, left = at[f"top{k}"], at[f"left{k}"]
+                hit = hit | ((i >= top) & (i < top + ph) & (j >= left) & (j < left + pw))
+            return F.when(hit, F.lit(fill)).otherwise(v)
+
+        return F.transform(x, entry)
 
-    return F.transform(x, entry)
+    return bind(cut, **{f"{name}{k}": v for k, corner in enumerate(corners) for name, v in zip(("top", "left"), corner)}) if corners else x
 
 
 def entry_draw(idx: Column, i: Column, tag: str, seed: int, draw: Callable[..., Column] = keyed.fast_uniform) -> Column:
@@ -136,11 +146,10 @@ def salt_pepper(x: Column, idx: Column, salt: float = 0.01, pepper: float = 0.01
     """An entry becomes ``high`` with chance ``salt``, 0 with chance ``pepper``; high is 255 or 1 by the array's range where not given."""
     top = F.lit(high) if high is not None else F.when(F.array_max(x) > 1.5, 255.0).otherwise(1.0)
 
-    def entry(v: Column, i: Column) -> Column:
-        u = entry_draw(idx, i, tag, seed, draw)
+    def entry(v: Column, u: Column, top: Column) -> Column:
         return F.when(u < salt, top).when(u < salt + pepper, F.lit(0.0)).otherwise(v)
 
-    return F.transform(x, entry)
+    return bind(lambda top: F.transform(x, lambda v, i: bind(lambda u: entry(v, u, top), u=entry_draw(idx, i, tag, seed, draw))), top=top)
 
 
 def dropout(x: Column, idx: Column, rate: float = 0.1, channels: int | None = None, tag: str = "dropout", seed: int = 0, draw: Callable[..., Column] = keyed.fast_uniform) -> Column:
@@ -151,7 +160,7 @@ def dropout(x: Column, idx: Column, rate: float = 0.1, channels: int | None = No
 
 def solarize(x: Column, threshold: float | Column) -> Column:
     t = F.lit(threshold) if isinstance(threshold, float) else threshold
-    return F.transform(x, lambda v: F.when(v >= t, 1.0 - v).otherwise(v))
+    return bind(lambda t: F.transform(x, lambda v: F.when(v >= t, 1.0 - v).otherwise(v)), t=t)
 
 
 def pad_to_multiple(x: Column, multiple: int = 128) -> Column:

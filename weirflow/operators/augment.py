@@ -158,8 +158,8 @@ class QuarterTurns(ArrayOp):
 
     def change(self, x: Column, r: Record) -> Column:
         k = keyed.integer(r.uniform(), 4)
-        turns = [arrays.rot90(x, *self.shape, i) for i in range(4)]
-        return F.when(k == 0, turns[0]).when(k == 1, turns[1]).when(k == 2, turns[2]).otherwise(turns[3])
+        turn = lambda x, i: arrays.rot90(x, *self.shape, i)
+        return arrays.bind(lambda x, k: F.when(k == 0, x).when(k == 1, turn(x, 1)).when(k == 2, turn(x, 2)).otherwise(turn(x, 3)), x=x, k=k)
 
 
 @dataclass(frozen=True)
@@ -283,7 +283,7 @@ def cutmix(df: DataFrame, images: list[str], labels: list[str], shape: tuple[int
     d = d.withColumn("lam", kept)
 
     def paste(n: str) -> Column:
-        def entry(v: Column, at: Column) -> Column:
+        def entry(v: Column, at: Column) -> Column:  # the patch is columns of the row
             i, j = F.floor(at / (w * c)), F.pmod(F.floor(at / c), F.lit(w))
             hit = (i >= F.col("__top")) & (i < F.col("__bottom")) & (j >= F.col("__left")) & (j < F.col("__right"))
             return F.when(hit, F.get(F.col("__other").getField(n), at)).otherwise(v)

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.functions import arrays, audio, image, keyed
+from weirflow.functions import arrays, audio, keyed
 from weirflow.operators import augment, batching, sampling, statistics
 from weirflow.operators.base import IDX, CrossModal, ElementFn, KeyedMap, KeyFilter, Map, Record, Remap, SelectRows, SplitField, clamp, iterate
 from weirflow.operators.compose import Branching, ConditionalParallel, ConditionalSequential, DynamicSequential, Ensemble, Parallel, Probabilistic, Selector, Sequential, WeightedParallel
@@ -198,32 +198,50 @@ def cross_modal(spark: SparkSession, d: str) -> DataFrame:
     return _out(m, total=F.col("total"), diff=F.col("diff"))
 
 
-_EXPENSIVE = "value"
-for _ in range(3):
-    _EXPENSIVE = f"(sin({_EXPENSIVE}) + cos({_EXPENSIVE}))"
+_EXPENSIVE = "(SELECT event_id, value AS v FROM events)"
+for _ in range(8):
+    _EXPENSIVE = f"(SELECT event_id, sin(v) + cos(v) AS v FROM {_EXPENSIVE})"
 
 
-@query(f"SELECT event_id AS i, round({_EXPENSIVE} + 0.1, 6) AS x FROM events")
+@query(f"SELECT event_id AS i, round(v + 0.1, 6) AS x FROM {_EXPENSIVE}")
 def expensive_cheap(spark: SparkSession, d: str) -> DataFrame:
     e = with_index(_read(spark, d, "events"), dense="event_id").select(IDX, "value")
     heavy = Map(lambda c: F.sin(c) + F.cos(c), ("value",))
-    return _out(Sequential((heavy, heavy, heavy, Map(lambda c: c + 0.1, ("value",))))(e), x=_r("value"))
+    for _ in range(8):  # each round a step of its own: as one expression it would double eight times
+        e = heavy(e)
+    return _out(Map(lambda c: c + 0.1, ("value",))(e), x=_r("value"))
 
 
-@query(
-    """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT doc_id, len(w) AS n FROM w) SELECT doc_id AS i, CAST(n AS INTEGER) AS n_tokens, CAST(n + (128 - n % 128) % 128 AS INTEGER) AS padded FROM t"""
-)
+def _crc32(words: str) -> str:
+    """SQL of (x, crc32 of its UTF-8 bytes) for a table of distinct x: after each byte come eight shifts, marked -1."""
+    h = "hex(encode(x))"
+    steps = f"flatten(list_transform(range(length({h}) // 2), lambda k: list_concat([CAST(instr('0123456789ABCDEF', {h}[2 * k + 1]) * 16 + instr('0123456789ABCDEF', {h}[2 * k + 2]) - 17 AS BIGINT)], list_transform(range(8), lambda z: CAST(-1 AS BIGINT)))))"
+    fold = f"list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {steps}), lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)"
+    return f"SELECT x, xor({fold}, CAST(4294967295 AS BIGINT)) AS crc FROM ({words})"
+
+
+def _tokens(source: str, size: int) -> str:
+    """SQL CTEs that end in g: (i, list of the hash tokens of a text)."""
+    return f"""WITH d AS ({source}), w AS (SELECT i, generate_subscripts(w, 1) AS k, unnest(w) AS x FROM (SELECT i, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM d)),
+c AS ({_crc32('SELECT DISTINCT x FROM w')}), t AS (SELECT i, list(crc % {size} ORDER BY k) AS t FROM w JOIN c USING (x) GROUP BY i), g AS (SELECT d.i, coalesce(t, []) AS t FROM d LEFT JOIN t ON d.i = t.i)"""
+
+
+@query(_tokens("SELECT doc_id AS i, text FROM documents", 32000) + """
+SELECT i, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(t) + (128 - len(t) % 128) % 128 AS INTEGER) AS padded,
+md5(array_to_string(list_concat(t, list_transform(range((128 - len(t) % 128) % 128), lambda z: CAST(0 AS BIGINT))), ',')) AS digest FROM g""")
 def tokens_padded(spark: SparkSession, d: str) -> DataFrame:
     """Hash tokens of the whole text, padded to a multiple of 128."""
     t = with_index(_read(spark, d, "documents"), dense="doc_id").select(IDX, arrays.hash_tokens(F.col("text"), 32000).alias("tokens"))
-    return _out(t, n_tokens=F.size("tokens"), padded=F.size(arrays.pad_to_multiple(F.col("tokens"))))
+    padded = arrays.pad_to_multiple(F.col("tokens"))
+    return _out(t, n_tokens=F.size("tokens"), padded=F.size(padded), digest=F.md5(F.array_join(F.transform(padded, lambda v: v.cast("string")), ",").cast("binary")))
 
 
-@query()
+@query(_tokens("SELECT conv_id * 1000 + turn AS i, text FROM conversations", 32000) + " SELECT i, CAST(p AS INTEGER) AS place, coalesce(t[p + 1], 0) AS token FROM g, range(64) r(p)")
 def tokens_hashed(spark: SparkSession, d: str) -> DataFrame:
+    """Captions of a fixed length: cutting them there is the operator's feature."""
     t = with_index(_read(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), dense="id")
-    return _out(t, tokens=arrays.fixed_length(arrays.hash_tokens(F.col("text"), 32000), 64))
+    fixed = t.select(IDX, arrays.fixed_length(arrays.hash_tokens(F.col("text"), 32000), 64).alias("tokens"))
+    return fixed.select(F.col(IDX).alias("i"), F.posexplode("tokens").alias("place", "token"))
 
 
 @query("SELECT n_nationkey AS i, r AS row, c AS col, CAST(c <= r AS DOUBLE) AS on_ FROM nation, range(8) t(r), range(8) u(c)")
@@ -274,11 +292,12 @@ def parallel_stack(spark: SparkSession, d: str) -> DataFrame:
     return Parallel((_X2, _P1), "stack")(_x(spark, d)).select(F.col(IDX).alias("i"), F.posexplode("x").alias("k", "x")).select("i", "k", _r("x").alias("x"))
 
 
-@query("SELECT vec_id AS i, CAST(len(embedding) * 2 AS INTEGER) AS n, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) * 3 + len(embedding) * 0, 4) AS total FROM embeddings")
+@query("SELECT vec_id AS i, CAST(p AS INTEGER) AS place, round(CASE WHEN p < len(embedding) THEN CAST(embedding[p + 1] AS DOUBLE) * 2 ELSE embedding[p - len(embedding) + 1] END, 6) + 0.0 AS v FROM embeddings, range(128) t(p)")
 def parallel_concat(spark: SparkSession, d: str) -> DataFrame:
     e = with_index(_read(spark, d, "embeddings"), dense="vec_id").select(IDX, F.col("embedding").cast("array<double>").alias("x"))
     two = Map(lambda c: F.transform(c, lambda v: v * 2), ("x",))
-    return _out(Parallel((two, Map(lambda c: c, ("x",))), "concat")(e), n=F.size("x"), total=F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 4))
+    c = Parallel((two, Map(lambda c: c, ("x",))), "concat")(e)
+    return c.select(F.col(IDX).alias("i"), F.posexplode("x").alias("place", "v")).withColumn("v", F.round("v", 6) + 0.0)
 
 
 @query(_events("x * 2 + (x + 1) + x * x"))
@@ -403,14 +422,40 @@ def shuffle_rank(spark: SparkSession, d: str) -> DataFrame:
     return sampling.shuffled(spark, _orders(spark, d).count(), 4, method="rank").select(F.col("__pos").alias("pos"), F.col(IDX).alias("i"))
 
 
-@query()
+def _feistel(rows: str, seed: str) -> str:
+    """Recursive SQL of (i, e, x): rows (i, e, n) walked under the keyed permutation of [0, n) until they are inside."""
+    half = "((length(bin(CAST(n - 1 AS BIGINT))) + 1) // 2)"
+    round_ = lambda r: f"CAST(floor((CAST('0x' || substr(md5(concat_ws('|', '0', 'feistel', {seed}, '{r}', CAST(b AS VARCHAR))), 1, 13) AS BIGINT) / 4503599627370496.0) * (1 << h)) AS BIGINT)"
+    step = "SELECT i, e, n, h, x >> h AS a, x & ((1 << h) - 1) AS b FROM walk WHERE x >= n OR first"
+    for r in range(1, 5):
+        step = f"SELECT i, e, n, h, b AS a, xor(a, {round_(r)}) AS b FROM ({step})"
+    return f"""WITH RECURSIVE walk AS (SELECT i, e, n, {half} AS h, i AS x, true AS first FROM ({rows})
+UNION ALL SELECT i, e, n, h, (a << h) + b AS x, false AS first FROM ({step}))
+SELECT i, e, n, x FROM walk WHERE x < n AND NOT first"""
+
+
+@query(f"SELECT i, x AS pos FROM ({_feistel('SELECT o_orderkey AS i, 0 AS e, (SELECT count(*) FROM orders) AS n FROM orders', repr('4'))})")
 def shuffle_feistel(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.shuffled(spark, _orders(spark, d).count(), 4).select(F.col("__pos").alias("pos"), F.col(IDX).alias("i"))
+    return sampling.shuffled(spark, _orders(spark, d).count(), 4, method="feistel_exact").select(F.col("__pos").alias("pos"), F.col(IDX).alias("i"))
 
 
 @query()
+def shuffle_feistel_fast(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.shuffled(spark, _orders(spark, d).count(), 4).select(F.col("__pos").alias("pos"), F.col(IDX).alias("i"))
+
+
+@query(f"SELECT CAST(e AS BIGINT) AS epoch, e * n + x AS pos, i FROM ({_feistel('SELECT o_orderkey AS i, e, (SELECT count(*) FROM orders) AS n FROM orders, range(3) t(e)', 'CAST(e + 4 AS VARCHAR)')})")
 def epoch_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.epoch_shuffled(spark, _orders(spark, d).count(), 3, 4).select(F.col("__epoch").alias("epoch"), F.col("__pos").alias("pos"), F.col(IDX).alias("i"))
+    return sampling.epoch_shuffled(spark, _orders(spark, d).count(), 3, 4, exact=True).select(F.col("__epoch").alias("epoch"), F.col("__pos").alias("pos"), F.col(IDX).alias("i"))
+
+
+@query("SELECT p // n AS epoch, p AS pos, p % n AS i FROM (SELECT count(*) AS n FROM orders), LATERAL (SELECT unnest(range(n * 2 - 100, n * 2 + 900)) AS p)")
+def endless_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """What an endless sampler gives next, from a restored state, across the end of an epoch."""
+    n = _orders(spark, d).count()
+    cursor = sampling.EpochCursor(n, seed=None)
+    rows, _ = cursor.restored({"n": n, "position": n * 2 - 100}).take(spark, 1000)
+    return rows.select(F.col("__epoch").alias("epoch"), F.col("__pos").alias("pos"), F.col(IDX).alias("i"))
 
 
 @query("SELECT w AS window, CAST(o AS BIGINT) AS offset_, w * 5 + o AS i, value FROM range(((SELECT count(*) FROM events) - 8) // 5 + 1) a(w), range(8) b(o) JOIN events ON event_id = w * 5 + o")
@@ -643,108 +688,6 @@ def vector_unit_length(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).select(F.col(IDX).alias("i"), F.posexplode(arrays.unit_length(F.col("x"))).alias("place", "v")).withColumn("v", F.round("v", 5) + 0.0)
 
 
-_PIX = "(SELECT vec_id, list_transform(embedding[1:48], lambda v: greatest(0.0, least(1.0, CAST(v AS DOUBLE) + 0.5))) AS x FROM embeddings)"
-
-
-def _pixels(spark: SparkSession, d: str) -> DataFrame:
-    """The first 48 entries as images of 4 x 4 pixels in [0, 1]."""
-    return _vectors(spark, d).select(IDX, arrays.clip(F.transform(F.slice("x", 1, 48), lambda v: v + 0.5)).alias("image"))
-
-
-def _places(df: DataFrame, places: int = 5) -> DataFrame:
-    return df.select(F.col(IDX).alias("i"), F.posexplode("image").alias("place", "v")).select("i", "place", F.round("v", places).alias("v"))
-
-
-def _image_sql(expression: str, size: int = 48) -> str:
-    return f"SELECT vec_id AS i, CAST(p AS INTEGER) AS place, round({expression}, 5) AS v FROM {_PIX}, range({size}) t(p)"
-
-
-@query(_image_sql("greatest(0.0, least(1.0, x[p + 1] * 1.3 + 0.1))"))
-def image_brightness(spark: SparkSession, d: str) -> DataFrame:
-    return _places(_pixels(spark, d).withColumn("image", arrays.brightness(F.col("image"), 1.3, 0.1)))
-
-
-@query(_image_sql("greatest(0.0, least(1.0, list_avg(x) + 1.5 * (x[p + 1] - list_avg(x))))"))
-def image_contrast(spark: SparkSession, d: str) -> DataFrame:
-    return _places(_pixels(spark, d).withColumn("image", arrays.contrast(F.col("image"), 1.5)))
-
-
-@query(_image_sql("0.299 * x[3 * p + 1] + 0.587 * x[3 * p + 2] + 0.114 * x[3 * p + 3]", 16))
-def image_grayscale(spark: SparkSession, d: str) -> DataFrame:
-    return _places(_pixels(spark, d).withColumn("image", arrays.grayscale(F.col("image"))))
-
-
-@query(_image_sql("x[(p // 12) * 12 + (3 - (p % 12) // 3) * 3 + p % 3 + 1]"))
-def image_flip(spark: SparkSession, d: str) -> DataFrame:
-    return _places(_pixels(spark, d).withColumn("image", arrays.flip_left_right(F.col("image"), 4, 4, 3)))
-
-
-@query(_image_sql("x[(p // 6 + 1) * 12 + ((p % 6) // 3 + 1) * 3 + p % 3 + 1]", 12))
-def image_center_crop(spark: SparkSession, d: str) -> DataFrame:
-    return _places(_pixels(spark, d).withColumn("image", arrays.center_crop(F.col("image"), 4, 4, 3, 2, 2)))
-
-
-@query(_image_sql("(x[p + 1] - CASE p % 3 WHEN 0 THEN 0.485 WHEN 1 THEN 0.456 ELSE 0.406 END) / CASE p % 3 WHEN 0 THEN 0.229 WHEN 1 THEN 0.224 ELSE 0.225 END"))
-def image_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return _places(_pixels(spark, d).withColumn("image", arrays.normalize(F.col("image"), [0.485, 0.456, 0.406], [0.229, 0.224, 0.225])))
-
-
-_TURN = f"least(floor({U('vec_id', 'augment/0', 6)} * 4), 3)"
-
-
-@query(
-    _image_sql(
-        f"CASE {_TURN} WHEN 0 THEN x[p + 1] WHEN 1 THEN x[((p % 12) // 3) * 12 + (3 - p // 12) * 3 + p % 3 + 1] "
-        "WHEN 2 THEN x[(3 - p // 12) * 12 + (3 - (p % 12) // 3) * 3 + p % 3 + 1] ELSE x[(3 - (p % 12) // 3) * 12 + (p // 12) * 3 + p % 3 + 1] END"
-    )
-)
-def image_quarter_turns(spark: SparkSession, d: str) -> DataFrame:
-    return _places(augment.QuarterTurns(shape=(4, 4, 3), seed=6)(_pixels(spark, d)))
-
-
-@query(_image_sql(f"CASE WHEN x[p + 1] >= 0.5 + {U('vec_id', 'augment/0', 6)} * 0.5 THEN 1.0 - x[p + 1] ELSE x[p + 1] END"))
-def image_solarize(spark: SparkSession, d: str) -> DataFrame:
-    return _places(augment.Solarize(shape=(4, 4, 3), seed=6)(_pixels(spark, d)))
-
-
-@query(
-    _image_sql(
-        f"CASE WHEN p // 12 >= floor({U('vec_id', 'augment/top0', 6)} * 3) AND p // 12 < floor({U('vec_id', 'augment/top0', 6)} * 3) + 2 AND "
-        f"(p % 12) // 3 >= floor({U('vec_id', 'augment/left0', 6)} * 3) AND (p % 12) // 3 < floor({U('vec_id', 'augment/left0', 6)} * 3) + 2 THEN 0.0 ELSE x[p + 1] END"
-    )
-)
-def image_patch_dropout(spark: SparkSession, d: str) -> DataFrame:
-    return _places(augment.PatchDropout(shape=(4, 4, 3), patches=1, size=(2, 2), seed=6)(_pixels(spark, d)))
-
-
-def _image_op(name: str, op):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return _places(op(_pixels(spark, d)))
-
-    run.__name__ = name
-    return run
-
-
-for _name, _op in {
-    "image_random_crop": augment.Crop(shape=(4, 4, 3), out=(3, 3), seed=6, pad=True),
-    "image_noise": augment.Noise(shape=(4, 4, 3), seed=6),
-    "image_salt_pepper": augment.Noise(shape=(4, 4, 3), kind="salt_pepper", seed=6),
-    "image_poisson": augment.Noise(shape=(4, 4, 3), kind="poisson", seed=6),
-    "image_dropout": augment.Dropout(shape=(4, 4, 3), by_channel=True, seed=6),
-    "image_rotation": augment.Rotation(shape=(4, 4, 3), seed=6),
-    "image_color_jitter": augment.ColorJitter(shape=(4, 4, 3), seed=6),
-    "image_blur": augment.Blur(shape=(4, 4, 3), seed=6),
-    "image_resized_crop": augment.ResizedCrop(shape=(4, 4, 3), seed=6),
-    "image_channel_affine": augment.ChannelAffine(shape=(4, 4, 3), scales=(1.1, 0.9, 1.0), shifts=(0.0, 0.1, 0.0), seed=6),
-}.items():
-    query()(_image_op(_name, _op))
-
-
-@query()
-def image_resize(spark: SparkSession, d: str) -> DataFrame:
-    return _places(_pixels(spark, d).withColumn("image", image.over(image.resize, (4, 4, 3), h=8, w=8)(F.col("image"))))
-
-
 @query(
     f"""WITH f AS (SELECT event_id, 20.0 + value * 100 AS hz FROM events), g AS (SELECT event_id, hz * hz AS q FROM f)
 SELECT event_id AS i, round(2.0 + 20.0 * log10((q * q * {audio.A_CORNERS[3] ** 2!r}) / ((q + {audio.A_CORNERS[0] ** 2!r}) * sqrt((q + {audio.A_CORNERS[1] ** 2!r}) * (q + {audio.A_CORNERS[2] ** 2!r})) * (q + {audio.A_CORNERS[3] ** 2!r}))), 5) AS db FROM g"""
@@ -753,18 +696,6 @@ def a_weighting(spark: SparkSession, d: str) -> DataFrame:
     return _out(_x(spark, d), db=F.round(audio.a_weighting(F.lit(20.0) + F.col("x") * 100), 5))
 
 
-@query()
-def audio_loudness(spark: SparkSession, d: str) -> DataFrame:
-    w = _vectors(spark, d).select(IDX, F.flatten(F.array_repeat(F.col("x"), 16)).alias("wave"))
-    return _out(w, loudness=audio.loudness(F.col("wave"), n_fft=128, hop=32))
-
-
-@query()
-def audio_pitch(spark: SparkSession, d: str) -> DataFrame:
-    a = F.transform("x", lambda v: F.abs(v) + 1e-6)
-    return _out(_vectors(spark, d), hz=F.round(audio.pitch(a), 4), soft=F.round(audio.pitch_soft(F.col("x")), 4), confidence=F.round(audio.confidence(a), 5))
-
-
 @query("SELECT vec_id AS i, CAST(p AS INTEGER) AS place, list_max(embedding[p * 4 + 1 : p * 4 + 4]) AS v FROM embeddings, range(16) t(p) WHERE p < len(embedding) // 4")
 def max_pool(spark: SparkSession, d: str) -> DataFrame:
     return with_index(_read(spark, d, "embeddings"), dense="vec_id").select(F.col(IDX).alias("i"), F.posexplode(arrays.max_pool(F.col("embedding"), 4)).alias("place", "v"))
@@ -809,9 +740,4 @@ def batch_metadata(spark: SparkSession, d: str) -> DataFrame:
     return metadata.of_batch(m).select("batch_id", F.col("index").alias("i"), "global_step", "record_key")
 
 
-@query()
-def image_multiscale(spark: SparkSession, d: str) -> DataFrame:
-    """Half the size and back."""
-    half = image.over(image.resize, (4, 4, 3), h=2, w=2)
-    back = image.over(image.resize, (2, 2, 3), h=4, w=4)
-    return _places(_pixels(spark, d).withColumn("image", back(half(F.col("image")))))
+from weirflow.plans import signals  # noqa: E402, F401  registers its queries
