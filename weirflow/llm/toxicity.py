@@ -31,7 +31,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +43,9 @@ from .common import cut
 PER_CLASS = 4000
 SAMPLE_CHARS = 64_000_000
 BEGINNING = 4
-K, WIDTH, FREQUENT, SHRINK = 25, 64, 16, 0.5
+K, WIDTH, FREQUENT, SHRINK = 25, 256, 16, 0.5
 #: Blocks of a text that are scored first, and texts that are scored together.
-STEP, TOGETHER = 8, 64
+STEP, TOGETHER = 4, 256
 THRESHOLD = 0.7
 #: Words whose terms a worker remembers; beyond that it starts anew.
 MEMORY = 200_000
@@ -118,6 +118,15 @@ class Numbers(dict):
         return np.concatenate([at[whole], start]), np.concatenate([n[whole], np.bincount(where, n[some], len(start)).astype(np.int64)])
 
 
+    def present(self, text: str | None) -> np.ndarray:
+        """Numbers of both terms of every distinct word, -1 for none."""
+        if len(self) > MEMORY:
+            self.clear()
+        found = set(_TERM.findall((text or "").lower()))
+        places = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        return self.own[places]
+
+
 @dataclass
 class Index:
     """Examples in slots, ``width`` to a block: terms of each slot, postings of rare terms, impacts and their largest of frequent ones."""
@@ -139,7 +148,10 @@ class Index:
     impacts: np.ndarray  # block, row, slot in the block
     most: np.ndarray  # row, block
     numbers: Numbers | None = None
-    dense: np.ndarray = field(default_factory=lambda: np.empty(0))
+
+    def __post_init__(self) -> None:
+        self.term_size = np.diff(self.term_start)
+        self.dense = np.empty(0)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms, unit weights) of one text."""
@@ -156,40 +168,54 @@ class Index:
             row = self.frequent[at]
             rare = row < 0
             wide[q, row[~rare]] = w[~rare]
-            places, of = _spread(self.term_start, at[rare])
-            sums[q] = np.bincount(self.term_slot[places], self.term_value[places] * w[rare][of], n)
+            start, size = self.term_start[at[rare]], self.term_size[at[rare]]
+            places = np.repeat(start - np.cumsum(size) + size, size)
+            places += np.arange(len(places))
+            sums[q] = np.bincount(np.take(self.term_slot, places), np.repeat(w[rare].astype(np.float32), size) * np.take(self.term_value, places), n)
             if skip:
                 sums[q, skip[q]] = -np.inf
         sums = sums.reshape(few, blocks, width)
         bound = sums.max(axis=2) + wide @ self.most
-        floor, done = np.zeros(few, np.float32), np.zeros((few, blocks), bool)
-        for step in (min(STEP, blocks), blocks):  # the blocks of the highest bounds tell how far down to go
-            need = (bound > np.maximum(floor - 1e-5, 0)[:, None]) & ~done
-            if step < blocks:
-                need &= bound >= -np.partition(-bound, step - 1, axis=1)[:, step - 1, None]
-            for b in np.flatnonzero(need.any(axis=0)):
-                some = np.flatnonzero(need[:, b])
-                sums[some, b] += wide[some] @ self.impacts[b]
-            done |= need
-            if n > k:
-                reached = np.where(done[:, :, None], sums, -np.inf).reshape(few, n)
-                floor = np.partition(reached, n - k, axis=1)[:, n - k]
-        out = []
+        # the blocks of the highest bounds tell how far down to go
+        first = np.argsort(-bound, axis=1)[:, :STEP]
+        need = np.zeros((few, blocks), bool)
+        np.put_along_axis(need, first, True, axis=1)
+        self._add(sums, wide, need)
+        floor = np.zeros(few, np.float32)
+        if first.shape[1] * width > k:
+            reached = np.take_along_axis(sums, first[:, :, None], axis=1).reshape(few, -1)
+            floor = np.partition(reached, reached.shape[1] - k, axis=1)[:, reached.shape[1] - k]
+        floor = np.maximum(floor - 1e-5, 0)
+        more = (bound > floor[:, None]) & ~need
+        self._add(sums, wide, more)
+        out, need = [], need | more
         if len(self.dense) < len(self.vocabulary):
-            self.dense = np.zeros(len(self.vocabulary))
+            self.dense = np.zeros(len(self.vocabulary), np.float32)
         for q, (at, w) in enumerate(vectors):
-            slots = np.flatnonzero((sums[q] > max(floor[q] - 1e-5, 0.0)) & done[q][:, None])
+            slots = np.flatnonzero((sums[q] > floor[q]) & need[q][:, None])
+            if len(slots) > k:
+                reached = sums[q].ravel()[slots]
+                slots = slots[reached > np.partition(reached, len(slots) - k)[len(slots) - k] - 1e-5]
             slots = slots[slots < len(self.labels)]
-            # those that may be among the nearest, in double precision
+            # those that may be among the nearest, added up in an order that no other text has a part in
             self.dense[at] = w
             places, of = _spread(self.slot_start, slots)
-            cosines = np.bincount(of, self.dense[self.slot_term[places]] * self.slot_value[places], len(slots))
+            cosines = np.bincount(of, np.take(self.dense, self.slot_term[places]) * self.slot_value[places], len(slots))
             self.dense[at] = 0
             slots, cosines = slots[cosines > 0], cosines[cosines > 0]
             best = np.lexsort((slots, -cosines))[:k]
             out.append((slots[best], cosines[best]))
         return out
 
+    def _add(self, sums: np.ndarray, wide: np.ndarray, need: np.ndarray) -> None:
+        """Impacts of the frequent terms, in the blocks that texts need."""
+        for b in np.flatnonzero(need.any(axis=0)):
+            some = np.flatnonzero(need[:, b])
+            if len(some) == len(need):
+                sums[:, b] += wide @ self.impacts[b]
+            else:
+                sums[some, b] += wide[some] @ self.impacts[b]
+
     def vote(self, slots: np.ndarray, cosines: np.ndarray) -> float:
         """Share of label 1, an example at distance d weighing (1 - d)^2 times what it stands for."""
         w = cosines**2 * self.weights[slots]
@@ -277,11 +303,14 @@ def _count(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers({t: i for i, t in enumerate(known.value)})
-        n = np.zeros(len(numbers.vocabulary) + 1, np.int64)
+        n, rows = np.zeros(len(numbers.vocabulary) + 1, np.int64), 0
         for b in batches:
-            n[-1] += b.num_rows
+            rows += b.num_rows
             for t in b.column(0):
-                n[numbers.terms(t.as_py())[0]] += 1
+                own = numbers.present(t.as_py())
+                n[own[:, 0]] += 1  # a place that is named twice goes up once; the last one is that of words not known
+                n[own[:, 1]] += 1
+        n[-1] = rows
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["term", "n"])
 
