@@ -274,4 +274,4 @@ def test_caches(spark, numbers, tmp_path):
     assert first == 500 and caching.kept_at(numbers.limit(1), str(tmp_path / "t")).count() == 500
     with caching.cached(numbers) as c:
         assert c.is_cached and sum(1 for _ in caching.rows_ahead(c)) == 500
-    assert caching.resolve(None, str(tmp_path), "x").is_dir()
+    assert caching.resolve(None, f"{tmp_path}/", "x") == f"{tmp_path}/x" and caching.resolve("hdfs://a/b", "c", "x") == "hdfs://a/b/x"

@@ -45,16 +45,19 @@ def test_graph_order():
             order_of(edges, nodes, "a")
 
 
-def test_checkpoints(source, tmp_path):
+def test_checkpoints(spark, source, tmp_path):
     p = Pipeline(source, [], 8)
-    c = Checkpoints(str(tmp_path), keep=2)
+    c = Checkpoints(spark, f"file://{tmp_path}", keep=2)
     for s in range(5):
         c.save_every(s, 2, p.advanced(s))
     assert c.steps() == [2, 4] and c.restore(p).cursor.position == 32 and c.restore(p, 2).cursor.position == 16
     with pytest.raises(CheckpointMismatchError):
         c.restore(Pipeline(source, [], 9))
     with pytest.raises(FileNotFoundError):
-        Checkpoints(str(tmp_path / "none")).restore(p)
+        Checkpoints(spark, str(tmp_path / "none")).restore(p)
+    with pytest.raises(FileNotFoundError):
+        c.restore(p, 3)
+    assert c.save_async(9, p.advanced(2)).result().endswith("ckpt-9.json") and c.steps() == [4, 9] and c.restore(p).cursor.position == 16
 
 
 def test_configuration(spark, tmp_path, capsys):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -45,12 +46,16 @@ class Batcher:
         more = more.withColumns({"batch_id": F.lit(final).cast("long"), "slot": F.col("__fill") + n % self.size, "valid": F.lit(valid)}).drop("__fill")
         return d.unionByName(more)
 
-    def collate(self, df: DataFrame, n: int) -> DataFrame:
-        """One row a batch: each field an array in slot order. Rows of a batch meet in one task, at most ``size``."""
+    def collate(self, df: DataFrame, n: int, fn: Callable[[dict[str, Column]], dict[str, Column]] | None = None) -> DataFrame:
+        """One row a batch: each field an array in slot order, or what ``fn`` makes of these arrays.
+
+        Rows of a batch meet in one task, at most ``size``.
+        """
         d = self.assign(df, n)
         names = [c for c in d.columns if c not in ("batch_id", "slot", IDX)]
         rows = F.sort_array(F.collect_list(F.struct("slot", *names)))
-        return d.groupBy("batch_id").agg(rows.alias("r")).select("batch_id", *[F.col(f"r.{c}").alias(c) for c in names])
+        fields = {c: F.col(f"r.{c}") for c in names}
+        return d.groupBy("batch_id").agg(rows.alias("r")).select("batch_id", *[v.alias(k) for k, v in (fn(fields) if fn else fields).items()])
 
 
 def rebatch(df: DataFrame, group: int, n: int) -> DataFrame:

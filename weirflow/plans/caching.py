@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row
@@ -33,8 +32,6 @@ def rows_ahead(df: DataFrame) -> Iterator[Row]:
     return df.toLocalIterator(prefetchPartitions=True)
 
 
-def resolve(folder: str | None, default: str, name: str) -> Path:
-    """Folder of a named cache below the given or default one."""
-    at = Path(folder or default).expanduser() / name
-    at.mkdir(parents=True, exist_ok=True)
-    return at
+def resolve(folder: str | None, default: str, name: str) -> str:
+    """Path of a named cache below the given or default folder, of any store; it comes into being when something is written."""
+    return f"{(folder or default).rstrip('/')}/{name}"

@@ -740,4 +740,4 @@ def batch_metadata(spark: SparkSession, d: str) -> DataFrame:
     return metadata.of_batch(m).select("batch_id", F.col("index").alias("i"), "global_step", "record_key")
 
 
-from weirflow.plans import signals  # noqa: E402, F401  registers its queries
+from weirflow.plans import inputs, signals  # noqa: E402, F401  register their queries

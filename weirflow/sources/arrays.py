@@ -40,5 +40,13 @@ class NpySource(DataSource):
         return NpyReader(self.options["path"], int(self.options.get("rows", 4096)))
 
 
+def saved(df, path: str, column: str = "data", order: str = "__idx") -> str:
+    """A bounded column of arrays as one ``.npy`` file on a file system that this process sees; the opposite of reading."""
+    rows = df.select(order, column).orderBy(order).toArrow()
+    data = rows.column(column).combine_chunks()
+    np.save(path, data.flatten().to_numpy(zero_copy_only=False).reshape(len(data), -1).astype(np.float32))
+    return path
+
+
 def register(spark) -> None:
     spark.dataSource.register(NpySource)

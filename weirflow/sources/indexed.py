@@ -91,15 +91,17 @@ class Source:
         """Positions worker, worker + workers, ...: together the workers have each row once."""
         return self.epoch(epoch).filter(F.pmod(F.col("__pos"), F.lit(workers)) == worker)
 
-    def repeated(self, epochs: int) -> DataFrame:
-        """All epochs, with ``__epoch`` and positions that go on over epochs."""
-        out = None
-        for e in range(epochs):
-            one = self.epoch(e).withColumns({"__epoch": F.lit(e), "__pos": F.col("__pos") + e * self.length})
-            out = one if out is None else out.unionByName(one)
-        if out is None:
+    def repeated(self, epochs: int, first: int = 0) -> DataFrame:
+        """``epochs`` epochs from ``first`` on, with ``__epoch`` and positions that go on over epochs; one scan for any number.
+
+        An endless repeat is read in such pieces.
+        """
+        if epochs < 1:
             raise ValueError("epochs must be at least 1")
-        return out
+        epoch = F.sequence(F.lit(first).cast("long"), F.lit(first + epochs - 1).cast("long"))
+        df = self._fields().withColumn("__epoch", F.explode(epoch))
+        pos = F.col(IDX) if self.shuffle_seed is None else keyed.permuted(F.col(IDX), self.length, F.pmod(F.col("__epoch") + self.shuffle_seed, F.lit(1 << 32)))
+        return df.withColumn("__pos", pos + F.col("__epoch") * self.length)
 
 
 def from_memory(spark: SparkSession, data: dict[str, list] | list[dict], **options) -> Source:

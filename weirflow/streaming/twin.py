@@ -28,6 +28,21 @@ def run_once(stream: DataFrame, name: str, checkpoint: str | None = None, mode:
     return stream.sparkSession.table(name)
 
 
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that is there now, through a file sink below ``folder`` (of any store), and read again.
+
+    In the modes ``update`` and ``complete`` each micro-batch is written with its number ``__batch``.
+    """
+    spark = stream.sparkSession
+    out, state = f"{folder.rstrip('/')}/out", f"{folder.rstrip('/')}/state"
+    if mode == "append":
+        write(stream, out, state).awaitTermination()
+    else:
+        put = lambda df, k: df.withColumn("__batch", F.lit(k).cast("long")).write.mode("append").parquet(out)
+        stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 def write(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", mode: str = "append", **trigger):
     """A file sink: exactly once with its checkpoint folder."""
     return stream.writeStream.format(fmt).outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
