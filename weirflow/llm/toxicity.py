@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,56 +80,42 @@ def relevance(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.nd
     return np.abs(with_1 * d - with_0 * c) / np.sqrt(np.maximum((with_1 + with_0) * (c + d) * float(n1) * n0, 1e-9)) if n else np.zeros(len(with_1))
 
 
-def _spread(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, which of ``rows`` each is of) of the given rows of a sparse table."""
-    n = start[rows + 1] - start[rows]
-    of = np.repeat(np.arange(len(rows)), n)
-    return np.arange(len(of)) + np.repeat(start[rows] - np.cumsum(n) + n, n), of
-
-
 class Numbers(dict):
-    """Word to a number, with the numbers of its two terms in ``own``; -1 where a term is not in the vocabulary."""
+    """Word to the numbers of its two terms in one integer: the word's and, in the lower 32 bits, its beginning's, each plus one, 0 for none."""
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
         super().__init__()
         self.vocabulary = vocabulary
-        self.own = np.empty((1024, 2), np.int32)
 
     def __missing__(self, word: str) -> int:
-        n = len(self)
-        if n == len(self.own):
-            self.own = np.concatenate([self.own, np.empty_like(self.own)])
         get = self.vocabulary.get
-        self.own[n] = get(word, -1), get(word[:BEGINNING] + "*", -1) if len(word) > BEGINNING else -1
-        self[word] = n
-        return n
+        both = self[word] = get(word, -1) + 1 << 32 | (get(word[:BEGINNING] + "*", -1) + 1 if len(word) > BEGINNING else 0)
+        return both
 
-    def terms(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(known terms, their counts) of one text."""
+    def _both(self, found: Collection[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the terms of given words, -1 for none."""
         if len(self) > MEMORY:
             self.clear()
+        both = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        return (both >> 32) - 1, (both & 0xFFFFFFFF) - 1
+
+    def terms(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(known terms, their counts) of one text."""
         found = words(text)
-        places = np.fromiter(map(self.__getitem__, found), np.int64, len(found))  # may make ``own`` longer
-        own = self.own[places]
+        at, begin = self._both(found)
         n = np.fromiter(found.values(), np.int64, len(found))
-        at, begin = own[:, 0], own[:, 1]
         whole, some = at >= 0, begin >= 0
         start, where = np.unique(begin[some], return_inverse=True)
         return np.concatenate([at[whole], start]), np.concatenate([n[whole], np.bincount(where, n[some], len(start)).astype(np.int64)])
 
-
-    def present(self, text: str | None) -> np.ndarray:
+    def present(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of both terms of every distinct word, -1 for none."""
-        if len(self) > MEMORY:
-            self.clear()
-        found = set(_TERM.findall((text or "").lower()))
-        places = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        return self.own[places]
+        return self._both(set(_TERM.findall((text or "").lower())))
 
 
 @dataclass
 class Index:
-    """Examples in slots, ``width`` to a block: terms of each slot, postings of rare terms, impacts and their largest of frequent ones."""
+    """Examples in slots, ``width`` to a block: postings of rare terms, impacts and their largest of frequent ones."""
 
     vocabulary: dict[str, int]
     weight: np.ndarray  # of each term
@@ -138,9 +124,6 @@ class Index:
     ids: np.ndarray
     prior: float
     steps: tuple[np.ndarray, np.ndarray]  # calibration: raw score, probability
-    slot_start: np.ndarray
-    slot_term: np.ndarray
-    slot_value: np.ndarray
     term_start: np.ndarray  # of rare terms; frequent ones have no postings
     term_slot: np.ndarray
     term_value: np.ndarray
@@ -151,7 +134,6 @@ class Index:
 
     def __post_init__(self) -> None:
         self.term_size = np.diff(self.term_start)
-        self.dense = np.empty(0)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms, unit weights) of one text."""
@@ -163,7 +145,7 @@ class Index:
         """(slots, cosines) of the k nearest examples with a positive cosine, best first, ties by slot, of each of a few texts."""
         blocks, frequent, width = self.impacts.shape
         few, n = len(vectors), blocks * width
-        wide, sums = np.zeros((few, frequent), np.float32), np.empty((few, n), np.float32)
+        wide, rare_sums = np.zeros((few, frequent), np.float32), np.empty((few, n))
         for q, (at, w) in enumerate(vectors):
             row = self.frequent[at]
             rare = row < 0
@@ -171,10 +153,10 @@ class Index:
             start, size = self.term_start[at[rare]], self.term_size[at[rare]]
             places = np.repeat(start - np.cumsum(size) + size, size)
             places += np.arange(len(places))
-            sums[q] = np.bincount(np.take(self.term_slot, places), np.repeat(w[rare].astype(np.float32), size) * np.take(self.term_value, places), n)
+            rare_sums[q] = np.bincount(np.take(self.term_slot, places), np.repeat(w[rare].astype(np.float32), size) * np.take(self.term_value, places), n)
             if skip:
-                sums[q, skip[q]] = -np.inf
-        sums = sums.reshape(few, blocks, width)
+                rare_sums[q, skip[q]] = -np.inf
+        sums = rare_sums.astype(np.float32).reshape(few, blocks, width)
         bound = sums.max(axis=2) + wide @ self.most
         # the blocks of the highest bounds tell how far down to go
         first = np.argsort(-bound, axis=1)[:, :STEP]
@@ -189,8 +171,6 @@ class Index:
         more = (bound > floor[:, None]) & ~need
         self._add(sums, wide, more)
         out, need = [], need | more
-        if len(self.dense) < len(self.vocabulary):
-            self.dense = np.zeros(len(self.vocabulary), np.float32)
         for q, (at, w) in enumerate(vectors):
             slots = np.flatnonzero((sums[q] > floor[q]) & need[q][:, None])
             if len(slots) > k:
@@ -198,10 +178,9 @@ class Index:
                 slots = slots[reached > np.partition(reached, len(slots) - k)[len(slots) - k] - 1e-5]
             slots = slots[slots < len(self.labels)]
             # those that may be among the nearest, added up in an order that no other text has a part in
-            self.dense[at] = w
-            places, of = _spread(self.slot_start, slots)
-            cosines = np.bincount(of, np.take(self.dense, self.slot_term[places]) * self.slot_value[places], len(slots))
-            self.dense[at] = 0
+            row = self.frequent[at]
+            own = self.impacts[(slots // width)[:, None], row[row >= 0][None, :], (slots % width)[:, None]]
+            cosines = rare_sums[q, slots] + (own * w[row >= 0]).sum(axis=1)
             slots, cosines = slots[cosines > 0], cosines[cosines > 0]
             best = np.lexsort((slots, -cosines))[:k]
             out.append((slots[best], cosines[best]))
@@ -286,7 +265,7 @@ def build(examples: list[tuple[object, str | None, int]], vocabulary: list[str],
     weights = np.array([stands[labels[i]] for i in order], float)
     index = Index(
         number, weight, labels[order], weights / max(weights.max(initial=0), 1e-9), np.array([examples[i][0] for i in order], object), prior, (np.empty(0), np.empty(0)),
-        slot_start, term, value, _sparse(term_, len(number)), slot_[by_term], value_[by_term], frequent, impacts, np.ascontiguousarray(impacts.max(axis=2, initial=0).T),
+        _sparse(term_, len(number)), slot_[by_term], value_[by_term], frequent, impacts, np.ascontiguousarray(impacts.max(axis=2, initial=0).T),
     )
     raw = []
     for at in range(0, len(order), TOGETHER):
@@ -307,9 +286,8 @@ def _count(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
         for b in batches:
             rows += b.num_rows
             for t in b.column(0):
-                own = numbers.present(t.as_py())
-                n[own[:, 0]] += 1  # a place that is named twice goes up once; the last one is that of words not known
-                n[own[:, 1]] += 1
+                for own in numbers.present(t.as_py()):
+                    n[own] += 1  # a place that is named twice goes up once; the last one is that of terms not known
         n[-1] = rows
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["term", "n"])
