@@ -275,3 +275,67 @@ def test_caches(spark, numbers, tmp_path):
     with caching.cached(numbers) as c:
         assert c.is_cached and sum(1 for _ in caching.rows_ahead(c)) == 500
     assert caching.resolve(None, f"{tmp_path}/", "x") == f"{tmp_path}/x" and caching.resolve("hdfs://a/b", "c", "x") == "hdfs://a/b/x"
+
+
+def test_images_by_batches_are_those_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    x, a, s = rng.random((7, 6, 5, 3)), rng.uniform(-1, 1, 7), rng.uniform(0.2, 2, 7)
+    for fn, p in ((image.rotate, a), (image.blur, s), (image.hue, a), (image.saturation, s), (lambda x, u: image.resized_crop(x, u, u), np.abs(a) * 0.99)):
+        assert np.allclose(fn(x, p), np.stack([fn(one, q) for one, q in zip(x, p)]))
+    assert np.allclose(image.jitter(x, s, s, s, a), np.stack([image.jitter(one, q, q, q, r) for one, q, r in zip(x, s, a)]))
+    assert np.allclose(image.resize(x, 3, 9), np.stack([image.resize(one, 3, 9) for one in x]))
+    rows = [(i, None if i == 2 else one.ravel().tolist(), float(r)) for i, (one, r) in enumerate(zip(x, a))]
+    df = spark.createDataFrame(rows, "i int, x array<double>, r double")
+    got = {r["i"]: r["y"] for r in df.select("i", image.over(image.rotate, (6, 5, 3))(F.col("x"), F.col("r")).alias("y")).collect()}
+    assert got[2] is None and all(np.allclose(got[i], image.rotate(x[i], a[i]).ravel()) for i in range(7) if i != 2)
+
+
+def test_loudness_of_waves_of_any_length(spark):
+    waves = [np.sin(np.arange(n) / 3.0).tolist() for n in (640, 1280, 640)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate([*waves, None])], "i int, x array<double>")
+    got = {r["i"]: r["y"] for r in df.select("i", audio.loudness(F.col("x")).alias("y")).collect()}
+    assert got[3] is None and all(np.allclose(got[i], audio.loudness_of(np.array(w))) for i, w in enumerate(waves))
+
+
+@pytest.mark.parametrize("capacity", [1, 2, 5, 33, 600])
+def test_ring_buffer_holds_the_last_rows(numbers, capacity):
+    got = {r[IDX]: r["__buffer"] for r in sampling.FifoBuffer(capacity).contents(numbers.repartition(3), "x").collect()}
+    assert got == {i: [k * 1.5 for k in range(max(0, i - capacity + 1), i + 1)] for i in range(500)}
+
+
+def test_partners_are_a_permutation_of_the_batch(numbers):
+    b = batching.Batcher(64).assign(numbers, 500).select(IDX, "batch_id", "x")
+    met = augment.partner(b, ["x", IDX], seed=3)
+    rows = met.collect()
+    assert sorted(r[IDX] for r in rows) == list(range(500)) == sorted(r["__other"][IDX] for r in rows)
+    assert all(r[IDX] // 64 == r["__other"][IDX] // 64 and r["__other"]["x"] == r["__other"][IDX] * 1.5 for r in rows)
+    assert all(r["__n"] == min(64, 500 - r["batch_id"] * 64) for r in rows)
+    assert "Join" not in met._jdf.queryExecution().toString() and met.columns[:3] == b.columns
+
+
+def test_endless_sampler(spark):
+    done = []
+    c = sampling.EpochCursor(10, seed=5, on_epoch=done.append)
+    parts = []
+    for n in (7, 16, 5):
+        df, c = c.take(spark, n)
+        parts += sorted(map(tuple, df.select("__pos", "__epoch", IDX).collect()))
+    assert [p for p, _, _ in parts] == list(range(28)) and done == [0, 1] and c.progress() == 0.8
+    assert all(sorted(i for _, e, i in parts if e == k) == list(range(10)) for k in (0, 1))
+    again, _ = sampling.EpochCursor(10, seed=5).restored({"n": 10, "position": 20}).take(spark, 8)
+    assert sorted(map(tuple, again.select("__pos", "__epoch", IDX).collect())) == parts[20:]
+    assert c.state() == {"n": 10, "position": 28, "epoch": 2, "offset": 8}
+    with pytest.raises(ValueError):
+        c.restored({"n": 11, "position": 0})
+
+
+def test_permutations_by_sql_rounds(spark):
+    for n in (1, 2, 7, 100):
+        got = [r[0] for r in spark.range(n).select(keyed.permuted(F.col("id"), n, 9, exact=True)).collect()]
+        assert sorted(got) == list(range(n))
+
+
+def test_values_of_the_row_are_computed_once(spark):
+    x = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda v: v.cast("double"))
+    got = spark.range(3).select(arrays.bind(lambda a, b: F.transform(a, lambda v: v + b), a=x, b=F.col("id").cast("double"))[1]).collect()
+    assert [r[0] for r in got] == [1.0, 2.0, 3.0]
