@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -167,3 +168,27 @@ def test_near_groups_of_documents(documents):
 
 def test_bands_miss_one_pair_in_a_thousand_million():
     assert (1 - 0.8**simhash.NEAR.rows) ** simhash.NEAR.bands < 1.1e-9
+
+
+def test_tiles_of_a_hot_key_by_population_count(spark):
+    """Fingerprints that share most blocks: those far apart in population count never meet, and no link is lost."""
+    rng = random.Random(12)
+    low = [sum(1 << b for b in rng.sample(range(16), rng.randrange(17))) for _ in range(1500)]
+    fps = sorted(set(low))
+    df = spark.createDataFrame([(i, f, 0) for i, f in enumerate(fps)], "node long, fp long, fp2 long")
+    tile, radius = 64, 2
+    edges = [(r["a"], r["b"]) for r in simhash.links(df, simhash.Linking(3, radius), tile).collect()]
+    roots = slow_components(fps, lambda a, b: (a ^ b).bit_count() <= radius)
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == roots
+    # a unit of two tiles holds only what may be near the other tile (places in a population count are hashed), and a tile meets few others
+    units = {}
+    for u in simhash._units(df, simhash.Linking(3, radius), tile).collect():
+        units.setdefault(u["unit"], []).append((u["side"], u["fp"].bit_count()))
+    for rows in units.values():
+        one, two = [[p for s, p in rows if s == k] for k in (1, 2)]
+        if one and two:
+            assert all(min(two) - 2 * radius <= p <= max(two) + 2 * radius for p in one)
+    tiles = len(fps) // tile
+    keys = math.comb(radius + 2, 2)
+    assert sum(map(len, units.values())) < 0.8 * tiles * len(fps) * keys / 2

@@ -224,9 +224,8 @@ def _forest(fps: np.ndarray, more: np.ndarray, side: np.ndarray, how: Linking, b
     return order[tied], order[label[tied]]
 
 
-def links(distinct: DataFrame, how: Linking = EXACT, tile: int = TILE) -> DataFrame:
-    """Forest rows (a, b) over the nodes of ``distinct`` (node, fp, fp2) whose components are those of all links."""
-    spark = distinct.sparkSession
+def _units(distinct: DataFrame, how: Linking, tile: int) -> DataFrame:
+    """(node, fp, fp2, unit, side): the units of work, one for every two tiles of a key that may hold something near."""
     keyed = distinct.select("node", "fp", "fp2", F.explode(_keys(F.col("fp"), how.radius)).alias("key"))
     pop = F.bit_count("fp")
     # of all keys only those with more than a tile: at most one for each ``tile`` rows
@@ -242,14 +241,18 @@ def links(distinct: DataFrame, how: Linking = EXACT, tile: int = TILE) -> DataFr
     tile_of = lambda x: F.coalesce(F.floor(x / tile), F.lit(0)).cast("int")
     # one row for each unit that the node's tile is in: with itself, and with each tile that may hold something near
     others = F.sequence(tile_of(F.get("before", F.greatest(pop - how.radius, F.lit(0)))), tile_of(F.get("before", F.least(pop + how.radius + 1, F.lit(65))) - 1))
-    units = met.select("node", "fp", "fp2", "key", tile_of(place).alias("me"), F.explode(others).alias("other")).select(
+    return met.select("node", "fp", "fp2", "key", tile_of(place).alias("me"), F.explode(others).alias("other")).select(
         "node",
         "fp",
         "fp2",
         F.xxhash64("key", F.least("me", "other"), F.greatest("me", "other")).alias("unit"),
         F.when(F.col("me") == F.col("other"), 0).when(F.col("me") < F.col("other"), 1).otherwise(2).cast("int").alias("side"),
     )
-    units = units.repartition(partitions(spark), "unit").sortWithinPartitions("unit")
+
+
+def links(distinct: DataFrame, how: Linking = EXACT, tile: int = TILE) -> DataFrame:
+    """Forest rows (a, b) over the nodes of ``distinct`` (node, fp, fp2) whose components are those of all links."""
+    units = _units(distinct, how, tile).repartition(partitions(distinct.sparkSession), "unit").sortWithinPartitions("unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(cols: list[np.ndarray], edges: list[int]) -> Iterator[pa.RecordBatch]:
