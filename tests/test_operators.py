@@ -13,6 +13,7 @@ from weirflow.operators import augment, batching, sampling
 from weirflow.operators.base import IDX, ElementFn, KeyFilter, Map, PandasFn, Remap
 from weirflow.operators.compose import Branching, ConditionalParallel, Parallel, Probabilistic, Selector, Sequential, WeightedParallel
 from weirflow.sources import arrays as npy
+from weirflow.sources import exports
 from weirflow.plans import caching
 from weirflow.sources import metadata, mixture
 from weirflow.sources.indexed import Source, as_dataframe, from_memory, from_path, require_local, with_index
@@ -339,3 +340,27 @@ def test_values_of_the_row_are_computed_once(spark):
     x = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda v: v.cast("double"))
     got = spark.range(3).select(arrays.bind(lambda a, b: F.transform(a, lambda v: v + b), a=x, b=F.col("id").cast("double"))[1]).collect()
     assert [r[0] for r in got] == [1.0, 2.0, 3.0]
+
+
+def test_exported_splits(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    tables = [pa.table({"x": list(range(k * 10, k * 10 + 10)), "y": [f"n{i}" for i in range(10)]}) for k in range(3)]
+    for k, t in enumerate(tables):
+        pq.write_table(t, tmp_path / f"set-train-0000{k}-of-00003.parquet")
+        with pa.OSFile(str(tmp_path / f"set-test-0000{k}-of-00003.arrow"), "wb") as f, pa.ipc.new_stream(f, t.schema) as w:
+            w.write_table(t, max_chunksize=4)
+    (tmp_path / "dev").mkdir()
+    with pa.OSFile(str(tmp_path / "dev/a.arrow"), "wb") as f, pa.ipc.new_file(f, tables[0].schema) as w:
+        w.write_table(tables[0])
+    for split, n in (("train", 30), ("test", 30), ("dev", 10)):
+        s = exports.from_export(spark, str(tmp_path), split, include=("x",))
+        assert len(s) == n and s.epoch().columns == [IDX, "x", "__pos"]
+        assert [(r[IDX], r["x"]) for r in s.epoch().orderBy(IDX).collect()] == [(i, i) for i in range(n)]
+    pair = exports.from_export(spark, str(tmp_path), "test", supervised=("x", "y"), shuffle_seed=3)
+    assert pair.epoch().columns == [IDX, "input", "target", "__pos"] and {r["target"] for r in pair.epoch().collect()} == {f"n{i}" for i in range(10)}
+    with pytest.raises(FileNotFoundError):
+        exports.from_export(spark, str(tmp_path), "none")
+    with pytest.raises(ValueError):
+        exports.from_export(spark, str(tmp_path), "train", include=("x",), supervised=("x", "y"))

@@ -21,6 +21,7 @@ from weirflow.plans.catalog import query
 from weirflow.plans.checkpoints import Checkpoints
 from weirflow.plans.pipeline import Pipeline
 from weirflow.sources import arrays as npy
+from weirflow.sources import exports
 from weirflow.sources.indexed import Source, as_dataframe, from_memory, from_path, stream, with_index
 from weirflow.streaming import twin
 
@@ -92,6 +93,19 @@ def endless_piece(spark: SparkSession, d: str) -> DataFrame:
     return s.repeated(2, first=5).select(F.col("__epoch").cast("int").alias("epoch"), F.col("__pos").alias("pos"), F.col(IDX).alias("i"))
 
 
+@query("SELECT o_orderkey AS i, o_totalprice AS input, o_orderstatus AS target FROM orders")
+def exported_split(spark: SparkSession, d: str) -> DataFrame:
+    """A split in three Parquet shards, as pairs of input and target."""
+    at = _fresh(spark)
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    n = orders.count()
+    for k in range(3):
+        part = orders.filter((F.col("o_orderkey") >= n * k // 3) & (F.col("o_orderkey") < n * (k + 1) // 3)).orderBy("o_orderkey").coalesce(1)
+        part.write.parquet(f"{at}/orders-train-0000{k}-of-00003.parquet")
+    s = exports.from_export(spark, at, "train", supervised=("o_totalprice", "o_orderstatus"))
+    return s.epoch().select(F.col(IDX).alias("i"), "input", "target")
+
+
 # ------------------------------------------------------------------ maps that adapt or decide
 
 
