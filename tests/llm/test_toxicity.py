@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -123,6 +124,15 @@ def test_scores_are_the_calibrated_votes(corpus):
         assert abs(got[q] - (0.98 * np.interp(r, xs, ys) + 0.02 * r)) < 1e-4
 
 
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(1)
+    pool = [chr(c) for c in range(256)] * 2 + list("abc _\t\n") * 20 + ["\u0130", "Ω", "語", "\u2028", "ǅ"]
+    for k in range(400):
+        text = "".join(rng.choices(pool if k % 4 == 0 else pool[:-5], k=60))
+        assert toxicity.words(text) == Counter(re.findall(r"\w+", text.lower()))
+    assert not toxicity.words(None) and not toxicity.words(" - ")
+
+
 def test_sample_bounds():
     assert toxicity._within([(1, 0, 5), (2, 1, 9), (3, 0, 6), (4, 0, 5), (5, 1, 2)], 10) == [1, 2, 4]
 

@@ -52,8 +52,22 @@ MEMORY = 200_000
 _TERM = re.compile(r"\w+")
 
 
+#: What a byte of a Latin-1 text is in its words: lower case, or a space between them.
+_LATIN = bytes(ord(chr(b).lower()) if _TERM.match(chr(b)) else 32 for b in range(256))
+
+
+def split(text: str | None) -> list[str]:
+    """Runs of letters, digits and underscores, lower-cased."""
+    try:  # as the pattern has it, faster
+        return (text or "").encode("latin-1").translate(_LATIN).decode("latin-1").split(" ")
+    except UnicodeEncodeError:
+        return _TERM.findall(text.lower())
+
+
 def words(text: str | None) -> Counter[str]:
-    return Counter(_TERM.findall((text or "").lower()))
+    found = Counter(split(text))
+    found.pop("", None)
+    return found
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -110,7 +124,7 @@ class Numbers(dict):
 
     def present(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of both terms of every distinct word, -1 for none."""
-        return self._both(set(_TERM.findall((text or "").lower())))
+        return self._both(set(split(text)))
 
 
 @dataclass
@@ -331,7 +345,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: i
             examples.append((r["doc_id"], r["text"], int(r["toxic"])))
     if len({y for _, _, y in examples}) < 2:
         return sizes.get(1, 0) / sum(sizes.values())
-    vocabulary = sorted({t for _, text, _ in examples for t in terms(text)})
+    every = set().union(*(words(text) for _, text, _ in examples))
+    vocabulary = sorted({t for w in every for t in terms_of(w)})
     df, n = _count(docs, vocabulary)
     got = Counter(y for _, _, y in examples)
     return build(examples, vocabulary, df, n, (sizes[0] / got[0], sizes[1] / got[1]))
