@@ -269,21 +269,22 @@ def build(examples: list[tuple[object, str | None, int]], vocabulary: list[str],
     frequent = np.full(len(number), -1, np.int32)
     often = np.flatnonzero(count * FREQUENT > len(order))
     frequent[often] = np.arange(len(often))
-    impacts = np.zeros((len(often), blocks * width), np.float32)
+    impacts = np.zeros((blocks, len(often), width), np.float32)
     own = frequent[term] >= 0
-    impacts[frequent[term[own]], slot[own]] = value[own]
-    impacts = np.ascontiguousarray(impacts.reshape(len(often), blocks, width).transpose(1, 0, 2))
-    term_, slot_, value_ = term[~own], slot[~own], value[~own]
-    by_term = np.argsort(term_, kind="stable")
+    impacts[slot[own] // width, frequent[term[own]], slot[own] % width] = value[own]
+    term, slot, value = term[~own], slot[~own], value[~own]
+    by_term = np.argsort(term, kind="stable")
+    term_start, slot, value = _sparse(term, len(number)), slot[by_term], value[by_term]
+    del term, by_term, own
     prior = float((labels * stands[1]).sum() / max((labels * stands[1] + (1 - labels) * stands[0]).sum(), 1e-9))
     weights = np.array([stands[labels[i]] for i in order], float)
     index = Index(
         number, weight, labels[order], weights / max(weights.max(initial=0), 1e-9), np.array([examples[i][0] for i in order], object), prior, (np.empty(0), np.empty(0)),
-        _sparse(term_, len(number)), slot_[by_term], value_[by_term], frequent, impacts, np.ascontiguousarray(impacts.max(axis=2, initial=0).T),
+        term_start, slot, value, frequent, impacts, np.ascontiguousarray(impacts.max(axis=2, initial=0).T),
     )
     raw = []
-    for at in range(0, len(order), TOGETHER):
-        some = order[at : at + TOGETHER]
+    for at in range(0, len(order), 64):  # fewer at once than on executors: the driver has less room
+        some = order[at : at + 64]
         raw += [index.vote(*x) for x in index.nearest([vectors[i] for i in some], skip=list(range(at, at + len(some))))]
     raw = np.array(raw)
     index.steps = isotonic(raw, index.labels.astype(float), index.weights)
