@@ -346,7 +346,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: i
             examples.append((r["doc_id"], r["text"], int(r["toxic"])))
     if len({y for _, _, y in examples}) < 2:
         return sizes.get(1, 0) / sum(sizes.values())
-    every = set().union(*(words(text) for _, text, _ in examples))
+    every: set[str] = set()
+    for _, text, _ in examples:
+        every.update(words(text))
     vocabulary = sorted({t for w in every for t in terms_of(w)})
     df, n = _count(docs, vocabulary)
     got = Counter(y for _, _, y in examples)
