@@ -1,7 +1,7 @@
 """Corpus preparation: each stage takes what the one before kept.
 
 1. quality rules: documents that the standard policy rejects go;
-2. SimHash near-dedup: one document of each group of near copies stays;
+2. SimHash near-dedup: fingerprints propose near copies, whole texts confirm them; one document of each group stays;
 3. benchmark decontamination: documents that overlap a benchmark item go;
 4. PII: spans are replaced in the texts, all documents stay;
 5. mixing: the documents left are packed into blocks, and sources mixed to target weights.

@@ -166,6 +166,21 @@ def test_near_groups_of_documents(documents):
     assert {r["doc_id"] for r in simhash.keep_one(documents).collect()} == {d[k]["doc_id"] for k in roots}
 
 
+def test_near_groups_come_from_fingerprints(spark):
+    """Without the keys of least hashes, SimHash alone proposes: the similar pairs of groups of fingerprints within the radius."""
+    texts = families()
+    how = simhash.Similar(bands=0)
+    sets = list(map(slow_shingles, texts))
+    fps = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) for h in ({xxhash.xxh64_intdigest(" ".join(g).encode(), 42) for g in slow_shingles(t, how.pair)} for t in texts)]
+    near = slow_components(fps, lambda a, b: (a ^ b).bit_count() <= how.radius)
+    want = slow_components(list(zip(near, sets)), lambda a, b: a[0] == b[0] and 10 * len(a[1] & b[1]) >= 8 * len(a[1] | b[1]))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), how=how).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    alone = len(set(slow_components(list(map(tuple, map(sorted, sets))), lambda a, b: a == b)))
+    every = len(set(slow_components(sets, lambda a, b: 10 * len(a & b) >= 8 * len(a | b))))
+    assert alone - len(set(want)) > (alone - every) / 2  # they join most of what there is to join
+
+
 def test_bands_miss_one_pair_in_a_thousand_million():
     assert (1 - 0.8**simhash.NEAR.rows) ** simhash.NEAR.bands < 1.1e-9
 

@@ -14,11 +14,12 @@
    cut through the shared checkpoint folder.
 
 ``EXACT`` links at 2 bits of 3-word shingles. ``NEAR`` is for removing near copies: texts link where the Jaccard
-similarity of their sets of 5-word shingles, counted exactly, is 0.8 or more. No radius of fingerprints that
-blocks of bits can search finds all such pairs, so least hashes (minhash) propose: ``bands`` keys of ``rows`` least
-hashes each, of which a pair at 0.8 shares none with a chance of 1e-9, and less above. Texts that keys
-connect are compared in tiles as above, every pair that is not yet connected by its whole sets; only confirmed
-links make components.
+similarity of their sets of 5-word shingles, counted exactly, is 0.8 or more. Steps 1 to 5 propose: fingerprints of the
+sets of ``pair``-word shingles within ``radius`` bits make groups. No radius that blocks of bits can search
+finds all such pairs, so for the rest least hashes (minhash) propose what fingerprints leave apart: ``bands`` keys of
+``rows`` least hashes each, of which a pair at 0.8 shares none with a chance of 1e-9, and less above. The texts of a
+group are then compared in tiles as above, every pair that is not yet connected by its whole sets; only
+confirmed links make components.
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; repeated rows and ties
 fall into one component; component_id is null only where all ids of a component are;
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, text_of
+from .common import cut, freed, partitions, text_of
 
 SEED = 42
 TILE, BLOCK = 4096, 512
@@ -56,12 +57,15 @@ class Linking:
 
 @dataclass(frozen=True)
 class Similar:
-    """Shingle length, least similarity as a fraction, and the keys that propose pairs: ``bands`` of ``rows`` least hashes."""
+    """Shingle length, least similarity as a fraction, and what proposes pairs: ``bands`` keys of ``rows`` least hashes, after
+    fingerprints of ``pair``-word shingles within ``radius`` bits."""
 
     shingle: int = 5
     share: tuple[int, int] = (4, 5)
     rows: int = 7
     bands: int = 88
+    pair: int = 2
+    radius: int = 6
 
 
 EXACT, NEAR = Linking(3, 2), Similar()
@@ -282,18 +286,20 @@ def links(distinct: DataFrame, how: Linking = EXACT, tile: int = TILE) -> DataFr
 
 
 def _similar_rows(rows: DataFrame, how: Similar) -> DataFrame:
-    """__id, __th, fp and node (of the set of shingles), n_grams and bands of every row."""
+    """__id, __th, fp, node (of the set of shingles), n_grams and bands of every row; equal sets have equal fingerprints."""
     schema = rows.drop("text").withColumns({"fp": F.lit(0).cast("long"), "node": F.lit(0).cast("long"), "n_grams": F.lit(0).cast("long"), "bands": F.array().cast("array<long>")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, bands = [], [], []
+            fps, nodes, sizes, bands = [], [], [], []
             for t in b.column(b.num_columns - 1):
-                grams = np.unique(_shingle_hashes(t.as_py(), how.shingle))
+                text = t.as_py()
+                grams = np.unique(_shingle_hashes(text, how.shingle))
+                fps.append(_majority(np.unique(_shingle_hashes(text, how.pair))))
                 nodes.append(_node(grams))
                 sizes.append(len(grams))
                 bands.append(_bands(grams, how))
-            own = [pa.array(nodes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            own = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *own], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -302,14 +308,17 @@ def _similar_rows(rows: DataFrame, how: Similar) -> DataFrame:
 def similar_links(rows: DataFrame, distinct: DataFrame, how: Similar = NEAR, tile: int = TEXT_TILE, words: int = WORD_TILE) -> DataFrame:
     """Forest rows (a, b) over nodes whose components are those of all pairs similar enough.
 
-    ``rows``: __id, __th and text; ``distinct``: node, n_grams, bands and ``least`` (a row that has the node).
+    ``rows``: __id, __th and text; ``distinct``: node, fp, n_grams, bands and ``least`` (a row that has the node).
     """
     spark = rows.sparkSession
+    near = links(distinct.select("node", "fp", F.lit(0).cast("long").alias("fp2")), Linking(how.pair, how.radius))
+    # least hashes: for what fingerprints leave apart
     keyed = distinct.select("node", F.explode("bands").alias("key"))
     met = cut(keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("__key"), "head"))
-    loose = components(keyed.join(met, F.col("key") == F.col("__key")).select(F.col("node").alias("a"), F.col("head").alias("b")))
+    loose = components(near.union(keyed.join(met, F.col("key") == F.col("__key")).select(F.col("node").alias("a"), F.col("head").alias("b"))))
     group = loose.select(F.col("node").alias("__of"), F.col("root").alias("group"))
     held = cut(distinct.select("node", "n_grams", "least").join(group, F.col("node") == F.col("__of")).drop("__of"))
+    freed(spark)
     tiles = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n_grams") / words)).cast("int")
     t = cut(held.groupBy("group").agg(tiles.alias("t")).withColumnRenamed("group", "__group"))
     held = held.join(t, F.col("group") == F.col("__group")).select("node", "group", "t", F.col("least.id").alias("__hid"), F.col("least.th").alias("__hth"))
@@ -380,8 +389,9 @@ def _by_text(docs: DataFrame, id_col: str, text: str, how: Linking | Similar) ->
     own = F.struct(F.isnull("__id").alias("none"), F.col("__id").alias("id"), F.col("__th").alias("th"))
     if isinstance(how, Similar):
         fps = cut(_similar_rows(rows, how))
-        distinct = cut(fps.groupBy("node").agg(F.min(own).alias("least"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
-        found = similar_links(rows, distinct, how)
+        distinct = cut(fps.groupBy("node").agg(F.min(own).alias("least"), *[F.first(c).alias(c) for c in ("fp", "n_grams", "bands")]))
+        found = cut(similar_links(rows, distinct, how))
+        freed(docs.sparkSession)
     else:
         node = F.col("fp") if how.both is None else F.xxhash64("fp", "fp2")
         fps = cut(fingerprints(rows, keep=("__id", "__th"), how=how).withColumn("node", node))
