@@ -90,6 +90,38 @@ def test_long_lists_are_aligned_in_blocks(monkeypatch):
     assert len(pairs) > 270 and any(p.key == q.key for p, q in pairs if p.tag == "p")
 
 
+def test_pairs_do_not_depend_on_the_length_of_lists(monkeypatch):
+    """Lists that are not held as a whole table give the pairs of one that is, below them as well."""
+    rng = random.Random(6)
+
+    def tree(depth, most):
+        return "".join(f"<{t} class=c{rng.randrange(2)}>{rng.randrange(3)}{tree(depth - 1, 4) if depth else ''}</{t}>" for t in rng.choices(["div", "section", "ul"], k=rng.randrange(most)))
+
+    for k in range(80):
+        x, y = html.Page(f"<body>{tree(2, 6 + k)}</body>"), html.Page(f"<body>{tree(2, 6 + k)}</body>")
+        found = []
+        for cells in (10**9, 300, 6, 0):
+            monkeypatch.setattr(html, "CELLS", cells)
+            m = html.Match(x, y)
+            pairs = [(p.number, q.number) for p, q in m.pairs()]
+            found.append((pairs, m._score(x.body, y.body)))
+        assert found == found[:1] * 4
+
+
+def test_template_of_long_lists(spark):
+    """What pages share is found wherever it stands among hundreds of paragraphs of their own."""
+    rows, want = [], []
+    for i in range(6):
+        before, after = 150 + 60 * i, 20 + 250 * i
+        own = [f"own {i} {k}" for k in range(before + after)]
+        shared = ["<p>Call our office on weekdays at noon</p>", "<p>Made with care in the cold north</p>"]
+        head, tail = own[:before], own[before:]
+        rows.append((i, f"http://h.org/{i}", f"<body>{''.join(f'<p>{x}</p>' for x in head)}{shared[0]}{''.join(f'<p>{x}</p>' for x in tail)}{shared[1]}</body>"))
+        want.append("\n".join(own))
+    got = {r["page_id"]: r["text"] for r in html.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
 def pages_of(n, host="h.org"):
     for i in range(n):
         yield f"http://{host}/{i}", f"<body><article><h1>Title {i}</h1><p>Own text number {i} of the page</p><p>Subscribe to our letter</p></article><p>tail</p></body>"

@@ -21,8 +21,8 @@ of readers, scripts, styles and the head. Where there are article or main elemen
 text; where there are none, all slots.
 
 References are a bounded sample of each layout; every page votes, and every page is read whole. Where all
-references are under ``BROADCAST_BYTES`` they are broadcast, else joined by host and layout. Child lists of over
-``CELLS`` pairs are cut at the same places into blocks that are aligned one by one, so that the work is linear.
+references are under ``BROADCAST_BYTES`` they are broadcast, else joined by host and layout. Child lists of any length
+are aligned whole; of over ``CELLS`` pairs the same table is made by array operations, a row at a time, and few rows are kept.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined by a newline in page order, empty ones left out. Block-level elements and ``br`` end a block.
@@ -42,6 +42,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -52,8 +53,10 @@ from .common import cut
 REFERENCES, MIN_VOTES, CONSTANT, REPEATED, PHRASE = 3, 2, 0.8, 0.25, 5
 #: Share of text in links that makes a menu.
 LINKED = 0.6
-#: Pairs of children up to which two lists are aligned at once.
+#: Pairs of children up to which a whole table of two lists is held; the way beyond gives the same pairs.
 CELLS = 40_000
+#: Parts that rows are cut into, again and again, to find the pairs of longer lists.
+PARTS = 16
 BROADCAST_BYTES = 32_000_000
 #: References up to which their keys are broadcast to fetch the pages.
 KEY_ROWS = 200_000
@@ -286,12 +289,73 @@ def layout(page: Page) -> int:
     return xxhash.xxh64_intdigest("\n".join(sorted(found)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+class Level:
+    """Nodes side by side, and what is below them, to be scored against one node at once."""
+
+    def __init__(self, nodes: list[Node]) -> None:
+        self.size, self.nodes = len(nodes), nodes
+        at: dict[object, list[int]] = {}
+        for j, q in enumerate(nodes):
+            for k in (q.tag, (q.tag, q.name), (q.tag, q.key)):
+                at.setdefault(k, []).append(j)
+        self.at = {k: np.array(v) for k, v in at.items()}
+        self.parents = np.array([j for j, q in enumerate(nodes) if q.elements], np.int64)
+        self._kept: dict[tuple[str, str], np.ndarray] = {}
+        self._below: Level | None = None
+
+    def scores(self, p: Node) -> np.ndarray:
+        """``Match._score`` of a node with each; 0 for those of other tags."""
+        w = self._kept.get((p.tag, p.name))
+        if w is None:
+            w = np.zeros(self.size, np.int64)
+            if p.tag in self.at:
+                w[self.at[p.tag]] = 1_000_000
+            if (p.tag, p.name) in self.at:
+                w[self.at[p.tag, p.name]] += 1
+            if len(self._kept) < 64:
+                self._kept[p.tag, p.name] = w
+        same, deep = self.at.get((p.tag, p.key)), p.elements and len(self.parents) and p.tag in self.at
+        if same is not None or deep:
+            w = w.copy()
+        if same is not None:
+            w[same] += 2
+        if deep:
+            w[self.parents] += np.where(w[self.parents] > 0, self._totals(p.elements), 0)
+        return w
+
+    def _totals(self, elements: list[Node]) -> np.ndarray:
+        """The last entries of the tables of ``elements`` with the children of each that has some."""
+        if self._below is None:
+            counts = np.array([len(self.nodes[j].elements) for j in self.parents])
+            self._of, self._end = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts)
+            self._first = self._end - counts
+            self._below = Level([c for j in self.parents for c in self.nodes[j].elements])
+        row = np.zeros(self._below.size, np.int64)
+        for p in elements:
+            if p.tag in self._below.at:
+                left = np.empty_like(row)
+                left[1:] = row[:-1]
+                left[self._first] = 0
+                row = np.maximum(row, left + self._below.scores(p))
+                lift = self._of * (int(row.max()) + 1)  # running maxima begin anew at each parent
+                row = np.maximum.accumulate(row + lift) - lift
+        return row[self._end - 1]
+
+
+def _next(row: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The next row of a table of two lists."""
+    out = np.zeros_like(row)
+    out[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + scores))
+    return out
+
+
 class Match:
     """Simple tree matching of two pages' bodies, or of given nodes."""
 
     def __init__(self, a: Page, b: Page) -> None:
         self.a, self.b = a.measured(), b.measured()
         self._scores: dict[tuple[int, int], int] = {}
+        self._levels: dict[int, Level] = {}
 
     def pairs(self, p: Node | None = None, q: Node | None = None) -> list[tuple[Node, Node]]:
         """The matched pairs; none for roots of different tags."""
@@ -319,18 +383,24 @@ class Match:
             return one
         known = self._scores.get((p.number, q.number))
         if known is None:
-            known = one
-            for x, y in self._blocks(p.elements, q.elements):
-                known += self._table(x, y)[-1][-1]
+            known = one + self._total(p.elements, q.elements)
             self._scores[p.number, q.number] = known
         return known
 
-    @staticmethod
-    def _blocks(x: list[Node], y: list[Node]) -> Iterator[tuple[list[Node], list[Node]]]:
-        n = max(1, -(-len(x) * len(y) // CELLS))
-        n = n if n == 1 else -(-max(len(x), len(y)) // int(CELLS**0.5))
-        for i in range(n):
-            yield x[len(x) * i // n : len(x) * (i + 1) // n], y[len(y) * i // n : len(y) * (i + 1) // n]
+    def _total(self, x: list[Node], y: list[Node]) -> int:
+        """The last entry of their table."""
+        if len(x) * len(y) <= CELLS:
+            return self._table(x, y)[-1][-1]
+        level, row = self._level(y), np.zeros(len(y) + 1, np.int64)
+        for p in x:
+            row = _next(row, level.scores(p))
+        return int(row[-1])
+
+    def _level(self, y: list[Node]) -> Level:
+        """``y``: the elements of a node, which lives as long as the page."""
+        if id(y) not in self._levels:
+            self._levels[id(y)] = Level(y)
+        return self._levels[id(y)]
 
     def _table(self, x: list[Node], y: list[Node]) -> list[list[int]]:
         table = [[0] * (len(y) + 1)]
@@ -349,19 +419,42 @@ class Match:
         return table
 
     def _chosen(self, x: list[Node], y: list[Node]) -> list[tuple[int, int]]:
-        out, i0, j0 = [], 0, 0
-        for u, v in self._blocks(x, y):
-            table, i, j = self._table(u, v), len(u), len(v)
-            while i and j:
-                if table[i][j] == table[i - 1][j]:
-                    i -= 1
-                elif table[i][j] == table[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    out.append((i0 + i, j0 + j))
-            i0, j0 = i0 + len(u), j0 + len(v)
-        return sorted(out)
+        out: list[tuple[int, int]] = []
+        if len(x) * len(y) > CELLS:
+            self._traced(x, self._level(y), 0, len(x), np.zeros(len(y) + 1, np.int64), len(y), out)
+            return out[::-1]
+        table, i, j = self._table(x, y), len(x), len(y)
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+        return out[::-1]
+
+    def _traced(self, x: list[Node], level: Level, lo: int, hi: int, row: np.ndarray, j: int, out: list[tuple[int, int]]) -> int:
+        """Go back from column ``j`` of row ``hi`` to row ``lo``, which is ``row``, and give the column there; pairs go to ``out``, last first."""
+        if hi - lo == 1:
+            new = _next(row, level.scores(x[lo])[:j])
+            while j and new[j] != row[j]:
+                j -= 1
+                if new[j + 1] != new[j]:
+                    out.append((lo, j))
+                    break
+            return j
+        n = min(PARTS, hi - lo)
+        cuts, rows = [lo + (hi - lo) * k // n for k in range(n + 1)], [row]
+        for a, b in zip(cuts, cuts[1:-1]):
+            for p in x[a:b]:
+                row = _next(row, level.scores(p)[:j])
+            rows.append(row)
+        for a, b in reversed(list(zip(cuts, cuts[1:]))):
+            row = rows.pop()
+            if j:
+                j = self._traced(x, level, a, b, row[: j + 1], j, out)
+        return j
 
 
 @dataclass
