@@ -27,4 +27,4 @@ def test_entry_lists_all():
     import __spark_entry__ as e
 
     assert set(queries()) | {"pipeline"} <= set(e.queries())
-    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 14)}

@@ -89,5 +89,21 @@ r AS (SELECT rid, {counts}, string_agg({one}, ',' {order}) FILTER (rank < {len(B
 SELECT doc_id, {zero}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, {more}, coalesce(scores, '') AS scores FROM d LEFT JOIN r ON d.rid = r.rid"""
 
 
+def _op13() -> str:
+    """Lines by matching, not by splitting; the parts as joined slices; the rebuilt text as the text itself."""
+    h = [f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)" for k in range(4)]
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+        sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, least({h[0]} % (len(u) + 1), {h[1]} % (len(u) + 1)) AS a,
+        greatest({h[0]} % (len(u) + 1), {h[1]} % (len(u) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {h[2]} % 100 >= 100 THEN 'plain'
+             WHEN {h[3]} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(list_slice(u, 1, a), '') AS p, array_to_string(list_slice(u, a + 1, b), '') AS m, array_to_string(list_slice(u, b + 1, n), '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffix_dedup": _op7(), "op8_quality_rules": _op8(), "op9_pii": _op9()}
+    return {"op7_suffix_dedup": _op7(), "op8_quality_rules": _op8(), "op9_pii": _op9(), "op13_fim": _op13()}

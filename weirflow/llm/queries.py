@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, mixing, pii, quality, repeats, simhash, tokencount, toxicity, urls
+from . import decontaminate, fim, html, mixing, pii, quality, repeats, simhash, tokencount, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,5 +52,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.query(table(spark, sf_dir, "pages"))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
