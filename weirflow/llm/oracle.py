@@ -89,6 +89,28 @@ r AS (SELECT rid, {counts}, string_agg({one}, ',' {order}) FILTER (rank < {len(B
 SELECT doc_id, {zero}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, {more}, coalesce(scores, '') AS scores FROM d LEFT JOIN r ON d.rid = r.rid"""
 
 
+def _op11() -> str:
+    """The checksum by its table, pairs by words with one character left out or blanked, roots by recursion."""
+    tab = "list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    return rf"""
+WITH RECURSIVE tab AS (SELECT list({tab} ORDER BY i) AS tab FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+keyed AS (SELECT id, w, count(*) AS k, hex(encode(id || ':' || w)) AS x FROM runs WHERE length(w) >= 7 GROUP BY id, w),
+crc AS (SELECT w, k, xor(list_reduce([4294967295] || list_transform(range(length(x) // 2), lambda p: CAST('0x' || substr(x, 2 * p + 1, 2) AS BIGINT)),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM keyed, tab),
+kept AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM crc),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v),
+blank AS (SELECT word, n, substr(word, 1, p - 1) || '*' || substr(word, p + 1) AS x FROM cut),
+less AS (SELECT DISTINCT word, n, substr(word, 1, p - 1) || substr(word, p + 1) AS x FROM cut),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM blank a JOIN blank b ON a.x = b.x AND a.word <> b.word
+   UNION ALL SELECT l.word, s.word, s.n FROM less l JOIN v s ON l.x = s.word UNION ALL SELECT s.word, l.word, l.n FROM less l JOIN v s ON l.x = s.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM v LEFT JOIN best ON v.word = best.word),
+r AS (SELECT word, word AS root, form FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.form = f.word)
+SELECT f.word, f.form, r.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN r ON f.word = r.word AND r.form IS NULL"""
+
+
 def _op13() -> str:
     """Lines by matching, not by splitting; the parts as joined slices; the rebuilt text as the text itself."""
     h = [f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)" for k in range(4)]
@@ -106,4 +128,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffix_dedup": _op7(), "op8_quality_rules": _op8(), "op9_pii": _op9(), "op13_fim": _op13()}
+    return {"op7_suffix_dedup": _op7(), "op8_quality_rules": _op8(), "op9_pii": _op9(), "op11_spelling_variants": _op11(), "op13_fim": _op13()}
