@@ -65,6 +65,15 @@ def permuted(idx: Column, n: int, seed: int | Column = 0, rounds: int = 4, exact
     range: no sort, no shuffle, and any slice of the order can be computed by itself. ``exact`` rounds are
     :func:`uniform` draws, which SQL engines can repeat.
     """
+    return _walked(idx, n, seed, rounds, exact, inverse=False)
+
+
+def unpermuted(pos: Column, n: int, seed: int | Column = 0, rounds: int = 4, exact: bool = False) -> Column:
+    """The inverse of :func:`permuted`: which index is at ``pos``. The network's rounds run backwards, the walk does too."""
+    return _walked(pos, n, seed, rounds, exact, inverse=True)
+
+
+def _walked(value: Column, n: int, seed: int | Column, rounds: int, exact: bool, inverse: bool) -> Column:
     seed = F.lit(seed) if isinstance(seed, int) else seed
     if n <= 1:
         return F.lit(0).cast("long")
@@ -75,9 +84,11 @@ def permuted(idx: Column, n: int, seed: int | Column = 0, rounds: int = 4, exact
         start = F.struct(F.shiftright(x, half).alias("a"), x.bitwiseAND(F.lit(width - 1).cast("long")).alias("b"))
         drawn = lambda b, r: F.floor(uniform(b, F.concat_ws("|", F.lit("feistel"), seed.cast("string"), r.cast("string"))) * width) if exact else F.pmod(F.xxhash64(b, seed, r), F.lit(width))
         step = lambda s, r: F.struct(s["b"].alias("a"), s["a"].bitwiseXOR(drawn(s["b"], r).cast("long")).alias("b"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: s["a"] * width + s["b"])
+        back = lambda s, r: F.struct(s["b"].bitwiseXOR(drawn(s["a"], r).cast("long")).alias("a"), s["a"].alias("b"))
+        order = F.sequence(F.lit(rounds), F.lit(1), F.lit(-1)) if inverse else F.sequence(F.lit(1), F.lit(rounds))
+        return F.aggregate(order, start, back if inverse else step, lambda s: s["a"] * width + s["b"])
 
-    first = F.struct(idx.cast("long").alias("x"), F.lit(True).alias("out"))
+    first = F.struct(value.cast("long").alias("x"), F.lit(True).alias("out"))
     walk = lambda s, _: F.when(s["out"], F.transform(F.array(network(s["x"])), lambda v: F.struct(v.alias("x"), (v >= n).alias("out")))[0]).otherwise(s)
     # the domain is under 4 n, so a step is inside with a chance over 1/4; 512 steps leave none out
     short = F.aggregate(F.sequence(F.lit(1), F.lit(12)), first, walk)

@@ -49,16 +49,19 @@ def _mounted(spark: SparkSession) -> str:
 # ------------------------------------------------------------------ sources
 
 
-@query("SELECT CAST(k AS BIGINT) AS i, CAST(k * k AS BIGINT) AS square FROM range(100) t(k)")
+@query("SELECT n_nationkey AS i, n_name FROM nation")
 def memory_source(spark: SparkSession, d: str) -> DataFrame:
-    s = from_memory(spark, {"square": [k * k for k in range(100)], "other": list(range(100))}, include=("square",))
-    return s.epoch().select(F.col(IDX).alias("i"), "square")
+    """A table that fits the driver as a dict of lists (here: the nations), one of its fields left out."""
+    rows = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").toPandas()
+    s = from_memory(spark, {"n_name": rows["n_name"].tolist(), "other": rows["n_regionkey"].tolist()}, include=("n_name",))
+    return s.epoch().select(F.col(IDX).alias("i"), "n_name")
 
 
-@query("SELECT CAST(k AS BIGINT) AS i, 'n' || k AS name FROM range(20) t(k)")
+@query("SELECT row_number() OVER (ORDER BY item_id) - 1 AS i, item_id, text FROM benchmark")
 def memory_records(spark: SparkSession, d: str) -> DataFrame:
-    """A list of records through the adapter that takes any finite source."""
-    return as_dataframe([{"name": f"n{k}"} for k in range(20)], spark).select(F.col(IDX).alias("i"), "name")
+    """The benchmark's items as a list of records, through the adapter that takes any finite source."""
+    records = [r.asDict() for r in spark.read.parquet(f"{d}/benchmark.parquet").orderBy("item_id").collect()]
+    return as_dataframe(records, spark).select(F.col(IDX).alias("i"), "item_id", "text")
 
 
 @query("SELECT k, o_orderkey AS i, o_totalprice FROM (SELECT k, (k * 7919) % (SELECT count(*) FROM orders) AS j FROM range(2000) t(k)) JOIN orders ON o_orderkey = j")

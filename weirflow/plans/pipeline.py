@@ -11,11 +11,15 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from weirflow.operators import scan
 from weirflow.operators.batching import Batcher
 from weirflow.operators.base import IDX
+from weirflow.plans.prefetch import Prefetcher
 from weirflow.sources.indexed import Source
 
 Stage = Callable[..., DataFrame]
@@ -126,16 +130,13 @@ class Pipeline:
         for b in range(self.cursor.position // self.batch_size, self.batches):
             yield self.at(b)
 
-    def local_batches(self, prefetch: bool = True) -> Iterator[list]:
-        """Rows of each batch on the driver, in order, fetching partitions ahead."""
-        own: list = []
-        for row in self.rows().orderBy("__pos").toLocalIterator(prefetchPartitions=prefetch):
-            own.append(row)
-            if len(own) == self.batch_size:
-                yield own
-                own = []
-        if own and self.last != "drop":
-            yield own
+    def local_batches(self, ahead: int = 2, per_job: int = 8) -> Prefetcher:
+        """Rows of each batch on the driver, in order: jobs over ranges of positions, started ahead (see :class:`Prefetcher`)."""
+        return Prefetcher(self._range, self.cursor.position, len(self.source), self.batch_size, self.last, ahead, per_job)
+
+    def _range(self, start: int, stop: int) -> list:
+        rows = self._through(self.source.batch_at(start, stop - start, self.cursor.epoch))
+        return sorted(rows.collect(), key=lambda r: r["__pos"])
 
     def advanced(self, batches: int = 1) -> Pipeline:
         """The same pipeline, so many batches on; past the end a new epoch begins."""
@@ -154,12 +155,22 @@ class Pipeline:
         what = [self.source.df.schema.json(), len(self.source), self.source.shuffle_seed, self.batch_size, self.last]
         return hashlib.sha256(json.dumps(what).encode()).hexdigest()
 
-    def fold(self, step: Callable[[object, list], object], start: object) -> object:
-        """``step`` over batches in order: for carries that are sequential by nature."""
-        carry = start
-        for rows in self.local_batches():
-            carry = step(carry, rows)
-        return carry
+    def prefix(self, carries: dict[str, scan.Carry]) -> DataFrame:
+        """``rows`` plus running values in the order of positions, by a scan in two passes."""
+        return scan.prefix(self.rows(), carries, "__pos")
+
+    def scan(self, step: Callable[[object, pa.Table], tuple[object, pa.Table | None]], start: object, schema: str | StructType, per_range: int = 1 << 20) -> tuple[object, DataFrame]:
+        """(last carry, rows that the steps gave): any step over the batches in order, on executors, range after range."""
+        carry, rows = scan.carried(self.rows(), step, start, schema, self.batch_size, "__pos", per_range)
+        return carry, rows
+
+    def fold(self, step: Callable[[object, list], object], start: object, per_range: int = 1 << 20) -> object:
+        """``step`` over the rows of the batches in order, for the carry alone; rows stay on the executors."""
+
+        def one(carry: object, batch: pa.Table) -> tuple[object, None]:
+            return step(carry, [Row(**r) for r in batch.to_pylist()]), None
+
+        return self.scan(one, start, "none int", per_range)[0]
 
 
 def merge_mean(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:

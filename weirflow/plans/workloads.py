@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions import arrays, audio, keyed
-from weirflow.operators import augment, batching, sampling, statistics
+from weirflow.operators import augment, batching, sampling, scan, statistics
 from weirflow.operators.base import IDX, CrossModal, ElementFn, KeyedMap, KeyFilter, Map, Record, Remap, SelectRows, SplitField, clamp, iterate
 from weirflow.operators.compose import Branching, ConditionalParallel, ConditionalSequential, DynamicSequential, Ensemble, Parallel, Probabilistic, Selector, Sequential, WeightedParallel
 from weirflow.plans.catalog import query
 from weirflow.plans.pipeline import Cursor, Pipeline, merge_mean
 from weirflow.sources import metadata, mixture
-from weirflow.sources.indexed import Source, limited, with_index
+from weirflow.sources.indexed import Source, from_path, limited, with_index
 
 U = keyed.uniform_sql
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
@@ -439,6 +439,48 @@ def shuffle_feistel(spark: SparkSession, d: str) -> DataFrame:
     return sampling.shuffled(spark, _orders(spark, d).count(), 4, method="feistel_exact").select(F.col("__pos").alias("pos"), F.col(IDX).alias("i"))
 
 
+@query(
+    f"""SELECT ((x - 4900) % n + n) % n AS slot, i, o_totalprice FROM (SELECT w.*, (SELECT count(*) FROM orders) AS n
+FROM ({_feistel('SELECT o_orderkey AS i, 0 AS e, (SELECT count(*) FROM orders) AS n FROM orders', repr('4'))}) w) JOIN orders ON o_orderkey = i WHERE ((x - 4900) % n + n) % n < 1000"""
+)
+def batch_at_shuffled(spark: SparkSession, d: str) -> DataFrame:
+    """A thousand positions of a shuffled epoch: their indices by the inverse permutation, then a scan that is pruned by them."""
+    s = from_path(spark, f"{d}/orders.parquet", dense="o_orderkey", include=("o_totalprice",), shuffle_seed=4, exact=True)
+    return s.batch_at(4900, 1000).select(F.col("__slot").alias("slot"), F.col(IDX).alias("i"), "o_totalprice")
+
+
+_CARRY = """SELECT event_id AS i, round(sum(value) OVER o, 4) AS total, max(value) OVER o AS top, count(*) FILTER (event_type = 'purchase') OVER o AS purchases,
+last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER o AS last_purchase FROM events WINDOW o AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)"""
+
+
+@query(_CARRY)
+def running_carry(spark: SparkSession, d: str) -> DataFrame:
+    """Running sum, maximum, count and last known value over all events, block by block and then over the blocks."""
+    bought = F.when(F.col("event_type") == "purchase", F.col("value"))
+    e = with_index(_read(spark, d, "events").select("event_id", "value", bought.alias("bought")), dense="event_id")
+    out = scan.prefix(e, {"total": scan.running_sum("value"), "top": scan.running_max("value"), "purchases": scan.running_count("bought")})
+    out = scan.prefix(out, {"last_purchase": scan.last_known("bought")}, block=256)
+    return out.select(F.col(IDX).alias("i"), F.round("total", 4).alias("total"), "top", "purchases", "last_purchase")
+
+
+@query(
+    """WITH b AS (SELECT event_id // 64 AS batch_id, list(event_type = 'error' ORDER BY event_id) AS e, max(value) AS top FROM events GROUP BY 1)
+SELECT batch_id, top, CAST(sum(len(list_filter(e, lambda x: x))) OVER (ORDER BY batch_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS errors FROM b"""
+)
+def carried_batches(spark: SparkSession, d: str) -> DataFrame:
+    """A step of one's own over batches in order, the carry handed from range to range."""
+    e = with_index(_read(spark, d, "events").select("event_id", "value", "event_type"), dense="event_id")
+
+    def step(errors: int, batch):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        errors += pc.sum(pc.equal(batch["event_type"], "error")).as_py()
+        return errors, pa.table({"batch_id": [batch[IDX][0].as_py() // 64], "top": [pc.max(batch["value"]).as_py()], "errors": [errors]})
+
+    return scan.carried(e, step, 0, "batch_id long, top double, errors long", 64, per_range=1 << 15)[1]
+
+
 @query()
 def shuffle_feistel_fast(spark: SparkSession, d: str) -> DataFrame:
     return sampling.shuffled(spark, _orders(spark, d).count(), 4).select(F.col("__pos").alias("pos"), F.col(IDX).alias("i"))

@@ -18,6 +18,10 @@ from weirflow.lineage import cut
 from weirflow.operators.base import IDX
 
 
+#: Shuffled positions of a batch that are looked up one by one.
+LISTED = 4096
+
+
 def with_index(df: DataFrame, by: list[str | Column] | None = None, dense: str | None = None) -> DataFrame:
     """``df`` plus its index: a column that is dense already, or the rank by ``by`` (a total order)."""
     if dense is not None:
@@ -35,15 +39,41 @@ def with_index(df: DataFrame, by: list[str | Column] | None = None, dense: str |
     return ranged.withColumn("__in", inside).join(F.broadcast(base), F.col("__part") == F.col("__p")).withColumn(IDX, F.col("__base") + F.col("__in")).drop("__part", "__p", "__base", "__in")
 
 
+def dense_length(df: DataFrame, index: str = IDX) -> int:
+    """The number of rows, if ``index`` holds each of 0 to N-1 once; else ValueError.
+
+    One scan of that column: counts, bounds and bitmaps of 32,768 places each, combined before they are shuffled.
+    """
+    i = F.col(index)
+    bits = df.groupBy(F.bitmap_bucket_number(i).alias("b")).agg(F.count("*").alias("n"), F.count(i).alias("k"), F.min(i).alias("low"), F.max(i).alias("high"), F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(i))).alias("d"))
+    n, k, low, high, different = bits.agg(F.sum("n"), F.sum("k"), F.min("low"), F.max("high"), F.sum("d")).first()
+    if n and not (n == k == different and low == 0 and high == n - 1):
+        raise ValueError(f"{index!r} is no dense index: {n} rows, {n - k} nulls, {different} different values from {low} to {high}")
+    return n or 0
+
+
+def among(column: Column, values: list[int]) -> Column:
+    """Whether the column is one of the values, as a balanced tree of short lists: longer ones reach a scan as a mere range."""
+    values = sorted(set(values))
+    parts = [column.isin(values[k : k + 8]) for k in range(0, len(values), 8)] or [F.lit(False)]
+    while len(parts) > 1:
+        parts = [parts[k] | parts[k + 1] if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return parts[0]
+
+
 @dataclass(frozen=True)
 class Source:
-    """A bounded, indexed source. ``shuffle_seed`` orders each epoch by a keyed permutation of the index."""
+    """A bounded, indexed source. ``shuffle_seed`` orders each epoch by a keyed permutation of the index.
+
+    ``exact`` takes the permutation that SQL engines can repeat, which costs more.
+    """
 
     df: DataFrame
     length: int
     shuffle_seed: int | None = None
     include: tuple[str, ...] | None = None
     exclude: tuple[str, ...] | None = None
+    exact: bool = False
 
     def __post_init__(self) -> None:
         if IDX not in self.df.columns:
@@ -61,8 +91,10 @@ class Source:
 
     def epoch(self, n: int = 0) -> DataFrame:
         """All rows with ``__pos``, their place in epoch n's order."""
-        df = self._fields()
-        pos = F.col(IDX) if self.shuffle_seed is None else keyed.permuted(F.col(IDX), self.length, (self.shuffle_seed + n) % (1 << 32))
+        return self._positioned(self._fields(), n)
+
+    def _positioned(self, df: DataFrame, epoch: int) -> DataFrame:
+        pos = F.col(IDX) if self.shuffle_seed is None else keyed.permuted(F.col(IDX), self.length, self._seed(epoch), exact=self.exact)
         return df.withColumn("__pos", pos)
 
     def at(self, index: int) -> DataFrame:
@@ -75,14 +107,51 @@ class Source:
         """Rows for a DataFrame of indices (column ``__idx``), repeats included."""
         return indices.select(IDX).join(self._fields(), IDX)
 
+    def _seed(self, epoch: int) -> int:
+        return (self.shuffle_seed + epoch) % (1 << 32)
+
+    def indices_at(self, start: int, size: int, epoch: int = 0) -> list[int]:
+        """The indices at positions start to start + size - 1 of an epoch, wrapping round the end.
+
+        Of a shuffled source by the inverse of its permutation, for these positions alone; a list of ``size``, no job reads data.
+        """
+        places = [(start + k) % self.length for k in range(min(size, self.length))]
+        if self.shuffle_seed is None or not places:
+            return places
+        one = self.df.sparkSession.sql("SELECT 0 AS none")  # a row of its own: evaluated by the driver, without a job
+        at = F.transform(F.lit(places), lambda p: keyed.unpermuted(p, self.length, self._seed(epoch), exact=self.exact))
+        return one.select(at.alias("at")).first()["at"]
+
     def batch_at(self, start: int, size: int, epoch: int = 0) -> DataFrame:
-        """Positions start to start + size - 1, wrapping round the end; ``__slot`` numbers them."""
-        slots = self.df.sparkSession.range(size).select(F.col("id").alias("__slot"), F.pmod(F.col("id") + start, F.lit(self.length)).alias("__want"))
-        wanted = self.epoch(epoch)
-        lo, hi = start % self.length, start % self.length + size
-        if hi <= self.length:  # a range of positions: the filter is all that is needed
-            return wanted.filter(F.col("__pos").between(lo, hi - 1)).withColumn("__slot", F.col("__pos") - lo)
-        return wanted.join(slots, F.col("__pos") == F.col("__want")).drop("__want")
+        """Positions start to start + size - 1, wrapping round the end; ``__slot`` numbers them.
+
+        The filter is on the index itself, in values or ranges, and reaches the scan: what holds none of them is not read.
+        A batch of more than ``LISTED`` shuffled positions is a filter on computed positions instead, which reads the table.
+        """
+        if size < 1:
+            raise ValueError("a batch has at least one row")
+        start = start % self.length
+        reach = min(size, self.length)
+        pos = F.pmod(F.col("__pos") - start, F.lit(self.length))
+        if self.shuffle_seed is None:
+            stop = start + reach
+            wanted = F.col(IDX).between(start, min(stop, self.length) - 1)
+            if stop > self.length:
+                wanted = wanted | F.col(IDX).between(0, stop - self.length - 1)
+        else:
+            wanted = among(F.col(IDX), self.indices_at(start, reach, epoch)) if reach <= LISTED else None
+        df = self._fields() if wanted is None else self._fields().filter(wanted)
+        df = self._positioned(df, epoch).withColumn("__slot", pos)
+        if wanted is None:
+            df = df.filter(F.col("__slot") < reach)
+        if size > self.length:  # round more than once
+            df = df.withColumn("__slot", F.explode(F.sequence("__slot", F.lit(size - 1).cast("long"), F.lit(self.length).cast("long"))))
+        return df
+
+    def positions(self, wanted: DataFrame, epoch: int = 0) -> DataFrame:
+        """Rows for a DataFrame of positions (column ``__pos``) of any size: their indices, then one join."""
+        at = F.col("__pos") if self.shuffle_seed is None else keyed.unpermuted(F.col("__pos"), self.length, self._seed(epoch), exact=self.exact)
+        return wanted.select("__pos", at.alias(IDX)).join(self._fields(), IDX)
 
     def shuffled(self, seed: int | None) -> Source:
         return replace(self, shuffle_seed=seed)
@@ -100,7 +169,7 @@ class Source:
             raise ValueError("epochs must be at least 1")
         epoch = F.sequence(F.lit(first).cast("long"), F.lit(first + epochs - 1).cast("long"))
         df = self._fields().withColumn("__epoch", F.explode(epoch))
-        pos = F.col(IDX) if self.shuffle_seed is None else keyed.permuted(F.col(IDX), self.length, F.pmod(F.col("__epoch") + self.shuffle_seed, F.lit(1 << 32)))
+        pos = F.col(IDX) if self.shuffle_seed is None else keyed.permuted(F.col(IDX), self.length, F.pmod(F.col("__epoch") + self.shuffle_seed, F.lit(1 << 32)), exact=self.exact)
         return df.withColumn("__pos", pos + F.col("__epoch") * self.length)
 
 
@@ -123,7 +192,7 @@ def from_path(spark: SparkSession, path: str, fmt: str = "parquet", by: list[str
     """A table in a file format that Spark reads; columns left out by include or exclude are not read."""
     r = spark.read.format(fmt).options(**(reader or {}))
     df = with_index((r.schema(schema) if schema is not None else r).load(path), by, dense)
-    return Source(df, df.count(), **options)
+    return Source(df, df.count() if dense is None else dense_length(df), **options)
 
 
 def require_local(path: str, name: str = "dataset") -> str:
