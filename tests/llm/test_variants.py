@@ -84,15 +84,17 @@ def test_equals_brute_force_also_where_groups_are_cut(spark, monkeypatch, limit)
     v = seeded(250, 4) | {"aaaaaaa" + "a" * k: 2 * 10**k for k in range(9)} | {"x" * 300 + c: 2 for c in "abc"}
     got = variants.variants(spark.createDataFrame(list(v.items()), "word string, n long"))
     assert as_rows(got) == slow(v)
-    assert (len(rounds) > 2) == (limit == 3)
+    pairs = variants.near_pairs(spark.createDataFrame(list(v.items()), "word string, n long"))
+    assert as_rows(pairs) == sorted(repr((x, v[x], y, v[y])) for x in v for y in v if x < y and one_edit(x, y))
+    assert (len(rounds) > 4) == (limit == 3)
 
 
 def test_one_prefix_holds_a_third_of_all(spark, monkeypatch):
     """Groups are never larger than the limit, but for ranges of one place; counted, not assumed."""
     monkeypatch.setattr(variants, "GROUP_WORDS", 30)
     sizes = []
-    pairs = variants._pairs
-    monkeypatch.setattr(variants, "_pairs", lambda g: sizes.extend(r[0] for r in g.where("b - a > 1").groupBy("key").count().select("count").collect()) or pairs(g))
+    members = variants._members
+    monkeypatch.setattr(variants, "_members", lambda g: sizes.extend(r[0] for r in g.where("b - a > 1").groupBy("key").count().select("count").collect()) or members(g))
     r = random.Random(8)
     v = {"prefix" + "".join(r.choice("ab") for _ in range(k)): 2 + k for k in range(1, 12) for _ in range(40)} | seeded(200, 9)
     assert as_rows(variants.variants(spark.createDataFrame(list(v.items()), "word string, n long"))) == slow(v)

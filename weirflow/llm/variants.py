@@ -7,8 +7,8 @@ its active nodes, those at distance one, which follows from its parent's set alo
 same character, the parent, the siblings and the children. Where a node and an active node both end words, a pair is found.
 
 A pair belongs to the place of its edit, the length of the common prefix, so it is found in one group only. Groups of
-more than ``GROUP_WORDS`` words (or too many characters) are counted before anything is brought together, by hashes of
-their keys, and cut again: a longer prefix for the one part, the range of places before it for the other, ranges in halves.
+more than ``GROUP_WORDS`` words (or too many characters) are found by counts of the hashes of their keys, before anything is
+brought together, and cut again: a longer prefix for the one part, the range of places before it for the other, ranges in halves.
 A range of one place leaves as many words as there are characters, so a group never grows with the vocabulary; every
 pair that shares a key after that is one to report or differs by one more character.
 
@@ -37,6 +37,8 @@ LETTERS = r"A-Za-zÀ-ÿ"
 DEPTH = 4
 #: Groups of more words, or of more characters in more than a few words, are cut again.
 GROUP_WORDS, GROUP_CHARS, FEW = 20_000, 1_000_000, 16
+#: Shares of all hashes of keys that are counted before single keys are.
+SHARES = 1 << 14
 #: The end of a range of places that has none.
 OPEN = 1 << 30
 
@@ -120,34 +122,80 @@ def _inside(x: str, y: str, width: int) -> bool:
     return len(short) <= width and not (len(short) == width < len(long) and long.startswith(short))
 
 
-def _pairs(groups: DataFrame) -> DataFrame:
-    """(word, n, near, near_n) of every pair in the groups, once."""
+def _members(groups: DataFrame) -> DataFrame:
     members = groups.groupBy("key", "a", "b", "rest").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns")).where(F.size("words") > 1)
-    schema = "word string, n long, near string, near_n long"
+    return members.select("a", "b", "rest", "words", "ns")
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[int], Iterator[tuple[int, int]]]]:
+    """Words, their n and the places of pairs, of every group."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            a, b, rest, words = (row[k] for k in ("a", "b", "rest", "words"))
+            yield words, row["ns"], near_words([w[a : len(w) - rest] for w in words], b - a)
+
+
+def _pairs(groups: DataFrame) -> DataFrame:
+    """(word, n, near, near_n) of every pair in the groups, the first of the two in front."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for a, b, rest, words, ns in zip(*(c.to_pylist() for c in batch.columns)):
-                for i, j in near_words([w[a : len(w) - rest] for w in words], b - a):
-                    if words[j] < words[i]:
-                        i, j = j, i
-                    for column, value in zip(out, (words[i], ns[i], words[j], ns[j])):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64()) * 2)], names=["word", "n", "near", "near_n"])
+        for words, ns, places in _found(batches):
+            places = [(i, j) if words[i] < words[j] else (j, i) for i, j in places]
+            if places:
+                columns = ((words, 0), (ns, 0), (words, 1), (ns, 1))
+                arrays = [pa.array([of[p[k]] for p in places], pa.string() if of is words else pa.int64()) for of, k in columns]
+                yield pa.RecordBatch.from_arrays(arrays, names=["word", "n", "near", "near_n"])
 
-    return members.select("a", "b", "rest", "words", "ns").mapInArrow(run, schema)
+    return _members(groups).mapInArrow(run, "word string, n long, near string, near_n long")
 
 
-def near_pairs(words: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(word, n, near, near_n): every two words at distance exactly one, once, the first of the two in front. ``words`` has different words and their n."""
+def _summed(groups: DataFrame, ratio: int) -> DataFrame:
+    """(word, n_near, form, form_n) of every word with a pair in its group: folded there, so that no pair is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, ...] = ([], [], [], [])
+        for words, ns, places in _found(batches):
+            count: dict[int, int] = {}
+            best: dict[int, int] = {}
+            for pair in places:
+                for i, j in (pair, pair[::-1]):
+                    count[i] = count.get(i, 0) + 1
+                    if ns[j] >= ratio * ns[i] and ((k := best.get(i)) is None or (-ns[j], words[j]) < (-ns[k], words[k])):
+                        best[i] = j
+            for i, c in count.items():
+                j = best.get(i)
+                for column, value in zip(out, (words[i], c, None if j is None else words[j], None if j is None else ns[j])):
+                    column.append(value)
+            if len(out[0]) > 10_000:
+                yield _rows(out)
+                out = ([], [], [], [])
+        yield _rows(out)
+
+    return _members(groups).mapInArrow(run, "word string, n_near long, form string, form_n long")
+
+
+def _rows(out: tuple[list, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["word", "n_near", "form", "form_n"])
+
+
+def _hot(groups: DataFrame) -> DataFrame:
+    """Hashes of the keys with too many words. Counted by a few thousand shares of all hashes first: what a light one holds needs no count of its own."""
+    hashed = groups.where(F.col("b") - F.col("a") > 1).select(F.xxhash64("key").alias("__h"), F.length("word").alias("__c"))
+    many = (F.count("*") > GROUP_WORDS) | ((F.sum("__c") > GROUP_CHARS) & (F.count("*") > FEW))
+    share = F.pmod("__h", F.lit(SHARES))
+    heavy = [r[0] for r in hashed.groupBy(share.alias("s")).agg(many.alias("m")).where("m").select("s").collect()]  # SHARES rows at most
+    rows = hashed.where(share.isin(heavy)) if heavy else hashed.limit(0)
+    return cut(rows.groupBy("__h").agg(many.alias("m")).where("m").select("__h"))
+
+
+def grouped(words: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, bool]:
+    """Groups of bounded size where all pairs of ``words`` (different words and their n) meet; and whether a pair may meet twice."""
     pending = _placed(words, F.lit(0), F.lit(depth)).unionByName(_placed(words, F.lit(depth), F.lit(OPEN)))
     done, step = None, depth
     while True:
-        size = pending.groupBy(F.xxhash64("key").alias("__h")).agg(F.count("*").alias("__n"), F.sum(F.length("word")).alias("__c"), F.max(F.col("b") - F.col("a")).alias("__w"))
-        hot = cut(size.where((F.col("__w") > 1) & ((F.col("__n") > GROUP_WORDS) | ((F.col("__c") > GROUP_CHARS) & (F.col("__n") > FEW)))).select("__h"))
+        hot = _hot(pending)
         if hot.isEmpty():
-            break
+            return (pending, False) if done is None else (done.unionByName(pending), True)
         hashed = pending.withColumn("__h", F.xxhash64("key"))
         cold = hashed.join(hot, "__h", "left_anti").drop("__h")
         done = cold if done is None else done.unionByName(cold)
@@ -156,20 +204,29 @@ def near_pairs(words: DataFrame, depth: int = DEPTH) -> DataFrame:
         middle = F.when(F.col("b") >= OPEN, F.col("a") + step).otherwise(F.floor((F.col("a") + F.col("b")) / 2))
         pending = cut(_placed(again, F.col("a"), middle).unionByName(_placed(again.withColumn("__m", middle), F.col("__m"), F.col("b"))))
         step *= 2
-    if done is None:
-        return _pairs(pending)
-    return _pairs(done.unionByName(pending)).distinct()  # a cut range may meet a pair that a group left whole has met
 
 
-def forms(words: DataFrame, pairs: DataFrame, ratio: int = 10) -> DataFrame:
+def near_pairs(words: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(word, n, near, near_n): every two words at distance exactly one, once, the first of the two in front."""
+    groups, twice = grouped(words, depth)
+    return _pairs(groups).distinct() if twice else _pairs(groups)  # a cut range may meet a pair that a group left whole has met
+
+
+def forms(words: DataFrame, ratio: int = 10, depth: int = DEPTH) -> DataFrame:
     """word, n, n_near, form and form_n of every word."""
-    both = pairs.select("word", F.explode(F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))).alias("p")).select("p.*")
+    groups, twice = grouped(words, depth)
+    if twice:
+        sides = [("word", "n", "near", "near_n"), ("near", "near_n", "word", "n")]
+        both = F.explode(F.array(*[F.struct(*[F.col(c).alias(k) for c, k in zip(side, "wnvm")]) for side in sides]))
+        far = F.col("p.m") >= ratio * F.col("p.n")
+        near = _pairs(groups).distinct().select(both.alias("p")).select(F.col("p.w").alias("word"), F.lit(1).cast("long").alias("n_near"), F.when(far, F.col("p.v")).alias("form"), F.when(far, F.col("p.m")).alias("form_n"))
+    else:
+        near = _summed(groups, ratio)
     none = F.lit(None)
-    rows = words.select("word", "n", none.cast("string").alias("near"), none.cast("long").alias("near_n")).unionByName(both)
-    best = F.min(F.when(F.col("near").isNotNull(), F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("word"))))
-    rows = rows.groupBy("word").agg(F.max("n").alias("n"), F.count("near").alias("n_near"), best.alias("best"))
-    far = -F.col("best.less") >= ratio * F.col("n")
-    return rows.select("word", "n", "n_near", F.when(far, F.col("best.word")).alias("form"), F.when(far, -F.col("best.less")).alias("form_n"))
+    rows = near.withColumn("n", none.cast("long")).unionByName(words.select("word", "n", F.lit(0).cast("long").alias("n_near"), none.cast("string").alias("form"), none.cast("long").alias("form_n")))
+    best = F.min(F.when(F.col("form").isNotNull(), F.struct((-F.col("form_n")).alias("less"), F.col("form").alias("word"))))
+    rows = rows.groupBy("word").agg(F.max("n").alias("n"), F.sum("n_near").alias("n_near"), best.alias("best"))
+    return rows.select("word", "n", "n_near", F.col("best.word").alias("form"), (-F.col("best.less")).alias("form_n"))
 
 
 def roots(formed: DataFrame) -> DataFrame:
@@ -186,7 +243,7 @@ def roots(formed: DataFrame) -> DataFrame:
 def variants(words: DataFrame, ratio: int = 10, depth: int = DEPTH) -> DataFrame:
     """word, form, root, n, n_near and form_n of every word of a vocabulary (word, n)."""
     words = cut(words.select("word", "n"))
-    formed = cut(forms(words, near_pairs(words, depth), ratio))
+    formed = cut(forms(words, ratio, depth))
     return roots(formed).select("word", "form", "root", "n", "n_near", "form_n")
 
 
