@@ -8,7 +8,8 @@ no task ever holds the whole table.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def dense_length(df: DataFrame, index: str = IDX) -> int:
 
 
 def among(column: Column, values: list[int]) -> Column:
-    """Whether the column is one of the values, as a balanced tree of short lists: longer ones reach a scan as a mere range."""
+    """Whether the column is one of the values, as a balanced tree of short lists: a longer one reaches a scan as a mere range."""
     values = sorted(set(values))
     parts = [column.isin(values[k : k + 8]) for k in range(0, len(values), 8)] or [F.lit(False)]
     while len(parts) > 1:
@@ -65,7 +66,8 @@ def among(column: Column, values: list[int]) -> Column:
 class Source:
     """A bounded, indexed source. ``shuffle_seed`` orders each epoch by a keyed permutation of the index.
 
-    ``exact`` takes the permutation that SQL engines can repeat, which costs more.
+    ``exact`` takes the permutation that SQL engines can repeat, which costs more. ``lookup`` reads the rows of a range or a list of
+    indices, where that is better done by the format than by a filter.
     """
 
     df: DataFrame
@@ -74,6 +76,7 @@ class Source:
     include: tuple[str, ...] | None = None
     exclude: tuple[str, ...] | None = None
     exact: bool = False
+    lookup: Callable[[range | list[int]], DataFrame] | None = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
         if IDX not in self.df.columns:
@@ -84,10 +87,21 @@ class Source:
     def __len__(self) -> int:
         return self.length
 
-    def _fields(self) -> DataFrame:
+    def _fields(self, df: DataFrame | None = None) -> DataFrame:
+        df = self.df if df is None else df
         if self.include is not None:
-            return self.df.select(IDX, *[c for c in self.include if c != IDX])
-        return self.df.drop(*(self.exclude or ()))
+            return df.select(IDX, *[c for c in self.include if c != IDX])
+        return df.drop(*(self.exclude or ()))
+
+    def _among(self, wanted: list[range] | list[int]) -> DataFrame:
+        """The rows of some ranges, or of a list, of indices."""
+        if isinstance(wanted[0], range):
+            if self.lookup is not None:
+                parts = [self._fields(self.lookup(r)) for r in wanted]
+                return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            tests = [F.col(IDX).between(r.start, r.stop - 1) for r in wanted]
+            return self._fields().filter(tests[0] if len(tests) == 1 else tests[0] | tests[1])
+        return self._fields(self.lookup(wanted)) if self.lookup is not None else self._fields().filter(among(F.col(IDX), wanted))
 
     def epoch(self, n: int = 0) -> DataFrame:
         """All rows with ``__pos``, their place in epoch n's order."""
@@ -125,7 +139,7 @@ class Source:
     def batch_at(self, start: int, size: int, epoch: int = 0) -> DataFrame:
         """Positions start to start + size - 1, wrapping round the end; ``__slot`` numbers them.
 
-        The filter is on the index itself, in values or ranges, and reaches the scan: what holds none of them is not read.
+        What is wanted are values or ranges of the index itself, which reach the scan: what holds none of them is not read.
         A batch of more than ``LISTED`` shuffled positions is a filter on computed positions instead, which reads the table.
         """
         if size < 1:
@@ -135,14 +149,13 @@ class Source:
         pos = F.pmod(F.col("__pos") - start, F.lit(self.length))
         if self.shuffle_seed is None:
             stop = start + reach
-            wanted = F.col(IDX).between(start, min(stop, self.length) - 1)
-            if stop > self.length:
-                wanted = wanted | F.col(IDX).between(0, stop - self.length - 1)
+            df = self._among([range(start, min(stop, self.length)), *([range(stop - self.length)] if stop > self.length else [])])
         else:
-            wanted = among(F.col(IDX), self.indices_at(start, reach, epoch)) if reach <= LISTED else None
-        df = self._fields() if wanted is None else self._fields().filter(wanted)
+            df = self._among(self.indices_at(start, reach, epoch)) if reach <= LISTED else None
+        whole = df is None
+        df = self._fields() if whole else df
         df = self._positioned(df, epoch).withColumn("__slot", pos)
-        if wanted is None:
+        if whole:
             df = df.filter(F.col("__slot") < reach)
         if size > self.length:  # round more than once
             df = df.withColumn("__slot", F.explode(F.sequence("__slot", F.lit(size - 1).cast("long"), F.lit(self.length).cast("long"))))
