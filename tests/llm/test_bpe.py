@@ -64,7 +64,7 @@ def test_mixed_texts(ours, theirs):
         x = "".join(r.choice(pool) for _ in range(r.randrange(12)))
         e = theirs.encode(x, add_special_tokens=False)
         got = ours.encode(x)
-        assert e.ids == numbers(got) and ours.decode(got) == theirs.decode(e.ids, skip_special_tokens=False), repr(x)
+        assert e.ids == numbers(got) and bpe.strings(Path(bpe.VOCABULARY).read_bytes()).decode(got) == theirs.decode(e.ids, skip_special_tokens=False), repr(x)
 
 
 def test_documents(spark, documents, messy, none, theirs):

@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 #: Words, and runs between white space, that a worker remembers (twice as many at most), and the longest of them.
-MEMORY, MEMORY_CHARS = 200_000, 64
+MEMORY, MEMORY_CHARS = 150_000, 64
+#: Rows that are worked on at once.
+ROWS = 256
 #: White space as the vocabulary's pattern has it, and what only Python takes for it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN, _NOT_SPACE = re.compile(f"[^{SPACE}]+"), re.compile("[\x1c-\x1f]")
@@ -125,9 +127,6 @@ class Vocabulary:
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merges[ids[a] * self.size + ids[b]] = rank * self.size + ids[a + b]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.strings: list[str | None] = [None] * (1 + max([*ids.values(), *self.special.values()]))
-        for s, i in (ids | self.special).items():
-            self.strings[i] = s
         self.pattern = re.compile(python_pattern(split["pattern"]["Regex"]))
         longest_first = sorted(self.special, key=len, reverse=True)
         self.specials = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
@@ -194,8 +193,19 @@ class Vocabulary:
         known = self.chunks.new.get
         return b"".join([known(c) or chunk(c) for c in chunks])
 
+
+class Strings:
+    """Strings of the symbols and special tokens of a tokenizer file, by id."""
+
+    def __init__(self, data: bytes) -> None:
+        file = json.loads(data)
+        ids = file["model"]["vocab"] | {t["content"]: t["id"] for t in file["added_tokens"]}
+        self.known: list[str | None] = [None] * (1 + max(ids.values()))
+        for s, i in ids.items():
+            self.known[i] = s
+
     def decode(self, ids: bytes) -> str:
-        known = self.strings
+        known = self.known
         return " ".join([s for i in np.frombuffer(ids, "<u4").tolist() if i < len(known) and (s := known[i]) is not None])
 
 
@@ -204,12 +214,24 @@ def vocabulary(data: bytes) -> Vocabulary:
     return Vocabulary(data)
 
 
+@lru_cache(maxsize=2)
+def strings(data: bytes) -> Strings:
+    return Strings(data)
+
+
 def _read(df: DataFrame, path: str):
     data = Path(path).read_bytes()
     vocabulary(data)  # another kind of file is refused before any job
     return df.sparkSession.sparkContext.broadcast(data)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows: decoded texts are some times longer than what they come from."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_tokens and ids (packed) of every row."""
     data = _read(docs, path)
@@ -218,7 +240,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = vocabulary(data.value).encode
-        for b in batches:
+        for b in _pieces(batches):
             ids = [encoded(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
 
@@ -233,8 +255,8 @@ def decode(tokens: DataFrame, path: str = VOCABULARY, ids: str = "ids") -> DataF
     schema = rows.drop("__ids").withColumn("decoded", F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoded = vocabulary(data.value).decode
-        for b in batches:
+        decoded = strings(data.value).decode
+        for b in _pieces(batches):
             *kept, packed = b.columns
             texts = [decoded(i.as_py() or b"") for i in packed]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], names=schema.names)
