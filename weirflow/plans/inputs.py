@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
 import uuid
 
 import numpy as np
@@ -21,7 +19,7 @@ from weirflow.plans.catalog import query
 from weirflow.plans.checkpoints import Checkpoints
 from weirflow.plans.pipeline import Pipeline
 from weirflow.sources import arrays as npy
-from weirflow.sources import exports
+from weirflow.sources import exports, records, tfrecords
 from weirflow.sources.indexed import Source, as_dataframe, from_memory, from_path, stream, with_index
 from weirflow.streaming import twin
 
@@ -37,15 +35,6 @@ def _fresh(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/weirflow-{uuid.uuid4().hex}"
 
 
-def _mounted(spark: SparkSession) -> str:
-    """The shared folder as a path, for files that numpy reads; a store that is not mounted has none."""
-    path = re.sub("^file:/+", "/", shared_folder(spark))
-    if re.match("[a-z0-9]+:", path):
-        raise ValueError(f"a .npy file needs a mounted folder, not {path}")
-    os.makedirs(path, exist_ok=True)
-    return path.rstrip("/")
-
-
 # ------------------------------------------------------------------ sources
 
 
@@ -81,14 +70,41 @@ def row_at(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT vec_id AS i, CAST(p AS INTEGER) AS place, embedding[p + 1] AS v FROM embeddings, range(64) t(p)")
 def npy_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A table of arrays saved as a .npy file and read again by ranges of rows."""
-    npy.register(spark)
+    """A table of arrays written by its tasks as .npy files and read again by ranges of rows."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("__idx"), F.col("embedding").alias("data"))
-    path = npy.saved(e, f"{_mounted(spark)}/{uuid.uuid4().hex}.npy")
+    path = npy.saved(e, _fresh(spark), rows=300)
     got = spark.read.format("npy").option("rows", 128).load(path)
     return got.select(F.col("__idx").alias("i"), F.posexplode("data").alias("place", "v"))
 
 
+@query(
+    "SELECT 'all' AS part, o_orderkey AS i, o_custkey, o_totalprice, o_orderstatus FROM orders UNION ALL SELECT 'listed', o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey < 1500 AND o_orderkey % 97 = 5 "
+    "UNION ALL SELECT 'range', o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey BETWEEN 700 AND 899"
+)
+def record_files(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as record files: read whole, by a list of numbers and by a range, the latter two from their chunks alone."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias(IDX), "o_custkey", "o_totalprice", "o_orderstatus")
+    at = records.saved(orders, _fresh(spark), chunk=512)
+    parts = {"all": None, "listed": list(range(5, 1500, 97)), "range": range(700, 900)}
+    out = None
+    for name, wanted in parts.items():
+        part = records.read(spark, at, wanted).select(F.lit(name).alias("part"), F.col(IDX).alias("i"), "o_custkey", "o_totalprice", "o_orderstatus")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, doc_id, text, CASE WHEN lang <> 'en' THEN lang END AS lang, string_split(text, ' ')[1:5] AS head, [doc_id, n_chars] AS numbers FROM documents"
+)
+def tfrecord_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as Example records, with nulls and lists, and back in their order."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = docs.select("doc_id", "text", F.when(F.col("lang") != "en", F.col("lang")).alias("lang"), F.slice(F.split("text", " "), 1, 5).alias("head"), F.array("doc_id", "n_chars").alias("numbers"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = tfrecords.saved(docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id"), _fresh(spark))
+    return tfrecords.from_tfrecords(spark, at, docs.schema).df.withColumnRenamed(IDX, "i")
+
+
 @query("SELECT e AS epoch, e * n + o_orderkey AS pos, o_orderkey AS i FROM orders, (SELECT count(*) AS n FROM orders), (SELECT unnest([5, 6]) AS e)")
 def endless_piece(spark: SparkSession, d: str) -> DataFrame:
     """Two epochs of an endless repeat, from the fifth on."""
