@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import keyed, specs
 from weirflow.lineage import shared_folder
-from weirflow.operators import batching
+from weirflow.operators import batching, sketches
 from weirflow.operators.base import IDX, Map, PandasFn, Record, branch_on, iterate_while
-from weirflow.operators.compose import Parallel
+from weirflow.operators.compose import Parallel, Probabilistic, Sequential, When
 from weirflow.plans import caching
 from weirflow.plans.catalog import query
 from weirflow.plans.checkpoints import Checkpoints
+from weirflow.plans.observed import Recorder, observed
 from weirflow.plans.pipeline import Pipeline
 from weirflow.sources import arrays as npy
 from weirflow.sources import exports, records, tfrecords
 from weirflow.sources.indexed import Source, as_dataframe, from_memory, from_path, stream, with_index
-from weirflow.streaming import twin
+from weirflow.streaming import replay, twin
 
 U = keyed.uniform_sql
 
@@ -239,3 +240,68 @@ def stream_reservoirs(spark: SparkSession, d: str) -> DataFrame:
     met = held.join(known, held.idx == known.event_id, "left")
     strange = F.count_if(F.coalesce(F.col("event_type") != F.col("group"), F.lit(True)))
     return met.groupBy(F.col("group").alias("event_type")).agg(F.count_distinct("idx").alias("n"), strange.alias("strangers")).select("event_type", "n", "strangers")
+
+
+@query(
+    "WITH b AS (SELECT e, event_id // 256 AS block, event_id AS i, value FROM events, range(2) t(e)) SELECT CAST(e AS BIGINT) AS epoch, block, count(*) AS n, CAST(e * (SELECT count(*) FROM events) + min(i) AS BIGINT) AS first_pos, min(i) AS low, max(i) AS high, round(sum(value), 4) AS total FROM b GROUP BY e, block"
+)
+def stream_records(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream of record files, two epochs mixed inside blocks: what each block of positions holds."""
+    at = _fresh(spark)
+    records.saved(_events(spark, d), f"{at}/set", chunk=128)
+    got = twin.drained(records.stream(spark, f"{at}/set", buffer=256, seed=3, epochs=2), at)
+    n = len(records.from_records(spark, f"{at}/set"))
+    got = got.withColumn("block", F.floor((F.col("__pos") - F.col("__epoch") * n) / 256))
+    return got.groupBy(F.col("__epoch").alias("epoch"), "block").agg(F.count("*").alias("n"), F.min("__pos").alias("first_pos"), F.min(IDX).alias("low"), F.max(IDX).alias("high"), F.round(F.sum("x"), 4).alias("total"))
+
+
+@query(
+    """SELECT t, k, i, value AS x FROM (SELECT t, k, CASE WHEN t < 16 THEN t WHEN t < 32 THEN {slot} ELSE t - (t - {slot}) % 32 END AS i
+FROM (SELECT event_id AS t, k, least(event_id + 1, 32) AS held FROM events, range(3) r(k) WHERE event_id >= 16 OR k = 0)) JOIN events ON event_id = i""".format(
+        slot="CAST(least(floor((CAST('0x' || substr(md5(concat_ws('|', '4', 'buffer/read/' || k, CAST(t AS VARCHAR))), 1, 13) AS BIGINT) / 4503599627370496.0) * held), held - 1) AS BIGINT)"
+    )
+)
+def stream_replay(spark: SparkSession, d: str) -> DataFrame:
+    """A replay buffer on a stream of record files, in micro-batches of a bounded look-ahead: three rows read at random after each write."""
+    at = _fresh(spark)
+    records.saved(_events(spark, d), f"{at}/set", chunk=128)
+    n = len(records.from_records(spark, f"{at}/set"))
+    s = records.stream(spark, f"{at}/set", ahead=max(500, n // 3 + 1), progress=f"{at}/progress").drop("__pos", "__epoch")
+    read = replay.replayed(s, replay.Replay(32, 16, 3, read="at_random", seed=4), splits=4)
+    q = read.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.parquet(f"{at}/out").select(F.col("__t").alias("t"), F.col("__k").alias("k"), F.col(IDX).alias("i"), "x")
+
+
+# ------------------------------------------------------------------ statistics
+
+
+@query(
+    f"""WITH a AS (SELECT event_id, value > 10 AS first, CASE WHEN value > 10 THEN value / 2 ELSE value END AS x FROM events),
+b AS (SELECT first, {U('event_id', 'chain/1/0', 8)} < 0.25 AS second, CASE WHEN {U('event_id', 'chain/1/0', 8)} < 0.25 THEN x + 1 ELSE x END > 20 AS third FROM a)
+SELECT '0 When' AS operator, count(*) AS rows, count(*) FILTER (first) AS applied, count(*) - count(*) FILTER (first) AS skipped FROM b
+UNION ALL SELECT '1 Probabilistic', count(*), count(*) FILTER (second), count(*) - count(*) FILTER (second) FROM b
+UNION ALL SELECT '2 When', count(*), count(*) FILTER (third), count(*) - count(*) FILTER (third) FROM b"""
+)
+def observed_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that each operator of a chain applied to and skipped, from the run that wrote them."""
+    steps = (When(lambda f: f["x"] > 10, Map(lambda c: c / 2, ("x",))), Probabilistic(Map(lambda c: c + 1, ("x",)), 0.25), When(lambda f: f["x"] > 20, Map(lambda c: c * 0, ("x",))))
+    r = Recorder()
+    observed(Sequential(steps, 8, "chain"), r)(_events(spark, d)).write.parquet(f"{_fresh(spark)}/out")
+    rows = [(k, m["rows"], m["applied"], m["skipped"]) for k, m in r.results().items()]
+    return spark.createDataFrame(rows, "operator string, rows long, applied long, skipped long")
+
+
+@query("SELECT label, CAST(p AS INTEGER) AS place, CAST(greatest(0, least(15, floor((embedding[p + 1] + 0.5) * 16))) AS INTEGER) AS bin, count(*) AS n FROM embeddings, range(64) t(p) GROUP BY 1, 2, 3")
+def array_histograms(spark: SparkSession, d: str) -> DataFrame:
+    """Histograms of each place of the embeddings by label, folded in the tasks and merged."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return sketches.summarize(e, sketches.Histogram("embedding", -0.5, 0.5, 16), ["label"])
+
+
+@query("SELECT CAST(p AS INTEGER) AS place, count(*) AS n, round(avg(CAST(embedding[p + 1] AS DOUBLE)), 6) AS mean, round(stddev_pop(CAST(embedding[p + 1] AS DOUBLE)), 6) AS std FROM embeddings, range(64) t(p) GROUP BY 1")
+def array_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and deviation of each place of the embeddings by merged states."""
+    m = sketches.summarize(spark.read.parquet(f"{d}/embeddings.parquet"), sketches.Moments("embedding"))
+    return m.select("place", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))

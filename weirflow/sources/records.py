@@ -24,11 +24,12 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import LongType, StructField, StructType
 
 from weirflow.operators.base import IDX
@@ -254,3 +255,121 @@ def from_records(spark: SparkSession, folder: str, **options) -> Source:
     """A dataset as an indexed source; its length comes from the manifest, batches by position read their chunks only."""
     length = sum(c[2] for _, chunks in manifest_of(folder)["files"] for c in chunks)
     return Source(read(spark, folder), length, lookup=lambda wanted: read(spark, folder, wanted), **options)
+
+
+# ------------------------------------------------------------------ streams
+
+
+class _Span(InputPartition):
+    """Positions of one epoch, in blocks of the shuffle buffer."""
+
+    def __init__(self, epoch: int, start: int, end: int, length: int) -> None:
+        self.epoch, self.start, self.end, self.length = epoch, start, end, length
+
+
+class RecordStreamReader(DataSourceStreamReader):
+    """Records as an unbounded table: epoch after epoch, mixed inside consecutive blocks of ``buffer`` records.
+
+    An offset is a position in the endless order; which record is there follows from (seed, epoch, block) alone, so a
+    restarted query reads what the stopped one would have read, and no buffer has to be kept. At most ``ahead`` positions
+    are offered beyond those already planned. Spark does not say where a restarted query stands when it asks for the latest
+    offset, so with ``ahead`` the planned end is noted in the folder ``progress`` (one for each query).
+    """
+
+    def __init__(self, options: dict, schema: StructType) -> None:
+        self.folder, self.schema = options["path"], schema
+        self.buffer, self.seed, self.epochs = int(options.get("buffer", 1)), int(options.get("seed", 0)), int(options.get("epochs", 1))
+        self.ahead, self.progress = int(options.get("ahead", 0)), options.get("progress")
+        if self.buffer < 1 or self.ahead < 0 or self.epochs < 0:
+            raise ValueError("buffer must be at least 1, ahead and epochs not negative")
+        if self.ahead and not self.progress:
+            raise ValueError("a bounded look-ahead needs a folder for the progress of its query")
+        if not self.epochs and not self.ahead:
+            raise ValueError("endless epochs need a bounded look-ahead")
+        self.rows = max(self.buffer, int(options.get("rows", PARTITION)) // self.buffer * self.buffer)
+        self.length = sum(c[2] for _, chunks in manifest_of(self.folder)["files"] for c in chunks)
+        self.planned = self._noted()
+
+    def _noted(self) -> int:
+        if not self.progress:
+            return 0
+        try:
+            with files.opened(f"{self.progress.rstrip('/')}/planned.json") as f:
+                return json.loads(f.read())["end"]
+        except FileNotFoundError:
+            return 0
+
+    def initialOffset(self) -> dict:
+        return {"position": 0}
+
+    def latestOffset(self) -> dict:
+        ends = [self.length * self.epochs] if self.epochs or not self.length else []
+        return {"position": min([*ends, *([self.planned + self.ahead] if self.ahead else [])])}
+
+    def partitions(self, start: dict, end: dict) -> list[_Span]:
+        a, b = start["position"], end["position"]
+        if b > self.planned:
+            self.planned = b
+            if self.progress:
+                at = f"{self.progress.rstrip('/')}/planned.json"
+                files.put(at, lambda out: out.write(json.dumps({"end": b}).encode()))
+        out = []
+        while a < b:
+            epoch, inside = divmod(a, self.length)
+            stop = min(self.length, inside + b - a, (inside // self.rows + 1) * self.rows)
+            out.append(_Span(epoch, inside, stop, self.length))
+            a += stop - inside
+        return out
+
+    def read(self, p: _Span) -> Iterator[pa.RecordBatch]:
+        places, first = [], 0
+        for name, chunks in manifest_of(self.folder)["files"]:
+            for c in (Chunk(*c) for c in chunks):
+                places.append((first, name, c))
+                first += c.rows
+        starts = [f for f, _, _ in places]
+        held: tuple[str | None, object] = (None, None)
+        for block in range(p.start // self.buffer, (p.end - 1) // self.buffer + 1):
+            low, high = block * self.buffer, min((block + 1) * self.buffer, p.length)
+            tables = []
+            for f, name, c in places[bisect.bisect_right(starts, low) - 1 : bisect.bisect_left(starts, high)]:
+                if held[0] != f:
+                    with files.opened(f"{self.folder.rstrip('/')}/{name}") as file:
+                        held = (f, read_chunk(file, name, c))
+                a, b = max(low, f) - f, min(high, f + c.rows) - f
+                tables.append(held[1].slice(a, b - a))
+            order = np.random.Generator(np.random.Philox([self.seed, p.epoch * 2**32 + block])).permutation(high - low) if self.buffer > 1 else np.arange(high - low)
+            a, b = max(p.start, low), min(p.end, high)
+            order = order[a - low : b - low]
+            table = pa.concat_tables(tables).take(pa.array(order))
+            pos = pa.array(range(p.epoch * p.length + a, p.epoch * p.length + b), pa.int64())
+            table = table.add_column(0, "__pos", pos).add_column(1, "__epoch", pa.array([p.epoch] * (b - a), pa.int64())).add_column(2, IDX, pa.array(order + low, pa.int64()))
+            yield from table.select(self.schema.names).to_batches()
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept of what has been read."""
+
+
+class RecordStreamSource(DataSource):
+    """``spark.readStream.format("record_stream")``; options as of :func:`stream`."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "record_stream"
+
+    def schema(self) -> StructType:
+        kept = StructType.fromJson(json.loads(manifest_of(self.options["path"])["schema"]))
+        return StructType([*(StructField(c, LongType()) for c in ("__pos", "__epoch", IDX)), *kept.fields])
+
+    def streamReader(self, schema: StructType) -> RecordStreamReader:
+        return RecordStreamReader(dict(self.options), schema)
+
+
+def stream(spark: SparkSession, folder: str, buffer: int = 1, seed: int = 0, epochs: int = 1, ahead: int = 0, progress: str | None = None, rows: int = PARTITION) -> DataFrame:
+    """A record dataset as a stream with ``__pos``, ``__epoch`` and ``__idx``. ``epochs`` 0: endless; ``ahead`` 0: all at once.
+
+    The dataset must stay as it is while the query lives.
+    """
+    spark.dataSource.register(RecordStreamSource)
+    options = {"buffer": buffer, "seed": seed, "epochs": epochs, "ahead": ahead, "rows": rows} | ({"progress": progress} if progress else {})
+    return spark.readStream.format("record_stream").options(**options).load(folder)
