@@ -75,6 +75,45 @@ def test_least_of_windows():
         assert all(h[g] == h[i : i + width].min() and g == i + int(np.argmin(h[i : i + width])) for i, g in enumerate(got))
 
 
+def test_choice_of_equals_depends_on_the_window_alone():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 600, dtype=np.uint64)
+    h[100:160], h[300:400:7] = 5, 7
+    got = repeats._chosen(h, 80)
+    for i in range(0, 300, 13):
+        moved = np.concatenate([h[i : i + 200], h[:50]])
+        assert (repeats._chosen(moved, 80)[:121] + i == got[i : i + 121]).all()
+    assert (h[got] == [h[i : i + 80].min() for i in range(len(got))]).all()
+    assert len(set(got[30:180].tolist())) < 30  # a stretch of 60 equals, seen coming and going
+
+
+def test_long_periodic_texts(spark):
+    """Runs of short periods among other text, of one text and of two, against every window."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    runs = ["a" * 3000, "abc" * 900, "-" * 420, "=-" * 260, "0123456789" * 150, word(130) * 20, "-" * 300 + "\n" + "-" * 300]
+    texts = [word(50) + r + word(60) for r in runs] + [word(300) + r[7:] + word(500) for r in runs] + [runs[0] + word(30) + runs[1] + word(20) + runs[0][:1500], "a" * 3001, "a" * 399 + "b" + "a" * 399]
+    check(spark, texts)
+
+
+@pytest.mark.parametrize("part", [1 << 20, 3000])
+def test_periodic_texts_have_few_anchors(part, monkeypatch):
+    monkeypatch.setattr(repeats, "PART", part)
+    for unit in (b"a", b"abc", b"0123456789abcdef" * 5):
+        data, local = np.frombuffer(unit * (20_000 // len(unit)) + b"end", np.uint8), []
+        place, first, last = repeats.anchors(data, local=local)[3:]
+        assert len(place) < 200 + 1000 * (part < 5000)
+        seen = {w for x, y in zip(first, last) for w in range(x, y + 1)} | {w for x, y in local for w in range(x, y + 1)}
+        assert seen == set(range(len(data) - 399))
+
+
+def test_ten_megabytes_of_one_period(spark):
+    rng = random.Random(6)
+    other = "".join(rng.choices("abcdefgh ", k=5000))
+    rows = [(1, "z" * 10_000_000), (2, "xyz" * 3_333_334), (3, other + "z" * 5000), (4, other[:300])]
+    got = {r[0]: tuple(r)[1:4] for r in repeats.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (10_000_000, 10_000_000, 1), 2: (10_000_002, 10_000_002, 1), 3: (10_000, 5000, 1), 4: (300, 0, 0)}
+
+
 def test_identifiers_do_not_depend_on_the_place():
     a, b = (np.frombuffer(x, np.uint8) for x in (b"xxhello wonderful world", b"hello wonderful wo"))
     for k in (0, 1):

@@ -10,7 +10,8 @@ offset + h), from q-grams of 8 bytes up (:class:`Pointers`).
    texts go on.
 2. Initial buckets, of q = 128 bytes: of every window of ``length`` bytes the suffix whose bucket identifier is least is
    its anchor, so equal windows have equal anchors at equal offsets, and a text has one anchor for about each
-   (length - q) / 2 bytes. Anchors alone in their buckets are done.
+   (length - q) / 2 bytes. Stretches of a short period, where every place would be an anchor, are settled inside their text: their
+   windows repeat there, and the first of equal ones stands for all. Anchors alone in their buckets are done.
 3. First refinement, to 2 q bytes: by the bucket at offset + q for windows that reach so far behind the anchor,
    else by that at offset - q.
 4. Second refinement, to nearly ``length`` bytes: an anchor's windows are cut into runs of ``RUN`` offsets; a run's
@@ -112,38 +113,80 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _AT = 24
 
 
-def _least(h: np.ndarray, width: int) -> np.ndarray:
-    """Position of the least in each window of ``width`` hashes (by their upper bits), the leftmost of equals."""
+def _least(h: np.ndarray, width: int, last: bool = False) -> np.ndarray:
+    """Position of the least in each window of ``width`` hashes (by their upper bits), the leftmost of equals, or the ``last``."""
     if len(h) < 1 << _AT:
-        best = h & _U((1 << 64) - (1 << _AT)) | np.arange(len(h), dtype=np.uint64)
+        mask = _U((1 << _AT) - 1)
+        at = np.arange(len(h), dtype=np.uint64)
+        best = h & ~mask | (mask - at if last else at)
         have = 1
         while have < width:
             step = min(have, width - have)
             best = np.minimum(best[: len(best) - step], best[step:])
             have += step
-        return (best & _U((1 << _AT) - 1)).astype(np.int64)
+        best &= mask
+        return (mask - best if last else best).astype(np.int64)
     # a very long text in overlapping parts
     part = (1 << _AT) - width
-    return np.concatenate([_least(h[i : i + part + width - 1], width) + i for i in range(0, len(h) - width + 1, part)])
+    return np.concatenate([_least(h[i : i + part + width - 1], width, last) + i for i in range(0, len(h) - width + 1, part)])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def _chosen(h: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least in each window; of equals the first or the last, whichever is farther from its end of the window.
+
+    That depends on the window alone, and where a stretch of equals comes into a window or leaves it, the choice stays.
+    """
+    first, last, at = _least(h, width), _least(h, width, last=True), np.arange(len(h) - width + 1)
+    return np.where(first - at >= at + width - 1 - last, first, last)
+
+
+#: A part of a text with more than one anchor for so many windows is looked through for windows that repeat in it.
+DENSE = 16
+
+
+def _repeated(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows of a part: which occur in it more than once, and which are there for the first time."""
+    at = np.arange(len(data) - length + 1)
+    ids = np.rec.fromarrays([_spans(data, at, at + length, length, k) for k in (0, 1)], names="x,y")
+    _, first, of, count = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+    fresh = np.zeros(len(at), bool)
+    fresh[first] = True
+    return count[of] > 1, fresh
+
+
+def _stretches(mask: np.ndarray) -> np.ndarray:
+    """(first, last) of the runs of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
+    return edge.reshape(-1, 2) - [0, 1]
+
+
+def anchors(data: np.ndarray, length: int = LENGTH, local: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, ...]:
     """(bucket, bucket q bytes on, bucket q bytes before, place, first window, last window) of every anchor of one text.
 
-    Windows are given by their starts. What lies outside the text has bucket 0.
+    Windows are given by their starts. What lies outside the text has bucket 0. With ``local``, windows that repeat inside a part of
+    the text that is dense with anchors (long runs of a short period) are put there, and only the first of equal ones goes on.
     """
     q, found = q_of(length), []
     for at in range(0, len(data) - length + 1, PART):
         part = data[max(at - q, 0) : at + PART + length - 1]
         skip = min(at, q)  # bytes before, for the buckets of anchors at the start of the part
         b = Pointers(part).of(q)
-        own = _least(b[skip:], length - q + 1) + skip
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        own = _chosen(b[skip:], length - q + 1) + skip
+        new = np.concatenate([[True], own[1:] != own[:-1]])
+        if local is not None and np.count_nonzero(new) > 64 + len(own) // DENSE:
+            twice, fresh = _repeated(part[skip:], length)
+            local += [(int(x) + at, int(y) + at) for x, y in _stretches(twice)]
+            kept = np.flatnonzero(fresh)
+            own = own[kept]
+            new = np.concatenate([[True], (own[1:] != own[:-1]) | (np.diff(kept) > 1)])
+        else:
+            kept = np.arange(len(own))
+        first = np.flatnonzero(new)
         last = np.concatenate([first[1:] - 1, [len(own) - 1]])
         place = own[first]
         later, before = place + q, place - q
         ends = [np.where((x >= 0) & (x < len(b)), b[np.clip(x, 0, len(b) - 1)], _U(0)) for x in (later, before)]
-        found.append((b[place], *ends, place - skip + at, first + at, last + at))
+        found.append((b[place], *ends, place - skip + at, kept[first] + at, kept[last] + at))
     if not found:
         return tuple(np.empty(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(x).view(np.int64) for x in zip(*found))
@@ -209,8 +252,17 @@ def _each(make, names: str):
 
 def _to_anchors(length: int):
     def make(k1: int, k2: int, text: pa.Scalar) -> tuple[np.ndarray, ...]:
-        *buckets, place, first, last = anchors(_bytes(text.as_py()), length)
-        return *buckets, place, first, last, _identity(k1, k2, place)
+        local: list[tuple[int, int]] = []
+        *buckets, place, first, last = anchors(_bytes(text.as_py()), length, local)
+        me = _identity(k1, k2, place)
+        if not local:
+            return *buckets, place, first, last, me
+        # what repeats inside the text: two rows of a bucket of their own, so that they count as partners
+        a, b = (np.repeat(np.array(x, np.int64), 2) for x in zip(*local))
+        bucket, none = _mix(_identity(k1, k2, a).view(np.uint64)).view(np.int64), np.zeros(len(a), np.int64)
+        side = np.where(np.arange(len(a)) % 2, -1, -2)
+        rows = ((bucket, none, none, side, a, b, bucket ^ side), (*buckets, place, first, last, me))
+        return tuple(np.concatenate(x) for x in zip(*rows))
 
     return make
 
@@ -265,6 +317,8 @@ def find(texts: DataFrame, length: int = LENGTH, write: Callable[[DataFrame], Da
     found = texts.select(*KEY, "text").mapInArrow(_each(_to_anchors(length), names), names)
     # written: buckets by (bucket, next) would else be counted where those by bucket are, a frequent one in one task
     live = write(_partnered(found, "bucket"))
+    local = live.filter("place = -1").select(*KEY, F.col("first").alias("a"), F.col("last").alias("b"))
+    live = live.filter("place >= 0")
     # windows that hold the 2 q bytes from the anchor on, and those that hold the q before it; anchors with both go on twice
     half = (length - q) // 2
     o1, o2 = F.col("place") - F.col("last"), F.col("place") - F.col("first")
@@ -292,7 +346,7 @@ def find(texts: DataFrame, length: int = LENGTH, write: Callable[[DataFrame], Da
     names = "k1 long, k2 long, core long, w1 long, w2 long, a long, me long"
     windows = _with_text(texts, mixed.filter("open"), "a", "b", "core").select(*KEY, "text", "of").mapInArrow(_each(_to_windows(length), names), names)
     single = _partnered(windows, "core", "w1", "w2").select(*KEY, "a", F.col("a").alias("b"))
-    return pure.union(mixed.filter("repeat").select(*KEY, "a", "b")).union(single)
+    return pure.union(mixed.filter("repeat").select(*KEY, "a", "b")).union(single).union(local)
 
 
 def covered(n: int, starts: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:
