@@ -188,3 +188,47 @@ def test_messy(spark):
     got = {r["page_id"]: r for r in html.query(df).collect()}
     assert html.query(df).count() == len(rows) and got[None]["text"] == "" and got[4]["text"] == "deep" and got[5]["text"].count("\n") == 19_999
     assert got[1]["n_chars"] == len(got[1]["text"]) and html.query(df.limit(0)).count() == 0
+
+
+PROSE_PART = "<p>Whole article with quite some words in it, so that it counts as text. It has a second sentence.</p>"
+PLAIN_PART = "Whole article with quite some words in it, so that it counts as text. It has a second sentence."
+
+
+def framed(x):
+    return f"<html><body><nav><a href='/'>Home</a></nav><div id='wrap'>{x}</div><footer>Copyright</footer></body></html>"
+
+
+def test_forms_that_hold_the_page():
+    assert html.extract(framed(f"<form action='/x'><article>{PROSE_PART}</article><input name='q'><button>Go</button></form>")) == PLAIN_PART
+    assert html.extract(framed(f"<form><div id='content'>{PROSE_PART * 3}</div><select><option>a</option></select></form>")) == "\n".join([PLAIN_PART] * 3)
+    assert html.extract(framed(f"<div class='nav-wrapper'><div>{PROSE_PART * 3}</div></div>")) == "\n".join([PLAIN_PART] * 3)
+    # a form beside the text, and readers' comments of any length, still go
+    assert html.extract(framed(f"<div>{PROSE_PART * 2}</div><form>{PROSE_PART}</form>")) == "\n".join([PLAIN_PART] * 2)
+    assert html.extract(framed(f"<div>{PROSE_PART}</div><div class='comments'>{PROSE_PART * 9}</div>")) == PLAIN_PART
+
+
+@pytest.mark.parametrize("part", ["div class='cookie-recipe'", "div class='ad-hoc-queries'", "div class='menu-list'", "section id='related'", "section id='navigation'", "div class='notice'", "div class='share'"])
+def test_parts_of_an_article_with_doubtful_names(part):
+    tag = part.split()[0]
+    assert html.extract(framed(f"<article><h1>Title</h1>{PROSE_PART}<{part}>{PROSE_PART}</{tag}></article>")) == f"Title\n{PLAIN_PART}\n{PLAIN_PART}"
+    # the same names with links, or with what is no sentence, go
+    assert html.extract(framed(f"<article><h1>Title</h1>{PROSE_PART}<{part}><a href='/a'>One other text.</a> <a href='/b'>And yet another text to read here.</a></{tag}></article>")) == f"Title\n{PLAIN_PART}"
+
+
+def test_sure_names_go_inside_articles_too():
+    for name in ("ad", "ad-slot", "cookie-banner", "newsletter-box", "comments", "sponsored", "sidebar"):
+        assert html.extract(framed(f"<article>{PROSE_PART}<div class='{name}'>{PROSE_PART}</div></article>")) == PLAIN_PART
+
+
+def test_deep_pages_with_classes_take_memory_in_proportion():
+    import tracemalloc
+
+    used = []
+    for depth in (5_000, 50_000):
+        page = html.Page("<body>" + '<div class="a">' * depth + "deep text here.")
+        tracemalloc.start()
+        html.layout(page)
+        used.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert used[1] < 20 * used[0] and used[1] < 50_000_000
+    assert html.extract('<div class="a">' * 50_000 + "deep text here.") == "deep text here."

@@ -86,6 +86,17 @@ DROPPED_TOKENS = frozenset(
     "banner promo promotion aside side-bar related recommended recommendations widget widgets social share sharing subscribe signup login notice notices overlay alert "
     "comment respond reply replies discussion tag tags toolbar skip-link post-tags entry-tags related-posts share-buttons social-share".split()
 )
+#: Names that inside an article may be those of its parts: prose under them stays.
+DOUBTFUL = frozenset("related recommended recommendations notice notices share sharing social navigation menu alert tag tags widget widgets overlay banner toolbar".split())
+#: What else a name of a role is made of; with other words it may be a topic.
+STRUCTURAL = frozenset(
+    "area bar block body bottom box btn button col container content desktop fixed form global header image inner item items label large left link links list main mobile module "
+    "nav menu outer page panel post primary right row secondary section site slot small sticky text title top unit wrap wrapper widget".split()
+)
+#: Names, besides forms, that a template may give to what holds the whole page.
+HOLDERS = frozenset("nav navbar navigation menu banner overlay modal popup widget widgets toolbar sidebar side-bar aside notice alert promo login signup consent".split())
+#: Characters of text from which such a holder may be most of a page.
+MOST = 150
 #: Tokens that inside an article may be a part of it.
 PART_TOKENS = frozenset({"discussion"})
 HEADER_NAMES = frozenset("header masthead".split())
@@ -166,19 +177,65 @@ def parse(html: str) -> Node:
     return root
 
 
+SURE, DOUBT, TOPIC = 1, 2, 3
+
+
 @lru_cache(maxsize=10_000)
-def _named(name: str, article: bool, inside: bool) -> bool:
-    """Whether a class and id name a role that is never content."""
+def _named(name: str, article: bool, inside: bool) -> int:
+    """Whether a class and id name a role that is never content: 0, surely, by a doubtful name, or beside words that may be a topic."""
+    found = set()
     for token in name.lower().replace("_", "-").split():
         parts = token.split("-")
         if article:
             if token in ASIDE_NAMES or parts[-1] in ASIDE_NAMES:
-                return True
-        elif token in DROPPED_NAMES or parts[0] in DROPPED_NAMES or parts[-1] in DROPPED_NAMES:
-            return True
+                return SURE
+        elif token in DROPPED_NAMES:
+            found.add(DOUBT if token in DOUBTFUL else SURE)
+        elif parts[0] in DROPPED_NAMES or parts[-1] in DROPPED_NAMES:
+            role, rest = (parts[0], parts[1:]) if parts[0] in DROPPED_NAMES else (parts[-1], parts[:-1])
+            plain = all(x in STRUCTURAL or x in DROPPED_NAMES or x in DROPPED_TOKENS or not x.strip("0123456789") for x in rest)
+            found.add(TOPIC if not plain else DOUBT if role in DOUBTFUL else SURE)
         elif token in DROPPED_TOKENS and not (inside and token in PART_TOKENS):
-            return True
-    return False
+            found.add(DOUBT if token in DOUBTFUL else SURE)
+    return min(found, default=0)
+
+
+def _holder(name: str) -> bool:
+    tokens = name.lower().replace("_", "-").split()
+    return any(t in HOLDERS or t.split("-")[0] in HOLDERS for t in tokens) and not any(t.split("-")[0] in ASIDE_NAMES for t in tokens)
+
+
+def _measure(node: Node, skip: frozenset[str] = frozenset()) -> tuple[int, int, int, int]:
+    """Words, words in links, characters and sentence marks below a node, without elements of the tags in ``skip``."""
+    words = linked = chars = marks = 0
+    stack = [(node, False)]
+    while stack:
+        x, link = stack.pop()
+        if x.tag or x.parent is None:
+            stack.extend((c, link or x.tag == "a") for c in x.children if c.tag not in skip)
+        elif own := x.text.split():
+            words, linked, chars = words + len(own), linked + len(own) * link, chars + sum(map(len, own))
+            marks += sum(w[-1] in ".!?" for w in own)
+    return words, linked, chars, marks
+
+
+def _most(node: Node) -> bool:
+    """Whether a node has most of the page's text."""
+    own = _measure(node, DROPPED_TAGS - {"form"})
+    if own[2] < MOST:
+        return False
+    root = node
+    while root.parent is not None:
+        root = root.parent
+    return 2 * own[2] > _measure(root, DROPPED_TAGS - {"form"})[2]
+
+
+def _part_of_article(node: Node, level: int) -> bool:
+    """Whether what a doubtful name stands for reads like a part of the article around it."""
+    words, linked, _, marks = _measure(node)
+    if level == TOPIC:
+        return linked < LINKED * words
+    return words >= 8 and marks > 0 and linked < 0.3 * words
 
 
 @lru_cache(maxsize=10_000)
@@ -187,15 +244,26 @@ def _heads(name: str) -> bool:
 
 
 def boilerplate(node: Node, inside_main: bool, inside_article: bool = False) -> bool:
-    """Whether a node has a role that is never content."""
-    if node.hidden or node.tag in DROPPED_TAGS:
+    """Whether a node has a role that is never content.
+
+    A form that holds an article, or most of the page's text, is the page; so is what a template names like a part of it. Inside
+    an article a doubtful name goes only with what does not read like a part of the article; texts that repeat go by the votes anyway.
+    """
+    if node.hidden or node.tag in DROPPED_TAGS and node.tag != "form":
+        return True
+    if node.tag == "form" and not (node.holds or _most(node)):
         return True
     if node.tag == "header" or node.name and node.tag not in ("html", "body", "main", "article") and _heads(node.name):  # one inside the article holds its heading
         return not inside_main and not node.holds
     if not node.name or node.tag in ("html", "body", "main"):
         return False
+    level = _named(node.name, node.tag == "article", inside_article)
+    if not level or node.tag == "article":
+        return bool(level)
     # what holds the page is not named after a part of it
-    return _named(node.name, node.tag == "article", inside_article) and (node.tag == "article" or not node.holds)
+    if node.holds or not inside_main and _holder(node.name) and _most(node):
+        return False
+    return not (inside_article and level != SURE and _part_of_article(node, level))
 
 
 def texts(node: Node) -> Iterator[Node]:
@@ -246,7 +314,7 @@ class Page:
             elif node.tag not in SKIPPED:
                 node.number, node.at = len(self.nodes), (len(self._sums) - 1, 0)
                 # what is inside an element that its tag drops is of no use to know
-                node.elements = [] if node.tag in DROPPED_TAGS else [c for c in node.children if c.tag and c.tag not in FORMATTING and c.tag not in SKIPPED]
+                node.elements = [] if node.tag in DROPPED_TAGS and node.tag != "form" else [c for c in node.children if c.tag and c.tag not in FORMATTING and c.tag not in SKIPPED]
                 self.nodes.append(node)
                 stack.append((node, True, False))
                 stack.extend((c, False, linked or node.tag == "a") for c in reversed(node.children))
@@ -274,19 +342,22 @@ def kind_of(node: Node) -> str:
 
 
 def layout(page: Page) -> int:
-    """Identifier of the set of a page's structural elements, as a signed long; what is inside articles does not count."""
-    found, stack = set(), [(page.body, "")]
+    """Identifier of the set of a page's structural elements, as a signed long; what is inside articles does not count.
+
+    A path is the hash of its parent's and its last step, so memory is one number an element, however deep.
+    """
+    found, stack = set(), [(page.body, 0)]
     while stack:
         node, path = stack.pop()
         for c in node.children:
             if not c.tag or c.tag in FORMATTING or c.tag in SKIPPED:
                 continue
-            own = f"{path}/{kind_of(c)}"
+            own = xxhash.xxh64_intdigest(kind_of(c).encode("utf-8", "surrogatepass"), path)
             if c.name or c.tag in ("nav", "header", "footer", "article", "main", "aside", "section", "form"):
                 found.add(own)
-            if c.tag != "article" and c.tag in BLOCKS and c.tag not in DROPPED_TAGS:
+            if c.tag != "article" and c.tag in BLOCKS and (c.tag not in DROPPED_TAGS or c.tag == "form"):
                 stack.append((c, own if c.name or c.tag not in ("div", "p") else path))
-    return xxhash.xxh64_intdigest("\n".join(sorted(found)).encode("utf-8", "surrogatepass")) - (1 << 63)
+    return xxhash.xxh64_intdigest(np.array(sorted(found), np.uint64).tobytes()) - (1 << 63)
 
 
 class Level:
