@@ -124,7 +124,7 @@ def _least(h: np.ndarray, width: int, last: bool = False) -> np.ndarray:
             step = min(have, width - have)
             best = np.minimum(best[: len(best) - step], best[step:])
             have += step
-        best &= mask
+        best = best & mask
         return (mask - best if last else best).astype(np.int64)
     # a very long text in overlapping parts
     part = (1 << _AT) - width
@@ -136,8 +136,12 @@ def _chosen(h: np.ndarray, width: int) -> np.ndarray:
 
     That depends on the window alone, and where a stretch of equals comes into a window or leaves it, the choice stays.
     """
-    first, last, at = _least(h, width), _least(h, width, last=True), np.arange(len(h) - width + 1)
-    return np.where(first - at >= at + width - 1 - last, first, last)
+    first, last = _least(h, width), _least(h, width, last=True)
+    two = np.flatnonzero(first != last)
+    if len(two):
+        a, b = first[two], last[two]
+        first[two] = np.where(a - two >= two + width - 1 - b, a, b)
+    return first
 
 
 #: A part of a text with more than one anchor for so many windows is looked through for windows that repeat in it.
@@ -314,7 +318,8 @@ def find(texts: DataFrame, length: int = LENGTH, write: Callable[[DataFrame], Da
     """
     q = q_of(length)
     names = "k1 long, k2 long, bucket long, later long, before long, place long, first long, last long, me long"
-    found = texts.select(*KEY, "text").mapInArrow(_each(_to_anchors(length), names), names)
+    # written, for they are counted and then joined: made twice they cost more than their reading
+    found = write(texts.select(*KEY, "text").mapInArrow(_each(_to_anchors(length), names), names))
     # written: buckets by (bucket, next) would else be counted where those by bucket are, a frequent one in one task
     live = write(_partnered(found, "bucket"))
     local = live.filter("place = -1").select(*KEY, F.col("first").alias("a"), F.col("last").alias("b"))
