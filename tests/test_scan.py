@@ -30,7 +30,7 @@ def loop(data):
     return out
 
 
-@pytest.mark.parametrize(("n", "block", "gaps"), [(1, 4, False), (3, 4, True), (200, 4, False), (200, 4, True), (300, 16, True), (50, 1024, False)])
+@pytest.mark.parametrize(("n", "block", "gaps"), [(1, 4, False), (3, 4, True), (60, 4, False), (90, 8, True), (50, 1024, False)])
 def test_prefix(spark, n, block, gaps):
     data = rows(n, n, gaps)
     df = spark.createDataFrame(data, f"{IDX} long, x double, k int, m map<string,long>").repartition(3, "k")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from weirflow.lineage import shared_folder
+from weirflow.lineage import cut, shared_folder
 from weirflow.operators.base import IDX
 
 #: Positions of a block.
@@ -96,13 +96,14 @@ def _scanned(lifted: DataFrame, carries: dict[str, Carry], names: list[str], ind
         others = [c for c in lifted.columns if c not in ("__b", *states)]
         runs = _strided(lifted.withColumn("__i", F.col(index)), carries, names, block, others)
         inside = runs.select("__b", F.explode(F.arrays_zip("__run", "__row")).alias("__z")).select("__b", "__z.__row.*", *[F.col(f"__z.__run.{k}").alias(k) for k in names])
+    totals = cut(totals)  # one row a block, used again below
     blocks = totals.agg(F.min("__b"), F.max("__b")).first()
     if blocks[0] is None or blocks[0] == blocks[1]:
         return inside
     # what lies before a block: the running value of the block before it
     above = totals.withColumnRenamed("__b", "__at").withColumn("__b", F.floor(F.col("__at") / block))
     above = _scanned(above, carries, names, "__at", block)
-    ends = above.select("__at", *[F.col(k).alias(f"__p_{k}") for k in names])
+    ends = cut(above.select("__at", *[F.col(k).alias(f"__p_{k}") for k in names]))  # read three times
     # blocks may be missing, so each takes the last one before it
     before = F.lag(F.struct("*")).over(Window.partitionBy("__g").orderBy("__at"))
     ends = _shifted(ends, block, before).withColumnRenamed("__at", "__to")
