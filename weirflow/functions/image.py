@@ -1,11 +1,12 @@
 """Image functions that need neighbours or many channels: numpy, over whole Arrow batches.
 
 Images are arrays of shape [..., H, W, C] in [0, 1], of any number of leading axes; parameters have those axes, or none.
-In tables images are flattened, with their shape given to :func:`over`, which stacks a batch into one array.
+In tables images are flattened, with their shape given to :func:`over`, which stacks pieces of a batch into arrays.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -13,20 +14,26 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Entries of the images that are worked on at once: what a function needs besides its input and result grows with these, not with a batch.
+ENTRIES = 1 << 17
+
 
 def over(fn: Callable[..., np.ndarray], shape: tuple[int, ...], **fixed) -> Callable[..., Column]:
     """``fn(images, *scalars)`` as a function of an array column and columns of scalars; null stays null."""
 
     @F.arrow_udf("array<double>")
     def run(x: pa.Array, *scalars: pa.Array) -> pa.Array:
-        there = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))
-        rows = x.take(pa.array(there))
-        images = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, *shape)
-        out = np.asarray(fn(images, *(c.take(pa.array(there)).to_numpy(zero_copy_only=False) for c in scalars), **fixed), float).reshape(len(there), -1)
-        lists = pa.ListArray.from_arrays(np.arange(len(there) + 1, dtype=np.int32) * out.shape[1], out.ravel())
-        places = np.full(len(x), -1)
-        places[there] = np.arange(len(there))
-        return lists.take(pa.array(places, mask=places < 0))
+        valid = x.is_valid().to_numpy(zero_copy_only=False)
+        there, step, out = np.flatnonzero(valid), max(1, ENTRIES // math.prod(shape)), np.zeros((0, 0))
+        for k in range(0, len(there), step):
+            rows = pa.array(there[k : k + step])
+            images = x.take(rows).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, *shape)
+            part = np.asarray(fn(images, *(c.take(rows).to_numpy(zero_copy_only=False) for c in scalars), **fixed), float).reshape(len(rows), -1)
+            if not k:
+                out = np.empty((len(there), part.shape[1]))
+            out[k : k + step] = part
+        ends = np.concatenate([[0], np.cumsum(valid)]).astype(np.int32) * np.int32(out.shape[1])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()), mask=pa.array(~valid))
 
     return run
 

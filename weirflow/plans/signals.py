@@ -37,7 +37,9 @@ def _pixels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _places(df: DataFrame, places: int = 5) -> DataFrame:
-    return df.select(F.col(IDX).alias("i"), F.posexplode("image").alias("place", "v")).select("i", "place", (F.round("v", places) + 0.0).alias("v"))
+    # outer, for Spark puts a filter on the size of an exploded column below the explosion, and would make the image twice
+    entries = df.select(F.col(IDX).alias("i"), F.posexplode_outer("image").alias("place", "v")).where(F.col("place").isNotNull())
+    return entries.select("i", "place", (F.round("v", places) + 0.0).alias("v"))
 
 
 def _image_sql(expression: str, size: int = 192) -> str:
