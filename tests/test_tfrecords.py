@@ -104,3 +104,20 @@ def test_documents(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("words", F.split("text", " "))
     at = tf.saved(docs, str(tmp_path / "d"))
     assert sorted(map(repr, tf.read(spark, at, docs.schema).drop("__file", "__row").collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_numbered_where_they_are(spark, tmp_path):
+    """Numbers follow files and records, by counts of the files; the records are neither sorted nor exchanged."""
+    at = tf.saved(spark.range(0, 5000, 1, 3).selectExpr("id", "repeat('é', cast(id % 90 as int)) AS s"), str(tmp_path / "n"))
+    source = tf.from_tfrecords(spark, at, "id long, s string")
+    places = tf.read(spark, at, "id long, s string").orderBy("__file", "__row").collect()
+    assert len(source) == 5000
+    assert [(r["__idx"], r["id"], r["s"]) for r in source.df.orderBy("__idx").collect()] == [(i, r["id"], r["s"]) for i, r in enumerate(places)]
+    plan = source.df._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan and "Scan ExistingRDD[id" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_checksums_together():
+    items = [bytes(range(n % 256)) * (1 + n % 3) for n in range(0, 200, 3)] + [b"", b"a", b"abc", b"abcd"]
+    assert tf.crc32cs(items) == [slow(x) for x in items] and tf.crc32cs([]) == [] and tf.counted(tf.frames(items)) == len(items)
+    assert list(tf.records_of(memoryview(tf.frames(items)))) == items

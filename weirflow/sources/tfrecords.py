@@ -24,19 +24,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 
+from weirflow.lineage import cut
 from weirflow.operators.base import IDX
 
 from . import files
-from .indexed import Source, with_index
+from .indexed import Source
 
 _INTEGERS, _FLOATS, _BYTES = (LongType, IntegerType, ShortType, BooleanType), (FloatType, DoubleType), (BinaryType, StringType)
-#: Bytes of a lane of the checksum; rows of a batch that leaves a task.
-LANE, ROWS = 64, 1024
+#: Bytes of a lane of the checksum; rows of a batch that leaves a task; bytes, or a record, whose checksums are made at once.
+LANE, ROWS, SUMMED = 64, 1024, 1 << 21
 
 
 # ------------------------------------------------------------------ checksum
@@ -55,54 +56,104 @@ def _tables() -> tuple[np.ndarray, list[list[int]]]:
 
 
 def crc32c(data: bytes) -> int:
-    """CRC-32C: lanes of equal length at once, then one after the other by what a lane's length does to a checksum."""
+    return crc32cs([data])[0]
+
+
+def crc32cs(items: list[bytes]) -> list[int]:
+    """CRC-32C of each: the lanes of equal length of all at once, then an item's one after the other by what a lane's length does to a checksum."""
     table, moved = _tables()
-    head = bytes(b ^ 255 for b in data[:4]) + data[4:]
-    if len(data) < 4:
-        value = 0xFFFFFFFF
-        for b in data:
-            value = (value >> 8) ^ int(table[(value ^ b) & 255])
-        return value ^ 0xFFFFFFFF
-    lanes = np.frombuffer(bytes(-len(head) % LANE) + head, np.uint8).reshape(-1, LANE)
-    own = np.zeros(len(lanes), np.uint32)
-    for column in lanes.T:
-        own = (own >> 8) ^ table[(own ^ column) & 255]
+    padded, counts = [], []
+    for data in items:
+        if len(data) >= 4:
+            head = (int.from_bytes(data[:4], "little") ^ 0xFFFFFFFF).to_bytes(4, "little")
+            padded += [bytes(-len(data) % LANE), head, data[4:]]
+        counts.append(-(-len(data) // LANE) if len(data) >= 4 else 0)
+    # a column of all lanes lies together
+    lanes = np.ascontiguousarray(np.frombuffer(b"".join(padded), np.uint8).reshape(-1, LANE).T)
+    sums = np.zeros(lanes.shape[1], np.uint32)
+    for column in lanes:
+        sums = (sums >> 8) ^ table[(sums ^ column) & 255]
+    sums, at, out = sums.tolist(), 0, []
     a, b, c, d = moved
-    value = 0
-    for x in own.tolist():
-        value = a[value & 255] ^ b[value >> 8 & 255] ^ c[value >> 16 & 255] ^ d[value >> 24] ^ x
-    return value ^ 0xFFFFFFFF
+    for data, n in zip(items, counts):
+        value = 0
+        for x in sums[at : at + n]:
+            value = a[value & 255] ^ b[value >> 8 & 255] ^ c[value >> 16 & 255] ^ d[value >> 24] ^ x
+        at += n
+        if not n:
+            value = 0xFFFFFFFF
+            for x in data:
+                value = (value >> 8) ^ int(table[(value ^ x) & 255])
+        out.append(value ^ 0xFFFFFFFF)
+    return out
 
 
 def masked(data: bytes) -> int:
-    c = crc32c(data)
-    return ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
+    return masks([data])[0]
+
+
+def masks(items: list[bytes]) -> list[int]:
+    return [((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF for c in crc32cs(items)]
 
 
 # ------------------------------------------------------------------ records
 
 
-def records_of(data: bytes, name: str = "") -> Iterator[bytes]:
+def records_of(data: bytes | memoryview, name: str = "") -> Iterator[bytes]:
     """The records of a file; ValueError where one is damaged or cut off."""
-    at, end = 0, len(data)
+    for places, cut in _hops(data):
+        heads = masks([data[at : at + 8] for at, _ in places] + ([data[cut : cut + 8]] if cut is not None and cut + 12 <= len(data) else []))
+        bodies = [bytes(data[at + 12 : at + 12 + n]) for at, n in places]
+        for (at, n), head, body, check in zip(places, heads, bodies, masks(bodies)):
+            if head != struct.unpack_from("<I", data, at + 8)[0]:
+                raise ValueError(f"{name}: the length at byte {at} is damaged")
+            if check != struct.unpack_from("<I", data, at + 12 + n)[0]:
+                raise ValueError(f"{name}: the record at byte {at} is damaged")
+            yield body
+        if cut is not None:
+            if len(heads) > len(places) and heads[-1] != struct.unpack_from("<I", data, cut + 8)[0]:
+                raise ValueError(f"{name}: the length at byte {cut} is damaged")
+            raise ValueError(f"{name}: cut off at byte {cut}")
+
+
+def _hops(data: bytes | memoryview) -> Iterator[tuple[list[tuple[int, int]], int | None]]:
+    """(byte, length) of records, some at a time, as their lengths say; and the byte of one that would end after the file."""
+    at, end, places, held = 0, len(data), [], 0
     while at < end:
-        if at + 12 > end:
-            raise ValueError(f"{name}: cut off at byte {at}")
-        n, check = struct.unpack_from("<QI", data, at)
-        if masked(data[at : at + 8]) != check:
-            raise ValueError(f"{name}: the length at byte {at} is damaged")
+        n = struct.unpack_from("<Q", data, at)[0] if at + 12 <= end else end
         if at + 16 + n > end:
-            raise ValueError(f"{name}: cut off at byte {at}")
-        body = data[at + 12 : at + 12 + n]
-        if masked(body) != struct.unpack_from("<I", data, at + 12 + n)[0]:
-            raise ValueError(f"{name}: the record at byte {at} is damaged")
-        yield body
-        at += 16 + n
+            yield places, at
+            return
+        places.append((at, n))
+        at, held = at + 16 + n, held + n
+        if held > SUMMED or len(places) == ROWS:
+            yield places, None
+            places, held = [], 0
+    if places:
+        yield places, None
+
+
+def counted(data: bytes | memoryview, name: str = "") -> int:
+    """The number of a file's records, by their lengths alone; these are checked."""
+    total = 0
+    for places, cut in _hops(data):
+        for (at, _), head in zip(places, masks([data[at : at + 8] for at, _ in places])):
+            if head != struct.unpack_from("<I", data, at + 8)[0]:
+                raise ValueError(f"{name}: the length at byte {at} is damaged")
+        if cut is not None:
+            raise ValueError(f"{name}: cut off, or the length damaged, at byte {cut}")
+        total += len(places)
+    return total
 
 
 def framed(body: bytes) -> bytes:
-    head = struct.pack("<Q", len(body))
-    return head + struct.pack("<I", masked(head)) + body + struct.pack("<I", masked(body))
+    return frames([body])
+
+
+def frames(bodies: list[bytes]) -> bytes:
+    """The bytes of a file for some records."""
+    lengths = [struct.pack("<Q", len(b)) for b in bodies]
+    return b"".join(x for n, h, b, c in zip(lengths, masks(lengths), bodies, masks(bodies)) for x in (n, struct.pack("<I", h), b, struct.pack("<I", c)))
 
 
 # ------------------------------------------------------------------ messages
@@ -263,7 +314,7 @@ def read(spark: SparkSession, path: str, schema: StructType | str | None = None)
                     places = [pa.array([name] * len(own), pa.string()), pa.array(range(start, start + len(own)), pa.int64())]
                     return pa.RecordBatch.from_arrays([*columns, *places], names=arrow.names)
 
-                for body in records_of(content.as_py(), name):
+                for body in records_of(memoryview(content.as_buffer()), name):
                     own.append(parse(body))
                     if len(own) == ROWS:
                         yield made()
@@ -277,9 +328,23 @@ def read(spark: SparkSession, path: str, schema: StructType | str | None = None)
 
 
 def from_tfrecords(spark: SparkSession, path: str, schema: StructType | str | None = None, **options) -> Source:
-    """The records as an indexed source, numbered in the order of files and records."""
-    df = with_index(read(spark, path, schema), ["__file", "__row"]).drop("__file", "__row")
-    return Source(df.select(IDX, *[c for c in df.columns if c != IDX]), df.count(), **options)
+    """The records as an indexed source, numbered in the order of files and records.
+
+    Counts of the files, one small row each and written down, say where a file's numbers begin: records are neither sorted nor moved.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1)):
+                yield pa.RecordBatch.from_pydict({"__f": [path.as_py()], "__n": [counted(memoryview(content.as_buffer()), path.as_py())]})
+
+    content = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+    counts = cut(content.mapInArrow(run, "__f string, __n long"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = read(spark, path, schema)
+    named = df.join(F.broadcast(counts.select("__f", before.alias("__base"))), F.col("__file") == F.col("__f"))
+    names = [c for c in df.columns if c not in ("__file", "__row")]
+    return Source(named.select((F.col("__base") + F.col("__row")).alias(IDX), *[F.col(f"`{c}`") for c in names]), counts.agg(F.sum("__n")).first()[0] or 0, **options)
 
 
 class _Written(WriterCommitMessage):
@@ -299,6 +364,7 @@ class TFRecordWriter(DataSourceArrowWriter):
         def put(out) -> None:
             for b in iterator:
                 columns = [(f.name, _kind(f.dataType), isinstance(f.dataType, ArrayType), b.column(i).to_pylist()) for i, f in enumerate(self.schema)]
+                bodies, held = [], 0
                 for r in range(b.num_rows):
                     row = {}
                     for name, kind, many, values in columns:
@@ -307,7 +373,12 @@ class TFRecordWriter(DataSourceArrowWriter):
                             if any(x is None for x in v):
                                 raise ValueError(f"a null inside {name!r}")
                             row[name] = (kind, [x.encode() if isinstance(x, str) else x for x in v])
-                    out.write(framed(message(row)))
+                    bodies.append(message(row))
+                    held += len(bodies[-1])
+                    if held > SUMMED:
+                        out.write(frames(bodies))
+                        bodies, held = [], 0
+                out.write(frames(bodies))
 
         files.put(path, put)
         return _Written(path)
