@@ -25,6 +25,8 @@ from weirflow.sources.indexed import Source, as_dataframe, from_memory, from_pat
 from weirflow.streaming import replay, twin
 
 U = keyed.uniform_sql
+#: Rows of a micro-batch at most: what a task holds follows it, the result does not.
+AHEAD = 1 << 20
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -262,11 +264,11 @@ FROM (SELECT event_id AS t, k, least(event_id + 1, 32) AS held FROM events, rang
     )
 )
 def stream_replay(spark: SparkSession, d: str) -> DataFrame:
-    """A replay buffer on a stream of record files, in micro-batches of a bounded look-ahead: three rows read at random after each write."""
+    """A replay buffer on a stream of record files, in micro-batches of a bounded look-ahead (a third of the rows, a million at most): three rows read at random after each write."""
     at = _fresh(spark)
     records.saved(_events(spark, d), f"{at}/set", chunk=128)
     n = len(records.from_records(spark, f"{at}/set"))
-    s = records.stream(spark, f"{at}/set", ahead=max(500, n // 3 + 1), progress=f"{at}/progress").drop("__pos", "__epoch")
+    s = records.stream(spark, f"{at}/set", ahead=min(max(500, n // 3 + 1), AHEAD), progress=f"{at}/progress").drop("__pos", "__epoch")
     read = replay.replayed(s, replay.Replay(32, 16, 3, read="at_random", seed=4), splits=4)
     q = read.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").start()
     q.processAllAvailable()

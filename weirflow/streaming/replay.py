@@ -4,7 +4,8 @@ What is written where, and what is read, follows from a row's index and keyed dr
 :class:`~weirflow.operators.sampling.FifoBuffer`), so it is computed before any state is touched. What needs state is the content of the
 slots alone: writes and reads of a slot go to the key (group, slot modulo ``splits``), where they are done in the order of the
 index. A hot group, or a stream without groups, is so dealt over ``splits`` keys, and a key's state is at most
-capacity / splits rows, read and written once a micro-batch.
+capacity / splits rows, read and written once a micro-batch. A task holds a micro-batch's reads and writes of a key as numbers,
+and the values of its writes: the memory follows the size of micro-batches, which the stream should bound (``ahead`` of record streams).
 
 Rows of a group must arrive in the order of their index (0, 1, 2 ... in each group), in micro-batches cut anywhere; a row that comes late,
 or again, is an error rather than another result. The state store must be one that holds column families (RocksDB): :func:`replayed` sets it for
@@ -20,6 +21,7 @@ import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from weirflow.functions import keyed
 from weirflow.operators.base import IDX
 from weirflow.operators.sampling import reservoir_slot
 
+#: Rows of a frame that leaves a task.
+ROWS = 1 << 16
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -73,24 +77,37 @@ class _Slots(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         last, slots = pickle.loads(self.ring.get()[0]) if self.ring.exists() else (-1, {})
-        todo = pd.concat(list(rows), ignore_index=True).sort_values(["t", "k"], kind="stable")
-        values = list(zip(*(todo[f"v{i}"] for i in range(len(self.names)))))
-        out, places = [], []
-        newest = last
-        for n, (t, k, slot) in enumerate(zip(todo["t"].tolist(), todo["k"].tolist(), todo["slot"].tolist())):
-            if t <= last:
-                raise ValueError(f"row {t} of {key} comes after row {last}")
-            newest = max(newest, t)
-            if k < 0:
-                slots[slot] = (t, values[n])
-            elif slot in slots:
-                places.append((t, k, slots[slot][0]))
-                out.append(slots[slot][1])
-        self.ring.update((pickle.dumps((newest, slots)),))
-        if places:
-            got = pd.DataFrame(out, columns=self.names)
-            t, k, i = zip(*places)
-            yield got.assign(__t=t, __k=k, **{IDX: i})[["__t", "__k", IDX, *self.names]]
+        own = [f"v{i}" for i in range(len(self.names))]
+        # numbers of all rows, values of writes alone: what the slots held comes first, as writes of long ago
+        held = pd.DataFrame({v: [slots[s][1][i] for s in slots] for i, v in enumerate(own)}, index=range(len(slots)))
+        numbers, values = [np.array([(slots[s][0], -1, s) for s in slots], np.int64).reshape(-1, 3)], [held] if slots else []
+        for chunk in rows:
+            numbers.append(chunk[["t", "k", "slot"]].to_numpy(np.int64))
+            values.append(chunk.loc[chunk["k"] < 0, own])
+        t, k, slot = np.concatenate(numbers).T
+        del numbers
+        values = pd.concat(values, ignore_index=True)
+        if len(t) > len(slots) and (first := t[len(slots) :].min()) <= last:
+            raise ValueError(f"row {first} of {key} comes after row {last}")
+        number = np.where(k < 0, np.cumsum(k < 0) - 1, -1)
+        # in each slot in order of time: the write before every read is the newest so far, unless that is another slot's
+        order = np.lexsort((k, t, slot))
+        starts = np.r_[True, np.diff(slot[order]) != 0]
+        at = np.arange(len(order))
+        newest = np.maximum.accumulate(np.where(k[order] < 0, at, -1))
+        found = newest >= np.maximum.accumulate(np.where(starts, at, 0))
+        ends = np.flatnonzero(np.r_[starts[1:], True])
+        finals = order[newest[ends[found[ends]]]]
+        kept = zip(*(values[v].iloc[number[finals]] for v in own)) if own else [()] * len(finals)
+        slots = {int(s): (int(n), tuple(v)) for s, n, v in zip(slot[finals], t[finals], kept)}
+        self.ring.update((pickle.dumps((max(last, int(t.max())), slots)),))
+        reads = found & (k[order] >= 0)
+        to, source = order[reads], order[newest[reads]]
+        turn = np.lexsort((k[to], t[to]))
+        for a in range(0, len(turn), ROWS):
+            to_a, source_a = to[turn[a : a + ROWS]], source[turn[a : a + ROWS]]
+            got = values.iloc[number[source_a]].set_axis(self.names, axis=1).reset_index(drop=True)
+            yield got.assign(__t=t[to_a], __k=k[to_a], **{IDX: t[source_a]})[["__t", "__k", IDX, *self.names]]
 
     def close(self) -> None:
         pass
