@@ -270,7 +270,8 @@ def stream_replay(spark: SparkSession, d: str) -> DataFrame:
     n = len(records.from_records(spark, f"{at}/set"))
     s = records.stream(spark, f"{at}/set", ahead=min(max(500, n // 3 + 1), AHEAD), progress=f"{at}/progress").drop("__pos", "__epoch")
     read = replay.replayed(s, replay.Replay(32, 16, 3, read="at_random", seed=4), splits=4)
-    q = read.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").start()
+    with replay.state_partitions(spark, 4):
+        q = read.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").start()
     q.processAllAvailable()
     q.stop()
     return spark.read.parquet(f"{at}/out").select(F.col("__t").alias("t"), F.col("__k").alias("k"), F.col(IDX).alias("i"), "x")

@@ -41,6 +41,8 @@ MAGIC = b"WRC1"
 MANIFEST = "_records.json"
 #: Records of a chunk, and of a partition of a scan.
 CHUNK, PARTITION = 1024, 1 << 17
+#: Records of a stream's batch, and their compressed bytes, unless a block of its shuffle buffer has more.
+STRETCH, STRETCH_BYTES = 1 << 13, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -261,10 +263,10 @@ def from_records(spark: SparkSession, folder: str, **options) -> Source:
 
 
 class _Span(InputPartition):
-    """Positions of one epoch, in blocks of the shuffle buffer."""
+    """Positions of one epoch, and the chunks that hold their blocks of the shuffle buffer: (first record, file, chunk)."""
 
-    def __init__(self, epoch: int, start: int, end: int, length: int) -> None:
-        self.epoch, self.start, self.end, self.length = epoch, start, end, length
+    def __init__(self, epoch: int, start: int, end: int, length: int, chunks: list[tuple[int, str, Chunk]]) -> None:
+        self.epoch, self.start, self.end, self.length, self.chunks = epoch, start, end, length, chunks
 
 
 class RecordStreamReader(DataSourceStreamReader):
@@ -289,6 +291,38 @@ class RecordStreamReader(DataSourceStreamReader):
         self.rows = max(self.buffer, int(options.get("rows", PARTITION)) // self.buffer * self.buffer)
         self.length = sum(c[2] for _, chunks in manifest_of(self.folder)["files"] for c in chunks)
         self.planned = self._noted()
+        self.index: tuple[list[str], np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"index": None}
+
+    def _chunks(self, low: int, high: int) -> list[tuple[int, str, Chunk]]:
+        """The chunks of records low ... high - 1; the manifest is read by the process that plans, once."""
+        if self.index is None:
+            names, rows = [], [np.empty((0, 5), np.int64)]
+            for name, chunks in manifest_of(self.folder)["files"]:
+                rows.append(np.insert(np.array(chunks, np.int64).reshape(-1, 4), 0, len(names), axis=1))
+                names.append(name)
+            table = np.concatenate(rows)
+            self.index = names, np.insert(table, 0, np.cumsum(table[:, 3]) - table[:, 3], axis=1)
+        names, table = self.index
+        a, b = np.searchsorted(table[:, 0], low, "right") - 1, np.searchsorted(table[:, 0], high)
+        return [(first, names[k], Chunk(*c)) for first, k, *c in table[a:b].tolist()]
+
+    def _records(self, p: _Span, low: int, high: int, held: list) -> pa.Table:
+        """Records low ... high - 1 of a span's chunks. ``held``: the file that is open, the chunk read last."""
+        starts, tables = [first for first, _, _ in p.chunks], []
+        for first, name, c in p.chunks[bisect.bisect_right(starts, low) - 1 : bisect.bisect_left(starts, high)]:
+            if held[1] != first:
+                path = f"{self.folder.rstrip('/')}/{name}"
+                if held[0] is None or held[0][0] != name:
+                    if held[0] is not None:
+                        held[0][1].close()
+                    held[0] = name, files.opened(path)
+                held[1:] = first, read_chunk(held[0][1], path, c)
+            a, b = max(low, first) - first, min(high, first + c.rows) - first
+            tables.append(held[2].slice(a, b - a))
+        return pa.concat_tables(tables)
 
     def _noted(self) -> int:
         if not self.progress:
@@ -317,34 +351,34 @@ class RecordStreamReader(DataSourceStreamReader):
         while a < b:
             epoch, inside = divmod(a, self.length)
             stop = min(self.length, inside + b - a, (inside // self.rows + 1) * self.rows)
-            out.append(_Span(epoch, inside, stop, self.length))
+            low, high = inside // self.buffer * self.buffer, min(-(-stop // self.buffer) * self.buffer, self.length)
+            out.append(_Span(epoch, inside, stop, self.length, self._chunks(low, high)))
             a += stop - inside
         return out
 
     def read(self, p: _Span) -> Iterator[pa.RecordBatch]:
-        places, first = [], 0
-        for name, chunks in manifest_of(self.folder)["files"]:
-            for c in (Chunk(*c) for c in chunks):
-                places.append((first, name, c))
-                first += c.rows
-        starts = [f for f, _, _ in places]
-        held: tuple[str | None, object] = (None, None)
-        for block in range(p.start // self.buffer, (p.end - 1) // self.buffer + 1):
-            low, high = block * self.buffer, min((block + 1) * self.buffer, p.length)
-            tables = []
-            for f, name, c in places[bisect.bisect_right(starts, low) - 1 : bisect.bisect_left(starts, high)]:
-                if held[0] != f:
-                    with files.opened(f"{self.folder.rstrip('/')}/{name}") as file:
-                        held = (f, read_chunk(file, name, c))
-                a, b = max(low, f) - f, min(high, f + c.rows) - f
-                tables.append(held[1].slice(a, b - a))
-            order = np.random.Generator(np.random.Philox([self.seed, p.epoch * 2**32 + block])).permutation(high - low) if self.buffer > 1 else np.arange(high - low)
-            a, b = max(p.start, low), min(p.end, high)
-            order = order[a - low : b - low]
-            table = pa.concat_tables(tables).take(pa.array(order))
-            pos = pa.array(range(p.epoch * p.length + a, p.epoch * p.length + b), pa.int64())
-            table = table.add_column(0, "__pos", pos).add_column(1, "__epoch", pa.array([p.epoch] * (b - a), pa.int64())).add_column(2, IDX, pa.array(order + low, pa.int64()))
-            yield from table.select(self.schema.names).to_batches()
+        # several blocks at a time, for a batch of few rows costs as much as one of many
+        size = sum(c.size for _, _, c in p.chunks) / sum(c.rows for _, _, c in p.chunks)
+        many = max(1, int(min(STRETCH, STRETCH_BYTES / size)) // self.buffer)
+        held: list = [None, None, None]
+        try:
+            for block in range(p.start // self.buffer, (p.end - 1) // self.buffer + 1, many):
+                low, high = block * self.buffer, min((block + many) * self.buffer, -(-p.end // self.buffer) * self.buffer, p.length)
+                a, b = max(p.start, low), min(p.end, high)
+                if self.buffer > 1:
+                    order = np.concatenate([x - low + self._order(p.epoch, x // self.buffer, min(self.buffer, p.length - x)) for x in range(low, high, self.buffer)])[a - low : b - low]
+                    table = self._records(p, low, high, held).take(pa.array(order))
+                else:
+                    order, table = np.arange(b - a), self._records(p, low, high, held)
+                pos = pa.array(np.arange(p.epoch * p.length + a, p.epoch * p.length + b))
+                table = table.add_column(0, "__pos", pos).add_column(1, "__epoch", pa.array(np.full(b - a, p.epoch))).add_column(2, IDX, pa.array(order + low))
+                yield from table.select(self.schema.names).combine_chunks().to_batches()
+        finally:
+            if held[0] is not None:
+                held[0][1].close()
+
+    def _order(self, epoch: int, block: int, rows: int) -> np.ndarray:
+        return np.random.Generator(np.random.Philox([self.seed, epoch * 2**32 + block])).permutation(rows)
 
     def commit(self, end: dict) -> None:
         """Nothing is kept of what has been read."""

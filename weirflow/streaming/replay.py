@@ -2,13 +2,16 @@
 
 What is written where, and what is read, follows from a row's index and keyed draws (as in
 :class:`~weirflow.operators.sampling.FifoBuffer`), so it is computed before any state is touched. What needs state is the content of the
-slots alone: writes and reads of a slot go to the key (group, slot modulo ``splits``), where they are done in the order of the
-index. A hot group, or a stream without groups, is so dealt over ``splits`` keys, and a key's state is at most
-capacity / splits rows, read and written once a micro-batch. A task holds a micro-batch's reads and writes of a key as numbers,
-and the values of its writes: the memory follows the size of micro-batches, which the stream should bound (``ahead`` of record streams).
+slots alone, and of that only what crosses tasks. A task of the stream's own partitions takes its rows by blocks and finds runs of a group's
+rows without a gap: a read whose slot was written earlier in its run is done there, on as many cores as the stream has partitions. What is left, the
+reads before a slot's first write in a run and the last write of each slot, goes to the key (group, slot modulo ``splits``), where it is done
+in the order of the index. A hot group, or a stream without groups, is so dealt over ``splits`` keys, and a key's state is at most
+capacity / splits rows, read and written once a micro-batch. Rows that come dealt anyhow make short runs: then all goes to the keys, which is slower, and the same
+result. A task holds what is left of a micro-batch for a key as numbers, and the values of its writes: the memory follows the size
+of micro-batches, which the stream should bound (``ahead`` of record streams).
 
 Rows of a group must arrive in the order of their index (0, 1, 2 ... in each group), in micro-batches cut anywhere; a row that comes late,
-or again, is an error rather than another result. The state store must be one that holds column families (RocksDB): :func:`replayed` sets it for
+or again, is an error rather than another result. First and last row of each run go to a key of the group's own, where this is seen. The state store must be one that holds column families (RocksDB): :func:`replayed` sets it for
 queries started after it.
 
 ``write`` "fifo": a ring of the last ``capacity`` rows; "reservoir": a uniform sample of all rows so far. ``read`` "in_turn" or
@@ -19,11 +22,14 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
@@ -32,8 +38,12 @@ from weirflow.functions import keyed
 from weirflow.operators.base import IDX
 from weirflow.operators.sampling import reservoir_slot
 
-#: Rows of a frame that leaves a task.
-ROWS = 1 << 16
+#: Rows of a frame that leaves a task, and of a block whose runs are looked at, which ends at so many bytes too.
+ROWS, BYTES = 1 << 16, 1 << 26
+#: Reads of a row that are written out one by one, where Spark compiles them.
+UNROLLED = 16
+#: ``k`` of a write, and of a run's first row (then ``slot`` is its last).
+WRITE, RUN = -1, -2
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -66,8 +76,106 @@ class Replay:
         return keyed.integer(keyed.uniform(t, F.concat(F.lit("buffer/read/"), k.cast("string")), self.seed), held)
 
 
+def _codes(columns: list[pa.ChunkedArray], n: int) -> np.ndarray:
+    """A number for each row; rows of different groups have different ones."""
+    codes = np.zeros(n, np.int64)
+    for c in columns:
+        try:
+            own = c.combine_chunks().dictionary_encode("encode")
+        except pa.ArrowNotImplementedError:  # nested values
+            own = pa.array([repr(x) for x in c.to_pylist()], pa.string()).dictionary_encode()
+        codes = np.unique(codes * len(own.dictionary) + own.indices.to_numpy(), return_inverse=True)[1]
+    return codes
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, rows, size = [], 0, 0
+    for b in batches:
+        held.append(b)
+        rows, size = rows + b.num_rows, size + b.nbytes
+        if rows >= ROWS or size >= BYTES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows, size = [], 0, 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class _Block:
+    """Rows t, w (the slot written, or null), r (the slots read, or null before ``prefill``), g0 ... and v0 ...: which reads are of writes in the same run."""
+
+    def __init__(self, table: pa.Table) -> None:
+        t = table["t"].to_numpy()
+        codes = _codes([table[c] for c in table.column_names if c[0] == "g"], len(t))
+        order = np.lexsort((t, codes))
+        self.rows, self.t = order, t[order]
+        starts = np.ones(len(t), bool)
+        starts[1:] = (np.diff(codes[order]) != 0) | (np.diff(self.t) != 1)
+        run = np.cumsum(starts) - 1
+        self.firsts, self.lasts = np.flatnonzero(starts), np.r_[np.flatnonzero(starts)[1:], len(t)] - 1
+        at = np.empty(len(t), np.int64)
+        at[order] = np.arange(len(t))
+        # writes and reads: place in the order above, slot, and for reads which of their row
+        wrote = table["w"].is_valid().to_numpy()
+        slot = pc.fill_null(table["w"], 0).to_numpy()[order]
+        writes = np.flatnonzero(wrote[order])
+        ready = table["r"].is_valid().to_numpy()
+        size = np.where(ready, pc.fill_null(pc.list_value_length(table["r"]), 0).to_numpy(), 0)
+        self.read_slot = pc.list_flatten(table["r"]).to_numpy()
+        self.read_at = np.repeat(at, size)
+        self.k = np.arange(len(self.read_at)) - np.repeat(np.cumsum(size) - size, size)
+        self.unready = at[~ready]
+        # the newest write of the slot in the run, as a number: (run, slot, place)
+        slots, rank = np.unique(slot[writes], return_inverse=True)
+        n, m = max(1, len(t)), max(1, len(slots))
+        wrote_at = np.sort((run[writes] * m + rank) * n + writes)
+        read_rank = np.minimum(np.searchsorted(slots, self.read_slot), m - 1)
+        known = slots[read_rank] == self.read_slot if len(slots) else np.zeros(len(self.read_slot), bool)
+        sought = (run[self.read_at] * m + read_rank) * n + self.read_at
+        newest = np.searchsorted(wrote_at, sought, "right") - 1
+        got = wrote_at[np.maximum(newest, 0)] if len(wrote_at) else np.zeros(len(sought), np.int64)
+        self.found = known & (newest >= 0) & (got // n == sought // n)
+        self.source = got % n
+        ends = np.r_[np.diff(wrote_at // n) != 0, True] if len(wrote_at) else np.zeros(0, bool)
+        self.finals = wrote_at[ends] % n
+        self.final_slots = slot[self.finals]
+
+
+def _done(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Reads of writes in the same run, and rows that pass through."""
+    for table in _blocks(batches):
+        b = _Block(table)
+        to = np.r_[b.read_at[b.found], b.unready]
+        source = np.r_[b.source[b.found], b.unready]
+        k = np.r_[b.k[b.found], np.zeros(len(b.unready), np.int64)]
+        values = table.select([f"v{i}" for i in range(len(names))])
+        for a in range(0, len(to), table.num_rows):
+            to_a, source_a, k_a = (x[a : a + table.num_rows] for x in (to, source, k))
+            got = values.take(pa.array(b.rows[source_a])) if names else values
+            columns = [pa.array(b.t[to_a]), pa.array(k_a), pa.array(b.t[source_a]), *got.columns]
+            yield from pa.table(columns, names=["__t", "__k", IDX, *names]).combine_chunks().to_batches()
+
+
+def _left(batches: Iterator[pa.RecordBatch], splits: int) -> Iterator[pa.RecordBatch]:
+    """All other reads, the last write of each slot in each run, and the runs."""
+    for table in _blocks(batches):
+        b = _Block(table)
+        read = ~b.found
+        at = np.r_[b.read_at[read], b.finals, b.firsts]
+        k = np.r_[b.k[read], np.full(len(b.finals), WRITE), np.full(len(b.firsts), RUN)]
+        slot = np.r_[b.read_slot[read], b.final_slots, b.t[b.lasts]]
+        split = np.where(k == RUN, splits, slot % splits)
+        others = table.drop_columns(["t", "w", "r"])
+        for a in range(0, len(at), table.num_rows):
+            at_a, k_a, slot_a, split_a = (x[a : a + table.num_rows] for x in (at, k, slot, split))
+            columns = [pa.array(b.t[at_a]), pa.array(k_a), pa.array(slot_a), pa.array(split_a), *(others.take(pa.array(b.rows[at_a])).columns if others.num_columns else [])]
+            yield from pa.table(columns, names=["t", "k", "slot", "split", *others.column_names]).combine_chunks().to_batches()
+
+
 class _Slots(StatefulProcessor):
-    """Content of the slots of one key. Rows: t, k (-1: a write), slot and the columns v0, v1 ... that a write leaves there."""
+    """Content of the slots of one key. Rows: t, k (-1: a write), slot and the columns v0, v1 ... that a write leaves there.
+
+    The key of a group's runs (k -2: the first row, and the last as slot) has no slots.
+    """
 
     def __init__(self, names: list[str]) -> None:
         self.names = names
@@ -86,6 +194,13 @@ class _Slots(StatefulProcessor):
             values.append(chunk.loc[chunk["k"] < 0, own])
         t, k, slot = np.concatenate(numbers).T
         del numbers
+        if (k == RUN).any():
+            by_start = np.argsort(t, kind="stable")
+            before = np.maximum.accumulate(np.r_[last, slot[by_start]])
+            if (late := np.flatnonzero(t[by_start] <= before[:-1])).size:
+                raise ValueError(f"row {t[by_start][late[0]]} of {key} comes after row {before[late[0]]}")
+            self.ring.update((pickle.dumps((int(before[-1]), {})),))
+            return
         values = pd.concat(values, ignore_index=True)
         if len(t) > len(slots) and (first := t[len(slots) :].min()) <= last:
             raise ValueError(f"row {first} of {key} comes after row {last}")
@@ -120,19 +235,40 @@ def replayed(stream: DataFrame, buffer: Replay, index: str = IDX, by: list[str]
     by = by or []
     t = F.col(index).cast("long")
     names = [c for c in stream.columns if c != index]
-    ready = F.col("__t") >= buffer.prefill
-    base = stream.select(t.alias("__t"), *names)
-    reads = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(buffer.size - 1).cast("long")), lambda k: F.struct(k.alias("k"), buffer.read_at(F.col("__t"), k).cast("long").alias("slot")))
-    write = F.struct(F.lit(-1).cast("long").alias("k"), buffer.written(F.col("__t")).cast("long").alias("slot"))
-    work = F.filter(F.concat(F.array(write), F.when(ready, reads).otherwise(F.array().cast("array<struct<k:bigint,slot:bigint>>"))), lambda x: x["slot"].isNotNull())
-    todo = base.withColumn("__w", F.explode(work))
+    ready = F.col("t") >= buffer.prefill
+    at = lambda k: buffer.read_at(F.col("t"), k).cast("long")
+    if buffer.size <= UNROLLED:
+        reads = F.array(*[at(F.lit(k).cast("long")) for k in range(buffer.size)])
+    else:
+        reads = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(buffer.size - 1).cast("long")), at)
     # names that hold in a frame of the processor, whatever the stream's are
-    keys = {f"g{i}": F.col(f"`{c}`") for i, c in enumerate(by)} | {"split": F.pmod("__w.slot", F.lit(splits))}
+    keys = {f"g{i}": F.col(f"`{c}`") for i, c in enumerate(by)}
     values = {f"v{i}": F.col(f"`{c}`") for i, c in enumerate(names)}
-    todo = todo.select(*[c.alias(k) for k, c in ({"t": F.col("__t"), "k": F.col("__w.k"), "slot": F.col("__w.slot")} | keys | values).items()])
+    base = stream.select(t.alias("t"), *[c.alias(k) for k, c in (keys | values).items()]).where("t IS NOT NULL")
+    base = base.select("t", buffer.written(F.col("t")).cast("long").alias("w"), F.when(ready, reads).alias("r"), *keys, *values)
     schema = StructType().add("__t", "long").add("__k", "long").add(IDX, "long")
     for f in stream.select(*names).schema:
         schema = schema.add(f)
-    got = todo.groupBy(*keys).transformWithStateInPandas(_Slots(names), schema, "append", "none")
-    passed = base.where(~ready).select("__t", F.lit(0).cast("long").alias("__k"), F.col("__t").alias(IDX), *names)
-    return got.unionByName(passed)
+    rest = StructType().add("t", "long").add("k", "long").add("slot", "long").add("split", "long")
+    for f in base.select(*keys, *values).schema:
+        rest = rest.add(f)
+    done = base.mapInArrow(lambda batches: _done(batches, names), schema)
+    left = base.mapInArrow(lambda batches: _left(batches, splits), rest)
+    got = left.groupBy(*keys, "split").transformWithStateInPandas(_Slots(names), schema, "append", "none")
+    return got.unionByName(done)
+
+
+@contextmanager
+def state_partitions(spark: SparkSession, most: int) -> Iterator[None]:
+    """Queries started inside deal their keys over ``most`` partitions at most.
+
+    Every partition's state is loaded and committed in every micro-batch, with rows or without, so there should be no more of them than keys.
+    A query's number is fixed when it is first started.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
